@@ -1,11 +1,11 @@
 """Grouped statistics with the missing-value rules of the reports."""
 
-from __future__ import annotations
-
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from regdata.functions.nulls import known_keys, sum0
 from regdata.operators.skew import skew_join
@@ -85,49 +85,45 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     return stats.withColumn("p", _two_sided_p(F.col("r"), F.col("n")))
 
 
-@F.pandas_udf("double")
-def _p_value(r, n):
-    import pandas as pd
-
-    return pd.Series([_corr_p(a, b) for a, b in zip(r, n)])
+def _two_sided_p(r: Column, n: Column) -> Column:
+    """p of a correlation on n pairs: the regularised incomplete beta I(1 - r^2; (n - 2) / 2, 1/2).
 
+    One aggregate row passes through here; the continued fraction has no native form.
+    """
 
-def _two_sided_p(r: Column, n: Column) -> Column:
-    return _p_value(r, n.cast("double"))
-
-
-def _corr_p(r: float, n: float) -> float | None:
-    if r is None or r != r or n < 3:
-        return None
-    if abs(r) >= 1:
-        return 0.0
-    return _reg_beta(1 - r * r, (n - 2) / 2, 0.5)
-
-
-def _reg_beta(x: float, a: float, b: float) -> float:
-    """Regularised incomplete beta by its continued fraction."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - _reg_beta(1 - x, b, a)
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    ) / a
-    tiny, c = 1e-300, 1.0
-    d = 1 / ((1 - (a + b) * x / (a + 1)) or tiny)
-    h = d
-    for m in range(1, 500):
-        up = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        d = 1 / ((1 + up * d) or tiny)
-        c = (1 + up / c) or tiny
-        h *= d * c
-        down = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1 / ((1 + down * d) or tiny)
-        c = (1 + down / c) or tiny
-        h *= d * c
-        if abs(d * c - 1) < 1e-14:
-            break
-    return front * h
+    def p_value(r: pd.Series, n: pd.Series) -> pd.Series:
+        def fraction(x, a, b):
+            tiny, c = 1e-300, 1.0
+            d = 1 / ((1 - (a + b) * x / (a + 1)) or tiny)
+            h = d
+            for m in range(1, 2000):
+                for term in (
+                    m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+                    -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
+                ):
+                    d = 1 / ((1 + term * d) or tiny)
+                    c = (1 + term / c) or tiny
+                    h *= d * c
+                if abs(d * c - 1) < 1e-15:
+                    break
+            return h
+
+        def beta(x, a, b):
+            log_front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+            if x > (a + 1) / (a + b + 2):
+                return 1 - math.exp(log_front) * fraction(1 - x, b, a) / b
+            return math.exp(log_front) * fraction(x, a, b) / a
+
+        out = []
+        for ri, ni in zip(r, n):
+            if ri is None or ri != ri or ni < 3:
+                out.append(None)
+            else:
+                x = 1 - ri * ri
+                out.append(0.0 if x <= 0 else 1.0 if x >= 1 else beta(x, (ni - 2) / 2, 0.5))
+        return pd.Series(out, dtype="float64")
+
+    return F.pandas_udf(p_value, T.DoubleType())(r, n.cast("double"))
 
 
 def row_max(df: DataFrame, by: list[str], value: str) -> DataFrame:

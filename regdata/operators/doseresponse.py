@@ -80,7 +80,7 @@ def powerlaw_sums(df: DataFrame, by: list[str], x: str, y: str, pop: str, beta=G
         F.sum(F.col("_p") * F.col("_y") * F.col("_q")).alias("_pyq"),
         F.sum(F.col("_p") * F.col("_q") * F.col("_q")).alias("_pqq"),
     )
-    joined = sums.join(scale, by) if by else sums.crossJoin(scale)
+    joined = sums.join(scale, by)
     mean = F.col("_mean")
     return joined.where((F.col("_xmin") > 0) | (b >= 0)).select(
         *by, F.col("_i").alias("i"), b.alias("beta"), "j", "s",

@@ -12,12 +12,12 @@ the statistics of the reports the law of that statistic is known:
 Random numbers are hashes of (seed, group, replicate), so runs agree with each other.
 """
 
-from __future__ import annotations
-
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from regdata.functions.clean import _c
 from regdata.functions.nulls import known_keys
@@ -143,16 +143,14 @@ def _values_at(ranks: DataFrame, draws: DataFrame, by: list[str]) -> DataFrame:
 
 def binomial_draw(n: Column, p: Column, seed: Column) -> Column:
     """Binomial draw per row, seeded by a hash; a small Arrow function on one row per replicate."""
-    return _binomial(n.cast("long"), p.cast("double"), seed)
 
+    def draw(n: pd.Series, p: pd.Series, seed: pd.Series) -> pd.Series:
+        import numpy as np
 
-@F.pandas_udf("long")
-def _binomial(n, p, seed):
-    import numpy as np
-    import pandas as pd
+        draws = [np.random.Generator(np.random.Philox(key=int(s))).binomial(int(a), b) for a, b, s in zip(n, p, seed)]
+        return pd.Series(draws, dtype="int64")
 
-    draws = [np.random.Generator(np.random.Philox(key=int(s))).binomial(int(a), b) for a, b, s in zip(n, p, seed)]
-    return pd.Series(draws, dtype="int64")
+    return F.pandas_udf(draw, T.LongType())(n.cast("long"), p.cast("double"), seed)
 
 
 def share_replicates(df: DataFrame, by: list[str], hit: Column, reps: int, seed: int) -> DataFrame:
