@@ -48,9 +48,11 @@ def rows_of(columns, rows):
 def compare(spark, con, d: str, case) -> tuple[str, int]:
     """("ok" or what differs, rows)."""
     df = case.run(spark, d)
+    start = time.time()
     columns, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     if case.sql is None:
         return ("ok (rows only)" if got else "no rows"), len(got)
+    case.seconds = time.time() - start
     res = con.execute(case.sql)
     names = [c[0] for c in res.description]
     expected_columns, expected = rows_of(names, res.fetchall())
@@ -81,7 +83,7 @@ def main(argv: list[str]) -> int:
             if len(names) < 4:
                 traceback.print_exc()
         bad += not result.startswith("ok")
-        print(f"{name:28s} {time.time() - start:6.2f}s {n:8d}  {result}", flush=True)
+        print(f"{name:28s} {getattr(CASES[name], 'seconds', 0):6.2f}s of {time.time() - start:6.2f}s {n:8d}  {result}", flush=True)
     print(f"{len(names) - bad} of {len(names)} agree")
     return bad
 

@@ -21,7 +21,7 @@ def dated_line_parts(col) -> Column:
     """struct(date, text) of a dated line; text ends at a second colon."""
     return F.struct(
         F.split_part(_c(col), F.lit(":"), F.lit(1)).alias("date"),
-        F.ltrim(F.split_part(_c(col), F.lit(":"), F.lit(2))).alias("text"),
+        F.regexp_replace(F.split_part(_c(col), F.lit(":"), F.lit(2)), r"^\s+", "").alias("text"),
     )
 
 
@@ -82,7 +82,8 @@ def extract_money(col, compat: bool = False) -> Column:
 
 def proper_nouns(col) -> Column:
     """Runs of capitalised words."""
-    return F.transform(F.regexp_extract_all(_c(col), F.lit(PROPER_NOUNS), F.lit(0)), F.ltrim)
+    runs = F.regexp_extract_all(_c(col), F.lit(PROPER_NOUNS), F.lit(0))
+    return F.transform(runs, lambda run: F.regexp_replace(run, r"^\s+", ""))
 
 
 def parse_list_literal(col) -> Column:
@@ -106,6 +107,11 @@ def fold_ascii(col) -> Column:
     return F.translate(_c(col), *_latin_folding())
 
 
+def to_ascii(col) -> Column:
+    """Accents folded, whatever is still outside ASCII dropped."""
+    return F.regexp_replace(fold_ascii(col), r"[^\x00-\x7F]", "")
+
+
 def links(col) -> Column:
     """All ``href`` targets of a piece of markup."""
     return F.regexp_extract_all(_c(col), F.lit('href="([^"]*)"'), F.lit(1))

@@ -51,9 +51,9 @@ def normalised_weights(df: DataFrame, by: list[str], pop: str, out: str = "p") -
 
 
 def _log_grid(low: float, high: float, n: int):
-    """n points from low to high, equal steps in the logarithm, as an array column."""
+    """n points from low to high, equal steps in the logarithm, as a constant array."""
     step = math.log(high / low) / (n - 1)
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lit(low) * F.exp(i * F.lit(step)))
+    return F.array(*[F.lit(low * math.exp(i * step)) for i in range(n)])
 
 
 def powerlaw_sums(df: DataFrame, by: list[str], x: str, y: str, pop: str, beta=GRID["beta"]) -> DataFrame:

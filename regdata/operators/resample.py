@@ -53,11 +53,17 @@ def uniform31(col) -> Column:
     return (_c(col) + 0.5) / F.lit(2147483648.0)
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column computed once per row. The optimizer copies a plain expression into
+    every later use, which for nested hashes multiplies the work; it does not look into
+    a generator."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def _replicates(groups: DataFrame, by: list[str], reps: int, seed: int) -> DataFrame:
     base = combine31(F.lit(seed).cast("long"), text31(by) if by else F.lit(0).cast("long"))
-    return groups.withColumn("_base", base).withColumn(
-        "rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))
-    ).withColumn("_base", combine31("_base", F.col("rep").cast("long")))
+    seeded = groups.withColumn("_base", base).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    return _once(seeded, "_base", combine31("_base", F.col("rep").cast("long")))
 
 
 def _beta_draws(df: DataFrame, keys: list[str], a: str, b: str, out: str) -> DataFrame:
@@ -66,8 +72,8 @@ def _beta_draws(df: DataFrame, keys: list[str], a: str, b: str, out: str) -> Dat
     Both parameters are at least 2 here, except that b = 1 is drawn directly.
     """
     tries = df.withColumn("_try", F.explode(F.sequence(F.lit(1), F.lit(ATTEMPTS))))
-    tries = tries.withColumn("_h1", combine31("_base", (F.col("_try") * 2).cast("long")))
-    tries = tries.withColumn("_h2", combine31("_h1", F.lit(1).cast("long")))
+    tries = _once(tries, "_h1", combine31("_base", (F.col("_try") * 2).cast("long")))
+    tries = _once(tries, "_h2", combine31("_h1", F.lit(1).cast("long")))
     u1, u2 = uniform31("_h1"), uniform31("_h2")
     p, q = F.least(a, b).cast("double"), F.greatest(a, b).cast("double")
     total = p + q
@@ -209,17 +215,15 @@ def wmean_replicates(
     sums = [F.sum(F.col("_c") * F.col("_w") * F.col("_x")).alias("_wx"), F.sum(F.col("_c") * F.col("_w")).alias("_ww")]
     rep = F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))
     if method == "poisson":
-        counted = (
-            rows.withColumn("_h", combine31(F.lit(seed).cast("long"), small)).withColumn("rep", rep)
-            .withColumn("_c", poisson_counts(combine31("_h", F.col("rep").cast("long"))))
-            .where("_c > 0")
-        )
+        seeded = rows.withColumn("_h", combine31(F.lit(seed).cast("long"), small)).withColumn("rep", rep)
+        seeded = _once(seeded, "_h", combine31("_h", F.col("rep").cast("long")))
+        counted = seeded.withColumn("_c", poisson_counts(F.col("_h"))).where("_c > 0")
     else:
         salted = rows.withColumn("_salt", mix31(small) % SALTS)
         numbered = row_numbers(salted, by, ["_salt"], [key], "_i").withColumn("_i", F.col("_i") - 1).drop("_salt")
         sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
         drawn = numbered.join(sizes, by).select(*by, "_i", "_n").withColumn("rep", rep)
-        drawn = drawn.withColumn("_h", combine31(F.lit(seed).cast("long"), F.col("rep").cast("long")))
+        drawn = _once(drawn, "_h", combine31(F.lit(seed).cast("long"), F.col("rep").cast("long")))
         pick = combine31("_h", F.pmod(F.col("_i"), F.lit(MASK)).cast("long")) % F.col("_n")
         hits = drawn.withColumn("_j", pick).groupBy(*by, "rep", "_j").agg(F.count(F.lit(1)).alias("_c"))
         counted = hits.withColumnRenamed("_j", "_i").join(numbered, [*by, "_i"])

@@ -53,7 +53,7 @@ def rank_by_value(df: DataFrame, by: list[str], value: str, tie: str, out: str =
     piece = with_value_piece(src, value, value_pieces(src, value), "_vp")
     piece = with_value_piece(piece, tie, value_pieces(src, tie, SALTS), "_tp")
     single = F.col("_vp") % 2 == 1  # holds one value only, so the tie key alone orders it
-    piece = piece.withColumn("_vp", -F.col("_vp")).withColumn("_tp", F.when(single, F.col("_tp")).otherwise(0))
+    piece = piece.withColumn("_tp", F.when(single, F.col("_tp")).otherwise(0)).withColumn("_vp", -F.col("_vp"))
     ranked = row_numbers(piece, by, ["_vp", "_tp"], [F.desc(value), F.asc(tie)], out)
     return ranked.withColumn(out, F.col(out) - 1).drop("_vp", "_tp")
 
