@@ -114,7 +114,7 @@ _TERMS = "(values ('The'), ('And'), ('Of'), ('That'), ('It')) v(term)"
     select doc_id, coalesce(places, '') as places, coalesce(n, 0) as n from (select doc_id from documents where lang = 'en') left join f using (doc_id)
 """)
 def gazetteer_tags(spark, d):
-    names = spark.createDataFrame([(t,) for t in ("The", "And", "Of", "That", "It")], "name string")
+    names = spark.sql(f"select term as name from {_TERMS}")
     docs = load(spark, d, "documents").where("lang = 'en'").select("doc_id", text.to_ascii("text").alias("text"))
     tagged = relate.gazetteer_tags(docs, "doc_id", "text", names, "name")
     return tagged.select("doc_id", F.array_join("places", "|").alias("places"), F.size("places").alias("n"))

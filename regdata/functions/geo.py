@@ -67,6 +67,11 @@ def unproject_albers(x, y, params: dict = ALBERS, ellipsoid: dict = ELLIPSOID) -
         + F.sin(beta * 4) * F.lit(23 * e4 / 360 + 251 * e6 / 3780)
         + F.sin(beta * 6) * F.lit(761 * e6 / 45360)
     )
+    # one Newton step on the exact equation takes the series to full precision
+    s = F.sin(lat)
+    inner = 1 - s * s * e2
+    miss = area / (1 - e2) - s / inner + F.ln((1 - s * e) / (1 + s * e)) / F.lit(2 * e)
+    lat = lat + inner * inner / (F.cos(lat) * 2) * miss
     return F.struct(
         (F.degrees(F.atan2(dx, dy) / F.lit(n)) + params["lon0"]).alias("lon"),
         F.degrees(lat).alias("lat"),

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regdata.functions.nulls import known_keys, sum0
-from regdata.operators.skew import skew_join
 from regdata.vocab import (
     AMOUNT_FROM, BUDGET, BUDGET_NO_FUND, BUDGET_WITH_FUND, FUND_AMOUNT, FUND_QUESTION, FUND_REPORTED, PERCENT_FROM,
 )
@@ -67,10 +66,11 @@ def smooth(pairs: DataFrame, area: str, source: str, cols: list[str]) -> DataFra
     """Mean over the sources near an area, each weighted by the number of areas it touches.
 
     Also counts the sources of an area. The weights come from an aggregate joined back,
-    not from a window over a source, so a source near very many areas is no bottleneck.
+    not from a window over a source: adaptive execution splits the join when one source
+    holds many pairs.
     """
     touched = known_keys(pairs, source).groupBy(source).agg(F.count(area).alias("_dup"))
-    weighted = skew_join(pairs, touched, [source], "left")
+    weighted = pairs.join(touched, source, "left")
     aggs = [F.try_divide(F.sum(F.col(c) * F.col("_dup")), F.sum("_dup")).alias(c) for c in cols]
     return known_keys(weighted, area).groupBy(area).agg(*aggs, F.count(source).alias("n_sources"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regdata.functions.nulls import known_keys
+from regdata.operators.skew import spread_out
 from regdata.vocab import MIN_POPULATION
 
 GRID = {"beta": (-4.0, 8.0, 0.05), "alpha": (1e-3, 60.0, 200), "sigma": (0.02, 12.0, 40)}
@@ -51,9 +52,10 @@ def normalised_weights(df: DataFrame, by: list[str], pop: str, out: str = "p") -
 
 
 def _log_grid(low: float, high: float, n: int):
-    """n points from low to high, equal steps in the logarithm, as a constant array."""
+    """n points from low to high, equal steps in the logarithm, as constant structs (v, log)."""
     step = math.log(high / low) / (n - 1)
-    return F.array(*[F.lit(low * math.exp(i * step)) for i in range(n)])
+    logs = [math.log(low) + i * step for i in range(n)]
+    return F.array(*[F.struct(F.lit(math.exp(g)).alias("v"), F.lit(g).alias("log")) for g in logs])
 
 
 def powerlaw_sums(df: DataFrame, by: list[str], x: str, y: str, pop: str, beta=GRID["beta"]) -> DataFrame:
@@ -96,22 +98,33 @@ def powerlaw_posterior(
     if not by:
         raise ValueError("give at least one grouping column")
     names = names or [f"p{round(p * 100):02d}" for p in probs]
-    sums = powerlaw_sums(df, by, x, y, pop, grid["beta"])
-    a = F.col("_a") * F.col("s")
-    sg = F.col("_g")
-    cells = sums.withColumn("_a", F.explode(_log_grid(*grid["alpha"]))).withColumn("_g", F.explode(_log_grid(*grid["sigma"])))
-    spread = sg * F.col("s")
-    lp = (
-        -F.col("j") * F.ln(spread)
-        - (F.col("syy") - a * F.col("sxy") * 2 + a * a * F.col("sxx")) / (spread * spread * 2)
-        - F.col("_a") * F.col("_a") / 200
-        - sg * sg / 32
-        - F.col("beta") * F.col("beta") / 32
-        + F.ln(a) + F.ln(sg)
+    sums = spread_out(powerlaw_sums(df, by, x, y, pop, grid["beta"]), *by, "i")
+    # for given beta and sigma the log posterior is c0 + c1 a - c2 a^2 + ln a
+    cells = sums.withColumn("_g", F.explode(_log_grid(*grid["sigma"])))
+    g, log_g, s = F.col("_g.v"), F.col("_g.log"), F.col("s")
+    twice = g * g * s * s * 2
+    cells = cells.select(
+        *by, "i", "beta",
+        (log_g + F.ln(s) - F.col("j") * (log_g + F.ln(s)) - F.col("syy") / twice - g * g / 32 - F.col("beta") * F.col("beta") / 32).alias("c0"),
+        (s * F.col("sxy") * 2 / twice).alias("c1"),
+        (s * s * F.col("sxx") / twice + F.lit(1 / 200)).alias("c2"),
     )
-    cells = cells.select(*by, "i", "beta", lp.alias("lp"))
-    top = cells.groupBy(*by).agg(F.max("lp").alias("_top"))
-    mass = cells.join(top, by).groupBy(*by, "i", "beta").agg(F.sum(F.exp(F.col("lp") - F.col("_top"))).alias("w"))
+    # its largest grid value is next to where the derivative is 0, so the maximum needs no grid over a
+    low, high, n = grid["alpha"]
+    step = math.log(high / low) / (n - 1)
+    peak = (F.col("c1") + F.sqrt(F.col("c1") * F.col("c1") + F.col("c2") * 8)) / (F.col("c2") * 4)
+    place = F.floor((F.ln(peak) - math.log(low)) / step)
+
+    def near(k):
+        log_a = F.greatest(F.lit(0), F.least(F.lit(n - 1), k)) * F.lit(step) + math.log(low)
+        a = F.exp(log_a)
+        return F.col("c0") + F.col("c1") * a - F.col("c2") * a * a + log_a
+
+    top = cells.groupBy(*by).agg(F.max(F.greatest(near(place), near(place + 1))).alias("_top"))
+    full = cells.join(top, by).withColumn("_a", F.explode(_log_grid(low, high, n)))
+    a = F.col("_a.v")
+    lp = F.col("c0") + F.col("c1") * a - F.col("c2") * a * a + F.col("_a.log")
+    mass = full.groupBy(*by, "i", "beta").agg(F.sum(F.exp(lp - F.col("_top"))).alias("w"))
     # the rest runs on the beta grid: a few hundred rows per group
     along = Window.partitionBy(*by).orderBy("i")
     whole = Window.partitionBy(*by)

@@ -23,6 +23,7 @@ from regdata.functions.clean import _c
 from regdata.functions.nulls import known_keys
 from regdata.operators.ordered import SALTS, row_numbers
 from regdata.operators.quantile import value_ranks
+from regdata.operators.skew import spread_out
 
 MASK = 2147483647  # 31 bits keep every product inside a long
 MIX = (73244475, 739982445)
@@ -63,6 +64,7 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
 def _replicates(groups: DataFrame, by: list[str], reps: int, seed: int) -> DataFrame:
     base = combine31(F.lit(seed).cast("long"), text31(by) if by else F.lit(0).cast("long"))
     seeded = groups.withColumn("_base", base).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    seeded = spread_out(seeded, *by, "rep")
     return _once(seeded, "_base", combine31("_base", F.col("rep").cast("long")))
 
 

@@ -16,18 +16,38 @@ def hot_keys(df: DataFrame, on: list[str], share: float = HOT_SHARE) -> DataFram
     return counts.where(F.col("_rows") > total * F.lit(share)).select(*on)
 
 
+def planned_small(df: DataFrame) -> bool:
+    """Whether Spark's own size estimate is below its broadcast limit."""
+    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    limit = int(limit[:-1]) if limit.endswith("b") else int(limit)
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+
+
 def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
     """Equi-join (inner or left) whose hot left keys are spread over ``salts`` tasks.
 
     Left rows of a hot key get a salt from their own content; the matching right rows
     are repeated once per salt. The table of hot keys has at most ``1 / HOT_SHARE``
-    rows whatever the data size, which makes it safe to broadcast.
+    rows whatever the data size, which makes it safe to broadcast. A right side that
+    Spark plans to broadcast needs none of this: no left row moves then.
     """
     if how not in ("inner", "left"):
         raise ValueError(how)
+    if planned_small(right):
+        return left.join(right, on, how)
     hot = F.broadcast(hot_keys(left, on).withColumn("_hot", F.lit(True)))
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int")
     left_s = left.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right_s = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return left_s.join(right_s, [*on, "_salt"], how).drop("_salt")
+
+
+def spread_out(df: DataFrame, *cols: str) -> DataFrame:
+    """Give a small table that is about to be multiplied one partition per core.
+
+    Adaptive execution merges partitions by their size on disk, so a few thousand rows
+    end up in one task, which then expands them all. A repartition to a fixed number is
+    left alone.
+    """
+    return df.repartition(max(2, df.sparkSession.sparkContext.defaultParallelism), *cols)

@@ -135,42 +135,45 @@ def read_paged_json(
     items_field: str = "Items",
     total_field: str | None = "TotalCount",
     strict: bool = True,
+    lines: bool = False,
 ) -> DataFrame:
     """Items of landed page files as one table.
 
     With ``strict`` the number of items is compared to the largest reported total
-    before the table is handed out.
+    before the table is handed out. ``lines`` reads one page per line, which splits;
+    otherwise each file is one page.
     """
-    pages = _pages(spark, path, item_schema, items_field, total_field)
     if strict and total_field:
-        row = pages.agg(F.sum(F.size(items_field)).alias("got"), F.max(total_field).alias("expected")).first()
-        if row.got != row.expected:
+        row = paged_completeness(spark, path, item_schema, items_field, total_field, lines).first()
+        if not row.complete:
             raise ValueError(f"{path}: {row.got} items landed, {row.expected} reported")
-    return pages.select(F.inline(items_field))
+    return _pages(spark, path, item_schema, items_field, total_field, lines).select(F.inline(items_field))
 
 
-def paged_completeness(spark, path, item_schema, items_field="Items", total_field="TotalCount") -> DataFrame:
+def paged_completeness(
+    spark, path, item_schema, items_field="Items", total_field="TotalCount", lines: bool = False
+) -> DataFrame:
     """One row: items landed, items reported, complete or not."""
-    pages = _pages(spark, path, item_schema, items_field, total_field)
+    pages = _pages(spark, path, item_schema, items_field, total_field, lines)
     return pages.agg(
         F.sum(F.size(items_field)).cast("long").alias("got"), F.max(total_field).alias("expected")
     ).withColumn("complete", F.col("got") == F.col("expected"))
 
 
-def _pages(spark, path, item_schema, items_field, total_field) -> DataFrame:
+def _pages(spark, path, item_schema, items_field, total_field, lines) -> DataFrame:
     item = T.StructType.fromDDL(item_schema) if isinstance(item_schema, str) else item_schema
     fields = [T.StructField(items_field, T.ArrayType(item))]
     if total_field:
         fields.append(T.StructField(total_field, T.LongType()))
-    return spark.read.schema(T.StructType(fields)).option("multiLine", True).json(path)
+    return spark.read.schema(T.StructType(fields)).option("multiLine", not lines).json(path)
 
 
-def read_two_layouts(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+def read_two_layouts(spark: SparkSession, path: str, columns: list[str], by_line: bool = False) -> DataFrame:
     """JSON documents in either layout: ``{"data": [records]}`` or ``{"columns": .., "data": [[..]]}``.
 
     Every value is read as text; use :func:`conform` for types.
     """
-    docs = spark.read.text(path, wholetext=True)
+    docs = spark.read.text(path, wholetext=not by_line)
     head = docs.select(
         F.from_json("value", "columns array<string>").alias("h"),
         F.from_json("value", "data array<map<string,string>>").alias("records"),
