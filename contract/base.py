@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -40,7 +41,8 @@ def load(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def derived(spark: SparkSession, d: str, name: str) -> DataFrame:
     """One of the :data:`DERIVED` tables."""
-    for t in TABLES:
+    words = set(re.findall(r"[a-z]+", DERIVED[name]))
+    for t in words & set(TABLES):
         load(spark, d, t).createOrReplaceTempView(t)
     return spark.sql(DERIVED[name])
 
@@ -116,8 +118,8 @@ DERIVED = {
     "areas": """
         select c_custkey as area, n_name as town, r_name as watershed,
                case when c_acctbal < 0 then 0 else round(c_acctbal) end as pop,
-               case when c_mktsegment = 'BUILDING' then null else round((c_acctbal + 1000) / 11000, 4) end as minority,
-               round((c_custkey * 37 + 11) / (c_custkey * 37 + 2000.0), 4) as lowincome
+               case when c_mktsegment = 'BUILDING' then null else (c_acctbal + 1000) / 11000 end as minority,
+               (c_acctbal + 1500) / (c_acctbal + 9000) as lowincome
         from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
     """,
     # discharge per outfall, assigned to an area; some areas are unknown

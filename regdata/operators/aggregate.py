@@ -127,8 +127,12 @@ def _two_sided_p(r: Column, n: Column) -> Column:
 
 
 def row_max(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Largest of the values that share a key (columns collapsed to one year, say)."""
-    return df.groupBy(*by).agg(F.max(value).alias(value))
+    """Largest of the values that share a key (columns collapsed to one year, say).
+
+    Text compares as a number where it is one.
+    """
+    order = F.struct(F.col(value).try_cast("double"), F.col(value))
+    return df.groupBy(*by).agg(F.max_by(value, order).alias(value))
 
 
 def derive_budget_rows(df: DataFrame) -> DataFrame:
