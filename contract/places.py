@@ -121,3 +121,109 @@ def projected_points(spark, d):
     p = e.withColumn("m", geo.project_albers("lon", "lat"))
     back = geo.unproject_albers(F.col("m.x"), F.col("m.y"))
     return p.select("vec_id", F.round("m.x", 3).alias("x"), F.round("m.y", 3).alias("y"), F.round(back["lon"], 6).alias("lon"), F.round(back["lat"], 6).alias("lat"))
+
+
+# --- the assignment reports, in degrees -> metres ------------------------------------------
+
+def sql_metres(lon: str, lat: str) -> tuple[str, str]:
+    """x and y of the projection with its constants worked out."""
+    import math
+
+    a, f = 6378137.0, 1 / 298.257222101
+    e = math.sqrt(2 * f - f * f)
+    q = lambda s: (1 - e * e) * (s / (1 - (e * s) ** 2) - math.log((1 - e * s) / (1 + e * s)) / (2 * e))
+    s1, s2 = math.sin(math.radians(34.0)), math.sin(math.radians(40.5))
+    m1 = math.cos(math.radians(34.0)) ** 2 / (1 - (e * s1) ** 2)
+    m2 = math.cos(math.radians(40.5)) ** 2 / (1 - (e * s2) ** 2)
+    n = (m1 - m2) / (q(s2) - q(s1))
+    c = m1 + n * q(s1)
+    s = f"sin(radians({lat}))"
+    qs = f"({1 - e * e!r}::double * ({s} / (1 - pow({e!r}::double * {s}, 2)) - ln((1 - {e!r}::double * {s}) / (1 + {e!r}::double * {s})) / {2 * e!r}::double))"
+    rho = f"({a / n!r}::double * sqrt({c!r}::double - {n!r}::double * {qs}))"
+    theta = f"({n!r}::double * radians({lon} + 120))"
+    return f"{rho} * sin({theta})", f"{a * math.sqrt(c) / n - 4000000!r}::double - {rho} * cos({theta})"
+
+
+_X, _Y = sql_metres("lon", "lat")
+_METRES = f"""
+    with nn as (select n_nationkey as k, n_name, n_regionkey as r, -71 + ((n_nationkey % 5) * 0.1::double - 0.25) as lon0, 42 + ((n_nationkey // 5) * 0.1::double - 0.25) as lat0 from nation),
+    c(i, dx, dy) as (values (1, 0, 0), (2, 1, 0), (3, 1, 1), (4, 0, 1)),
+    ll as (select k, n_name, r, i, lon0 + dx * 0.1::double as lon, lat0 + dy * 0.1::double as lat from nn, c),
+    v as (select k, n_name, r, i, {_X} as x, {_Y} as y from ll),
+    e as (select a.k, a.n_name, a.r, a.x as x1, a.y as y1, b.x as x2, b.y as y2 from v a join v b on a.k = b.k and b.i = a.i % 4 + 1),
+    pl as (select vec_id, -71 + embedding[1]::double as lon, 42 + embedding[2]::double as lat, label * 1.5::double as volume from embeddings),
+    p as (select vec_id, volume, {_X} as x, {_Y} as y from pl),
+    pe as (select vec_id, volume, x, y, k, n_name, r, (y1 > y) <> (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / nullif(y2 - y1, 0) as hit, x1, y1, x2, y2,
+        greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) as t from p, e),
+    pp as (select vec_id, volume, k, n_name, r, sum(case when hit then 1 else 0 end) % 2 = 1 as inside,
+        min(sqrt(pow(x - x1 - t * (x2 - x1), 2) + pow(y - y1 - t * (y2 - y1), 2))) as edge from pe group by all),
+    dd as (select vec_id, volume, k, n_name, r, case when inside then 0 else edge end as distance from pp)
+"""
+
+
+def census_polygons(spark, d):
+    """Cells of 0.1 degrees, one per nation, as metric polygons."""
+    from regdata.plans import discharge
+
+    n = load(spark, d, "nation")
+    lon0 = F.lit(-71.0) + ((F.col("n_nationkey") % 5) * F.lit(0.1) - 0.25)
+    lat0 = F.lit(42.0) + (F.floor(F.col("n_nationkey") / 5) * F.lit(0.1) - 0.25)
+    ring = F.array(*[F.struct((lon0 + dx * 0.1).alias("x"), (lat0 + dy * 0.1).alias("y")) for dx, dy in [(0, 0), (1, 0), (1, 1), (0, 1)]])
+    return discharge.projected_polygons(n.select(F.col("n_name").alias("area"), "n_regionkey", F.array(F.array(ring)).alias("rings")))
+
+
+def metric_sources(spark, d):
+    from regdata.plans import discharge
+
+    e = load(spark, d, "embeddings").select(
+        F.col("vec_id").alias("outfall"), (F.col("embedding")[0].cast("double") - 71).alias("lon"), (F.col("embedding")[1].cast("double") + 42).alias("lat"),
+        (F.col("label") * 1.5).alias("volume"), F.lit(1.0).alias("n"),
+    )
+    return discharge.projected(e)
+
+
+@case("report_assign_sources", _METRES + """
+    select vec_id as outfall, arg_min(n_name, (round(distance, 6), n_name)) as area, round(min(distance), 3) as distance from dd where r <> 3 group by 1
+""")
+def report_assign_sources(spark, d):
+    from regdata.plans import discharge
+
+    polys = census_polygons(spark, d)
+    areas = polys.where("n_regionkey <> 3").select("area")  # areas without demographic rows take no source
+    out = discharge.assign_sources(metric_sources(spark, d), polys, areas)
+    return out.select("outfall", "area", F.round("distance", 3).alias("distance"))
+
+
+@case("report_smoothed_areas", _METRES + """
+    , w as (select vec_id, n_name, volume, count(*) over (partition by vec_id) as dup from dd where distance <= 1.5 * 1609.34::double)
+    select n.n_name as area, round(sum(volume * dup) / sum(dup), 8) as volume, count(vec_id) as n_sources from nation n left join w on w.n_name = n.n_name group by 1
+""")
+def report_smoothed_areas(spark, d):
+    from regdata.plans import discharge
+
+    polys = census_polygons(spark, d)
+    out = discharge.sources_near_areas(metric_sources(spark, d), polys, polys.select("area"), 1.5)
+    return out.select("area", F.round("volume", 8).alias("volume"), "n_sources")
+
+
+@case("report_assign_areas", f"""
+    with nn as (select n_name, n_nationkey as k from nation)
+    select n_name as area, case when k // 5 = 4 then '[UNKNOWN]' else 'Town ' || (k % 5) end as town, 'Basin ' || (k // 5) as watershed from nn
+""")
+def report_assign_areas(spark, d):
+    """Towns are the columns of the board without its top row, watersheds its rows."""
+    from regdata.plans import discharge
+
+    n = load(spark, d, "nation")
+
+    def box(lon0, lon1, lat0, lat1):
+        at = lambda v: v if not isinstance(v, float) else F.lit(v)
+        corners = [(lon0, lat0), (lon1, lat0), (lon1, lat1), (lon0, lat1)]
+        return F.array(F.array(F.array(*[F.struct(at(x).alias("x"), at(y).alias("y")) for x, y in corners])))
+
+    column, row = F.col("n_nationkey") % 5, F.floor(F.col("n_nationkey") / 5)
+    west, south = column * 0.1 - 71.25, row * 0.1 + 41.75
+    towns = n.where("n_nationkey < 5").select(F.concat(F.lit("Town "), column).alias("town"), box(west, west + 0.1, 41.75, 42.15).alias("rings"))
+    basins = n.where("n_nationkey % 5 = 0").select(F.concat(F.lit("Basin "), row).alias("watershed"), box(-71.25, -70.75, south, south + 0.1).alias("rings"))
+    polys = census_polygons(spark, d)
+    return discharge.assign_areas(polys.select("area"), polys, discharge.projected_polygons(towns), discharge.projected_polygons(basins))

@@ -58,17 +58,41 @@ def fill_forward(df: DataFrame, by: list[str], pieces: list[str], order: list, c
     return out.withColumns({c: F.coalesce(F.col(c), F.col(f"_b_{c}")) for c in cols}).drop(*[f"_b_{c}" for c in cols])
 
 
-def value_pieces(df: DataFrame, col: str, n: int = 128) -> tuple[Column, str]:
-    """Edges that cut ``col`` into about equal pieces, as a scalar subquery of ``n`` numbers."""
+def piece_count(df: DataFrame) -> int:
+    """Pieces to cut a column into: twice the shuffle partitions, within 64 and 4096."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(4096, max(64, 2 * partitions))
+
+
+def value_pieces(df: DataFrame, col: str, n: int | None = None) -> list[float]:
+    """Edges that cut a numeric column into about ``n`` equal pieces.
+
+    They are read from an approximate quantile summary, so at most ``n`` numbers reach the
+    driver. Results do not depend on where the edges fall, only the balance does; but
+    every use within a query must see the same ones, hence plain numbers.
+    """
+    n = n or piece_count(df)
     probs = [i / n for i in range(1, n)]
-    return df.agg(F.percentile_approx(col, probs, 10000).alias("edges")).scalar()
+    row = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, max(10_000, 4 * n)).alias("edges")).first()
+    return sorted(set(row.edges or []))
+
+
+def count_below(x: Column, edges: list[float]) -> Column:
+    """How many of the sorted edges are smaller than ``x``, by binary search."""
+    bits = len(edges).bit_length()
+    padded = F.array(*[F.lit(float(e)) for e in edges], *[F.lit(float("inf"))] * (2**bits - 1 - len(edges)))
+    steps = F.array(*[F.lit(2**b) for b in reversed(range(bits))])
+    return F.aggregate(
+        steps, F.lit(0), lambda at, step: at + F.when(padded[at + step - 1] < x, step).otherwise(0)
+    )
 
 
-def with_value_piece(df: DataFrame, col: str, edges: Column, name: str = "_piece") -> DataFrame:
+def with_value_piece(df: DataFrame, col: str, edges: list[float], name: str = "_piece") -> DataFrame:
     """Piece number of each value. A value that is an edge gets a piece of its own, so a
     value shared by many rows never drags its neighbours along."""
-    out = df.withColumn("_edges", edges)
-    below = F.size(F.filter("_edges", lambda e: e < F.col(col)))
-    return out.withColumn(
-        name, below * 2 + F.coalesce(F.array_contains("_edges", F.col(col)), F.lit(False)).cast("int")
-    ).drop("_edges")
+    if not edges:
+        return df.withColumn(name, F.lit(0))
+    x = F.col(col).cast("double")
+    out = df.withColumn("_below", count_below(x, edges))
+    exact = F.coalesce(F.try_element_at(F.array(*[F.lit(float(e)) for e in edges]), F.col("_below") + 1) == x, F.lit(False))
+    return out.withColumn(name, F.col("_below") * 2 + exact.cast("int")).drop("_below")

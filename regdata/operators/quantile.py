@@ -11,7 +11,7 @@ from regdata.functions.nulls import known_keys
 from regdata.operators.ordered import value_pieces, with_value_piece
 
 
-def value_ranks(df: DataFrame, by: list[str], col: str, pieces: int = 128) -> DataFrame:
+def value_ranks(df: DataFrame, by: list[str], col: str, pieces: int | None = None) -> DataFrame:
     """Distinct values of each group with the half-open range of ranks they take.
 
     Columns: ``by``, ``value``, ``start``, ``end`` (0-based, ``end`` excluded), ``n``. Rows

@@ -24,6 +24,7 @@ from regdata.functions.nulls import known_keys
 from regdata.operators.ordered import SALTS, row_numbers
 from regdata.operators.quantile import value_ranks
 from regdata.operators.skew import spread_out
+from regdata.session import materialise
 
 MASK = 2147483647  # 31 bits keep every product inside a long
 MIX = (73244475, 739982445)
@@ -223,7 +224,8 @@ def wmean_replicates(
     else:
         salted = rows.withColumn("_salt", mix31(small) % SALTS)
         numbered = row_numbers(salted, by, ["_salt"], [key], "_i").withColumn("_i", F.col("_i") - 1).drop("_salt")
-        sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+        numbered = materialise(numbered)
+        sizes = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
         drawn = numbered.join(sizes, by).select(*by, "_i", "_n").withColumn("rep", rep)
         drawn = _once(drawn, "_h", combine31(F.lit(seed).cast("long"), F.col("rep").cast("long")))
         pick = combine31("_h", F.pmod(F.col("_i"), F.lit(MASK)).cast("long")) % F.col("_n")

@@ -9,57 +9,68 @@ split by :func:`skew_join`. Nothing is broadcast.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regdata.functions import geo
 from regdata.operators.skew import skew_join
+from regdata.session import materialise
 from regdata.vocab import METERS_PER_MILE, UNKNOWN_PLACE
 
 CELL = ["_lv", "_cx", "_cy"]
 
 
 def prepare_polygons(polys: DataFrame, rings: str = "rings") -> DataFrame:
-    """Replace ``rings`` by ``segs`` and the bounding box ``box``."""
-    out = polys.withColumn("segs", geo.flat_segments(rings)).drop(rings)
+    """Replace ``rings`` by ``segs`` and the bounding box ``box``.
+
+    The result is written once: every join below reads it several times, and an outline
+    that is computed (projected, say) must not be computed again for each use.
+    """
+    out = materialise(polys.withColumn("segs", geo.flat_segments(rings)).drop(rings))
     return out.withColumn("box", geo.bounds("segs"))
 
 
-def median_side(polys: DataFrame) -> Column:
-    """Typical bounding-box side, the base cell size, as a scalar subquery."""
+def median_side(polys: DataFrame) -> float:
+    """Typical bounding-box side, the base cell size (one number, read on the driver)."""
     side = F.greatest(F.col("box.xmax") - F.col("box.xmin"), F.col("box.ymax") - F.col("box.ymin"))
-    return polys.agg(F.greatest(F.percentile_approx(side, 0.5), F.lit(1e-9))).scalar()
+    typical = polys.agg(F.percentile_approx(side, 0.5).alias("side")).first().side
+    return max(float(typical or 0.0), 1e-9)
+
+
+def _cell_level(base: float, reach: float = 0.0) -> Column:
+    """Level at which a polygon's widened box covers only a few cells."""
+    side = F.greatest(F.col("box.xmax") - F.col("box.xmin"), F.col("box.ymax") - F.col("box.ymin")) + 2 * reach
+    return F.greatest(F.ceil(F.log2(F.greatest(side / F.lit(base), F.lit(1.0)))) - 1, F.lit(0)).cast("int")
 
 
 def _level_cells(x: str | Column, y: str | Column, side: Column) -> list[Column]:
     return [F.floor(x / side).alias("_cx"), F.floor(y / side).alias("_cy")]
 
 
-def _polygon_cells(polys: DataFrame, base: Column, reach: Column) -> DataFrame:
+def _polygon_cells(polys: DataFrame, base: float, reach: float) -> DataFrame:
     """Polygons repeated once per cell of their level that the widened box touches."""
-    out = polys.withColumn("_base", base)
-    side = F.greatest(F.col("box.xmax") - F.col("box.xmin"), F.col("box.ymax") - F.col("box.ymin")) + reach * 2
-    level = F.greatest(F.ceil(F.log2(F.greatest(side / F.col("_base"), F.lit(1.0)))) - 1, F.lit(0)).cast("int")
-    out = out.withColumn("_lv", level)
-    cell = F.col("_base") * F.pow(F.lit(2.0), F.col("_lv"))
+    cell = F.lit(base) * F.pow(F.lit(2.0), F.col("_lv"))
     span = lambda lo, hi: F.sequence(F.floor((lo - reach) / cell), F.floor((hi + reach) / cell))
+    out = polys.withColumn("_lv", _cell_level(base, reach))
     out = out.withColumn("_cx", F.explode(span(F.col("box.xmin"), F.col("box.xmax"))))
-    out = out.withColumn("_cy", F.explode(span(F.col("box.ymin"), F.col("box.ymax"))))
-    return out.drop("_base")
+    return out.withColumn("_cy", F.explode(span(F.col("box.ymin"), F.col("box.ymax"))))
 
 
-def _point_cells(points: DataFrame, x: str, y: str, base: Column, levels: Column) -> DataFrame:
+def _point_cells(points: DataFrame, x: str, y: str, base: float, levels: list[int]) -> DataFrame:
     """Points once per level in use (a few)."""
-    out = points.withColumn("_base", base).withColumn("_lv", F.explode(levels))
-    cell = F.col("_base") * F.pow(F.lit(2.0), F.col("_lv"))
+    out = points.withColumn("_lv", F.explode(F.array(*[F.lit(v) for v in levels])))
+    cell = F.lit(base) * F.pow(F.lit(2.0), F.col("_lv"))
     return out.select(*points.columns, "_lv", *_level_cells(F.col(x), F.col(y), cell))
 
 
-def _candidates(points, polys, x, y, reach: Column) -> DataFrame:
+def _candidates(points, polys, x, y, reach: float) -> DataFrame:
     base = median_side(polys)
+    # levels are logarithms of sizes: a handful of small numbers
+    levels = sorted(r[0] for r in polys.select(_cell_level(base, reach).alias("v")).where("v is not null").distinct().collect())
     cells = _polygon_cells(polys, base, reach)
-    levels = cells.agg(F.collect_set("_lv")).scalar()
-    return skew_join(_point_cells(points, x, y, base, levels), cells, CELL).drop(*CELL)
+    return skew_join(_point_cells(points, x, y, base, levels or [0]), cells, CELL).drop(*CELL)
 
 
 def _pick(df: DataFrame, points: DataFrame, key: str, picked: list[Column]) -> DataFrame:
@@ -79,7 +90,7 @@ def contains_join(
     out = out or name
     polys = polys.select(F.col(name).alias("_name"), "segs", "box")
     coords = points.select(key, F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x is not null and _y is not null")
-    pairs = _candidates(coords, polys, "_x", "_y", F.lit(0.0))
+    pairs = _candidates(coords, polys, "_x", "_y", 0.0)
     in_box = F.col("_x").between(F.col("box.xmin"), F.col("box.xmax")) & F.col("_y").between(F.col("box.ymin"), F.col("box.ymax"))
     inside = pairs.where(in_box & geo.contains_point("segs", "_x", "_y"))
     joined = _pick(inside, points, key, [F.min("_name").alias(out)])
@@ -97,7 +108,7 @@ def within_distance_join(
     radius = float(miles) * meters_per_mile
     polys = polys.select(F.col(name).alias("_name"), "segs", "box")
     coords = points.select(key, F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x is not null and _y is not null")
-    pairs = _candidates(coords, polys, "_x", "_y", F.lit(radius))
+    pairs = _candidates(coords, polys, "_x", "_y", radius)
     near_box = F.col("_x").between(F.col("box.xmin") - radius, F.col("box.xmax") + radius) & F.col("_y").between(
         F.col("box.ymin") - radius, F.col("box.ymax") + radius
     )
@@ -126,40 +137,38 @@ def nearest_join(points: DataFrame, polys: DataFrame, key: str, x: str, y: str,
     )
     extent = reach_of_points.unionByName(reach_of_polys).agg(F.max("m").alias("m"))
     # a cell as large as the largest coordinate puts everything within one cell of the origin
-    top = extent.select(F.greatest(F.ceil(F.log2(F.greatest(F.col("m") / base, F.lit(1.0)))), F.lit(0)).cast("int") + 1).scalar()
+    largest = extent.first().m or 1.0
+    top = max(0, math.ceil(math.log2(max(largest / base, 1.0)))) + 1
+    all_levels = F.array(*[F.lit(v) for v in range(top + 1)])
 
     def at_level(cx: Column, cy: Column) -> list[Column]:
         shrink = F.pow(F.lit(2.0), F.col("_lv"))
         return [F.floor(cx / shrink).alias("_cx"), F.floor(cy / shrink).alias("_cy")]
 
     # marked cells per level
-    vertices = polys.select(F.explode("segs").alias("s")).withColumn("_base", base).select(
-        F.floor(F.col("s.x1") / F.col("_base")).alias("vx"), F.floor(F.col("s.y1") / F.col("_base")).alias("vy")
+    vertices = polys.select(F.explode("segs").alias("s")).select(
+        F.floor(F.col("s.x1") / base).alias("vx"), F.floor(F.col("s.y1") / base).alias("vy")
     ).distinct()
-    leveled = vertices.withColumn("_top", top).withColumn("_lv", F.explode(F.sequence(F.lit(0), F.col("_top"))))
+    leveled = vertices.withColumn("_lv", F.explode(all_levels))
     marked = leveled.select("_lv", *at_level(F.col("vx"), F.col("vy"))).distinct()
     around = F.sequence(F.lit(-1), F.lit(1))
     marked = marked.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
     marked = marked.select("_lv", (F.col("_cx") + F.col("_dx")).alias("_cx"), (F.col("_cy") + F.col("_dy")).alias("_cy")).distinct()
 
     # smallest marked cell above each base cell that holds points
-    placed = coords.withColumn("_base", base)
-    placed = placed.select(
-        key, "_x", "_y", F.floor(F.col("_x") / F.col("_base")).alias("_bx"), F.floor(F.col("_y") / F.col("_base")).alias("_by")
-    )
+    placed = coords.select(key, "_x", "_y", F.floor(F.col("_x") / base).alias("_bx"), F.floor(F.col("_y") / base).alias("_by"))
     cells = placed.select("_bx", "_by").distinct()
-    up = cells.withColumn("_top", top).withColumn("_lv", F.explode(F.sequence(F.lit(0), F.col("_top"))))
+    up = cells.withColumn("_lv", F.explode(all_levels))
     up = up.select("_bx", "_by", "_lv", *at_level(F.col("_bx"), F.col("_by")))
     found = up.join(marked, CELL, "left_semi").groupBy("_bx", "_by").agg(F.min("_lv").alias("_lv"))
-    found = found.select("_bx", "_by", "_lv", *at_level(F.col("_bx"), F.col("_by")))
+    found = materialise(found.select("_bx", "_by", "_lv", *at_level(F.col("_bx"), F.col("_by"))))
 
     # polygons whose box, widened by three cells, touches a cell in use
     used = found.select(*CELL).distinct()
-    side = F.col("_base") * F.pow(F.lit(2.0), F.col("_lv"))
+    side = F.lit(base) * F.pow(F.lit(2.0), F.col("_lv"))
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / side) - 3, F.floor(F.col(hi) / side) + 3)
-    listed = polys.select("_name", "box").withColumn("_base", base).withColumn(
-        "_lv", F.explode(found.agg(F.collect_set("_lv")).scalar())
-    )
+    in_use = sorted(r[0] for r in used.select("_lv").distinct().collect())  # at most top + 1
+    listed = polys.select("_name", "box").withColumn("_lv", F.explode(F.array(*[F.lit(v) for v in in_use or [0]])))
     listed = listed.withColumn("_cx", F.explode(span("box.xmin", "box.xmax")))
     listed = listed.withColumn("_cy", F.explode(span("box.ymin", "box.ymax")))
     listed = listed.select("_name", *CELL).join(used, CELL, "left_semi")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from regdata.functions import geo
 from regdata.functions.nulls import known_keys, sum0
 from regdata.operators import aggregate, doseresponse, quantile, relate, resample, spatial
+from regdata.session import materialise
 from regdata.vocab import BAND_SD, MIN_POPULATION
 
 
@@ -38,7 +39,7 @@ def sources_near_areas(sources: DataFrame, area_polys: DataFrame, areas: DataFra
     """Smoothed discharge per area from all sources within ``miles``; areas without any get 0 sources."""
     polys = relate.known_members(area_polys, areas.select("area").distinct(), ["area"])
     pairs = spatial.within_distance_join(sources, polys, "outfall", "x", "y", "area", miles)
-    pairs = pairs.join(sources.select("outfall", "volume", "n"), "outfall")
+    pairs = materialise(pairs.join(sources.select("outfall", "volume", "n"), "outfall"))
     smoothed = aggregate.smooth(pairs, "area", "outfall", ["volume", "n"])
     return relate.align_to_spine(smoothed, areas.select("area").distinct(), ["area"], {"n_sources": 0})
 
@@ -90,6 +91,7 @@ def discharge_by_indicator_bin(
     table: DataFrame, indicator: str, key: str, bins: int = 4, reps: int = 1000, seed: int = 0, method: str = "draws",
 ) -> DataFrame:
     """Population-weighted mean discharge per indicator bin with a resampled band."""
+    table = materialise(table)  # one row per unit, read by every step below
     binned = quantile.quantile_bin(table, indicator, bins, distinct=True, centre="centre")
     return resample.wmean_bootstrap(binned, ["bin", "centre"], "volume", "pop", key, reps, seed, method, BAND_SD)
 
@@ -104,5 +106,5 @@ def dependence_facts(tables: dict[str, DataFrame], indicators: list[str], min_po
         pairs = F.array(*[F.struct(F.lit(i).alias("indicator"), F.col(i).cast("double").alias("x")) for i in indicators])
         rows.append(table.select(F.lit(level).alias("level"), "volume", "pop", F.inline(pairs)))
     data = doseresponse.populated(relate.union_all(rows), "pop", min_population)
-    data = doseresponse.require_known(data, ["x"])
+    data = materialise(doseresponse.require_known(data, ["x"]))  # one row per unit and indicator
     return doseresponse.powerlaw_posterior(data, ["level", "indicator"], "x", "volume", "pop", [0.5, 0.05, 0.95], ["median", "low", "high"])

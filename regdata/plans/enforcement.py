@@ -13,6 +13,7 @@ from regdata.functions.clean import rate
 from regdata.functions.nulls import sum0
 from regdata.functions.text import dollar_range, title_of_flag
 from regdata.operators import aggregate, quantile, relate, resample, series
+from regdata.session import materialise
 from regdata.vocab import BAND_SD
 
 
@@ -118,6 +119,7 @@ def rate_by_income(summary: DataFrame, bins: int = 8, reps: int = 1000, seed: in
 
     ``summary`` is :func:`town_summary` with a whole-number ``key`` per town.
     """
+    summary = materialise(summary)  # one row per town, read by every step below
     binned = quantile.quantile_bin(summary, "income_k", bins, centre="income_centre")
     means = resample.wmean_bootstrap(binned, ["bin", "income_centre"], "actions_per_100k", "population", "key", reps, seed, band=BAND_SD)
     return means.orderBy("bin")
