@@ -30,9 +30,9 @@ def report_actions_per_year(spark, d):
     return enforcement.actions_per_year(actions(spark, d))
 
 
-@case("report_penalties_per_year", with_derived("enforcement", body="select year, round(coalesce(sum(fine), 0) / 1e6, 6) as penalties_m from enforcement group by 1"))
+@case("report_penalties_per_year", with_derived("enforcement", body="select year, round(coalesce(sum(fine), 0) / 1e6, 8) as penalties_m from enforcement group by 1"))
 def report_penalties_per_year(spark, d):
-    return rounded(enforcement.penalties_per_year(actions(spark, d)), 6, "penalties_m")
+    return rounded(enforcement.penalties_per_year(actions(spark, d)), 8, "penalties_m")
 
 
 @case("report_ranked_penalties", with_derived("enforcement", body="""
@@ -45,10 +45,10 @@ def report_ranked_penalties(spark, d):
 
 
 @case("report_actions_and_funding", with_derived("enforcement", "funding", body="""
-    select e.year, n, round(admin_budget / 1e6, 6) as budget_m from (select year, count(*) as n from enforcement group by 1) e left join funding f on f.year = e.year
+    select e.year, n, round(admin_budget / 1e6, 8) as budget_m from (select year, count(*) as n from enforcement group by 1) e left join funding f on f.year = e.year
 """))
 def report_actions_and_funding(spark, d):
-    return rounded(enforcement.actions_and_funding(actions(spark, d), derived(spark, d, "funding")), 6, "budget_m")
+    return rounded(enforcement.actions_and_funding(actions(spark, d), derived(spark, d, "funding")), 8, "budget_m")
 
 
 @case("report_funding_correlation", with_derived("enforcement", "funding", body="""
@@ -133,11 +133,11 @@ def _summary(spark, d):
 
 
 @case("report_town_summary", with_derived("enforcement", "census", body=_TOWNS + """
-    select town, population, round(income_k, 6) as income_k, n, round(penalties_k, 4) as penalties_k, round(actions_per_100k, 6) as actions_per_100k, round(penalties_m_per_100k, 6) as penalties_m_per_100k from t
+    select town, population, round(income_k, 6) as income_k, n, round(penalties_k, 5) as penalties_k, round(actions_per_100k, 6) as actions_per_100k, round(penalties_m_per_100k, 6) as penalties_m_per_100k from t
 """))
 def report_town_summary(spark, d):
     s = rounded(_summary(spark, d), 6, "income_k", "actions_per_100k", "penalties_m_per_100k")
-    return rounded(s, 4, "penalties_k")
+    return rounded(s, 5, "penalties_k")
 
 
 @case("report_top_actions_per_town", with_derived("enforcement", body="""
@@ -200,18 +200,18 @@ def report_staff_correlation(spark, d):
 
 
 @case("report_staff_and_funding", with_derived("staff", "payroll", "funding", body=_STAFF + """
-    select k.year, s as staff, round(admin_budget / 1e6, 6) as budget_m from (select year, count(earnings) as s from j group by 1) k left join funding f on f.year = k.year
+    select k.year, s as staff, round(admin_budget / 1e6, 8) as budget_m from (select year, count(earnings) as s from j group by 1) k left join funding f on f.year = k.year
 """))
 def report_staff_and_funding(spark, d):
-    return rounded(staffing.staff_and_funding(_both(spark, d), derived(spark, d, "funding")), 6, "budget_m")
+    return rounded(staffing.staff_and_funding(_both(spark, d), derived(spark, d, "funding")), 8, "budget_m")
 
 
 @case("report_buyouts", with_derived("staff", "payroll", "wages", body=_STAFF + """
     , g as (select year, coalesce(sum(pay_buyout), 0) / 1e6 as cost, count(case when pay_buyout > 0 then 1 end) as people from j group by 1)
-    select g.year, round(cost * (select awi from wages where year = 1998) / awi, 6) as cost_m, people from g left join wages w on w.year = g.year
+    select g.year, round(cost * (select awi from wages where year = 1998) / awi, 8) as cost_m, people from g left join wages w on w.year = g.year
 """))
 def report_buyouts(spark, d):
-    return rounded(staffing.buyouts(_both(spark, d), derived(spark, d, "wages"), 1998), 6, "cost_m")
+    return rounded(staffing.buyouts(_both(spark, d), derived(spark, d, "wages"), 1998), 8, "cost_m")
 
 
 def _classes(names) -> str:
@@ -276,14 +276,14 @@ def report_state_budgets(spark, d):
 
 
 @case("report_state_budgets_per_capita", with_derived("state_budget", "wages", "census", body=_STATE_YEARS.format(detail="Environmental Agency Budget") + """
-    select k.state, k.year, round(v * (select awi from wages where year = 1998) / awi / 1e3 / population, 6) as budget_k_per_head from k left join h on h.state = k.state and h.year = k.year
+    select k.state, k.year, round(v * (select awi from wages where year = 1998) / awi / 1e3 / population, 9) as budget_k_per_head from k left join h on h.state = k.state and h.year = k.year
     left join wages w on w.year = k.year left join census c on c.town = k.state
 """))
 def report_state_budgets_per_capita(spark, d):
     history = derived(spark, d, "state_budget")
     census = derived(spark, d, "census").select(F.col("town").alias("state"), F.col("population").alias("people"))
     pop = relate.spine_of(census, {"year": relate.distinct_values(history, "year")})
-    return rounded(budget.state_budgets_per_capita(history, derived(spark, d, "wages"), pop, 1998), 6, "budget_k_per_head")
+    return rounded(budget.state_budgets_per_capita(history, derived(spark, d, "wages"), pop, 1998), 9, "budget_k_per_head")
 
 
 @case("report_federal_share", with_derived("state_budget", body=_STATE_YEARS.format(detail="Percent from Federal Government") + """
@@ -429,11 +429,11 @@ def report_inspections_per_town(spark, d):
 
 
 @case("report_class_breaks", with_derived("areas", "discharge", body="""
-    select round(quantile_cont(v, 0.2), 6) as q20, round(quantile_cont(v, 0.4), 6) as q40, round(quantile_cont(v, 0.99), 6) as q99 from (select area, sum(volume) as v from discharge group by 1) where v > 0
+    select round(quantile_cont(v, 0.2), 8) as q20, round(quantile_cont(v, 0.4), 8) as q40, round(quantile_cont(v, 0.99), 8) as q99 from (select area, sum(volume) as v from discharge group by 1) where v > 0
 """))
 def report_class_breaks(spark, d):
     per_area = discharge.discharge_by_area(derived(spark, d, "discharge"))
-    return rounded(events.class_breaks(per_area, "volume", [0.2, 0.4, 0.99], positive=True), 6, "q20", "q40", "q99")
+    return rounded(events.class_breaks(per_area, "volume", [0.2, 0.4, 0.99], positive=True), 8, "q20", "q40", "q99")
 
 
 @case("report_tests_per_year", """
@@ -453,10 +453,10 @@ INDICATORS = ["minority", "lowincome"]
 
 
 @case("report_discharge_by_town", with_derived("areas", "discharge", body="""
-    select town, round(coalesce(sum(volume), 0), 4) as volume, coalesce(sum(n), 0)::double as n from areas a full outer join discharge s on s.area = a.area where town is not null group by 1
+    select town, round(coalesce(sum(volume), 0), 5) as volume, coalesce(sum(n), 0)::double as n from areas a full outer join discharge s on s.area = a.area where town is not null group by 1
 """))
 def report_discharge_by_town(spark, d):
-    return rounded(discharge.discharge_by(derived(spark, d, "discharge"), derived(spark, d, "areas"), "town").withColumn("n", F.col("n").cast("double")), 4, "volume")
+    return rounded(discharge.discharge_by(derived(spark, d, "discharge"), derived(spark, d, "areas"), "town").withColumn("n", F.col("n").cast("double")), 5, "volume")
 
 
 @case("report_discharge_by_area", with_derived("discharge", body="select area, round(sum(volume), 5) as volume, sum(n)::double as n from discharge group by 1"))

@@ -81,7 +81,8 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     Spark computes r; p comes from that one row by the incomplete beta function.
     """
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    stats = both.agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("r"))
+    spread = F.stddev_pop(x) * F.stddev_pop(y)  # 0 for a constant column, where there is no r
+    stats = both.agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop(x, y), spread).alias("r"))
     return stats.withColumn("p", _two_sided_p(F.col("r"), F.col("n")))
 
 

@@ -105,7 +105,8 @@ def median_replicates(df: DataFrame, by: list[str], col: str, reps: int, seed: i
         draws = _replicates(sizes, by, reps, seed).withColumn("m", F.col("n"))
     else:
         rows = known_keys(df, *by).groupBy(*by).agg(
-            F.count(F.lit(1)).alias("_all"), F.count(F.when(~F.isnan(F.col(col).cast("double")), 1)).alias("n")
+            F.count(F.lit(1)).alias("_all"),
+            F.count_if(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).alias("n"),
         )
         draws = _replicates(rows.where("n > 0"), by, reps, seed)
         share = F.col("n") / F.col("_all")
