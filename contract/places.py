@@ -61,7 +61,7 @@ _EDGES = """
 """)
 def contains_join(spark, d):
     polys = spatial.prepare_polygons(polygons(spark, d))
-    return spatial.contains_join(points(spark, d), polys, "vec_id", "x", "y", "n_name").select("vec_id", "n_name")
+    return spatial.contains_join(points(spark, d), polys, "x", "y", "n_name").select("vec_id", "n_name")
 
 
 @case("nearest_join", _EDGES + """
@@ -69,7 +69,7 @@ def contains_join(spark, d):
 """)
 def nearest_join(spark, d):
     polys = spatial.prepare_polygons(polygons(spark, d))
-    out = spatial.nearest_join(points(spark, d), polys, "vec_id", "x", "y", "n_name")
+    out = spatial.nearest_join(points(spark, d), polys, "x", "y", "n_name")
     return out.select("vec_id", "n_name", F.round("distance", 6).alias("distance"))
 
 

@@ -25,7 +25,8 @@ def value_ranks(df: DataFrame, by: list[str], col: str, pieces: int | None = Non
     counted = with_value_piece(counted, "value", edges)
     inside = Window.partitionBy(*by, "_piece").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    totals = counted.groupBy(*by, "_piece").agg(F.sum("_c").alias("_t"))
+    # straight from the rows: what crosses the network is one number per task, group and piece
+    totals = with_value_piece(present, "value", edges).groupBy(*by, "_piece").agg(F.count(F.lit(1)).alias("_t"))
     totals = totals.select(
         *by, "_piece",
         F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"),

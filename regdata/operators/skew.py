@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +39,9 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
         return left.join(right, on, how)
     hot = F.broadcast(hot_keys(left, on).withColumn("_hot", F.lit(True)))
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int")
-    left_s = left.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")
+    unmatched = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])  # rows without a key go anywhere
+    split = F.coalesce(F.col("_hot"), F.lit(False)) | unmatched
+    left_s = left.join(hot, on, "left").withColumn("_salt", F.when(split, spread).otherwise(0)).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right_s = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return left_s.join(right_s, [*on, "_salt"], how).drop("_salt")

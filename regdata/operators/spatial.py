@@ -3,8 +3,11 @@
 Polygons are listed under every cell their (widened) bounding box touches, points under
 one cell, and the exact predicate runs on the pairs that share a cell. Cells come in
 levels that double in size: a polygon is listed at the level where it covers a handful
-of cells, so one huge polygon does not flood the join. Cells crowded with points are
-split by :func:`skew_join`. Nothing is broadcast.
+of cells, so one huge polygon does not flood the join.
+
+All of this is done once per distinct place and the answer is joined back to the points:
+a default coordinate on a third of the rows is a single place. Cells crowded with places,
+and places crowded with points, are split by :func:`skew_join`.
 """
 
 from __future__ import annotations
@@ -73,13 +76,20 @@ def _candidates(points, polys, x, y, reach: float) -> DataFrame:
     return skew_join(_point_cells(points, x, y, base, levels or [0]), cells, CELL).drop(*CELL)
 
 
-def _pick(df: DataFrame, points: DataFrame, key: str, picked: list[Column]) -> DataFrame:
-    """Every point with what its pairs agreed on; points without pairs get nulls."""
-    return points.join(df.groupBy(key).agg(*picked), key, "left")
+def _places(points: DataFrame, x: str, y: str) -> DataFrame:
+    """Distinct known places as ``_x``, ``_y``."""
+    known = points.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    return known.where(F.col("_x").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_x") & ~F.isnan("_y")).distinct()
+
+
+def _back_to_points(points: DataFrame, x: str, y: str, found: DataFrame, how: str) -> DataFrame:
+    """Join answers per place to the points there."""
+    placed = points.withColumn("_x", F.col(x).cast("double")).withColumn("_y", F.col(y).cast("double"))
+    return skew_join(placed, found, ["_x", "_y"], how).drop("_x", "_y")
 
 
 def contains_join(
-    points: DataFrame, polys: DataFrame, key: str, x: str, y: str, name: str, out: str | None = None,
+    points: DataFrame, polys: DataFrame, x: str, y: str, name: str, out: str | None = None,
     unknown: str | None = UNKNOWN_PLACE,
 ) -> DataFrame:
     """Points with the name of the polygon they lie in.
@@ -89,11 +99,12 @@ def contains_join(
     """
     out = out or name
     polys = polys.select(F.col(name).alias("_name"), "segs", "box")
-    coords = points.select(key, F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x is not null and _y is not null")
+    coords = _places(points, x, y)
     pairs = _candidates(coords, polys, "_x", "_y", 0.0)
     in_box = F.col("_x").between(F.col("box.xmin"), F.col("box.xmax")) & F.col("_y").between(F.col("box.ymin"), F.col("box.ymax"))
     inside = pairs.where(in_box & geo.contains_point("segs", "_x", "_y"))
-    joined = _pick(inside, points, key, [F.min("_name").alias(out)])
+    named = inside.groupBy("_x", "_y").agg(F.min("_name").alias(out))
+    joined = _back_to_points(points, x, y, named, "left")
     return joined.withColumn(out, F.coalesce(out, F.lit(unknown))) if unknown is not None else joined
 
 
@@ -107,16 +118,17 @@ def within_distance_join(
     """
     radius = float(miles) * meters_per_mile
     polys = polys.select(F.col(name).alias("_name"), "segs", "box")
-    coords = points.select(key, F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x is not null and _y is not null")
+    coords = _places(points, x, y)
     pairs = _candidates(coords, polys, "_x", "_y", radius)
     near_box = F.col("_x").between(F.col("box.xmin") - radius, F.col("box.xmax") + radius) & F.col("_y").between(
         F.col("box.ymin") - radius, F.col("box.ymax") + radius
     )
     measured = pairs.where(near_box).withColumn("distance", geo.distance_to_polygon("segs", "_x", "_y"))
-    return measured.where(F.col("distance") <= radius).select(key, F.col("_name").alias(name), "distance")
+    near = measured.where(F.col("distance") <= radius).select("_x", "_y", F.col("_name").alias(name), "distance")
+    return _back_to_points(points.select(key, x, y), x, y, near, "inner").select(key, name, "distance")
 
 
-def nearest_join(points: DataFrame, polys: DataFrame, key: str, x: str, y: str, name: str) -> DataFrame:
+def nearest_join(points: DataFrame, polys: DataFrame, x: str, y: str, name: str) -> DataFrame:
     """Points with the nearest polygon's name and distance (0 inside), ties by name.
 
     1. Cells of doubling size are marked when a polygon vertex lies in them or next to
@@ -129,7 +141,7 @@ def nearest_join(points: DataFrame, polys: DataFrame, key: str, x: str, y: str,
     Step 1 works on the distinct base cells of the points, not on the points.
     """
     polys = polys.select(F.col(name).alias("_name"), "segs", "box")
-    coords = points.select(key, F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x is not null and _y is not null")
+    coords = _places(points, x, y)
     base = median_side(polys)
     reach_of_points = coords.select(F.greatest(F.abs("_x"), F.abs("_y")).alias("m"))
     reach_of_polys = polys.select(
@@ -156,7 +168,7 @@ def nearest_join(points: DataFrame, polys: DataFrame, key: str, x: str, y: str,
     marked = marked.select("_lv", (F.col("_cx") + F.col("_dx")).alias("_cx"), (F.col("_cy") + F.col("_dy")).alias("_cy")).distinct()
 
     # smallest marked cell above each base cell that holds points
-    placed = coords.select(key, "_x", "_y", F.floor(F.col("_x") / base).alias("_bx"), F.floor(F.col("_y") / base).alias("_by"))
+    placed = coords.select("_x", "_y", F.floor(F.col("_x") / base).alias("_bx"), F.floor(F.col("_y") / base).alias("_by"))
     cells = placed.select("_bx", "_by").distinct()
     up = cells.withColumn("_lv", F.explode(all_levels))
     up = up.select("_bx", "_by", "_lv", *at_level(F.col("_bx"), F.col("_by")))
@@ -175,6 +187,6 @@ def nearest_join(points: DataFrame, polys: DataFrame, key: str, x: str, y: str,
     near = found.join(listed, CELL).select("_bx", "_by", "_name").join(polys.select("_name", "segs"), "_name")
 
     pairs = skew_join(placed, near, ["_bx", "_by"]).withColumn("distance", geo.distance_to_polygon("segs", "_x", "_y"))
-    best = F.min(F.struct("distance", "_name")).alias("_best")
-    picked = _pick(pairs, points, key, [best])
-    return picked.select(*points.columns, F.col("_best._name").alias(name), F.col("_best.distance").alias("distance"))
+    best = pairs.groupBy("_x", "_y").agg(F.min(F.struct("distance", "_name")).alias("_best"))
+    best = best.select("_x", "_y", F.col("_best._name").alias(name), F.col("_best.distance").alias("distance"))
+    return _back_to_points(points, x, y, best, "left")

@@ -32,7 +32,7 @@ def projected_polygons(polys: DataFrame, rings: str = "rings") -> DataFrame:
 def assign_sources(sources: DataFrame, area_polys: DataFrame, areas: DataFrame) -> DataFrame:
     """Sources with the nearest area that has demographic rows."""
     polys = relate.known_members(area_polys, areas.select("area").distinct(), ["area"])
-    return spatial.nearest_join(sources, polys, "outfall", "x", "y", "area")
+    return spatial.nearest_join(sources, polys, "x", "y", "area")
 
 
 def sources_near_areas(sources: DataFrame, area_polys: DataFrame, areas: DataFrame, miles: float) -> DataFrame:
@@ -48,8 +48,8 @@ def assign_areas(areas: DataFrame, area_polys: DataFrame, towns: DataFrame, wate
     """Areas with the town and watershed that contain the centre of their polygon."""
     centres = area_polys.join(areas.select("area").distinct(), "area", "right").select("area", geo.centroid("segs").alias("c"))
     centres = centres.select("area", F.col("c.x").alias("x"), F.col("c.y").alias("y"))
-    placed = spatial.contains_join(centres, towns, "area", "x", "y", "town")
-    placed = spatial.contains_join(placed, watersheds, "area", "x", "y", "watershed")
+    placed = spatial.contains_join(centres, towns, "x", "y", "town")
+    placed = spatial.contains_join(placed, watersheds, "x", "y", "watershed")
     return areas.join(placed.select("area", "town", "watershed"), "area", "left")
 
 

@@ -62,7 +62,7 @@ def join_mode(spark, request):
 
 def test_contains(world, join_mode):
     rings, pts, points, polys = world
-    got = {r.id: r.name for r in spatial.contains_join(points, polys, "id", "x", "y", "name").collect()}
+    got = {r.id: r.name for r in spatial.contains_join(points, polys, "x", "y", "name").collect()}
     for i, x, y in pts:
         assert got[i] == min((n for n, r in rings.items() if in_ring(r, x, y)), default="[UNKNOWN]")
     assert got[3000] == "[UNKNOWN]" and len(got) == len(pts) + 1
@@ -70,7 +70,7 @@ def test_contains(world, join_mode):
 
 def test_nearest(world, join_mode):
     rings, pts, points, polys = world
-    rows = spatial.nearest_join(points, polys, "id", "x", "y", "name").collect()
+    rows = spatial.nearest_join(points, polys, "x", "y", "name").collect()
     got = {r.id: (r.name, r.distance) for r in rows}
     assert len(rows) == len(got) == len(pts) + 1 and got[3000] == (None, None)
     for i, x, y in pts:
@@ -91,7 +91,7 @@ def test_tiling_assigns_each_point_once(spark):
     polys = spatial.prepare_polygons(spark.createDataFrame(squares, f"name string, rings {geo.POLYGON}"))
     on_edges = [(k, x / 2, y / 2) for k, (x, y) in enumerate((x, y) for x in range(6) for y in range(6))]
     points = spark.createDataFrame(on_edges, "id long, x double, y double")
-    names = {r.id: r.name for r in spatial.contains_join(points, polys, "id", "x", "y", "name").collect()}
+    names = {r.id: r.name for r in spatial.contains_join(points, polys, "x", "y", "name").collect()}
     assert all(names[k] == f"s{int(x)}{int(y)}" for k, x, y in on_edges)
 
 
