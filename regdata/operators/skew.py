@@ -20,8 +20,11 @@ def hot_keys(df: DataFrame, on: list[str], share: float = HOT_SHARE) -> DataFram
 
 def planned_small(df: DataFrame) -> bool:
     """Whether Spark's own size estimate is below its broadcast limit."""
-    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    limit = int(limit[:-1]) if limit.endswith("b") else int(limit)
+    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").lower().rstrip("b")
+    unit = {"k": 2**10, "m": 2**20, "g": 2**30}.get(text[-1:], 1)
+    limit = int(text.rstrip("kmg")) * unit
+    if not hasattr(df, "_jdf"):  # a remote session does not expose plan statistics
+        return False
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
 
 
@@ -48,10 +51,13 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
 
 
 def spread_out(df: DataFrame, *cols: str) -> DataFrame:
-    """Give a small table that is about to be multiplied one partition per core.
+    """Give a table that is about to be multiplied at least one partition per core.
 
     Adaptive execution merges partitions by their size on disk, so a few thousand rows
     end up in one task, which then expands them all. A repartition to a fixed number is
-    left alone.
+    left alone. It is never below the session's shuffle partitions, which are set to the
+    size of the data.
     """
-    return df.repartition(max(2, df.sparkSession.sparkContext.defaultParallelism), *cols)
+    session = df.sparkSession
+    partitions = int(session.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(2, partitions, session.sparkContext.defaultParallelism), *cols)

@@ -142,7 +142,7 @@ def nearest_join(points: DataFrame, polys: DataFrame, x: str, y: str, name: str)
     """
     polys = polys.select(F.col(name).alias("_name"), "segs", "box")
     coords = _places(points, x, y)
-    base = median_side(polys)
+    base = median_side(polys) / 4  # finer cells list a polygon more often but give each place few candidates
     reach_of_points = coords.select(F.greatest(F.abs("_x"), F.abs("_y")).alias("m"))
     reach_of_polys = polys.select(
         F.greatest(*[F.abs(f"box.{c}") for c in ("xmin", "ymin", "xmax", "ymax")]).alias("m")
@@ -184,9 +184,13 @@ def nearest_join(points: DataFrame, polys: DataFrame, x: str, y: str, name: str)
     listed = listed.withColumn("_cx", F.explode(span("box.xmin", "box.xmax")))
     listed = listed.withColumn("_cy", F.explode(span("box.ymin", "box.ymax")))
     listed = listed.select("_name", *CELL).join(used, CELL, "left_semi")
-    near = found.join(listed, CELL).select("_bx", "_by", "_name").join(polys.select("_name", "segs"), "_name")
+    near = found.join(listed, CELL).select("_bx", "_by", "_lv", "_name").join(polys, "_name")
 
-    pairs = skew_join(placed, near, ["_bx", "_by"]).withColumn("distance", geo.distance_to_polygon("segs", "_x", "_y"))
+    pairs = skew_join(placed, near, ["_bx", "_by"])
+    apart = lambda v, lo, hi: F.greatest(F.lit(0.0), F.col(lo) - F.col(v), F.col(v) - F.col(hi))
+    bound = F.lit(base * 2.8285) * F.pow(F.lit(2.0), F.col("_lv"))  # the diagonal of two cells
+    box_gap = F.hypot(apart("_x", "box.xmin", "box.xmax"), apart("_y", "box.ymin", "box.ymax"))
+    pairs = pairs.where(box_gap <= bound).withColumn("distance", geo.distance_to_polygon("segs", "_x", "_y"))
     best = pairs.groupBy("_x", "_y").agg(F.min(F.struct("distance", "_name")).alias("_best"))
     best = best.select("_x", "_y", F.col("_best._name").alias(name), F.col("_best.distance").alias("distance"))
     return _back_to_points(points, x, y, best, "left")
