@@ -37,7 +37,7 @@ def sentinel_to_null(col, *sentinels) -> Column:
 
 def parse_timestamp(col) -> Column:
     """ISO date or timestamp, with or without fractions of a second, null when malformed."""
-    return F.try_to_timestamp(_c(col)).cast("timestamp_ntz")
+    return _c(col).try_cast("timestamp_ntz")  # wall-clock time, whatever the session's zone
 
 
 def month_floor(col) -> Column:
