@@ -88,7 +88,7 @@ def block_report(spark, d):
 
 
 @case("geojson_features", """
-    select n_name as name, n_nationkey * 1.0 as x, case when n_regionkey = 0 then 2 else 1 end as parts, case when n_regionkey = 0 then 8 else 4 end as points from nation
+    select n_name as name, n_nationkey::double as x, case when n_regionkey = 0 then 2 else 1 end as parts, case when n_regionkey = 0 then 8 else 4 end as points from nation
 """)
 def geojson_features(spark, d):
     path = f"{sinks.scratch_dir(spark)}/geo"
@@ -110,7 +110,7 @@ def geojson_features(spark, d):
     )
 
 
-@case("geojson_lines", "select n_name as name, n_nationkey * 1.0 as x from nation")
+@case("geojson_lines", "select n_name as name, n_nationkey::double as x from nation")
 def geojson_lines(spark, d):
     path = f"{sinks.scratch_dir(spark)}/geolines"
     k = F.col("n_nationkey").cast("string")

@@ -221,9 +221,11 @@ def report_assign_areas(spark, d):
         corners = [(lon0, lat0), (lon1, lat0), (lon1, lat1), (lon0, lat1)]
         return F.array(F.array(F.array(*[F.struct(at(x).alias("x"), at(y).alias("y")) for x, y in corners])))
 
-    column, row = F.col("n_nationkey") % 5, F.floor(F.col("n_nationkey") / 5)
+    columns = n.select((F.col("n_nationkey") % 5).alias("c")).distinct()
+    rows = n.select(F.floor(F.col("n_nationkey") / 5).alias("r")).distinct()
+    column, row = F.col("c"), F.col("r")
     west, south = column * 0.1 - 71.25, row * 0.1 + 41.75
-    towns = n.where("n_nationkey < 5").select(F.concat(F.lit("Town "), column).alias("town"), box(west, west + 0.1, 41.75, 42.15).alias("rings"))
-    basins = n.where("n_nationkey % 5 = 0").select(F.concat(F.lit("Basin "), row).alias("watershed"), box(-71.25, -70.75, south, south + 0.1).alias("rings"))
+    towns = columns.select(F.concat(F.lit("Town "), column).alias("town"), box(west, west + 0.1, 41.75, 42.15).alias("rings"))
+    basins = rows.select(F.concat(F.lit("Basin "), row).alias("watershed"), box(-71.25, -70.75, south, south + 0.1).alias("rings"))
     polys = census_polygons(spark, d)
     return discharge.assign_areas(polys.select("area"), polys, discharge.projected_polygons(towns), discharge.projected_polygons(basins))

@@ -96,10 +96,10 @@ def money_amounts(spark, d):
 
 @case("proper_noun_runs", """
     select doc_id, len(r) as n, array_to_string(list_transform(r, lambda x: ltrim(x, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')), '|') as runs
-    from (select doc_id, regexp_extract_all(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g'), '(?:\\s*\\b[A-Z][a-z\\-]+\\b)+') as r from documents where lang = 'en')
+    from (select doc_id, regexp_extract_all(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g'), '(?:\\s*\\b[A-Z][a-z\\-]+\\b)+') as r from documents)
 """)
 def proper_noun_runs(spark, d):
-    docs = load(spark, d, "documents").where("lang = 'en'")
+    docs = load(spark, d, "documents")
     runs = text.proper_nouns(text.to_ascii("text"))
     return docs.select("doc_id", F.size(runs).alias("n"), F.array_join(runs, "|").alias("runs"))
 
@@ -109,13 +109,13 @@ _TERMS = "(values ('The'), ('And'), ('Of'), ('That'), ('It')) v(term)"
 
 @case("gazetteer_tags", f"""
     with g as (select term as name from {_TERMS}),
-    r as (select distinct doc_id, ltrim(unnest(regexp_extract_all(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g'), '(?:\\s*\\b[A-Z][a-z\\-]+\\b)+')), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') as run from documents where lang = 'en'),
+    r as (select distinct doc_id, ltrim(unnest(regexp_extract_all(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g'), '(?:\\s*\\b[A-Z][a-z\\-]+\\b)+')), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') as run from documents),
     f as (select doc_id, string_agg(run, '|' order by run) as places, count(*) as n from r join g on run = name group by 1)
-    select doc_id, coalesce(places, '') as places, coalesce(n, 0) as n from (select doc_id from documents where lang = 'en') left join f using (doc_id)
+    select doc_id, coalesce(places, '') as places, coalesce(n, 0) as n from (select doc_id from documents) left join f using (doc_id)
 """)
 def gazetteer_tags(spark, d):
     names = spark.sql(f"select term as name from {_TERMS}")
-    docs = load(spark, d, "documents").where("lang = 'en'").select("doc_id", text.to_ascii("text").alias("text"))
+    docs = load(spark, d, "documents").select("doc_id", text.to_ascii("text").alias("text"))
     tagged = relate.gazetteer_tags(docs, "doc_id", "text", names, "name")
     return tagged.select("doc_id", F.array_join("places", "|").alias("places"), F.size("places").alias("n"))
 
