@@ -7,7 +7,7 @@ the statistics of the reports the law of that statistic is known:
   group, so a median needs one or two ranks per replicate;
 * the share of hits among n draws is binomial, so it needs two counts per group;
 * a weighted mean has no such form. Small tables draw row numbers; large ones give every
-  row a Poisson(1) count per replicate, which adds up map-side.
+  row a Poisson(1) count per replicate, and the counts add up before they are shuffled.
 
 Random numbers are hashes of (seed, group, replicate), so runs agree with each other.
 """
@@ -211,15 +211,18 @@ def wmean_replicates(
 
     ``draws`` takes n rows with replacement: exact, one shuffled number per row and
     replicate, meant for tables of places. ``poisson`` weights each row by a Poisson(1)
-    count instead: rows never move, and what is shuffled is one partial sum per task,
-    group and replicate. ``key`` is a whole number that identifies a row.
+    count instead: each row is hashed once per replicate, which is the bulk of the work,
+    so the narrow rows are first spread evenly by key; after that only one partial sum
+    per task, group and replicate is shuffled. ``key`` is a whole number that identifies
+    a row.
     """
     rows = known_keys(df, *by, x, weight).select(*by, key, F.col(x).alias("_x"), F.col(weight).alias("_w"))
     small = F.pmod(F.col(key), F.lit(MASK)).cast("long")
     sums = [F.sum(F.col("_c") * F.col("_w") * F.col("_x")).alias("_wx"), F.sum(F.col("_c") * F.col("_w")).alias("_ww")]
     rep = F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))
     if method == "poisson":
-        seeded = rows.withColumn("_h", combine31(F.lit(seed).cast("long"), small)).withColumn("rep", rep)
+        even = spread_out(rows, key)
+        seeded = even.withColumn("_h", combine31(F.lit(seed).cast("long"), small)).withColumn("rep", rep)
         seeded = _once(seeded, "_h", combine31("_h", F.col("rep").cast("long")))
         counted = seeded.withColumn("_c", poisson_counts(F.col("_h"))).where("_c > 0")
     else:
