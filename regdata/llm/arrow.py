@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+def share_code(spark: SparkSession) -> None:
+    """Send this package to the Python workers, unless their path has it already."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parents[2]
+    known = {os.path.realpath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]}
+    if str(root) in known or getattr(context, "_shared_regdata", False):
+        return
+    context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/regdata", "zip", root, "regdata"))
+    context._shared_regdata = True
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns by name in any letter case: a new column of that name takes their place."""
     taken = {n.lower() for n in names}
@@ -18,6 +32,7 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 def add_columns(df: DataFrame, make: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[tuple[str, T.DataType]]) -> DataFrame:
     """Append columns that ``make`` computes from a batch of rows."""
+    share_code(df.sparkSession)
     df = without(df, *[n for n, _ in fields])
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in fields]])
     names = [n for n, _ in fields]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regdata.llm import bpe
+from regdata.llm import bpe, lines, quality
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -25,7 +25,24 @@ def op1_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of every document, lines deleted as parts of blocks that an earlier one holds, and the rest as a digest."""
+    done = lines.line_dedup(table(spark, d, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op8_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Quality of every document; rows held out are never learned from."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, d, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op5_line_dedup": op5_line_dedup,
+    "op8_quality": op8_quality,
 }
 SQL: dict[str, str] = {}
