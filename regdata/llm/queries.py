@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regdata.llm import bpe, lines, quality
+from regdata.llm import bpe, lines, near, quality
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -25,6 +25,12 @@ def op1_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op2_minhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Set size and component of every document."""
+    found = near.near_duplicates(table(spark, d, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Lines of every document, lines deleted as parts of blocks that an earlier one holds, and the rest as a digest."""
     done = lines.line_dedup(table(spark, d, "documents").select("doc_id", "text"))
@@ -42,6 +48,7 @@ def op8_quality(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op8_quality": op8_quality,
 }
