@@ -58,3 +58,11 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 def text_of(value: pa.Scalar) -> str:
     """The text of a cell; null is empty."""
     return value.as_py() or ""
+
+
+def lists(values: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of a list column without nulls inside lists; a null list is empty."""
+    offsets = np.asarray(values.offsets)
+    if values.null_count:  # what a null covers is skipped
+        return np.asarray(values.flatten()), np.concatenate([[0], np.cumsum(np.asarray(values.value_lengths().fill_null(0)))])
+    return np.asarray(values.flatten()), offsets - offsets[0]

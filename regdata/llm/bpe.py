@@ -30,9 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from regdata.llm.arrow import add_columns, column, list_array, text_of
+from regdata.llm.arrow import add_columns, column, list_array, lists, text_of
 
-MEMO = 250_000  # answers kept per worker and table, up to twice
+MEMO = 200_000  # answers kept per worker and table, up to twice
 # Fixed value: the published pattern in which a space joins the letters, digits or signs after it.
 SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 JOINED = regex.compile(r" (?=\s|$)").search  # a space that does not stand alone before other text
@@ -216,7 +216,8 @@ def decode(df: DataFrame, codec: Codec, ids: str = "ids", out: str = "decoded")
     shared = df.sparkSession.sparkContext.broadcast(codec)
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        return [pa.array([shared.value.decode(i.as_py() or []) for i in column(batch, ids)], pa.binary())]
+        values, at = lists(column(batch, ids))
+        return [pa.array([shared.value.decode(values[a:b].tolist()) for a, b in zip(at, at[1:])], pa.binary())]
 
     return add_columns(df, make, [(out, T.BinaryType())])
 
@@ -225,7 +226,8 @@ def digest_ids(df: DataFrame, ids: str = "ids", out: str = "ids_sha256") -> Data
     """Add the SHA-256 of the ids as little-endian unsigned 32-bit numbers."""
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        rows = (np.array(i.as_py() or [], dtype="<u4") for i in column(batch, ids))
-        return [pa.array([hashlib.sha256(r.tobytes()).hexdigest() for r in rows])]
+        values, at = lists(column(batch, ids))
+        values = values.astype("<u4")
+        return [pa.array([hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(at, at[1:])], pa.string())]
 
     return add_columns(df, make, [(out, T.StringType())])
