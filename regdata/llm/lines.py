@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regdata.llm.arrow import add_columns, column, list_array, without
+from regdata.llm.few import with_marks
+from regdata.session import materialise
 
 MIN_LINE = 20  # characters of an anchor
 MIN_BLOCK = 40  # characters of a deleted block
@@ -121,7 +123,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lin
     """The documents with common blocks deleted, and ``n_lines``, ``n_removed``."""
     docs = without(docs, "n_lines", "n_removed", "_text", "_drop")
     drop = deletions(docs.select(key, text), key, text, min_line, min_block)
-    marked = docs.withColumn("_text", F.xxhash64(text)).join(drop, [key, "_text"], "left")
+    marked = with_marks(docs.withColumn("_text", F.xxhash64(text)), materialise(drop), [key, "_text"])
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         texts, drops = column(batch, text), column(batch, "_drop")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regdata.llm import bpe, lines, near, quality
+from regdata.llm import bpe, lines, near, quality, substrings
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -46,10 +46,17 @@ def op8_quality(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op9_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Words of every document, words removed and the rest as a digest."""
+    done = substrings.substring_dedup(table(spark, d, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op8_quality": op8_quality,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 SQL: dict[str, str] = {}
