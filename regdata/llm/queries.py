@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regdata.llm import bpe, lines, near, quality, substrings
+from regdata.llm import bpe, lines, mixing, near, quality, substrings
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -31,6 +31,12 @@ def op2_minhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_entropy_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    done = mixing.mix(table(spark, d, "documents").select("doc_id", "text", "source"))
+    return done.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Lines of every document, lines deleted as parts of blocks that an earlier one holds, and the rest as a digest."""
     done = lines.line_dedup(table(spark, d, "documents").select("doc_id", "text"))
@@ -55,6 +61,7 @@ def op9_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_entropy_mix": op3_entropy_mix,
     "op5_line_dedup": op5_line_dedup,
     "op8_quality": op8_quality,
     "op9_substring_dedup": op9_substring_dedup,
