@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regdata.llm import bpe, lines, mixing, near, quality, substrings
+from regdata.llm import bpe, lines, mixing, near, quality, substrings, warc
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -43,6 +43,13 @@ def op5_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op6_warc(spark: SparkSession, d: str) -> DataFrame:
+    """What the archives say of every page after it was written to them."""
+    index = warc.write_archive(table(spark, d, "pages").select("page_id", "url", "html"))
+    found = warc.read_frames(warc.frame_table(index))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_quality(spark: SparkSession, d: str) -> DataFrame:
     """Quality of every document; rows held out are never learned from."""
     docs = table(spark, d, "documents").select("doc_id", "text")
@@ -63,7 +70,32 @@ QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_entropy_mix": op3_entropy_mix,
     "op5_line_dedup": op5_line_dedup,
+    "op6_warc": op6_warc,
     "op8_quality": op8_quality,
     "op9_substring_dedup": op9_substring_dedup,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_warc": """
+        with p as (select page_id, coalesce(html, '') as body from pages),
+        q as (select page_id, octet_length(encode(body)) as payload_bytes, sha1(body) as payload_digest from p),
+        f as (select payload_digest, max(page_id) as first from q where payload_bytes >= 1000 group by 1)
+        select page_id, payload_bytes, payload_digest,
+               case when page_id < first then 'revisit' else 'response' end as record_type,
+               case when page_id < first then first end as refers_to
+        from q left join f using (payload_digest)
+    """,
+    # windows are compared word for word
+    "op9_substring_dedup": r"""
+        with d as (
+            select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+        ),
+        s as (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50),
+        h as (select doc_id, i, array_to_string(w[i : i + 49], ' ') as win from s),
+        f as (select win, min(doc_id) as first from h group by 1),
+        gone as (select distinct doc_id, unnest(range(i, i + 50)) as place from h join f using (win) where first < doc_id),
+        lost as (select doc_id, list(place) as ats from gone group by 1)
+        select doc_id, len(w) as n_words, coalesce(len(ats), 0) as n_removed,
+               sha256(array_to_string([w[k] for k in range(1, len(w) + 1) if not list_contains(coalesce(ats, []), k)], ' ')) as kept_sha256
+        from d left join lost using (doc_id)
+    """,
+}
