@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local_folders: dict[str, str] = {}
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -32,15 +34,26 @@ def build_session(app: str = "regdata", master: str | None = None, conf: dict |
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only a local session without that setting, such as a test, gets a folder of its own.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or _local_folders.get(context.applicationId)
+    if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = _local_folders[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return folder
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a result that several later steps read, so that it is computed once.
 
-    It goes to reliable storage: the folder in ``spark.checkpoint.dir``, shared by the
-    cluster, survives the loss of executors. Only a session without that setting, such
-    as a local test, gets a folder of its own.
+    It goes to reliable storage in the shared folder and survives the loss of executors.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
