@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regdata.llm import bpe, lines, mixing, near, quality, substrings, warc
+from regdata.llm import bpe, fingerprints, lines, mixing, near, quality, substrings, warc
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -37,6 +37,11 @@ def op3_entropy_mix(spark: SparkSession, d: str) -> DataFrame:
     return done.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_multiset_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprints of every text and of its edited form, and their likeness."""
+    return fingerprints.edited_fingerprints(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def op5_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Lines of every document, lines deleted as parts of blocks that an earlier one holds, and the rest as a digest."""
     done = lines.line_dedup(table(spark, d, "documents").select("doc_id", "text"))
@@ -69,6 +74,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_entropy_mix": op3_entropy_mix,
+    "op4_multiset_fingerprint": op4_multiset_fingerprint,
     "op5_line_dedup": op5_line_dedup,
     "op6_warc": op6_warc,
     "op8_quality": op8_quality,
