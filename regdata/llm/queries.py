@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regdata.llm import bpe, fingerprints, lines, mixing, near, quality, substrings, warc
+from regdata.llm import bpe, fingerprints, lines, mixing, near, pii, quality, substrings, warc
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -55,6 +55,15 @@ def op6_warc(spark: SparkSession, d: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_semi_markov_pii(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of personal data in every text."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs)).drop("text")
+    joined = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op8_quality(spark: SparkSession, d: str) -> DataFrame:
     """Quality of every document; rows held out are never learned from."""
     docs = table(spark, d, "documents").select("doc_id", "text")
@@ -77,6 +86,7 @@ QUERIES = {
     "op4_multiset_fingerprint": op4_multiset_fingerprint,
     "op5_line_dedup": op5_line_dedup,
     "op6_warc": op6_warc,
+    "op7_semi_markov_pii": op7_semi_markov_pii,
     "op8_quality": op8_quality,
     "op9_substring_dedup": op9_substring_dedup,
 }
