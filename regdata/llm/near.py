@@ -39,6 +39,7 @@ from regdata.session import materialise
 SHINGLE = 5
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
+FINE = 512  # bins of the sketch that candidates are compared by
 ORDERS = 4  # hash orders that centres are taken from
 BLOCK = 256  # members of a bucket that travel together
 SMALL = 500_000  # ids that may be broadcast; more are joined by a shuffle
@@ -80,10 +81,10 @@ def bins(hashes: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, text: str) -> DataFrame:
-    """Add set size, two sums that name the set, the bands and a short form of the bins."""
+    """Add set size, two sums that name the set, and the bands."""
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        size, one, two, bands, short = [], [], [], [], []
+        size, one, two, bands = [], [], [], []
         for start, end, data, offsets in chunks(column(batch, text)):
             hashes, doc = shingles(data, offsets)
             n = np.bincount(doc, minlength=end - start)
@@ -97,52 +98,63 @@ def sketches(docs: DataFrame, text: str) -> DataFrame:
                 key = mix(key * np.uint64(31) + low[:, r::ROWS])
             size.append(n)
             bands.append(signed(key[n > 0]).ravel())
-            short += [bytes(x) if m else b"" for x, m in zip((low & np.uint64(0xFFFF)).astype("<u2"), n)]
         n = np.concatenate([np.zeros(0, np.int64), *size]).astype(np.int64)
         none = np.zeros(0, np.int64)
         return [
             pa.array(n), pa.array(np.concatenate([none, *one])), pa.array(np.concatenate([none, *two])),
-            list_array(np.concatenate([none, *bands]), np.where(n > 0, BANDS, 0)), pa.array(short, pa.binary()),
+            list_array(np.concatenate([none, *bands]), np.where(n > 0, BANDS, 0)),
         ]
 
     long = T.LongType()
-    return add_columns(docs, make, [("_n", long), ("_one", long), ("_two", long), ("_bands", LONGS), ("_short", T.BinaryType())])
+    return add_columns(docs, make, [("_n", long), ("_one", long), ("_two", long), ("_bands", LONGS)])
 
 
 def shingle_sets(docs: DataFrame, text: str) -> DataFrame:
-    """Add the sorted distinct shingle hashes."""
+    """Add the sorted distinct shingle hashes and a sketch: per bin a byte of its smallest hash, 0 if it is empty."""
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        values, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        values, counts, fine = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
         for start, end, data, offsets in chunks(column(batch, text)):
             hashes, doc = shingles(data, offsets)
             values.append(signed(hashes))
             counts.append(np.bincount(doc, minlength=end - start))
-        return [list_array(np.concatenate(values), np.concatenate(counts))]
+            place = (hashes >> np.uint64(64 - 9)).astype(np.int64)
+            new = np.ones(len(hashes), dtype=bool)
+            new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
+            low = np.zeros((end - start, FINE), dtype=np.uint8)
+            low[doc[new], place[new]] = (hashes[new] % np.uint64(255)).astype(np.uint8) + np.uint8(1)
+            fine += [x.tobytes() for x in low]
+        return [list_array(np.concatenate(values), np.concatenate(counts)), pa.array(fine, pa.binary())]
 
-    return add_columns(docs, make, [("_set", LONGS)])
+    return add_columns(docs, make, [("_set", LONGS), ("_fine", T.BinaryType())])
 
 
 def possible(a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray, both: np.ndarray) -> np.ndarray:
     """Whether sketches ``a``, ``b`` of sets of sizes ``m``, ``n`` with at most ``both`` common
-    shingles allow the similarity."""
-    alike = (a == b).mean(axis=-1)
-    slack = 4 * np.sqrt(0.75 * 0.25 / np.minimum(BINS, np.maximum(m, n)))
+    shingles allow the similarity.
+
+    The bins that are not empty on both sides draw so many shingles from the union, without
+    putting any back; the share of equal ones may be 4 standard deviations below 0.75.
+    """
+    drawn = np.maximum((a | b).astype(bool).sum(axis=-1), 1)
+    alike = ((a == b) & (a > 0)).sum(axis=-1) / drawn
+    union = np.maximum((m + n) / 1.75, 1)
+    slack = 4 * np.sqrt(0.75 * 0.25 / drawn * np.clip(1 - (drawn - 1) / union, 0, 1)) + 1 / drawn
     return (100 * both >= 75 * (m + n - both)) & (alike >= 0.75 - slack)
 
 
-def shorts(values) -> np.ndarray:
-    return np.frombuffer(b"".join(values), dtype="<u2").reshape(-1, BINS)
+def fines(values) -> np.ndarray:
+    return np.frombuffer(b"".join(values), dtype=np.uint8).reshape(-1, FINE)
 
 
 def likely(edges: DataFrame, info: DataFrame) -> DataFrame:
     """Edges ``a``, ``b`` whose sketches allow a link."""
-    side = lambda c: info.select(F.col("_rep").alias(c), F.col("_n").alias(f"_n{c}"), F.col("_short").alias(f"_s{c}"))
+    side = lambda c: info.select(F.col("_rep").alias(c), F.col("_n").alias(f"_n{c}"), F.col("_fine").alias(f"_s{c}"))
     wide = edges.join(side("a"), "a").join(side("b"), "b")
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         m, n = (column(batch, c).to_numpy() for c in ("_na", "_nb"))
-        a, b = (shorts(column(batch, c).to_pylist()) for c in ("_sa", "_sb"))
+        a, b = (fines(column(batch, c).to_pylist()) for c in ("_sa", "_sb"))
         return [pa.array(possible(a, b, m, n, np.minimum(m, n)))]
 
     return add_columns(wide, make, [("_ok", T.BooleanType())]).where("_ok").select("a", "b")
@@ -174,24 +186,26 @@ def unresolved(members: DataFrame) -> DataFrame:
 def packed(members: DataFrame, name: str) -> DataFrame:
     """Blocks of at most about ``BLOCK`` members of a bucket."""
     block = F.pmod(F.xxhash64("_rep"), F.ceil(F.col("_members") / BLOCK))
-    one = F.struct("_rep", "_c", "_n", "_only", "_short")
+    one = F.struct("_rep", "_c", "_n", "_only", "_fine", "_bands")
     return members.withColumn("_block", block).groupBy("_key", "_block").agg(F.collect_list(one).alias(name)).drop("_block")
 
 
 def block_pairs(members: DataFrame) -> DataFrame:
-    """Possible links between the members outside a bucket's largest component and those of other components."""
+    """Possible links between the members outside a bucket's largest component and those of other
+    components, each given by the first bucket that both are in."""
     outside = packed(members.where("_c <> _big"), "_left")
-    blocks = outside.join(packed(members, "_right"), "_key").select("_left", "_right")
-    schema = "a bigint, b bigint"
+    blocks = outside.join(packed(members, "_right"), "_key").select("_key", "_left", "_right")
 
     def run(batches):
         for batch in batches:
-            for left, right in zip(column(batch, "_left"), column(batch, "_right")):
+            for key, left, right in zip(column(batch, "_key").to_pylist(), column(batch, "_left"), column(batch, "_right")):
                 left, right = left.values, right.values
                 rep, comp, n, only = ([s.field(f).to_numpy() for s in (left, right)] for f in range(4))
-                a, b = (shorts(s.field(4).to_pylist()) for s in (left, right))
+                a, b = (fines(s.field(4).to_pylist()) for s in (left, right))
+                ours, theirs = (s.field(5).flatten().to_numpy().reshape(-1, BANDS) for s in (left, right))
                 for i in range(len(a)):
                     j = np.flatnonzero(comp[1] != comp[0][i])
+                    j = j[ours[i][(theirs[j] == ours[i]).argmax(axis=1)] == key]
                     both = np.minimum(n[0][i] - only[0][i], n[1][j] - only[1][j])
                     j = j[possible(a[i][None, :], b[j], n[0][i], n[1][j], both)]
                     if len(j):
@@ -199,7 +213,7 @@ def block_pairs(members: DataFrame) -> DataFrame:
                             [pa.array(np.minimum(rep[0][i], rep[1][j])), pa.array(np.maximum(rep[0][i], rep[1][j]))], ["a", "b"]
                         )
 
-    return blocks.mapInArrow(run, schema).distinct()
+    return blocks.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -210,7 +224,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sketched = materialise(sketches(plain, "_t").drop("_t"))
     found = sketched.where("_n > 0 and _id is not null")
     reps = found.groupBy("_n", "_one", "_two").agg(F.min("_id").alias("_rep"))
-    nodes = found.join(reps, ["_n", "_one", "_two"]).where("_id = _rep").select("_rep", "_n", "_short", "_bands")
+    nodes = found.join(reps, ["_n", "_one", "_two"]).where("_id = _rep").select("_rep", "_n", "_bands")
 
     held = nodes.select("_rep", F.explode("_bands").alias("_key"))
     order = F.xxhash64("_rep", F.pmod("_key", F.lit(ORDERS)))
@@ -220,9 +234,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     wanted = materialise(members.select("_rep").distinct())
     small = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
-    info = materialise(nodes.select("_rep", "_n", "_short").join(small, "_rep", "left_semi").dropDuplicates(["_rep", "_short"]))
     texts = plain.withColumnRenamed("_id", "_rep").join(small, "_rep", "left_semi")
     sets = materialise(shingle_sets(texts, "_t").drop("_t").dropDuplicates(["_rep", "_set"]))
+    info = sets.select("_rep", F.size("_set").cast("long").alias("_n"), "_fine")
 
     star = members.where("_rep <> _centre").select(F.least("_rep", "_centre").alias("a"), F.greatest("_rep", "_centre").alias("b"))
     links = materialise(confirmed(likely(star.distinct(), info), sets))
@@ -233,7 +247,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     only = shared.groupBy("_h").agg(F.count(F.lit(1)).alias("_times"), F.min("_rep").alias("_rep")).where("_times = 1")
     only = only.groupBy("_rep").agg(F.count(F.lit(1)).alias("_only"))
     able = info.join(only, "_rep", "left").withColumn("_only", F.coalesce("_only", F.lit(0))).where("4 * (_n - _only) >= 3 * _n")
-    rest = left.select("_key", "_rep", "_c").join(able, "_rep")
+    bands = nodes.select("_rep", "_bands").join(small, "_rep", "left_semi").dropDuplicates(["_rep", "_bands"])
+    rest = left.select("_key", "_rep", "_c").join(able.join(bands, "_rep"), "_rep")
     pairs = block_pairs(unresolved(rest))
     more = materialise(confirmed(pairs, sets))
     merged = labelled(labelled(more.select(F.col("a").alias("_rep"), "b"), labels).select("_c", F.col("b").alias("_rep")).withColumnRenamed("_c", "x"), labels)
