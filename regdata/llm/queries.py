@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regdata.llm import bpe, fingerprints, lines, mixing, near, pii, quality, substrings, warc
+from regdata.llm import ann, bpe, fingerprints, lines, mixing, near, pii, quality, substrings, warc
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -79,6 +79,11 @@ def op9_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_posting_list_ann(spark: SparkSession, d: str) -> DataFrame:
+    """Ten nearest others of every hundredth vector."""
+    return ann.search(table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -89,6 +94,7 @@ QUERIES = {
     "op7_semi_markov_pii": op7_semi_markov_pii,
     "op8_quality": op8_quality,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_posting_list_ann": op10_posting_list_ann,
 }
 SQL: dict[str, str] = {
     "op6_warc": """
