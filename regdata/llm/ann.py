@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from regdata.llm.arrow import column, share_code
 from regdata.session import materialise
 
-SAMPLE, CENTROIDS, LIST = 16_000, 2_000, 100  # LIST: nodes per centroid aimed at
+SAMPLE, CENTROIDS, LIST = 16_000, 2_000, 200  # LIST: nodes per centroid aimed at
 ROUNDS, DEGREE, ENTRIES = 8, 16, 8
-SPREAD, REPLICAS = 1.10, 4  # how far a further list may be, and how many lists a node is in
-RATIO, BREADTH = 1.30, 96
+SPREAD, REPLICAS, APART = 1.05, 4, 0.5  # how far a further list may be, how many a node is in, how far apart they are
+RATIO, LEAST, ENOUGH = 1.15, 24, 400  # LEAST: centroids looked at in any case; ENOUGH: nodes read in any case
 SEGMENT, TOGETHER = 2_048, 256  # nodes of a segment, queries that meet it at once
 
 
@@ -59,70 +59,80 @@ def balanced(points: np.ndarray, k: int) -> np.ndarray:
         size = np.bincount(own, minlength=k)
         price += 0.1 * np.concatenate(near).mean() * (size * k / len(points) - 1)
         sums = np.stack([np.bincount(own, points[:, c], k) for c in range(points.shape[1])], axis=1)
-        centres = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centres)
+        centres = sums[size > 0] / size[size > 0][:, None]
+        price, k = price[size > 0], int((size > 0).sum())
     return centres
 
 
 class Graph:
     """Centroids, each linked to its nearest neighbours and to a few at random."""
 
-    def __init__(self, centres: np.ndarray):
+    def __init__(self, sample: np.ndarray, centres: np.ndarray):
         self.centres = centres
+        self.usual = float(np.median(np.sqrt(squared(sample, centres).min(axis=1))))
+        self.sizes = np.zeros(len(centres), dtype=np.int64)  # nodes in each list, once they are counted
+        self.apart = np.sqrt(squared(centres, centres)).astype(np.float32)
         k = len(centres)
         rng = np.random.Generator(np.random.Philox(key=11))
-        near = [squared(part, centres).argsort(axis=1)[:, 1 : DEGREE + 1] for part in np.array_split(centres, max(1, k // 500))]
+        near = self.apart.argsort(axis=1)[:, 1 : DEGREE + 1]
         far = rng.integers(0, k, (k, 4))
-        self.links = np.concatenate([np.concatenate(near), far], axis=1)
+        self.links = np.concatenate([near, far], axis=1)
         self.entries = rng.permutation(k)[:ENTRIES]
 
-    def search(self, points: np.ndarray, breadth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Nearest centroids of each point and their distances, nearest first, at most ``breadth``."""
+    def search(self, points: np.ndarray, ratio: float, least: int = LEAST) -> np.ndarray:
+        """Distances from each point to the centroids met, infinite for the others.
+
+        The nearest centroid whose neighbours were not looked at yet is next, until it is more
+        than ``ratio`` times as far as the nearest of all and ``least`` have been looked at.
+        """
         n, k = len(points), len(self.centres)
-        breadth = min(breadth, k)
-        rows = np.arange(n)[:, None]
-        seen = np.zeros((n, k), dtype=bool)
-        ids = np.broadcast_to(self.entries, (n, len(self.entries)))
-        seen[:, self.entries] = True
-        dist = squared(points, self.centres[self.entries])
-        open_ = np.ones(ids.shape, dtype=bool)
-        while True:
-            order = dist.argsort(axis=1, kind="stable")[:, :breadth]
-            ids, dist, open_ = ids[rows, order], dist[rows, order], open_[rows, order]
-            active = np.flatnonzero(open_.any(axis=1))
+        met = np.full((n, k), np.inf)
+        met[:, self.entries] = np.sqrt(squared(points, self.centres[self.entries]))
+        todo = met.copy()
+        for step in range(k):
+            best = todo.argmin(axis=1)
+            value = todo[np.arange(n), best]
+            active = np.flatnonzero(np.isfinite(value) & ((value <= ratio * met.min(axis=1)) | (step < least)))
             if not len(active):
-                return ids, np.sqrt(dist)
-            best = open_[active].argmax(axis=1)
-            open_[active, best] = False
-            linked = self.links[ids[active, best]]
-            fresh = ~seen[active[:, None], linked]
-            seen[active[:, None], linked] = True
-            step = ((points[active][:, None, :] - self.centres[linked]) ** 2).sum(axis=2)
-            more_ids = np.zeros((n, linked.shape[1]), dtype=ids.dtype)
-            more_dist, more_open = np.full(more_ids.shape, np.inf), np.zeros(more_ids.shape, dtype=bool)
-            more_ids[active], more_dist[active] = linked, np.where(fresh, step, np.inf)
-            more_open[active] = fresh
-            ids, dist, open_ = np.concatenate([ids, more_ids], 1), np.concatenate([dist, more_dist], 1), np.concatenate([open_, more_open], 1)
+                break
+            best = best[active]
+            linked, at = self.links[best], active[:, None]
+            far = np.sqrt(((points[active][:, None, :] - self.centres[linked]) ** 2).sum(axis=2))
+            todo[at, linked] = np.where(np.isinf(met[at, linked]), far, todo[at, linked])
+            met[at, linked] = far
+            todo[active, best] = np.inf
+        return met
 
 
 def replicas(graph: Graph, points: np.ndarray) -> list[list[int]]:
-    """Lists that each point is put in."""
-    ids, dist = graph.search(points, 24)
+    """Lists that each point is put in; with the centroids in memory all distances are one product."""
+    met = np.sqrt(squared(points, graph.centres))
+    order = met.argsort(axis=1, kind="stable")[:, : 4 * REPLICAS]
     out = []
-    for row, d in zip(ids, dist):
-        chosen = [0]
-        for j in range(1, len(row)):
-            if d[j] > SPREAD * d[0] or len(chosen) == REPLICAS:
+    for row, ids in zip(met, order.tolist()):
+        chosen: list[int] = []
+        for j in ids:
+            if row[j] > SPREAD * row[ids[0]] or len(chosen) == REPLICAS:
                 break
-            if all(((graph.centres[row[i]] - graph.centres[row[j]]) ** 2).sum() > d[j] ** 2 for i in chosen):
+            if all(graph.apart[i, j] > APART * row[j] for i in chosen):
                 chosen.append(j)
-        out.append([int(row[j]) for j in chosen])
+        out.append(chosen)
     return out
 
 
 def probes(graph: Graph, points: np.ndarray) -> list[list[int]]:
-    """Lists that each query reads."""
-    ids, dist = graph.search(points, BREADTH)
-    return [row[np.isfinite(d) & (d <= RATIO * d[0])].tolist() for row, d in zip(ids, dist)]
+    """Lists that each query reads: those near enough, and in any case enough to hold ``ENOUGH`` nodes.
+
+    A query close to a centroid is judged by the usual distance to the nearest centroid.
+    """
+    met = graph.search(points, RATIO)
+    out = []
+    for row in met:
+        order = row.argsort(kind="stable")
+        near = int((row <= RATIO * max(row.min(), graph.usual)).sum())
+        held = int(np.searchsorted(np.cumsum(graph.sizes[order]), ENOUGH)) + 1
+        out.append(order[: max(near, held)].tolist())
+    return out
 
 
 def matrix(vectors: pa.ListArray) -> np.ndarray:
@@ -156,12 +166,16 @@ def nearest_in_segments(met: DataFrame, top: int) -> DataFrame:
             for asked, held in zip(column(batch, "_asked"), column(batch, "_held")):
                 asked, held = asked.values, held.values
                 nodes, points = held.field(0).to_numpy(), matrix(held.field(1))
-                out = []
-                for q, point in zip(asked.field(0).to_pylist(), matrix(asked.field(1))):
-                    score = np.sqrt(((points - point) ** 2).sum(axis=1))
-                    best = np.lexsort((nodes, score))[:top]
-                    out.append((np.full(len(best), q), nodes[best], score[best]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["_q", "_node", "_score"])
+                heads, wanted = asked.field(0).to_numpy(), matrix(asked.field(1))
+                rough = squared(wanted, points)
+                last = np.partition(rough, min(top, len(nodes)) - 1, axis=1)[:, min(top, len(nodes)) - 1]
+                # all that may be among the best, whatever the rounding of the product
+                q, at = np.nonzero(rough <= (last + 1e-9 * (1 + (wanted * wanted).sum(axis=1)))[:, None])
+                score = np.sqrt(((points[at] - wanted[q]) ** 2).sum(axis=1))
+                order = np.lexsort((nodes[at], score, q))
+                q, at, score = q[order], at[order], score[order]
+                keep = np.arange(len(q)) - np.searchsorted(q, q) < top
+                yield pa.RecordBatch.from_arrays([pa.array(heads[q[keep]]), pa.array(nodes[at[keep]]), pa.array(score[keep])], ["_q", "_node", "_score"])
 
     return met.mapInArrow(run, "_q long, _node long, _score double")
 
@@ -186,10 +200,13 @@ def search(table: DataFrame, queries: Column, k: int = 10, key: str = "vec_id",
         return table.sparkSession.createDataFrame([], schema)
     picked = nodes.select("_node", "_v").orderBy(F.xxhash64("_node"), "_node").limit(SAMPLE).toPandas()  # at most SAMPLE vectors
     sample = np.array(picked["_v"].tolist(), dtype=np.float64)
-    graph = Graph(balanced(sample, max(1, min(CENTROIDS, len(sample), n // LIST))))
+    graph = Graph(sample, balanced(sample, max(1, min(CENTROIDS, len(sample), n // LIST))))
 
     posted = materialise(with_lists(nodes.select("_node", "_v"), graph, replicas, "_v"))
-    sizes = posted.groupBy("_list").agg(F.ceil(F.count(F.lit(1)) / SEGMENT).alias("_segments"))
+    sizes = materialise(posted.groupBy("_list").agg(F.count(F.lit(1)).alias("_members")))
+    for row in sizes.collect():  # one per centroid, at most CENTROIDS
+        graph.sizes[row["_list"]] = row["_members"]
+    sizes = sizes.select("_list", F.ceil(F.col("_members") / SEGMENT).alias("_segments"))
     cut = posted.join(sizes, "_list").withColumn("_segment", F.pmod(F.xxhash64("_node"), "_segments"))
     held = cut.groupBy("_list", "_segment").agg(F.collect_list(F.struct("_node", "_v")).alias("_held"))
     heads = nodes.join(asked.select(F.col("_q").alias("_node")).distinct(), "_node", "left_semi").select(F.col("_node").alias("_q"), "_v")
