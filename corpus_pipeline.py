@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regdata.llm import bpe, lines, mixing, near, quality
+from regdata.llm.arrow import parcel
 from regdata.llm.queries import VOCABULARY, table
 from regdata.session import shared_folder
 
@@ -24,14 +25,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the blocks of lines that earlier ones hold; those of which nothing is left go."""
-    done = lines.line_dedup(docs).where("n_removed < n_lines or n_lines = 0")
+    rows, columns = parcel(docs, doc_id="doc_id", text="text", n_chars="n_chars")
+    done = lines.line_dedup(rows).where("n_removed < n_lines or n_lines = 0")
     changed = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns)
+    return changed.select(*columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id."""
-    return near.near_duplicates(docs).where("kept").select(*docs.columns)
+    rows, columns = parcel(docs, doc_id="doc_id", text="text")
+    return near.near_duplicates(rows).where("kept").select(*columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with their number and digest, after the way back was checked."""
     codec = bpe.load_codec(public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
-    coded = bpe.digest_ids(bpe.decode(bpe.encode(docs, codec), codec))
+    coded = bpe.digest_ids(bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), codec), codec))
     same = F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")) == F.col("decoded")
     return coded.select(
         "doc_id", "lang", "source", F.when(same, F.col("ids")).otherwise(F.raise_error(F.lit("ids do not decode to the text"))).alias("ids"),

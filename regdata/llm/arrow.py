@@ -10,7 +10,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -30,6 +31,23 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in taken])
 
 
+def parcel(df: DataFrame, **pulled: str) -> tuple[DataFrame, list[Column]]:
+    """The given columns under inner names beside one column with all others, so that no names
+    clash; and the columns that restore the table."""
+    inner = {c: name for name, c in pulled.items()}
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in inner] or [F.lit(0).alias("_none")]
+    packed = df.select(*[F.col(f"`{c}`").alias(name) for c, name in inner.items()], F.struct(*rest).alias("_row"))
+    return packed, [F.col(inner[c]).alias(c) if c in inner else F.col("_row").getField(c).alias(c) for c in df.columns]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def add_columns(df: DataFrame, make: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[tuple[str, T.DataType]]) -> DataFrame:
     """Append columns that ``make`` computes from a batch of rows."""
     share_code(df.sparkSession)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regdata.llm.arrow import add_columns, column, list_array, without
+from regdata.llm.arrow import add_columns, column, list_array, parcel, without
 from regdata.llm.few import with_marks
 from regdata.session import materialise
 
@@ -121,22 +121,18 @@ def deletions(docs: DataFrame, key: str, text: str, min_line: int, min_block: in
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_line: int = MIN_LINE, min_block: int = MIN_BLOCK) -> DataFrame:
     """The documents with common blocks deleted, and ``n_lines``, ``n_removed``."""
-    docs = without(docs, "n_lines", "n_removed", "_text", "_drop")
-    drop = deletions(docs.select(key, text), key, text, min_line, min_block)
-    marked = with_marks(docs.withColumn("_text", F.xxhash64(text)), materialise(drop), [key, "_text"])
+    rows, columns = parcel(without(docs, "n_lines", "n_removed"), _key=key, _t=text)
+    rows = rows.withColumn("_text", F.xxhash64("_t"))
+    marked = with_marks(rows, materialise(deletions(rows, "_key", "_t", min_line, min_block)), ["_key", "_text"])
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        texts, drops = column(batch, text), column(batch, "_drop")
-        out = []
-        for t, d in zip(texts, drops):
+        kept, lines, removed = [], [], []
+        for t, d in zip(column(batch, "_t"), column(batch, "_drop")):
             t, gone = t.as_py(), set(d.as_py() or ())
-            out.append("\n".join([x for i, x in enumerate(t.split("\n")) if i not in gone]) if gone else t)
-        return [pa.array(out, pa.string())]
-
-    done = add_columns(marked, make, [("_kept", T.StringType())])
-    lines = F.coalesce(F.size(F.split(text, "\n")), F.lit(0))
-    keep = [F.col("_kept").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return done.select(
-        *keep, F.when(F.col(text).isNull(), 0).otherwise(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size(F.when(F.col("_drop").isNotNull(), F.col("_drop"))), F.lit(0)).cast("long").alias("_gone"),
-    ).withColumn("n_removed", F.when(F.col("_gone") > 0, F.col("_gone")).otherwise(0)).drop("_gone")
+            lines.append(0 if t is None else t.count("\n") + 1)
+            removed.append(len(gone))
+            kept.append("\n".join([x for i, x in enumerate(t.split("\n")) if i not in gone]) if gone else t)
+        return [pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(removed, pa.int64())]
+
+    done = add_columns(marked, make, [("_kept", T.StringType()), ("n_lines", T.LongType()), ("n_removed", T.LongType())])
+    return done.drop("_t").withColumnRenamed("_kept", "_t").select(*columns, "n_lines", "n_removed")

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regdata.llm.arrow import without
+from regdata.llm.arrow import parcel, without
 from regdata.llm.few import is_small
 from regdata.session import materialise
 
@@ -165,23 +165,23 @@ def planned(sized: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The documents with ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (words of all copies)."""
-    docs = without(docs, "size", "source_size", "target", "copies", "taken", "_source", "_size", "_h")
-    sized = docs.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.col(source).cast("string").alias("_source"), word_count(F.col(text)).alias("_size"), F.xxhash64(key, text).alias("_h"),
-    )
+    docs = without(docs, "size", "source_size", "target", "copies", "taken")
+    rows, columns = parcel(docs, _key=key, _t=text)
+    named = F.col("_row").getField(source)
+    sized = rows.withColumns({"_source": named.cast("string"), "_size": word_count(F.col("_t")), "_h": F.xxhash64("_key", "_t")})
     plan = planned(sized.select("_source", "_size", "_h"), weights, cap)
     plan = F.broadcast(plan) if is_small(plan, CELLS) else plan
     joined = sized.join(plan, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
-    more = F.when(F.col("_h") <= F.col("_last"), 1).otherwise(0)
+    copies = F.col("_each") + F.when(F.col("_h") <= F.col("_last"), 1).otherwise(0)
     return joined.select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.col("_size").alias("size"), "source_size", "target",
-        (F.col("_each") + more).cast("long").alias("copies"), ((F.col("_each") + more) * F.col("_size")).cast("long").alias("taken"),
+        *columns, F.col("_size").alias("size"), "source_size", "target",
+        copies.cast("long").alias("copies"), (copies * F.col("_size")).cast("long").alias("taken"),
     )
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, each as often as the mix takes it."""
-    taken = mix(docs, **options)
-    copies = taken.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).where("copies > 0")
-    return copies.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, columns = parcel(docs, doc_id=options.get("key", "doc_id"), text=options.get("text", "text"), source=options.get("source", "source"))
+    docs, options = rows, {k: v for k, v in options.items() if k not in ("key", "text", "source")}
+    taken = mix(docs, **options).where("copies > 0")
+    return taken.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*columns)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regdata.llm.arrow import add_columns, column, list_array, without
+from regdata.llm.arrow import add_columns, column, list_array, parcel, without
 from regdata.llm.components import components
 from regdata.llm.words import Words, between, chunks, mix, running, signed
 from regdata.session import materialise
@@ -219,9 +219,10 @@ def block_pairs(members: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with ``n_shingles``, ``component_id`` and ``kept``."""
     names = ("n_shingles", "component_id", "kept")
-    docs = without(docs, *names, "_rep")
-    plain = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_t"))
-    sketched = materialise(sketches(plain, "_t").drop("_t"))
+    rows, columns = parcel(without(docs, *names), _key=key, _t=text)
+    rows = rows.withColumn("_id", F.col("_key").cast("long"))
+    plain = rows.select("_id", "_t")
+    sketched = materialise(sketches(plain.withColumn("_x", F.xxhash64("_t")), "_t").drop("_t"))
     found = sketched.where("_n > 0 and _id is not null")
     reps = found.groupBy("_n", "_one", "_two").agg(F.min("_id").alias("_rep"))
     nodes = found.join(reps, ["_n", "_one", "_two"]).where("_id = _rep").select("_rep", "_n", "_bands")
@@ -258,11 +259,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     final = final.select("_rep", F.coalesce("_to", "_c").alias("_component"))
 
     known = reps.join(final, "_rep").select("_n", "_one", "_two", "_component")
-    each = sketched.select("_id", "_n", "_one", "_two").distinct().join(known, ["_n", "_one", "_two"], "left")
+    each = sketched.select("_id", "_x", "_n", "_one", "_two").distinct().join(known, ["_n", "_one", "_two"], "left")
     # rows that share an id are one document: the first of their components
-    each = each.groupBy("_id").agg(F.max("_n").alias("_n"), F.min(F.coalesce("_component", "_id")).alias("component_id"))
-    joined = docs.join(each, docs[key].cast("long").eqNullSafe(each["_id"]), "left")
-    return joined.select(
-        *[docs[f"`{c}`"] for c in docs.columns], F.col("_n").alias("n_shingles"), "component_id",
-        F.coalesce(F.col(key).cast("long") == F.col("component_id"), F.lit(True)).alias("kept"),
-    )
+    of_id = each.groupBy("_id").agg(F.min(F.coalesce("_component", "_id")).alias("component_id"))
+    each = each.join(of_id, "_id", "left").select(F.col("_id").alias("_same"), F.col("_x").alias("_y"), "_n", "component_id")
+    told = rows.join(each, F.col("_id").eqNullSafe(F.col("_same")) & (F.xxhash64("_t") == F.col("_y")), "left")
+    kept = F.coalesce(F.col("_id") == F.col("component_id"), F.lit(True))
+    return told.select(*columns, F.col("_n").alias("n_shingles"), "component_id", kept.alias("kept"))

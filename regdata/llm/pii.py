@@ -189,11 +189,14 @@ def best(n: int, pairs: list[tuple[int, int]], scores: np.ndarray) -> list[tuple
     return out[::-1]
 
 
-def learn(examples: list[tuple[str, list[Span]]]) -> np.ndarray | None:
+Example = tuple[str, int, int, list[Span]]
+
+
+def learn(examples: list[Example]) -> np.ndarray | None:
     """Weights (kinds x features) from regions with their spans; None without examples."""
     ready = []
-    for text, spans in examples:
-        pieces, pairs, rows = segments(text, 0, len(text))
+    for text, start, end, spans in examples:
+        pieces, pairs, rows = segments(text, start, end)
         if not pairs:
             continue
         gold = np.zeros((len(pairs), len(KINDS)))
@@ -231,20 +234,19 @@ def extra_spans(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
     return out
 
 
-def examples(text: str) -> Iterator[tuple[str, list[Span]]]:
-    """Regions with their base spans, phone numbers once more without their sign."""
+def examples(text: str) -> Iterator[Example]:
+    """Regions in what surrounds them, with base spans; phone numbers once more without their sign."""
     base = base_spans(text)
     for start, end in regions(text):
         if end - start > REGION:
             continue
         left = max(0, start - 24)
+        part = text[left : end + 1]
         spans = [(k, a - left, b - left) for k, a, b in base if a >= start and b <= end]
-        yield text[left:end], spans
-        phones = [s for s in spans if s[0] == "phone"]
-        if len(spans) == 1 and phones and phones[0][1] > 0:
-            _, a, b = phones[0]
-            part = text[left:end]
-            yield part[:a] + part[a + 1 :], [("phone", a, b - 1)]
+        yield part, start - left, end - left, spans
+        if len(spans) == 1 and spans[0][0] == "phone":
+            _, a, b = spans[0]
+            yield part[:a] + part[a + 1 :], start - left, end - left - 1, [("phone", a, b - 1)]
 
 
 def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> np.ndarray | None:
@@ -254,14 +256,15 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> np.ndarr
     def run(batches):
         for batch in batches:
             found = [e for t in column(batch, "_t") for e in examples(text_of(t))]
-            spans = [[dict(zip(("kind", "a", "b"), s)) for s in own] for _, own in found]
+            spans = [[dict(zip(("kind", "a", "b"), s)) for s in own] for *_, own in found]
             kind = pa.list_(pa.struct([("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array(spans, kind)], ["part", "spans"])
+            columns = [pa.array([e[i] for e in found], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind)], ["part", "start", "end", "spans"])
 
     share_code(docs.sparkSession)
-    found = short.mapInArrow(run, "part string, spans array<struct<kind string, a int, b int>>")
-    picked = found.orderBy(F.xxhash64("part"), "part", "spans").limit(sample).collect()
-    return learn([(r.part, sorted((s.kind, s.a, s.b) for s in r.spans)) for r in picked])
+    found = short.mapInArrow(run, "part string, start int, end int, spans array<struct<kind string, a int, b int>>")
+    picked = found.orderBy(F.xxhash64("part"), "part", "start", "end", "spans").limit(sample).collect()
+    return learn([(r.part, r.start, r.end, sorted((s.kind, s.a, s.b) for s in r.spans)) for r in picked])
 
 
 def find(docs: DataFrame, weights: np.ndarray | None, text: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regdata.llm.arrow import add_columns, column, list_array, without
+from regdata.llm.arrow import add_columns, column, list_array, unused
 from regdata.llm.words import Words, between, chunks
 
 GRAMS = (3, 4)
@@ -133,4 +133,5 @@ def score(df: DataFrame, model: tuple[np.ndarray, float], text: str = "text", ou
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Documents that score at least the threshold; the columns stay as they were."""
-    return without(score(docs, train(docs, labels), out="_score").where(F.col("_score") >= threshold), "_score")
+    name = unused(docs, "_score")
+    return score(docs, train(docs, labels), out=name).where(F.col(name) >= threshold).drop(name)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regdata.llm.arrow import add_columns, column, list_array, lists, without
+from regdata.llm.arrow import add_columns, column, list_array, lists, parcel, without
 from regdata.llm.few import is_small, only_marked, with_marks
 from regdata.llm.words import Words, between, chunks, mix, running, signed, sliding_argmin, utf8
 from regdata.session import materialise
@@ -115,13 +115,12 @@ def removals(docs: DataFrame, window: int) -> DataFrame:
 
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """The documents with repeated passages removed, words joined by one space, and ``n_words``, ``n_removed``."""
-    docs = without(docs, "n_words", "n_removed", "_id", "_x", "_t", "_starts", "_all")
-    named = docs.withColumn("_id", F.col(key).cast("long")).withColumn("_x", F.xxhash64(text))
-    marks = removals(named.select("_id", "_x", F.col(text).alias("_t")), window)
-    marked = with_marks(named, marks, ["_id", "_x"])
+    rows, columns = parcel(without(docs, "n_words", "n_removed"), _key=key, _t=text)
+    rows = rows.withColumn("_id", F.col("_key").cast("long")).withColumn("_x", F.xxhash64("_t"))
+    marked = with_marks(rows, removals(rows.select("_id", "_x", "_t"), window), ["_id", "_x"])
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        data, offsets = utf8(column(batch, text))
+        data, offsets = utf8(column(batch, "_t"))
         starts, at = lists(column(batch, "_starts"))
         whole = column(batch, "_all").to_pylist()
         kept, n, removed = [], [], []
@@ -140,5 +139,4 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         return [pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())]
 
     done = add_columns(marked, make, [("_kept", T.StringType()), ("n_words", T.LongType()), ("n_removed", T.LongType())])
-    keep = [F.col("_kept").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return done.select(*keep, "n_words", "n_removed")
+    return done.drop("_t").withColumnRenamed("_kept", "_t").select(*columns, "n_words", "n_removed")
