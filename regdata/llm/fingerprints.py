@@ -103,21 +103,31 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
     return done.withColumn("fingerprint", spelled(F.col("lanes")))
 
 
+def narrow(lanes: Column) -> Column:
+    """Lanes as 32-bit integers of the same bits, for the way through a shuffle."""
+    return F.transform(lanes, lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int"))
+
+
+def wide(lanes: Column) -> Column:
+    return F.transform(lanes, lambda x: x.cast("long").bitwiseAND(_long(MASK)))
+
+
 def following(ids: DataFrame) -> DataFrame:
-    """``_next_null``, ``_next`` for each distinct (``_null``, ``_id``) in ascending order, the first after the last.
+    """For each distinct (``_null``, ``_id``) the ``_next_null``, ``_next``, ``_next_first`` of the next
+    in ascending order, the first after the last.
 
     Ids are range-partitioned and ranked inside the partitions; one row per partition links
     each to the next.
     """
     order = [F.col("_null"), F.col("_id")]
     placed = materialise(ids.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    pair = F.struct("_null", "_id")
-    starts = placed.groupBy("_part").agg(F.min(pair).alias("_first"))
-    after = F.lead("_first").over(Window.orderBy("_part"))
-    starts = starts.select("_part", F.coalesce(after, F.min("_first").over(Window.partitionBy(F.lit(0)))).alias("_after"))
-    inside = placed.withColumn("_lead", F.lead(pair).over(Window.partitionBy("_part").orderBy(*order)))
+    one = F.struct("_null", "_id", "_first")
+    starts = placed.groupBy("_part").agg(F.min(one).alias("_start"))
+    after = F.lead("_start").over(Window.orderBy("_part"))
+    starts = starts.select("_part", F.coalesce(after, F.min("_start").over(Window.partitionBy(F.lit(0)))).alias("_after"))
+    inside = placed.withColumn("_lead", F.lead(one).over(Window.partitionBy("_part").orderBy(*order)))
     linked = inside.join(starts, "_part").withColumn("_to", F.coalesce("_lead", "_after"))
-    return linked.drop("_part", "_lead", "_after").select("*", F.col("_to._null").alias("_next_null"), F.col("_to._id").alias("_next")).drop("_to")
+    return linked.select(*ids.columns, F.col("_to._null").alias("_next_null"), F.col("_to._id").alias("_next"), F.col("_to._first").alias("_next_first"))
 
 
 def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -125,44 +135,46 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     form, and the likeness to that and to the next document.
 
     The edited text has its last quarter replaced by as much of the beginning of the next
-    document's. Texts are shuffled by id once; both joins read that shuffle.
+    document's. Texts are shuffled by id once, and both joins read that shuffle. Units are summed
+    where the second join leaves them: a row number that holds inside a task tells rows apart.
     """
     plain = docs.select(
         F.col(key).isNull().cast("int").alias("_null"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("_id"),
         F.coalesce(F.col(text), F.lit("")).alias("_text"),
     )
-    ids = plain.groupBy("_null", "_id").agg(F.max(F.length("_text")).alias("_need"))
-    chain = materialise(following(ids))
+    mark = F.xxhash64("_text")
+    chain = materialise(following(plain.groupBy("_null", "_id").agg(F.max(F.length("_text")).alias("_need"), F.min(mark).alias("_first"))))
 
-    hashed = plain.withColumn("_x", F.xxhash64("_text"))
-    ranked = hashed.withColumn("_rank", F.row_number().over(Window.partitionBy("_null", "_id").orderBy("_x")))
-    one = ranked.where("_rank = 1").select(F.col("_null").alias("_next_null"), F.col("_id").alias("_next"), "_text")
-    heads = chain.join(one, ["_next_null", "_next"]).select("_null", "_id", F.left("_text", F.floor(F.col("_need") / 4).cast("int")).alias("_head"))
+    after = chain.select(F.col("_null").alias("_to_null"), F.col("_id").alias("_to"), "_need", F.col("_next_null").alias("_null"), F.col("_next").alias("_id"), "_next_first")
+    heads = plain.join(after, ["_null", "_id"]).where(mark == F.col("_next_first"))
+    heads = heads.select(F.col("_to_null").alias("_null"), F.col("_to").alias("_id"), F.left("_text", F.floor(F.col("_need") / 4).cast("int")).alias("_head"))
+    heads = heads.groupBy("_null", "_id").agg(F.first("_head").alias("_head"))
 
-    copies = Window.partitionBy("_null", "_id", "_x")
     size = F.length("_text")
     quarter = F.floor(size / 4).cast("int")
-    texts = ranked.withColumn("_same", F.row_number().over(copies.orderBy("_rank"))).withColumn("_times", F.count(F.lit(1)).over(copies))
-    edited = texts.where("_same = 1").join(heads, ["_null", "_id"]).select(
-        "_null", "_id", "_x", "_rank", "_times", size.alias("_chars"), "_text", F.concat(F.left("_text", size - quarter), F.left("_head", quarter)).alias("_new")
+    edited = plain.join(heads, ["_null", "_id"]).select(
+        "_null", "_id", mark.alias("_x"), size.alias("_chars"), F.monotonically_increasing_id().alias("_u"),
+        "_text", F.concat(F.left("_text", size - quarter), F.left("_head", quarter)).alias("_new"),
     )
-    digest = F.sha2("_new", 256)
     parts = [F.conv(F.substring("_sha", 8 * i + 1, 8), 16, 10).cast("long").alias(f"_s{i}") for i in range(8)]
-    sides = edited.withColumn("_sha", digest).select(
-        "_null", "_id", "_x", "_rank", "_times", "_chars", *parts,
-        F.explode(F.array(F.struct(F.lit(0).alias("_side"), F.col("_text")), F.struct(F.lit(1).alias("_side"), F.col("_new").alias("_text")))).alias("_v"),
-    ).select("*", "_v._side", "_v._text").drop("_v")
-    kept = ["_rank", "_times", "_chars", *[f"_s{i}" for i in range(8)]]
-    sums = unit_rows(sides, "_text").groupBy("_null", "_id", "_x", "_side").agg(*[F.first(c).alias(c) for c in kept], *lane_sums())
-    lanes = sums.select("_null", "_id", "_x", "_side", *kept, lane_array().alias("_lanes"))
+    side = lambda n, c: F.struct(F.lit(n).alias("_side"), F.col(c).alias("_text"))
+    kept = ["_x", "_chars", *[f"_s{i}" for i in range(8)]]
+    sides = edited.withColumn("_sha", F.sha2("_new", 256)).select(
+        "_null", "_id", "_u", "_x", "_chars", *parts, F.inline(F.array(side(0, "_text"), side(1, "_new"))),
+    )
+    sums = unit_rows(sides, "_text").groupBy("_null", "_id", "_u", "_side").agg(*[F.first(c).alias(c) for c in kept], *lane_sums())
+    lanes = sums.select("_null", "_id", "_u", "_side", *kept, narrow(lane_array()).alias("_lanes"))
     lane_of = lambda side: F.max(F.when(F.col("_side") == side, F.col("_lanes")))
-    both = lanes.groupBy("_null", "_id", "_x").agg(*[F.first(c).alias(c) for c in kept], lane_of(0).alias("_own"), lane_of(1).alias("_new"))
-    both = materialise(both.join(chain.select("_null", "_id", "_next_null", "_next"), ["_null", "_id"]))
-
-    after = both.where("_rank = 1").select(F.col("_null").alias("_next_null"), F.col("_id").alias("_next"), F.col("_own").alias("_other"))
-    told = both.join(after, ["_next_null", "_next"])
+    both = lanes.groupBy("_null", "_id", "_u").agg(*[F.first(c).alias(c) for c in kept], lane_of(0).alias("_own"), lane_of(1).alias("_new")).drop("_u")
+    both = materialise(both)
+
+    links = chain.select("_null", "_id", "_next_null", "_next", "_next_first")
+    other = links.select(F.col("_null").alias("_to_null"), F.col("_id").alias("_to"), F.col("_next_null").alias("_null"), F.col("_next").alias("_id"), F.col("_next_first").alias("_x"))
+    other = both.select("_null", "_id", "_x", "_own").join(other, ["_null", "_id", "_x"])
+    other = other.groupBy(F.col("_to_null").alias("_null"), F.col("_to").alias("_id")).agg(F.first("_own").alias("_other"))
+    told = both.join(other, ["_null", "_id"]).withColumns({c: wide(F.col(c)) for c in ("_own", "_new", "_other")})
     sha = F.concat(*[F.lpad(F.lower(F.hex(f"_s{i}")), 8, "0") for i in range(8)])
-    return told.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(
+    return told.select(
         F.when(F.col("_null") == 0, F.col("_id")).alias(key), F.col("_chars").cast("long").alias("n_chars"), sha.alias("edited_sha256"),
         spelled(F.col("_own")).alias("fingerprint"), spelled(F.col("_new")).alias("edited_fingerprint"),
         likeness(F.col("_own"), F.col("_new")).alias("near_edited"), likeness(F.col("_own"), F.col("_other")).alias("near_next"),
