@@ -35,6 +35,17 @@ def case(name: str, sql: str | None = None):
     return keep
 
 
+def sql_with_p(source: str, scale: int = 1, r: str = "r", digits: int = 8, p: str = "p") -> str:
+    """Rows of n and r with the two-sided p, from the finite series of the t distribution for whole degrees of freedom."""
+    even = "list_sum(list_transform(range(0, (n - 2) // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1) + k * ln(c))))"
+    odd = "coalesce(list_sum(list_transform(range(0, (n - 3) // 2), lambda k: exp(lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5) + k * ln(c)))), 0)"
+    inside = f"case when n % 2 = 0 then abs(r) * {even} else 2 / pi() * (asin(abs(r)) + abs(r) * sqrt(c) * {odd}) end"
+    return f"""
+        select n, round(r * {scale}, {digits}) as {r},
+               round({scale} * case when n < 3 or r is null then null when c <= 0 then 0.0 else greatest(0, 1 - {inside}) end, 6) as {p}
+        from (select n, r, 1 - r * r as c from ({source}))"""
+
+
 def load(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 

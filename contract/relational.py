@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from contract.base import case, load
+from contract.base import case, load, sql_with_p
 from regdata.functions import clean, nulls
 from regdata.operators import aggregate, quality, relate, series
 from regdata.sources import catalog, readers
@@ -298,11 +298,18 @@ def weighted_mean_strict(spark, d):
     return _wmean(spark, d, "strict")
 
 
-@case("correlation", """
-    select count(*) as n, round(corr(l_quantity, l_extendedprice), 8) as r from lineitem where l_quantity is not null and l_extendedprice is not null
-""")
+@case("correlation", sql_with_p("""
+    select count(*) as n, corr(l_quantity, l_extendedprice) as r from lineitem where l_quantity is not null and l_extendedprice is not null
+"""))
 def correlation(spark, d):
-    return aggregate.pearson(load(spark, d, "lineitem"), "l_quantity", "l_extendedprice").select("n", F.round("r", 8).alias("r"))
+    out = aggregate.pearson(load(spark, d, "lineitem"), "l_quantity", "l_extendedprice")
+    return out.select("n", F.round("r", 8).alias("r"), F.round("p", 6).alias("p"))
+
+
+@case("correlation_weak", sql_with_p("select count(*) as n, corr(c_acctbal, c_custkey) as r from customer where c_nationkey < 10"))
+def correlation_weak(spark, d):
+    out = aggregate.pearson(load(spark, d, "customer").where("c_nationkey < 10"), "c_acctbal", "c_custkey")
+    return out.select("n", F.round("r", 8).alias("r"), F.round("p", 6).alias("p"))
 
 
 @case("annual_nonnull", """

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from contract.base import case, derived, load, with_derived
+from contract.base import case, derived, load, sql_with_p, with_derived
 from contract.statistics import MASK, sql_boot_median, sql_combine, sql_mix
 from contract.texts import all_flags
 from regdata.functions.text import keyword_flags
@@ -51,12 +51,12 @@ def report_actions_and_funding(spark, d):
     return rounded(enforcement.actions_and_funding(actions(spark, d), derived(spark, d, "funding")), 8, "budget_m")
 
 
-@case("report_funding_correlation", with_derived("enforcement", "funding", body="""
-    select count(*) as n, round(corr(n, admin_budget), 8) as r from (select year, count(*) as n from enforcement group by 1) e join funding f on f.year = e.year
-"""))
+@case("report_funding_correlation", with_derived("enforcement", "funding", body=sql_with_p("""
+    select count(*) as n, corr(n, admin_budget) as r from (select year, count(*) as n from enforcement group by 1) e join funding f on f.year = e.year
+""")))
 def report_funding_correlation(spark, d):
     fact = enforcement.funding_correlation(actions(spark, d), derived(spark, d, "funding"))
-    return fact.select("n", F.round("r", 8).alias("r"))
+    return fact.select("n", F.round("r", 8).alias("r"), F.round("p", 6).alias("p"))
 
 
 def _flagged(spark, d):
@@ -192,11 +192,11 @@ def report_staff_per_year(spark, d):
     return staffing.staff_per_year(_both(spark, d))
 
 
-@case("report_staff_correlation", with_derived("staff", "payroll", "funding", body=_STAFF + """
-    select count(*) as n, round(100 * corr(s, admin_budget), 6) as r_pct from (select year, count(earnings) as s from j group by 1) k join funding f on f.year = k.year
-"""))
+@case("report_staff_correlation", with_derived("staff", "payroll", "funding", body=_STAFF + sql_with_p("""
+    select count(*) as n, corr(s, admin_budget) as r from (select year, count(earnings) as s from j group by 1) k join funding f on f.year = k.year
+""", 100, "r_pct", 6, "p_pct")))
 def report_staff_correlation(spark, d):
-    return rounded(staffing.staff_correlation(_both(spark, d), derived(spark, d, "funding")).select("n", "r_pct"), 6, "r_pct")
+    return rounded(staffing.staff_correlation(_both(spark, d), derived(spark, d, "funding")).select("n", "r_pct", "p_pct"), 6, "r_pct", "p_pct")
 
 
 @case("report_staff_and_funding", with_derived("staff", "payroll", "funding", body=_STAFF + """
