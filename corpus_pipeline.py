@@ -45,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with their number and digest, after the way back was checked."""
     codec = bpe.load_codec(public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
-    coded = bpe.digest_ids(bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), codec), codec))
+    coded = bpe.encode_and_back(docs.select("doc_id", "lang", "source", "text"), codec)
     same = F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")) == F.col("decoded")
     return coded.select(
         "doc_id", "lang", "source", F.when(same, F.col("ids")).otherwise(F.raise_error(F.lit("ids do not decode to the text"))).alias("ids"),

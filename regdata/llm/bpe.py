@@ -231,3 +231,18 @@ def digest_ids(df: DataFrame, ids: str = "ids", out: str = "ids_sha256") -> Data
         return [pa.array([hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(at, at[1:])], pa.string())]
 
     return add_columns(df, make, [(out, T.StringType())])
+
+
+def encode_and_back(df: DataFrame, codec: Codec, text: str = "text", ids: str = "ids", out: str = "decoded", digest: str = "ids_sha256") -> DataFrame:
+    """:func:`encode`, :func:`decode` and :func:`digest_ids` in one pass, with one worker per task."""
+    shared = df.sparkSession.sparkContext.broadcast(codec)
+
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        coded = [shared.value.encode(text_of(t)) for t in column(batch, text)]
+        back = [shared.value.decode(np.frombuffer(c, dtype="<u4").tolist()) for c in coded]
+        return [
+            list_array(np.frombuffer(b"".join(coded), dtype="<i4"), [len(c) // 4 for c in coded]),
+            pa.array(back, pa.binary()), pa.array([hashlib.sha256(c).hexdigest() for c in coded], pa.string()),
+        ]
+
+    return add_columns(df, make, [(ids, T.ArrayType(T.IntegerType())), (out, T.BinaryType()), (digest, T.StringType())])

@@ -18,9 +18,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 def op1_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     """Ids of every text and the bytes they decode to, as digests."""
     codec = bpe.load_codec(public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
-    coded = bpe.encode(table(spark, d, "documents").select("doc_id", "text"), codec).drop("text")
-    both = bpe.digest_ids(bpe.decode(coded, codec))
-    return both.select(
+    return bpe.encode_and_back(table(spark, d, "documents").select("doc_id", "text"), codec).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

@@ -52,6 +52,8 @@ def test_encoding(docs, clashing, codec):
     assert len(rows) == len(ROWS)
     for r in rows:
         assert bytes(r.decoded) == (r.text or "").encode() and (r.ids == []) == (not r.text)
+    once = bpe.encode_and_back(clashing, codec).select("ids", "decoded", "ids_sha256").collect()
+    assert sorted(once, key=repr) == sorted(done.select("ids", "decoded", "ids_sha256").collect(), key=repr)
     assert bpe.decode(bpe.encode(docs.limit(0), codec), codec).count() == 0
 
 
