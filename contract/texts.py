@@ -8,6 +8,7 @@ from contract.base import case, derived, load, with_derived
 from regdata.functions import clean, text
 from regdata.operators import relate
 from regdata.vocab import JOB_CLASSES, LAW_TERMS, ORDER_TERMS
+from regdata.vocab import HTML_REFERENCES
 
 
 def _flag_sql() -> str:
@@ -96,7 +97,7 @@ def money_amounts(spark, d):
 
 @case("proper_noun_runs", """
     select doc_id, len(r) as n, array_to_string(list_transform(r, lambda x: ltrim(x, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')), '|') as runs
-    from (select doc_id, regexp_extract_all(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g'), '(?:\\s*\\b[A-Z][a-z\\-]+\\b)+') as r from documents)
+    from (select doc_id, regexp_extract_all(regexp_replace(replace(strip_accents(text), 'ß', 'ss'), '[^\\x00-\\x7F]', '', 'g'), '(?:\\s*\\b[A-Z][a-z\\-]+\\b)+') as r from documents)
 """)
 def proper_noun_runs(spark, d):
     docs = load(spark, d, "documents")
@@ -109,7 +110,7 @@ _TERMS = "(values ('The'), ('And'), ('Of'), ('That'), ('It')) v(term)"
 
 @case("gazetteer_tags", f"""
     with g as (select term as name from {_TERMS}),
-    r as (select distinct doc_id, ltrim(unnest(regexp_extract_all(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g'), '(?:\\s*\\b[A-Z][a-z\\-]+\\b)+')), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') as run from documents),
+    r as (select distinct doc_id, ltrim(unnest(regexp_extract_all(regexp_replace(replace(strip_accents(text), 'ß', 'ss'), '[^\\x00-\\x7F]', '', 'g'), '(?:\\s*\\b[A-Z][a-z\\-]+\\b)+')), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') as run from documents),
     f as (select doc_id, string_agg(run, '|' order by run) as places, count(*) as n from r join g on run = name group by 1)
     select doc_id, coalesce(places, '') as places, coalesce(n, 0) as n from (select doc_id from documents) left join f using (doc_id)
 """)
@@ -133,7 +134,7 @@ def member_tags(spark, d):
 
 
 @case("page_links", """
-    with l as (select page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as href from pages)
+    with l as (select page_id, replace(unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)), '&amp;', '&') as href from pages)
     select page_id, href, regexp_extract(href, '[^/]*$') as name, count(*) as n from l group by 1, 2, 3
 """)
 def page_links(spark, d):
@@ -141,6 +142,16 @@ def page_links(spark, d):
     return hrefs.groupBy("page_id", "href", text.base_name("href").alias("name")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@case("odd_links", """
+    select page_id, list_aggregate(['a.pdf?x=1&y=' || page_id, 'B/' || page_id, 'c' || page_id || '.pdf', ''], 'string_agg', ' ') as hrefs from pages
+""")
+def odd_links(spark, d):
+    """Single, double and no quotes, any letter case, character references, and text that only looks like a link."""
+    number = F.col("page_id").cast("string")
+    html = F.concat(F.lit("<a href='a.pdf?x=1&amp;y="), number, F.lit("'>x</a><A HREF = \"B/"), number, F.lit("\">y</A> xhref=no <a class=k href=c"), number, F.lit(".pdf>z</a><a href=\"\">"))
+    return load(spark, d, "pages").select("page_id", F.array_join(text.links(html), " ").alias("hrefs"))
+
+
 @case("pdf_links", """
     with l as (select page_id, unnest(regexp_extract_all(replace(html, '">', '.pdf?x=1#top">'), 'href="([^"]*)"', 1)) as href, url from pages)
     select page_id, count(*) as n, min('http://' || split_part(url, '/', 3) || '/' || ltrim(href, '/')) as first_url from l
@@ -154,28 +165,34 @@ def pdf_links(spark, d):
 
 
 @case("html_table_rows", """
-    select n_name as "Facility Name", 'Permit ' || n_nationkey as "Permit Number", case when n_regionkey = 0 then null else r_name end as "Watershed"
+    select 'A & ' || n_name as "Facility Name", 'Permit ' || n_nationkey as "Permit Number", case when n_regionkey = 0 then null else r_name end as "Watershed"
     from nation join region on n_regionkey = r_regionkey
 """)
 def html_table_rows(spark, d):
-    """One page per region whose table lists its nations."""
+    """One page per nation; its table repeats the header, and one name holds a character reference."""
     from regdata.operators.markup import extract_table_rows
 
     n, r = load(spark, d, "nation"), load(spark, d, "region")
     n = n.join(r, n.n_regionkey == r.r_regionkey)
     row = F.concat(
-        F.lit("<tr class='x'>\n <td>"), F.col("n_name"), F.lit("</td><td><b>Permit "), F.col("n_nationkey").cast("string"), F.lit("</b></td><td>"),
+        F.lit("<tr class='x'>\n <td>A &amp; "), F.col("n_name"), F.lit("</td><td><b>Permit "), F.col("n_nationkey").cast("string"), F.lit("</b></td><td>"),
         F.when(F.col("n_regionkey") == 0, "N/A").otherwise(F.col("r_name")), F.lit("</td>\n</tr>"),
     )
-    head = "<html><table><tr><th>Facility Name</th><th>Permit Number</th><th>Watershed</th></tr>"
-    page = F.concat(F.lit(head), F.array_join(F.collect_list(row), "\n"), F.lit("</table></html>"))
-    pages = n.groupBy("n_regionkey").agg(page.alias("html"))
-    return extract_table_rows(pages, ["n_regionkey"], "html", ["Facility Name", "Permit Number", "Watershed"]).drop("n_regionkey")
+    head = "<tr><th>Facility Name</th><th>Permit Number</th><th>Watershed</th></tr>"
+    page = F.concat(F.lit(f"<html><table>{head}"), row, F.lit(f"{head}</table></html>"))
+    pages = n.select("n_nationkey", page.alias("html"))
+    return extract_table_rows(pages, ["n_nationkey"], "html", ["Facility Name", "Permit Number", "Watershed"]).drop("n_nationkey")
+
 
+def sql_references(x: str) -> str:
+    for reference, sign in HTML_REFERENCES.items():
+        x = f"replace({x}, '{reference}', chr({ord(sign)}))"
+    return x
 
-@case("page_headings", """
-    select page_id, trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '<[^>]*>', '', 'g')) as title,
-      split_part(split_part(regexp_replace(html, '<[^>]*>', '', 'g'), ' (PDF', 1), chr(10), 1) as label from pages
+
+@case("page_headings", f"""
+    select page_id, trim({sql_references("regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '<[^>]*>', '', 'g')")}, ' ') as title,
+      split_part(split_part({sql_references("regexp_replace(html, '<[^>]*>', '', 'g')")}, ' (PDF', 1), chr(10), 1) as label from pages
 """)
 def page_headings(spark, d):
     return load(spark, d, "pages").select(
@@ -266,6 +283,15 @@ def ascii_folding(spark, d):
     return load(spark, d, "documents").select("doc_id", text.fold_ascii("text").alias("text"))
 
 
+@case("transliterated", """
+    select doc_id, replace(strip_accents(text), 'ß', 'ss') || ' Joe''s "x" - 2-3 -- 1 1/2 ... AEon <<ok>> 5 EUR ' || doc_id || '?' as text, 1 as lost from documents
+""")
+def transliterated(spark, d):
+    signs = " Joe\u2019s \u201cx\u201d\u00a0\u2013 2\u20113 \u2014 1\u00bd \u2026 \u00c6on \u00abok\u00bb 5 \u20ac "
+    docs = load(spark, d, "documents").select("doc_id", F.concat("text", F.lit(signs), F.col("doc_id").cast("string"), F.lit("\u4e2d?")).alias("text"))
+    return docs.select("doc_id", text.to_ascii("text").alias("text"), text.unspelled("text").alias("lost"))
+
+
 @case("list_literals", "select n_nationkey, upper(n_name) || '|' || upper('town of ' || n_name) as items from nation")
 def list_literals(spark, d):
     literal = F.concat(F.lit("['"), F.col("n_name"), F.lit("', 'town of "), F.col("n_name"), F.lit("']"))

@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from regdata.vocab import DATED_LINE, JOB_LEVEL, MONEY, MONEY_MILLIONS, PROPER_NOUNS
+from regdata.vocab import ASCII_SPELLINGS, DATED_LINE, HTML_REFERENCES, JOB_LEVEL, MONEY, MONEY_MILLIONS, PROPER_NOUNS
 
 from regdata.functions.clean import _c
 
@@ -107,14 +107,39 @@ def fold_ascii(col) -> Column:
     return F.translate(_c(col), *_latin_folding())
 
 
+def _replaced(col, pairs: dict[str, str]) -> Column:
+    out = _c(col)
+    for old, new in pairs.items():
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out
+
+
+def transliterate(col) -> Column:
+    """Accents folded, quotes, dashes, spaces, fractions and ligatures spelled in ASCII; the rest stays."""
+    single = {k: v for k, v in ASCII_SPELLINGS.items() if len(v) == 1}
+    several = {k: v for k, v in ASCII_SPELLINGS.items() if len(v) != 1}
+    return _replaced(F.translate(fold_ascii(col), "".join(single), "".join(single.values())), several)
+
+
+def unspelled(col) -> Column:
+    """How many characters have no ASCII spelling and are lost in :func:`to_ascii`."""
+    return F.regexp_count(transliterate(col), F.lit(r"[^\x00-\x7F]"))
+
+
 def to_ascii(col) -> Column:
-    """Accents folded, whatever is still outside ASCII dropped."""
-    return F.regexp_replace(fold_ascii(col), r"[^\x00-\x7F]", "")
+    """:func:`transliterate`, without the characters that have no spelling (:func:`unspelled` counts them)."""
+    return F.regexp_replace(transliterate(col), r"[^\x00-\x7F]", "")
+
+
+def decode_references(col) -> Column:
+    """Character references of HTML as characters."""
+    return _replaced(col, HTML_REFERENCES)
 
 
 def links(col) -> Column:
-    """All ``href`` targets of a piece of markup."""
-    return F.regexp_extract_all(_c(col), F.lit('href="([^"]*)"'), F.lit(1))
+    """All ``href`` targets of a piece of markup: any letter case, double, single or no quotes."""
+    found = F.regexp_extract_all(_c(col), F.lit(r"""(?i)\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(1))
+    return F.transform(found, lambda x: decode_references(F.regexp_replace(x, r"""^["']|["']$""", "")))
 
 
 def path_part(url) -> Column:
@@ -138,13 +163,15 @@ def join_url(base, href) -> Column:
 
 
 def strip_tags(col) -> Column:
-    return F.trim(F.regexp_replace(_c(col), "<[^>]*>", ""))
+    """Text of a piece of markup, without white space around it."""
+    return F.trim(decode_references(F.regexp_replace(_c(col), "<[^>]*>", "")))
 
 
 def facility_label(col) -> Column:
-    """Text of a facility cell: no markup, no "(PDF" remark, first line only."""
-    text = F.regexp_replace(_c(col), "<[^>]*>", "")
-    return F.split_part(F.split_part(text, F.lit(" (PDF"), F.lit(1)), F.lit("\n"), F.lit(1))
+    """Text of a facility cell: no markup, no "(PDF" remark, first line only, nothing up to a link's title."""
+    text = decode_references(F.regexp_replace(_c(col), "<[^>]*>", ""))
+    first = F.split_part(F.split_part(text, F.lit(" (PDF"), F.lit(1)), F.lit("\n"), F.lit(1))
+    return F.substring_index(first, "in new window.'>", -1)
 
 
 def grouped_number(col) -> Column:

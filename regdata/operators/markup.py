@@ -21,13 +21,14 @@ def extract_links(pages: DataFrame, keys: list[str], html: str, pdf_only: bool =
 def table_rows(pages: DataFrame, keys: list[str], html: str) -> DataFrame:
     """Every table row below the header as a map of header text to cell markup.
 
-    Columns: ``keys``, ``row_no``, ``cells``, ``well_formed`` (as many cells as headers).
+    A row that repeats the first header name is a header again and is left out. Columns: ``keys``, ``row_no``, ``cells``, ``well_formed`` (as many cells as headers).
     """
     rows = F.regexp_extract_all(html, F.lit(ROW), F.lit(1))
     found = pages.select(*keys, F.posexplode(rows).alias("row_no", "_row"), F.try_element_at(rows, F.lit(1)).alias("_head"))
     names = F.transform(F.regexp_extract_all("_head", F.lit(HEAD_CELL), F.lit(1)), strip_tags)
     values = F.regexp_extract_all("_row", F.lit(DATA_CELL), F.lit(1))
     body = found.where("row_no > 0").withColumn("_names", names).withColumn("_values", values)
+    body = body.where(~F.coalesce(F.contains(strip_tags("_row"), F.try_element_at("_names", F.lit(1))), F.lit(False)))
     width = F.least(F.size("_names"), F.size("_values"))
     return body.select(
         *keys, "row_no",

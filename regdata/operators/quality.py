@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+UNREADABLE = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
+
 
 def load_or_none(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
-    """The dataset, or None when it is missing or unreadable."""
+    """The dataset, or None when it is missing or has no readable schema; any other failure is raised."""
     try:
         return spark.read.format(fmt).load(path)
-    except Exception:  # noqa: BLE001 - any reader failure means "unreadable"
-        return None
+    except AnalysisException as e:
+        if e.getCondition() in UNREADABLE:
+            return None
+        raise
 
 
 def count_datasets(tables: dict[str, DataFrame]) -> DataFrame:

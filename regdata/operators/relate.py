@@ -73,18 +73,15 @@ def align_to_spine(df: DataFrame, spine: DataFrame, on: list[str], fill: dict[st
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in (fill or {}).items()})
 
 
-def distinct_values(df: DataFrame, col: str, limit: int = 10_000) -> list:
-    """Sorted distinct values of a category column, refused beyond ``limit`` (as pivot does)."""
-    rows = df.select(col).where(F.col(col).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{col} has more than {limit} values; it is not a category column")
-    return sorted(r[0] for r in rows)
+def distinct_values(df: DataFrame, col: str) -> Column:
+    """Sorted distinct values of a category column as one lazy array, worked out when the plan runs."""
+    return df.where(F.col(col).isNotNull()).agg(F.array_sort(F.collect_set(col))).scalar()
 
 
-def spine_of(keys: DataFrame, categories: dict[str, list]) -> DataFrame:
-    """Keys combined with every category value."""
+def spine_of(keys: DataFrame, categories: dict[str, Column]) -> DataFrame:
+    """Keys combined with every value of arrays of categories."""
     for name, values in categories.items():
-        keys = keys.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+        keys = keys.withColumn("_values", values).withColumn(name, F.explode("_values")).drop("_values")
     return keys
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from regdata.functions.nulls import known_keys
 from regdata.operators.ordered import SALTS, row_numbers, value_pieces, with_value_piece
-from regdata.operators.relate import align_to_spine
+from regdata.operators.relate import align_to_spine, spine_of
 
 
 def month_spine(spark, start: str, end: str, name: str = "month") -> DataFrame:
@@ -82,12 +82,12 @@ def top_per_group(df: DataFrame, by: str, order: list[Column], k: int, out: str
     return known_keys(df, by).withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
 
 
-def index_to_first(df: DataFrame, by: str, year: str, value: str, years: DataFrame, classes: list, out: str = "idx") -> DataFrame:
+def index_to_first(df: DataFrame, by: str, year: str, value: str, years: DataFrame, classes: Column, out: str = "idx") -> DataFrame:
     """Yearly series with the first spine year set to 100; null if a class is absent in that year.
 
     ``df`` holds one row per class and year.
     """
-    spine = years.select(year).distinct().withColumn(by, F.explode(F.array(*[F.lit(c) for c in classes])))
+    spine = spine_of(years.select(year).distinct(), {by: classes})
     full = align_to_spine(df, spine, [by, year])
     w = Window.partitionBy(by).orderBy(year).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return full.withColumn(out, F.try_divide(F.col(value) * 100.0, F.first(value).over(w)))

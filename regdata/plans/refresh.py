@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regdata.operators import quality, series
 from regdata.schemas import FLOORS, REQUIRED, schema_of
+from regdata.session import materialise
 from regdata.sources import readers, sinks
 
 
-def landed(spark: SparkSession, paths: dict[str, str], fmt: str = "csv", multiline: bool = True) -> dict[str, DataFrame | None]:
-    """Landed datasets under their schema, with the columns they really have; None where unreadable."""
+def landed(spark: SparkSession, paths: dict[str, str], fmt: str = "csv", multiline: bool = False) -> dict[str, DataFrame | None]:
+    """Landed datasets under their schema, with the columns they really have; None where unreadable.
+
+    ``multiline`` is for files whose cells hold line breaks; such a file is read by one task.
+    """
     out: dict[str, DataFrame | None] = {}
     for name, path in paths.items():
         raw = quality.load_or_none(spark, path, fmt) if fmt != "csv" else _csv_or_none(spark, path)
@@ -23,8 +28,10 @@ def _csv_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     """Header of a CSV dataset as a table of text columns."""
     try:
         return spark.read.option("header", True).csv(path)
-    except Exception:  # noqa: BLE001 - any reader failure means "unreadable"
-        return None
+    except AnalysisException as e:
+        if e.getCondition() in quality.UNREADABLE:
+            return None
+        raise
 
 
 def _present(name: str, columns: list[str]):
@@ -52,7 +59,7 @@ def refresh(
     """
     tables = landed(spark, paths, fmt)
     previous = previous if previous is not None else spark.createDataFrame([], "dataset string, rows long")
-    checks = quality.check_datasets(tables, REQUIRED, FLOORS, previous).cache()
+    checks = materialise(quality.check_datasets(tables, REQUIRED, FLOORS, previous))
     if checks.where(~F.col("ok")).count() == 0:
         good = {n: df for n, df in tables.items() if df is not None}
         if "wage_index" in good and "payroll" in good:

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regdata.session import shared_folder
+
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder for intermediate files: below the shared folder the cluster names, else local."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        return tempfile.mkdtemp(prefix="spark-")
-    token = spark.range(1).select(F.uuid()).first()[0]
-    return f"{shared.rstrip('/')}/scratch-{token}"
+    """A new folder for intermediate files below the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
 def write_csv(df: DataFrame, path: str, *, compress: bool = False, encoding: str = "UTF-8") -> None:

@@ -78,3 +78,24 @@ ALBERS = {
     "lat0": 0.0, "lon0": -120.0, "lat1": 34.0, "lat2": 40.5,
     "false_east": 0.0, "false_north": -4000000.0,
 }
+
+# Plain spellings of characters outside ASCII that have no accented base letter.
+ASCII_SPELLINGS = {
+    "\u00a0": " ", "\u2002": " ", "\u2003": " ", "\u2009": " ", "\u202f": " ", "\u200b": "", "\ufeff": "",
+    "\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-", "\u2014": "--", "\u2015": "--", "\u2212": "-",
+    "\u2018": "'", "\u2019": "'", "\u201a": ",", "\u201c": '"', "\u201d": '"', "\u201e": ",,", "\u2032": "'", "\u2033": "''",
+    "\u00ab": "<<", "\u00bb": ">>", "\u2026": "...", "\u2022": "*", "\u00b7": "*",
+    "\u00bc": " 1/4", "\u00bd": " 1/2", "\u00be": " 3/4", "\u00b0": "deg", "\u00d7": "x", "\u00f7": "/", "\u00b1": "+-",
+    "\u00a9": "(c)", "\u00ae": "(r)", "\u2122": "(tm)", "\u00a7": "SS", "\u00a3": "GBP", "\u20ac": "EUR", "\u00b5": "u",
+    "\u00df": "ss", "\u00e6": "ae", "\u00c6": "AE", "\u0153": "oe", "\u0152": "OE", "\u00f8": "o", "\u00d8": "O",
+    "\u0142": "l", "\u0141": "L", "\u0111": "d", "\u0110": "D", "\u00f0": "d", "\u00d0": "D", "\u00fe": "th", "\u00de": "Th", "\u0131": "i",
+}
+
+# Character references of HTML that occur in agency pages; the ampersand is read last.
+HTML_REFERENCES = {
+    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#34;": '"', "&apos;": "'", "&#39;": "'", "&#x27;": "'", "&nbsp;": "\u00a0", "&#160;": "\u00a0",
+    "&ndash;": "\u2013", "&#8211;": "\u2013", "&mdash;": "\u2014", "&#8212;": "\u2014", "&lsquo;": "\u2018", "&#8216;": "\u2018",
+    "&rsquo;": "\u2019", "&#8217;": "\u2019", "&ldquo;": "\u201c", "&#8220;": "\u201c", "&rdquo;": "\u201d", "&#8221;": "\u201d",
+    "&hellip;": "\u2026", "&bull;": "\u2022", "&middot;": "\u00b7", "&deg;": "\u00b0", "&frac12;": "\u00bd", "&copy;": "\u00a9", "&reg;": "\u00ae",
+    "&amp;": "&",
+}

@@ -107,7 +107,8 @@ def test_names_and_places(spark):
     assert one(spark, clean.municipality_name("t"), t="Amherst town, Hampshire County") == "Amherst"
     assert tuple(one(spark, clean.comment_period("t"), t="1/2/17 - 2/3/17 (Extended to 3/4/17)")) == ("1/2/17", "2/3/17", "3/4/17")
     assert one(spark, clean.budget_label("t"), t="Env. Agency\nBudget ") == "Environmental Agency Budget"
-    assert one(spark, text.to_ascii("t"), t="Café Łódź €") == "Cafe odz "
+    assert one(spark, text.to_ascii("t"), t="Café Łódź €") == "Cafe Lodz EUR"
+    assert one(spark, text.extract_money(text.to_ascii("t")), t="Joe’s Shop of Salem – $2\u00a0million ½") == 2_000_000
 
 
 def test_proper_nouns_are_whole_runs(spark):
