@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from contract.base import case, derived, load, sql_with_p, with_derived
-from contract.statistics import MASK, sql_boot_median, sql_combine, sql_mix
+from contract.statistics import MASK, sql_boot_median, sql_boot_share, sql_combine, sql_mix
 from contract.texts import all_flags
 from regdata.functions.text import keyword_flags
 from regdata.operators import relate, series
@@ -103,15 +103,17 @@ def report_penalty_histogram(spark, d):
 
 @case("report_median_penalty", sql_boot_median(
     "select o_y as year, v from (select year(o_orderdate) as o_y, case when o_orderstatus = 'F' then null else o_totalprice end as v from orders) where o_y < (select max(year(o_orderdate)) from orders)",
-    "year", 200, 4, {"low": 0.05, "median": 0.5, "high": 0.95},
+    "year", 1000, 4, {"low": 0.05, "median": 0.5, "high": 0.95}, nulls=True,
 ))
 def report_median_penalty(spark, d):
-    return rounded(enforcement.median_penalty(actions(spark, d), 200, 4, drop_null_first=True), 6, "low", "median", "high")
+    return rounded(enforcement.median_penalty(actions(spark, d), 1000, 4), 6, "low", "median", "high")
 
 
-@case("report_orders_with_penalty")
+@case("report_orders_with_penalty", with_derived("enforcement", body=", " + sql_boot_share(
+    "select year, fine > 0 as hit from enforcement where contains(lower(text), 'consent order')", "year", 1000, 2, {"low": 0.05, "pct": 0.5, "high": 0.95},
+)))
 def report_orders_with_penalty(spark, d):
-    return enforcement.orders_with_penalty(_flagged(spark, d), "order_consent order", 500, 2)
+    return rounded(enforcement.orders_with_penalty(_flagged(spark, d), "order_consent order", 1000, 2), 6, "low", "pct", "high")
 
 
 @case("report_orders_with_penalty_counts", with_derived("enforcement", body="""

@@ -39,14 +39,46 @@ def sql_poisson(h: str) -> str:
     return "(" + " + ".join(out) + ")"
 
 
-def sql_boot_median(src: str, g: str, reps: int, seed: int, probs: dict[str, float], nd: int = 6) -> str:
-    """``src`` gives columns (g, v); groups have at least three values."""
+def sql_binomial(g: str, rows: str, u: str) -> str:
+    """Tables ``law`` and ``hits`` (g, rep, hits): ``rows`` holds g, size, k, and one number ``u`` per rep."""
+    return f"""
+    bound as (select {g}, size, k, greatest(floor(k - reach), 0)::bigint as lo, least(ceil(k + reach), size)::bigint as hi
+              from (select *, sqrt(k * (1 - k / size)) * 12 + 12 as reach from (select distinct {g}, size, k from {rows}))),
+    step as (select {g}, size, k, lo, unnest(range(lo, hi + 1)) as j from bound),
+    lg as (select *, sum(case when j = lo or k = 0 or k = size then 0.0::double else ln((size - j + 1)::double / j) + ln(k::double / (size - k)) end)
+                     over (partition by {g} order by j rows unbounded preceding) as l from step),
+    ms as (select *, exp(l - max(l) over (partition by {g})) as mass from lg),
+    law as (select {g}, lo, j, sum(mass) over (partition by {g} order by j rows unbounded preceding) / sum(mass) over (partition by {g}) as cum from ms),
+    hits as (select r.{g}, r.rep, case when any_value(r.k) = 0 then 0 when any_value(r.k) = any_value(r.size) then any_value(r.size)
+                    else least(any_value(b.lo) + count(law.j), any_value(r.size)) end as hits
+             from {rows} r join bound b on b.{g} = r.{g} left join law on law.{g} = r.{g} and law.cum < {u} group by 1, 2)"""
+
+
+def sql_boot_share(src: str, g: str, reps: int, seed: int, probs: dict[str, float], nd: int = 6) -> str:
+    """``src`` gives columns (g, hit)."""
+    return f"""
+    src as ({src}),
+    c as (select {g}, count(*) as size, count(case when hit then 1 end) as k from src where {g} is not null group by 1),
+    rr as (select *, ({sql_combine(sql_combine(seed, sql_text31(g)), 'rep')} + 0.5) / 2147483648.0 as u from c, range({reps}) t(rep)),
+    {sql_binomial(g, 'rr', 'r.u')}
+    select {g}, {', '.join(f"round(100 * quantile_cont(hits::double / size, {p}), {nd}) as {c}" for c, p in probs.items())} from hits join c using ({g}) group by {g}
+    """
+
+
+def sql_boot_median(src: str, g: str, reps: int, seed: int, probs: dict[str, float], nd: int = 6, nulls: bool = False) -> str:
+    """``src`` gives columns (g, v); groups have at least three values. With ``nulls`` missing rows are drawn too."""
+    base = sql_combine(sql_combine(seed, sql_text31(g)), "rep")
+    sizes = f"""
+    rr as (select {g}, n as k, size, rep, {base} as base, ({sql_combine(base, 7)} + 0.5) / 2147483648.0 as u
+           from n join (select {g} as other, count(*) as size from src group by 1) on other = {g}, range({reps}) t(rep)),
+    {sql_binomial(g, 'rr', 'r.u')},
+    r as (select rr.{g}, k as n, hits as m, rr.rep, base from rr join hits on hits.{g} = rr.{g} and hits.rep = rr.rep where hits > 0),""" if nulls else f"""
+    r as (select {g}, n, n as m, rep, {base} as base from n, range({reps}) t(rep)),"""
     return f"""
     with src as ({src}),
     s as (select {g}, v, row_number() over (partition by {g} order by v) - 1 as rk from src where v is not null),
-    n as (select {g}, count(*) as n from s group by {g}),
-    r as (select {g}, n, rep, {sql_combine(sql_combine(seed, sql_text31(g)), 'rep')} as base from n, range({reps}) t(rep)),
-    t as (select *, n // 2 as half, n // 2 + 1 as a, n - n // 2 as b, {sql_combine('base', 'tr * 2')} as h1 from r, range(1, 25) q(tr)),
+    n as (select {g}, count(*) as n from s group by {g}),{sizes}
+    t as (select *, m // 2 as half, m // 2 + 1 as a, m - m // 2 as b, {sql_combine('base', 'tr * 2')} as h1 from r, range(1, 25) q(tr)),
     u as (select *, (h1 + 0.5) / 2147483648.0 as u1, ({sql_combine('h1', 1)} + 0.5) / 2147483648.0 as u2,
                  least(a, b)::double as p, greatest(a, b)::double as q from t),
     w as (select *, sqrt((p + q - 2) / (p * q * 2 - (p + q))) as slope from u),
@@ -54,9 +86,9 @@ def sql_boot_median(src: str, g: str, reps: int, seed: int, probs: dict[str, flo
     y as (select *, p * exp(vv) as ww from x),
     k as (select {g}, rep, arg_min(case when a <= b then ww / (q + ww) else q / (q + ww) end, tr) as place from y
           where (p + 1 / slope) * vv - ln(4.0::double) + (p + q) * ln((p + q) / (q + ww)) >= ln((u1 * u1 * u2)::double) group by 1, 2),
-    m as (select r.{g}, r.rep, n, place as hi, case when n % 2 = 1 then place
-            else place * pow(({sql_combine('base', 5)} + 0.5) / 2147483648.0, 1.0 / (n // 2)) end as lo from r join k on r.{g} = k.{g} and r.rep = k.rep),
-    z as (select {g}, rep, least(floor(unnest([lo, hi]) * n), n - 1)::bigint as rk from m),
+    mm as (select r.{g}, r.rep, n, place as hi, case when m % 2 = 1 then place
+            else place * pow(({sql_combine('base', 5)} + 0.5) / 2147483648.0, 1.0 / (m // 2)) end as lo from r join k on r.{g} = k.{g} and r.rep = k.rep),
+    z as (select {g}, rep, least(floor(unnest([lo, hi]) * n), n - 1)::bigint as rk from mm),
     e as (select z.{g}, z.rep, avg(v) as stat from z join s on s.{g} = z.{g} and s.rk = z.rk group by 1, 2)
     select {g}, {', '.join(f"round(quantile_cont(stat, {p}), {nd}) as {c}" for c, p in probs.items())} from e group by {g}
     """
@@ -224,24 +256,32 @@ def sample_rows(spark, d):
 
 @case("boot_median", sql_boot_median(
     "select o_orderpriority, case when o_orderstatus = 'F' then null else o_totalprice end as v from orders",
-    "o_orderpriority", 200, 11, {"p05": 0.05, "p50": 0.5, "p95": 0.95},
+    "o_orderpriority", 1000, 11, {"p05": 0.05, "p50": 0.5, "p95": 0.95},
 ))
 def boot_median(spark, d):
     o = load(spark, d, "orders").select("o_orderpriority", F.when(F.col("o_orderstatus") != "F", F.col("o_totalprice")).alias("v"))
-    ci = resample.bootstrap_ci(o, ["o_orderpriority"], "v", "median", reps=200, seed=11, drop_null_first=True)
+    ci = resample.bootstrap_ci(o, ["o_orderpriority"], "v", "median", reps=1000, seed=11, drop_null_first=True)
     return ci.select("o_orderpriority", *[F.round(c, 6).alias(c) for c in ("p05", "p50", "p95")])
 
 
-@case("boot_median_with_nulls")
+@case("boot_median_with_nulls", sql_boot_median(
+    "select o_orderpriority, case when o_orderstatus = 'F' then null else o_totalprice end as v from orders",
+    "o_orderpriority", 1000, 11, {"p05": 0.05, "p50": 0.5, "p95": 0.95}, nulls=True,
+))
 def boot_median_with_nulls(spark, d):
     o = load(spark, d, "orders").select("o_orderpriority", F.when(F.col("o_orderstatus") != "F", F.col("o_totalprice")).alias("v"))
-    return resample.bootstrap_ci(o, ["o_orderpriority"], "v", "median", reps=200, seed=11)
+    ci = resample.bootstrap_ci(o, ["o_orderpriority"], "v", "median", reps=1000, seed=11)
+    return ci.select("o_orderpriority", *[F.round(c, 6).alias(c) for c in ("p05", "p50", "p95")])
 
 
-@case("boot_share")
+@case("boot_share", "with " + sql_boot_share(
+    "select year(o_orderdate) as year, o_orderstatus = 'F' as hit from orders where o_orderpriority <> '5-LOW'",
+    "year", 1000, 3, {"p05": 0.05, "p50": 0.5, "p95": 0.95},
+))
 def boot_share(spark, d):
     o = load(spark, d, "orders").where("o_orderpriority <> '5-LOW'").withColumn("year", F.year("o_orderdate"))
-    return resample.bootstrap_ci(o, ["year"], F.col("o_orderstatus") == "F", "share", reps=500, seed=3, scale=100.0)
+    ci = resample.bootstrap_ci(o, ["year"], F.col("o_orderstatus") == "F", "share", reps=1000, seed=3, scale=100.0)
+    return ci.select("year", *[F.round(c, 6).alias(c) for c in ("p05", "p50", "p95")])
 
 
 _WBOOT = """

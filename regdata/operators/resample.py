@@ -14,10 +14,8 @@ Random numbers are hashes of (seed, group, replicate), so runs agree with each o
 
 import math
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from regdata.functions.clean import _c
 from regdata.functions.nulls import known_keys
@@ -108,10 +106,10 @@ def median_replicates(df: DataFrame, by: list[str], col: str, reps: int, seed: i
             F.count(F.lit(1)).alias("_all"),
             F.count_if(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).alias("n"),
         )
-        draws = _replicates(rows.where("n > 0"), by, reps, seed)
-        share = F.col("n") / F.col("_all")
-        draws = draws.withColumn("m", binomial_draw(F.col("_all"), share, combine31("_base", F.lit(7).cast("long"))))
-        draws = draws.where("m > 0")
+        counts = binomial_law(materialise(rows.where("n > 0")), by, "_all", "n")
+        draws = _once(_replicates(counts, by, reps, seed), "_u", combine31("_base", F.lit(7).cast("long")))
+        draws = draws.withColumn("m", binomial_draw(uniform31("_u"), "_all", "n")).drop("_u", "_lo", "_law")
+        draws = materialise(draws.where("m > 0"))
     half = F.floor(F.col("m") / 2)
     odd = F.col("m") % 2 == 1
     # upper middle value: the (half + 1)-th smallest of m draws
@@ -151,16 +149,37 @@ def _values_at(ranks: DataFrame, draws: DataFrame, by: list[str]) -> DataFrame:
     return joined.where((F.col("start") <= F.col("_rank")) & (F.col("_rank") < F.col("end")))
 
 
-def binomial_draw(n: Column, p: Column, seed: Column) -> Column:
-    """Binomial draw per row, seeded by a hash; a small Arrow function on one row per replicate."""
+LAW_SD = 12  # a binomial law is tabled this many standard deviations around its mean, plus as many counts
 
-    def draw(n: pd.Series, p: pd.Series, seed: pd.Series) -> pd.Series:
-        import numpy as np
 
-        draws = [np.random.Generator(np.random.Philox(key=int(s))).binomial(int(a), b) for a, b, s in zip(n, p, seed)]
-        return pd.Series(draws, dtype="int64")
+def binomial_law(counts: DataFrame, by: list[str], n: str, k: str) -> DataFrame:
+    """``by``, ``n``, ``k``, ``_lo`` and ``_law``: the cumulative law of hits among ``n`` draws of which a share k / n hits.
 
-    return F.pandas_udf(draw, T.LongType())(n.cast("long"), p.cast("double"), seed)
+    ``_law[i]`` is the probability of at most ``_lo + i`` hits. The tails left out weigh less
+    than 1e-30, so a group has some 24 sqrt(n) / 2 rows, whatever its size.
+    """
+    mean, share = F.col(k).cast("double"), F.col(k) / F.col(n)
+    reach = F.sqrt(mean * (1 - share)) * LAW_SD + LAW_SD
+    low = F.greatest(F.floor(mean - reach), F.lit(0)).cast("long")
+    high = F.least(F.ceil(mean + reach), F.col(n)).cast("long")
+    rows = counts.select(*by, n, k, low.alias("_lo"), F.explode(F.sequence(low, high)).alias("_j"))
+    ratio = F.ln((F.col(n) - F.col("_j") + 1) / F.col("_j")) + F.ln(F.col(k) / (F.col(n) - F.col(k)))
+    flat = (F.col("_j") == F.col("_lo")) | (F.col(k) == 0) | (F.col(k) == F.col(n))
+    whole, upto = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_j").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_log", F.sum(F.when(flat, 0.0).otherwise(ratio)).over(upto))
+    rows = rows.withColumn("_mass", F.exp(F.col("_log") - F.max("_log").over(whole)))
+    rows = rows.withColumn("_cum", F.sum("_mass").over(upto) / F.sum("_mass").over(whole))
+    table = F.sort_array(F.collect_list(F.struct("_j", "_cum")))
+    law = rows.groupBy(*by).agg(F.first(n).alias(n), F.first(k).alias(k), F.min("_lo").alias("_lo"), table.alias("_law"))
+    return law.withColumn("_law", F.col("_law").getField("_cum"))
+
+
+def binomial_draw(u: Column, n: str, k: str) -> Column:
+    """Hits drawn by a uniform number from the law of its row, by binary search."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(31))])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get("_law", at + step - 1) < u, F.lit(False)), at + step).otherwise(at))
+    drawn = F.least(F.col("_lo") + below, F.col(n))
+    return F.when(F.col(k) == 0, 0).when(F.col(k) == F.col(n), F.col(n)).otherwise(drawn).cast("long")
 
 
 def share_replicates(df: DataFrame, by: list[str], hit: Column, reps: int, seed: int) -> DataFrame:
@@ -168,8 +187,9 @@ def share_replicates(df: DataFrame, by: list[str], hit: Column, reps: int, seed:
     counts = known_keys(df, *by).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(hit, F.lit(False))).alias("k")
     )
+    counts = binomial_law(materialise(counts), by, "n", "k")
     draws = _replicates(counts, by, reps, seed)
-    return draws.select(*by, "rep", (binomial_draw(F.col("n"), F.col("k") / F.col("n"), F.col("_base")) / F.col("n")).alias("stat"))
+    return draws.select(*by, "rep", (binomial_draw(uniform31("_base"), "n", "k") / F.col("n")).alias("stat"))
 
 
 def summarise(replicates: DataFrame, by: list[str], probs: list[float], names: list[str], scale: float = 1.0) -> DataFrame:
