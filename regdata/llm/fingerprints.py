@@ -146,7 +146,8 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     chain = materialise(following(plain.groupBy("_null", "_id").agg(F.max(F.length("_text")).alias("_need"), F.min(mark).alias("_first"))))
 
     after = chain.select(F.col("_null").alias("_to_null"), F.col("_id").alias("_to"), "_need", F.col("_next_null").alias("_null"), F.col("_next").alias("_id"), "_next_first")
-    heads = plain.join(after, ["_null", "_id"]).where(mark == F.col("_next_first"))
+    # not an equality of columns, which would become a join key and part this shuffle from the next
+    heads = plain.join(after, ["_null", "_id"]).where(mark.bitwiseXOR(F.col("_next_first")) == 0)
     heads = heads.select(F.col("_to_null").alias("_null"), F.col("_to").alias("_id"), F.left("_text", F.floor(F.col("_need") / 4).cast("int")).alias("_head"))
     heads = heads.groupBy("_null", "_id").agg(F.first("_head").alias("_head"))
 
