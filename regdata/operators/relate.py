@@ -78,9 +78,11 @@ def distinct_values(df: DataFrame, col: str) -> Column:
     return df.where(F.col(col).isNotNull()).agg(F.array_sort(F.collect_set(col))).scalar()
 
 
-def spine_of(keys: DataFrame, categories: dict[str, Column]) -> DataFrame:
-    """Keys combined with every value of arrays of categories."""
+def spine_of(keys: DataFrame, categories: dict[str, Column | list]) -> DataFrame:
+    """Keys combined with every category, given as literal values or as an array column."""
     for name, values in categories.items():
+        if not isinstance(values, Column):
+            values = F.array(*[F.lit(v) for v in values])
         keys = keys.withColumn("_values", values).withColumn(name, F.explode("_values")).drop("_values")
     return keys
 

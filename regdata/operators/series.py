@@ -82,7 +82,7 @@ def top_per_group(df: DataFrame, by: str, order: list[Column], k: int, out: str
     return known_keys(df, by).withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
 
 
-def index_to_first(df: DataFrame, by: str, year: str, value: str, years: DataFrame, classes: Column, out: str = "idx") -> DataFrame:
+def index_to_first(df: DataFrame, by: str, year: str, value: str, years: DataFrame, classes: Column | list, out: str = "idx") -> DataFrame:
     """Yearly series with the first spine year set to 100; null if a class is absent in that year.
 
     ``df`` holds one row per class and year.

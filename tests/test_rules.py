@@ -159,3 +159,16 @@ def test_expression_rates(spark):
     assert abs(one(spark, clean.rate("n", "p", 1e5), n=51.0, p=40419.0) - 126.17828249090773) < 1e-12
     assert one(spark, clean.one_significant_digit("v"), v=819200.0) == 800000.0
     assert F.lit(1) is not None
+
+
+def test_spine_takes_any_number_of_categories(spark):
+    cats = spark.range(20_001).select(F.concat(F.lit("c"), "id").alias("c"))
+    spine = relate.spine_of(spark.range(2).withColumnRenamed("id", "k"), {"c": relate.distinct_values(cats, "c")})
+    assert spine.count() == 40_002 and spine.where("c is null").count() == 0
+
+
+def test_links_references_and_headers(spark):
+    html = """<a href='x.pdf?a=1&amp;b'>x</a><A HREF=y.pdf>y</A> nohref="no" <a class="k" href = "z">"""
+    assert one(spark, text.links("t"), t=html) == ["x.pdf?a=1&b", "y.pdf", "z"]
+    assert one(spark, text.facility_label("t"), t="<a>opens in new window.'>Mill &amp; Co (PDF 1)</a>\nrest") == "Mill & Co"
+    assert one(spark, text.unspelled("t"), t="\u4e2d\u6587 \u2013 \u00e9") == 2
