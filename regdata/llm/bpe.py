@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from regdata.llm.arrow import add_columns, column, list_array, lists, text_of
 
-MEMO = 200_000  # answers kept per worker and table, up to twice
+MEMO = 350_000  # answers kept per worker and table, up to twice
 # Fixed value: the published pattern in which a space joins the letters, digits or signs after it.
 SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 JOINED = regex.compile(r" (?=\s|$)").search  # a space that does not stand alone before other text
@@ -95,16 +95,17 @@ class PerfectHash:
         return [s if self.keys[s] == k else -1 for s, k in zip(at, keys)]
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+def merge(piece: bytes, ranks: dict[bytes, int], pairs: list[int | None]) -> list[int]:
     """Merge the bytes of a piece, lowest rank first, then leftmost.
 
     A heap entry packs rank, first byte and end of two neighbouring parts into one number.
+    ``pairs`` has the ranks of two bytes, by their 16-bit number.
     """
     n = len(piece)
     bits = n.bit_length()
     low, get = (1 << bits) - 1, ranks.get
     before, end = list(range(-1, n)), list(range(1, n + 1))  # end[i] of the part that begins at i; 0 once merged away
-    heap = [(r << bits | i) << bits | i + 2 for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
+    heap = [(r << bits | i) << bits | i + 2 for i, (a, b) in enumerate(zip(piece, piece[1:])) if (r := pairs[a << 8 | b]) is not None]
     heapq.heapify(heap)
     while heap:
         entry = heapq.heappop(heap)
@@ -152,6 +153,7 @@ class Codec:
         self.hash = PerfectHash(list(self.ranks))
         self.slot_ids = [int(self.ranks[k]).to_bytes(4, "little") for k in self.hash.keys]
         self.tokens = {i: k for k, i in self.ranks.items()}
+        self.pairs = [self.ranks.get(bytes((a, b))) for a in range(256) for b in range(256)]
         self._start()
 
     def _start(self) -> None:
@@ -169,7 +171,7 @@ class Codec:
         """Ids of matches of the pattern."""
         raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
         return [
-            self.slot_ids[slot] if slot >= 0 else struct.pack(f"<{len(ids)}I", *ids) if (ids := merge(key, self.ranks)) else b""
+            self.slot_ids[slot] if slot >= 0 else struct.pack(f"<{len(ids)}I", *ids) if (ids := merge(key, self.ranks, self.pairs)) else b""
             for key, slot in zip(raw, self.hash.find(raw))
         ]
 
