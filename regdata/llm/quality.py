@@ -1,7 +1,7 @@
 """Quality classifier: averaged vectors of words and character n-grams, softmax on top.
 
 Every word and every run of 3 or 4 characters inside a word names, by its hash, one of a
-fixed number of vectors. A document is the mean of its vectors; a softmax layer turns it
+fixed number of vectors; a word that repeats the one before it names one more. A document is the mean of its vectors; a softmax layer turns it
 into two probabilities. Vectors and layer are learned by stochastic gradient descent in
 numpy from a bounded sample of labelled documents: the ``sample`` smallest by a hash of
 their id, so that it does not depend on the order of rows. Features of the sample are
@@ -28,8 +28,10 @@ from regdata.llm.words import Words, between, chunks
 
 GRAMS = (3, 4)
 BITS = 17  # words have 2**BITS vectors, n-grams as many again
+AGAIN = 2 << BITS  # the vector of a word that repeats the one before
+BUCKETS = AGAIN + 1
 SAMPLE = 4000  # labelled documents that are learned from, at most
-DIM, EPOCHS, RATE, SEED = 8, 6, 0.5, 8
+DIM, EPOCHS, STEPS, RATE, SEED = 8, 6, 12_000, 0.5, 8  # a small sample is gone through until STEPS steps are made
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -38,6 +40,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     shift = np.uint64(64 - BITS)
     text = np.repeat(np.arange(len(offsets) - 1), words.count)
     buckets, texts = [(words.hash >> shift).astype(np.int32)], [text]
+    again = np.flatnonzero((words.hash[1:] == words.hash[:-1]) & (text[1:] == text[:-1]))
+    buckets.append(np.full(len(again), AGAIN, dtype=np.int32))
+    texts.append(text[again])
     chars = np.flatnonzero((data & 0xC0) != 0x80)  # first bytes
     place = np.searchsorted(words.start, chars, side="right") - 1
     inside = place >= 0
@@ -64,10 +69,10 @@ def counted(df: DataFrame, text: str) -> DataFrame:
         which, often, sizes = [], [], []
         for start, end, data, offsets in chunks(column(batch, text)):
             bucket, doc = features(data, offsets)
-            key, n = np.unique(doc.astype(np.int64) << (BITS + 1) | bucket, return_counts=True)
-            which.append((key & ((2 << BITS) - 1)).astype(np.int32))
+            key, n = np.unique(doc.astype(np.int64) << (BITS + 2) | bucket, return_counts=True)
+            which.append((key & ((4 << BITS) - 1)).astype(np.int32))
             often.append(n.astype(np.int32))
-            sizes.append(np.bincount(key >> (BITS + 1), minlength=end - start))
+            sizes.append(np.bincount(key >> (BITS + 2), minlength=end - start))
         empty = np.zeros(0, np.int32)
         counts = np.concatenate(sizes) if sizes else empty
         return [list_array(np.concatenate([empty, *x]), counts) for x in (which, often)]
@@ -79,10 +84,11 @@ def counted(df: DataFrame, text: str) -> DataFrame:
 def descend(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float]:
     """Learn from (label, buckets, counts); give one weight per bucket and a bias."""
     rng = np.random.Generator(np.random.Philox(key=SEED))
-    vectors = rng.uniform(-1 / DIM, 1 / DIM, (2 << BITS, DIM)).astype(np.float32)
+    vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     layer, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
-    step, steps = 0, EPOCHS * len(rows)
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS // len(rows)))
+    step, steps = 0, epochs * len(rows)
+    for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             label, which, often = rows[i]
             rate = np.float32(RATE * (1 - step / steps))
@@ -110,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     found = counted(rows, text).select(order.alias("_order"), "_label", "_which", "_often").toPandas()
     found = found.sort_values(["_order", "_label"], kind="stable")
     if found.empty:
-        return np.zeros(2 << BITS, np.float32), 0.0
+        return np.zeros(BUCKETS, np.float32), 0.0
     return descend([(int(r[1]), np.asarray(r[2]), np.asarray(r[3])) for r in found.itertuples(index=False)])
 
 
