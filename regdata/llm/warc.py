@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from regdata.llm.arrow import column, share_code
 from regdata.llm.few import with_marks
+from regdata.operators.skew import spread_out
 from regdata.session import materialise, shared_folder
 
 FRAME, BUNDLE = 1 << 18, 1 << 26
@@ -216,7 +217,8 @@ def read_frames(frames: DataFrame) -> DataFrame:
                 names = [c.split()[0] for c in RECORD.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return frames.mapInArrow(run, RECORD)
+    # a frame's row is tiny, what it names is not: without this adaptive execution puts all into one task
+    return spread_out(frames, "file", "frame").mapInArrow(run, RECORD)
 
 
 def find_records(index: DataFrame, ids: DataFrame) -> DataFrame:
