@@ -1,20 +1,24 @@
-"""Line dedup by pairwise alignment.
+"""Line dedup: blocks of lines that an earlier document holds are deleted.
 
-A line that occurs once in its document and is not trivially short is an anchor. Its owner
-is the smallest id among the documents that hold it, so each document is paired with the
-owners of its anchors only: a star per line, at most one pair per line, whatever the number
-of holders. Each pair's lines are aligned by patience diff: lines that occur once on both
-sides are put in their longest common order, the stretches between them are treated the
-same way, and equal lines at either end of a stretch are matched. Runs of matched lines
-that are consecutive on both sides are common blocks; blocks of at least ``MIN_BLOCK``
-characters are deleted from the later document.
+A block is a run of neighbouring lines of at least ``MIN_BLOCK`` characters. A line is deleted
+when it stands in a block that a document with a smaller id holds too, in a row, anywhere. That
+covers what aligning a document with every earlier one would match, and also blocks that stand
+more than once, in another order, or in different earlier documents.
 
-Lines travel as 64-bit hashes, the texts only meet the list of lines to delete.
+Not all blocks have to be compared. From each line the shortest block that starts there and the
+shortest that ends there are taken, two per line at most. A shared block is covered by those
+inside it: a line whose shortest block to the left does not fit has fewer than ``MIN_BLOCK``
+characters up to it, so the shortest block from the first line reaches it. Each of these has a
+first holder of its own, the smallest id, and goes from all later holders: a star per block,
+linear whatever the number of holders.
+
+Blocks travel as 64-bit hashes, the texts only meet the list of blocks to delete. ``patience``
+and ``common_blocks`` align one pair of documents; dedup itself needs no pairs.
 
 Defined results: a null text has no lines and stays null; a document without an id stays as it
 is; of several rows with one id but different texts only the one with the smallest hash is
-aligned, equal rows are treated alike. A document all of whose lines are deleted keeps an
-empty text.
+compared, equal rows are treated alike. A document all of whose lines are deleted keeps an
+empty text. A document of fewer than ``MIN_BLOCK`` characters has no blocks.
 """
 
 from __future__ import annotations
@@ -27,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regdata.llm.arrow import add_columns, column, list_array, parcel, without
+from regdata.llm.arrow import add_columns, column, list_array, lists, parcel, without
 from regdata.llm.few import with_marks
+from regdata.llm.words import between, running, signed
 from regdata.session import materialise
 
-MIN_LINE = 20  # characters of an anchor
 MIN_BLOCK = 40  # characters of a deleted block
+LONGS = T.ArrayType(T.LongType())
 
 
 def once(lines: list[int], lo: int, hi: int) -> dict[int, int]:
@@ -93,45 +98,69 @@ def common_blocks(a: list[int], b: list[int], lengths: list[int], least: int) ->
     return out
 
 
-def deletions(docs: DataFrame, key: str, text: str, min_line: int, min_block: int) -> DataFrame:
-    """Lines to delete: ``key``, ``_text`` (hash of the text), ``_drop`` (places)."""
+def shortest_blocks(lengths: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First line and line after the last of the shortest blocks of at least ``least`` characters
+    from every line and to every line, in order; document k has the lines ``offsets[k]`` to ``offsets[k + 1]``."""
+    n = len(lengths)
+    chars = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    at, held = np.arange(n), np.diff(offsets)
+    begin, end = np.repeat(offsets[:-1], held), np.repeat(offsets[1:], held)
+    to = np.maximum(np.searchsorted(chars, chars[:-1] + least, side="left"), at + 1)
+    since = np.minimum(np.searchsorted(chars, chars[1:] - least, side="right") - 1, at)
+    down, up = to <= end, since >= begin
+    both = np.concatenate([at[down] * (n + 1) + to[down], since[up] * (n + 1) + at[up] + 1])
+    return np.divmod(np.unique(both), n + 1)
+
+
+def deletions(docs: DataFrame, key: str, text: str, min_block: int) -> DataFrame:
+    """Blocks to delete: ``key``, ``_text`` (hash of the text), ``_drop`` (first line * 2**32 + line after the last)."""
     split = F.split(text, "\n")
     lined = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).alias("_doc"), F.xxhash64(text).alias("_text"),
         F.transform(split, lambda x: F.xxhash64(x)).alias("_lines"), F.transform(split, lambda x: F.length(x)).alias("_lengths"),
     )
     one = lined.groupBy("_doc").agg(F.min_by(F.struct("_text", "_lines", "_lengths"), "_text").alias("_s")).select("_doc", "_s.*")
-    held = one.select("_doc", F.inline(F.arrays_zip("_lines", "_lengths")).alias("_line", "_length"))
-    held = held.groupBy("_doc", "_line").agg(F.count(F.lit(1)).alias("_n"), F.max("_length").alias("_length"))
-    held = held.where((F.col("_n") == 1) & (F.col("_length") >= min_line)).select("_doc", "_line")
-    owners = held.groupBy("_line").agg(F.min("_doc").alias("_owner"), F.max("_doc").alias("_last"))
-    owners = owners.where("_owner < _last").select("_line", "_owner")
-    pairs = held.join(owners, "_line").where("_owner < _doc").select("_owner", "_doc").distinct()
-    pairs = pairs.join(one.select(F.col("_doc").alias("_owner"), F.col("_lines").alias("_a")), "_owner").join(one, "_doc")
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        sides = [column(batch, c).to_pylist() for c in ("_a", "_lines", "_lengths")]
-        drop = [common_blocks(a, b, n, min_block) for a, b, n in zip(*sides)]
-        return [list_array(np.array([x for d in drop for x in d], dtype=np.int32), [len(d) for d in drop])]
-
-    found = add_columns(pairs, make, [("_drop", T.ArrayType(T.IntegerType()))])
-    each = found.select(F.col("_doc").alias(key), "_text", F.explode("_drop").alias("_at"))
-    return each.groupBy(key, "_text").agg(F.collect_set("_at").alias("_drop"))
-
-
-def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_line: int = MIN_LINE, min_block: int = MIN_BLOCK) -> DataFrame:
+        hashes, offsets = lists(column(batch, "_lines"))
+        start, end = shortest_blocks(lists(column(batch, "_lengths"))[0], offsets, min_block)
+        doc = np.searchsorted(offsets, start, side="right") - 1
+        counts = np.bincount(doc, minlength=batch.num_rows)
+        places = ((start - offsets[doc]) << 32) | (end - offsets[doc])
+        return [list_array(signed(between(running(hashes.view(np.uint64)), start, end)), counts), list_array(places, counts)]
+
+    blocks = add_columns(one, make, [("_blocks", LONGS), ("_places", LONGS)])
+    held = blocks.select("_doc", "_text", F.inline(F.arrays_zip("_blocks", "_places")).alias("_block", "_place"))
+    owners = held.groupBy("_block").agg(F.min("_doc").alias("_owner"), F.max("_doc").alias("_last"))
+    owners = owners.where("_owner < _last").select("_block", "_owner")
+    found = held.join(owners, "_block").where("_owner < _doc")
+    return found.groupBy(F.col("_doc").alias(key), "_text").agg(F.collect_list("_place").alias("_drop"))
+
+
+def covered(places: list[int], n: int) -> np.ndarray:
+    """Which of n lines stand in the blocks."""
+    edges = np.zeros(n + 1, dtype=np.int64)
+    packed = np.array(places, dtype=np.int64)
+    np.add.at(edges, packed >> 32, 1)
+    np.add.at(edges, packed & 0xFFFFFFFF, -1)
+    return np.cumsum(edges[:-1]) > 0
+
+
+def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_block: int = MIN_BLOCK) -> DataFrame:
     """The documents with common blocks deleted, and ``n_lines``, ``n_removed``."""
     rows, columns = parcel(without(docs, "n_lines", "n_removed"), _key=key, _t=text)
     rows = rows.withColumn("_text", F.xxhash64("_t"))
-    marked = with_marks(rows, materialise(deletions(rows, "_key", "_t", min_line, min_block)), ["_key", "_text"])
+    marked = with_marks(rows, materialise(deletions(rows, "_key", "_t", min_block)), ["_key", "_text"])
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         kept, lines, removed = [], [], []
         for t, d in zip(column(batch, "_t"), column(batch, "_drop")):
-            t, gone = t.as_py(), set(d.as_py() or ())
-            lines.append(0 if t is None else t.count("\n") + 1)
-            removed.append(len(gone))
-            kept.append("\n".join([x for i, x in enumerate(t.split("\n")) if i not in gone]) if gone else t)
+            t, places = t.as_py(), d.as_py()
+            split = [] if t is None else t.split("\n")
+            gone = covered(places, len(split)) if places else ()
+            lines.append(len(split))
+            removed.append(int(sum(gone)))
+            kept.append("\n".join([x for x, g in zip(split, gone) if not g]) if places else t)
         return [pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(removed, pa.int64())]
 
     done = add_columns(marked, make, [("_kept", T.StringType()), ("n_lines", T.LongType()), ("n_removed", T.LongType())])

@@ -98,3 +98,23 @@ def recursive_patience(a, b):
         out += [(i + s, j + t) for s, t in recursive_patience(a[i:p], b[j:q])] + [(p, q)]
         i, j = p + 1, q + 1
     return out + ([(i + s, j + t) for s, t in recursive_patience(a[i:], b[j:])] if chain else [])
+
+
+def line_blocks(docs, least=40):
+    """(lines, removed, kept) by id: every run of lines of every document against all earlier ones."""
+    seen, out = set(), {}
+    for i in sorted(docs):
+        lines = docs[i].split("\n")
+        gone, runs = set(), set()
+        for a in range(len(lines)):
+            size = 0
+            for b in range(a, len(lines)):
+                size += len(lines[b])
+                run = tuple(lines[a : b + 1])
+                if size >= least:
+                    runs.add(run)
+                    if run in seen:
+                        gone.update(range(a, b + 1))
+        seen |= runs
+        out[i] = (len(lines), len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone))
+    return out

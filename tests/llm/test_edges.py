@@ -120,6 +120,33 @@ def test_line_dedup(docs, clashing):
     assert lines.line_dedup(docs.limit(0)).count() == 0
 
 
+def deduped(spark, texts):
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    return {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in lines.line_dedup(df).collect()}
+
+
+def test_line_dedup_of_repeated_and_short_lines(spark):
+    """A block goes however often it stands in a document, and however short its lines are."""
+    header, short = "A page header of more than forty characters.", "\n".join(f"item {k}" for k in range(9))
+    texts = {
+        1: f"{header}\nfirst page\n{header}\nsecond page", 2: f"own words\n{header}\nmore of them\n{header}\nthe end",
+        3: short, 4: short, 5: f"before\n{short}\nafter", 6: "twice\n" * 12, 7: "twice\n" * 12, 8: "ab\ncd", 9: "ab\ncd",
+    }
+    found = deduped(spark, texts)
+    assert found == brute.line_blocks(texts)
+    assert [found[i][1] for i in range(1, 10)] == [0, 2, 0, 9, 9, 0, 13, 0, 0]
+
+
+def test_line_dedup_agrees_with_brute_force(spark):
+    """Lines of many lengths from a small stock: repeated, in other orders, short, blank and long."""
+    rng = random.Random(7)
+    stock = ["", "", "x"] + [f"{k}" * rng.choice((1, 3, 7, 19, 21, 39, 40, 60)) for k in range(40)]
+    texts = {i: "\n".join(rng.choice(stock) for _ in range(rng.randrange(1, 25))) for i in range(120)}
+    for i in range(120, 150):  # pieces of earlier documents
+        texts[i] = "\n".join(texts[rng.randrange(i)][rng.randrange(9) :] for _ in range(3))
+    assert deduped(spark, texts) == brute.line_blocks(texts)
+
+
 def test_patience_agrees_with_recursion():
     rng = random.Random(5)
     for _ in range(300):

@@ -110,6 +110,12 @@ def test_op5_deletes_only_what_earlier_documents_hold(spark, docs):
     assert copies and all(found[i].n_removed == found[i].n_lines for i in copies)
 
 
+def test_op5_matches_brute_force(spark, docs):
+    found = result(spark, "op5_line_dedup")
+    expected = brute.line_blocks(docs)
+    assert {i: tuple(r)[1:] for i, r in found.items()} == {i: (n, gone, brute.sha(kept)) for i, (n, gone, kept) in expected.items()}
+
+
 def test_op7_keeps_base_spans_and_adds_few(spark, docs):
     found = result(spark, "op7_semi_markov_pii")
     extra = 0
