@@ -137,6 +137,15 @@ def test_line_dedup_of_repeated_and_short_lines(spark):
     assert [found[i][1] for i in range(1, 10)] == [0, 2, 0, 9, 9, 0, 13, 0, 0]
 
 
+def test_line_dedup_of_blocks_from_several_documents(spark):
+    """A block goes when one earlier document holds it, though its lines come first in different ones."""
+    a, b = "a" * 30, "b" * 30
+    texts = {1: f"{a}\none", 2: f"{b}\ntwo", 3: f"three\n{a}\n{b}\nends", 4: f"{a}\n{b}\nfour", 5: f"{b}\n{a}\nfive"}
+    found = deduped(spark, texts)
+    assert found == brute.line_blocks(texts)
+    assert [found[i][1] for i in sorted(texts)] == [0, 0, 0, 2, 0]
+
+
 def test_line_dedup_agrees_with_brute_force(spark):
     """Lines of many lengths from a small stock: repeated, in other orders, short, blank and long."""
     rng = random.Random(7)
