@@ -9,7 +9,9 @@ the statistics of the reports the law of that statistic is known:
 * a weighted mean has no such form. Small tables draw row numbers; large ones give every
   row a Poisson(1) count per replicate, and the counts add up before they are shuffled.
 
-Random numbers are hashes of (seed, group, replicate), so runs agree with each other.
+Random numbers are hashes of (seed, group, replicate), so runs agree with each other. Rows are
+drawn by 31-bit hashes as long as these tell all rows apart and favour none by more than
+0.05%; rows of larger groups and keys beyond 31 bits are drawn by 64-bit hashes.
 """
 
 import math
@@ -26,6 +28,7 @@ from regdata.session import materialise
 
 MASK = 2147483647  # 31 bits keep every product inside a long
 MIX = (73244475, 739982445)
+FEW = 1 << 20  # rows of a group that are drawn by 31-bit hashes
 ATTEMPTS = 24  # a proposal is accepted with probability > 0.68, so all fail once in 1e12
 
 
@@ -53,6 +56,11 @@ def uniform31(col) -> Column:
     return (_c(col) + 0.5) / F.lit(2147483648.0)
 
 
+def uniform64(*cols) -> Column:
+    """Number in [0, 1) by 53 bits of a hash of the columns."""
+    return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
+
+
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a column computed once per row. The optimizer copies a plain expression into
     every later use, which for nested hashes multiplies the work; it does not look into
@@ -214,14 +222,26 @@ def bootstrap_ci(
     return summarise(replicates, by, probs, names, scale)
 
 
-def poisson_counts(h: Column) -> Column:
-    """Poisson(1) count from a number below 2**31, by its cumulative probabilities."""
+def poisson_counts(h: Column, tail: Column | None = None) -> Column:
+    """Poisson(1) count from a number below 2**31, by its cumulative probabilities.
+
+    Counts above 12 are rarer than one in 2**31: they share its last number, and ``tail``, a number in [0, 1), tells them apart.
+    """
     out, cumulative, term = F.lit(0), 0.0, math.exp(-1)
     for k in range(1, 13):
         cumulative += term
         term /= k
         out = out + (h >= F.lit(int(cumulative * 2147483648)).cast("long")).cast("int")
-    return out
+    if tail is None:
+        return out
+    at_least = [sum(math.exp(-1) / math.factorial(j) for j in range(k, 40)) * 2147483648 for k in range(13, 24)]
+    more = F.aggregate(F.array(*[F.lit(p) for p in at_least]), F.lit(0), lambda n, p: n + (tail < p).cast("int"))
+    return out + F.when(h == MASK, more).otherwise(0)
+
+
+def pick_row(h: Column, i: Column, n: Column, wide: Column) -> Column:
+    """One of n rows: by a 31-bit hash of the replicate's ``h`` and ``i``, in groups above ``FEW`` rows by the number ``wide`` in [0, 1)."""
+    return F.when(n <= FEW, combine31(h, i.cast("long")) % n).otherwise(F.least(F.floor(wide * n), n - 1))
 
 
 def wmean_replicates(
@@ -243,8 +263,10 @@ def wmean_replicates(
     if method == "poisson":
         even = spread_out(rows, key)
         seeded = even.withColumn("_h", combine31(F.lit(seed).cast("long"), small)).withColumn("rep", rep)
-        seeded = _once(seeded, "_h", combine31("_h", F.col("rep").cast("long")))
-        counted = seeded.withColumn("_c", poisson_counts(F.col("_h"))).where("_c > 0")
+        wide = F.shiftrightunsigned(F.xxhash64(F.lit(seed), key, "rep"), 33)
+        seeded = _once(seeded, "_h", F.when(F.col(key) == small, combine31("_h", F.col("rep").cast("long"))).otherwise(wide))
+        tail = uniform64(F.lit("tail"), F.lit(seed), key, "rep")
+        counted = seeded.withColumn("_c", poisson_counts(F.col("_h"), tail)).where("_c > 0")
     else:
         salted = rows.withColumn("_salt", mix31(small) % SALTS)
         numbered = row_numbers(salted, by, ["_salt"], [key], "_i").withColumn("_i", F.col("_i") - 1).drop("_salt")
@@ -252,7 +274,7 @@ def wmean_replicates(
         sizes = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
         drawn = numbered.join(sizes, by).select(*by, "_i", "_n").withColumn("rep", rep)
         drawn = _once(drawn, "_h", combine31(F.lit(seed).cast("long"), F.col("rep").cast("long")))
-        pick = combine31("_h", F.pmod(F.col("_i"), F.lit(MASK)).cast("long")) % F.col("_n")
+        pick = pick_row(F.col("_h"), F.col("_i"), F.col("_n"), uniform64(F.lit(seed), *by, "rep", "_i"))
         hits = drawn.withColumn("_j", pick).groupBy(*by, "rep", "_j").agg(F.count(F.lit(1)).alias("_c"))
         counted = hits.withColumnRenamed("_j", "_i").join(numbered, [*by, "_i"])
     return counted.groupBy(*by, "rep").agg(*sums).select(*by, "rep", F.try_divide("_wx", "_ww").alias("stat"))

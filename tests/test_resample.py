@@ -73,6 +73,27 @@ def test_poisson_counts_have_mean_and_variance_one(spark):
     assert abs(row.m - 1) < 0.01 and abs(row.v - 1) < 0.02
 
 
+def test_rows_beyond_31_bits_are_drawn(spark):
+    n = 1 << 33
+    wide = resample.uniform64(F.lit(5), F.lit("g"), F.lit(3), "id")
+    drawn = spark.range(0, n, n // 50_000).select(resample.pick_row(F.lit(77).cast("long"), F.col("id"), F.lit(n).cast("long"), wide).alias("j"))
+    row = drawn.agg(F.min("j").alias("lo"), F.max("j").alias("hi"), F.avg("j").alias("m"), F.avg((F.col("j") >= 1 << 31).cast("int")).alias("past")).first()
+    assert 0 <= row.lo and row.hi < n and abs(row.m / n - 0.5) < 0.01 and abs(row.past - 0.75) < 0.01
+
+
+def test_keys_beyond_31_bits_get_counts_of_their_own(spark):
+    rows = spark.range(60).select("id", (F.col("id") * 1.5).alias("x"), F.lit(1.0).alias("w"))
+    both = rows.withColumn("g", F.lit("a")).unionByName(rows.select((F.col("id") + resample.MASK).alias("id"), "x", "w", F.lit("b").alias("g")))
+    found = {(r.g, r.rep): r.stat for r in resample.wmean_replicates(both, ["g"], "x", "w", "id", 50, 3, "poisson").collect()}
+    assert sum(found["a", k] == found["b", k] for k in range(50)) < 5
+
+
+def test_poisson_counts_go_beyond_twelve(spark):
+    tails = spark.createDataFrame([(0.5,), (0.1,), (1e-3,), (1e-12,)], "t double")
+    counts = [r.c for r in tails.select(resample.poisson_counts(F.lit(resample.MASK), F.col("t")).alias("c")).collect()]
+    assert counts == [12, 13, 14, 21]
+
+
 def test_one_hot_value_and_global_group(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 900, 5.0).otherwise(F.col("id")).alias("v"))
     got = resample.median_replicates(df, [], "v", 50, 1).select("stat").distinct().collect()
