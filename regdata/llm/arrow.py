@@ -62,6 +62,23 @@ def add_columns(df: DataFrame, make: Callable[[pa.RecordBatch], list[pa.Array]],
     return df.mapInArrow(run, schema)
 
 
+def learned(rows: DataFrame, order: list[str], fit: Callable[[pa.RecordBatch], bytes]) -> bytes | None:
+    """What ``fit`` makes of a bounded table, sorted, in one task; None of an empty one.
+
+    The driver gets the result alone, not the rows.
+    """
+    share_code(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = [b for b in batches if b.num_rows]
+        if whole:
+            batch = pa.Table.from_batches(whole).combine_chunks().to_batches()[0]
+            yield pa.RecordBatch.from_arrays([pa.array([fit(batch)], pa.binary())], ["_model"])
+
+    found = rows.repartition(1).sortWithinPartitions(*order).mapInArrow(run, "_model binary").first()
+    return bytes(found[0]) if found else None
+
+
 def list_array(values: np.ndarray, counts) -> pa.Array:
     """A list column from the values of all rows and the number of values of each."""
     offsets = np.zeros(len(counts) + 1, dtype=np.int32)

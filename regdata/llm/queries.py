@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regdata.llm import ann, bpe, fingerprints, lines, mixing, near, pii, quality, substrings, warc
+from regdata.llm import ann, bpe, fingerprints, lines, mixing, near, pii, quality, spelling, substrings, toxicity, warc, whitening
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -82,6 +82,28 @@ def op10_posting_list_ann(spark: SparkSession, d: str) -> DataFrame:
     return ann.search(table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_bidiagonal_whitening(spark: SparkSession, d: str) -> DataFrame:
+    """Leading components of every vector, whitened, with what was measured over all of them."""
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    done = whitening.whiten(rows, whitening.fit(rows))
+    return done.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def op12_factor_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    """Toxicity of every document; rows held out are never learned from."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, d, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def op13_spelling_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Every word of the corpus, slips planted by rule, with its near words and its form."""
+    found = spelling.variants(table(spark, d, "documents").select("doc_id", "text"), edit=spelling.with_slips)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -93,6 +115,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_posting_list_ann": op10_posting_list_ann,
+    "op11_bidiagonal_whitening": op11_bidiagonal_whitening,
+    "op12_factor_toxicity": op12_factor_toxicity,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 SQL: dict[str, str] = {
     "op6_warc": """
@@ -118,4 +143,53 @@ SQL: dict[str, str] = {
                sha256(array_to_string([w[k] for k in range(1, len(w) + 1) if not list_contains(coalesce(ats, []), k)], ' ')) as kept_sha256
         from d left join lost using (doc_id)
     """,
+    # the table of crc32 comes from its rule; a replaced letter leaves equal words when it is deleted from both
+    "op13_spelling_variants": """
+        with recursive crc as (
+            select list(c order by i) as t from (
+                select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c % 2 = 1 then xor(3988292384, c // 2) else c // 2 end) as c
+                from range(256) r(i))
+        ),
+        runs as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')) as run from documents),
+        per as (
+            select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w, count(*) as m
+            from runs where length(run) >= 6 group by all
+        ),
+        coded as (select w, m, hex(encode(doc_id || ':' || w)) as x from per),
+        hashed as (
+            select w, m, xor(4294967295, list_reduce(
+                list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::bigint)),
+                lambda c, b: xor(t[xor(c, b) % 256 + 1], c // 256))) as h
+            from coded, crc
+        ),
+        edited as (
+            select case when h % 199 = 0 then substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) else w end as word, m from hashed
+        ),
+        vocabulary as (
+            select word, cast(sum(m) as bigint) as n from edited where length(word) >= 6 group by word having sum(m) >= 5
+        ),
+        cut as (
+            select word, i, substr(word, 1, i - 1) || substr(word, i + 1) as d from (select word, unnest(range(1, length(word) + 1)) as i from vocabulary)
+        ),
+        pairs as (
+            select a.word, b.word as near from cut a join cut b on a.i = b.i and a.d = b.d where a.word <> b.word
+            union select cut.word, v.word from cut join vocabulary v on v.word = cut.d
+            union select v.word, cut.word from cut join vocabulary v on v.word = cut.d
+        ),
+        ranked as (
+            select p.word, v.n, p.near, w.n as near_n, row_number() over (partition by p.word order by w.n desc, p.near) as place,
+                   count(*) over (partition by p.word) as n_near
+            from pairs p join vocabulary v on v.word = p.word join vocabulary w on w.word = p.near
+        ),
+        best as (
+            select word, n_near, case when near_n >= 5 * n then near end as form, case when near_n >= 5 * n then near_n end as form_n
+            from ranked where place = 1
+        ),
+        roots(word, root) as (
+            select word, word from vocabulary where word not in (select word from best where form is not null)
+            union all select best.word, roots.root from best join roots on best.form = roots.word
+        )
+        select v.word, form, root, n, coalesce(n_near, 0) as n_near, form_n
+        from vocabulary v left join best on best.word = v.word join roots on roots.word = v.word
+    """,
 }

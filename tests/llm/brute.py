@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -118,3 +119,37 @@ def line_blocks(docs, least=40):
         seen |= runs
         out[i] = (len(lines), len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone))
     return out
+
+
+def spelling(docs, slips=199):
+    """word -> (n, near words, form, root) of the words of six letters and five occurrences."""
+    up, counts = str.maketrans({c: c + 32 for c in range(65, 91)}), Counter()
+    for i, text in docs:
+        for w in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            w = w.translate(up)
+            h = zlib.crc32(f"{i}:{w}".encode())
+            if slips and i is not None and h % slips == 0:
+                w = "".join(c for k, c in enumerate(w) if k != h % len(w))
+            counts[w] += 1
+    counts = {w: n for w, n in counts.items() if len(w) >= 6 and n >= 5}
+
+    def near(a, b):
+        if abs(len(a) - len(b)) > 1 or a == b:
+            return False
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        a, b = sorted((a, b), key=len)
+        return any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+    found = {w: [x for x in counts if near(w, x)] for w in counts}
+    form = {}
+    for w, n in counts.items():
+        best = min(found[w], key=lambda x: (-counts[x], x), default=None)
+        form[w] = best if best and counts[best] >= 5 * n else None
+    out = {}
+    for w, n in counts.items():
+        root = w
+        while form[root]:
+            root = form[root]
+        out[w] = (n, len(found[w]), form[w], root, counts.get(form[w]))
+    return out
