@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regdata.llm.arrow import column, share_code
+from regdata.llm.few import smallest
 from regdata.session import materialise
 
 SAMPLE, CENTROIDS, LIST = 16_000, 2_000, 200  # LIST: nodes per centroid aimed at
@@ -198,7 +199,8 @@ def search(table: DataFrame, queries: Column, k: int = 10, key: str = "vec_id",
     schema = "query_id long, rank int, vec_id long, score double"
     if n == 0:
         return table.sparkSession.createDataFrame([], schema)
-    picked = nodes.select("_node", "_v").orderBy(F.xxhash64("_node"), "_node").limit(SAMPLE).toPandas()  # at most SAMPLE vectors
+    drawn = nodes.select("_node", "_v", F.xxhash64("_node").alias("_order"))
+    picked = smallest(drawn, "_order", ["_node"], SAMPLE).toPandas()  # at most SAMPLE vectors
     sample = np.array(picked["_v"].tolist(), dtype=np.float64)
     graph = Graph(sample, balanced(sample, max(1, min(CENTROIDS, len(sample), n // LIST))))
 

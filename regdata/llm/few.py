@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+HOT = 2_000  # keys with more than this part of all rows are split
 SMALL = 500_000  # keys of 16 bytes that may be broadcast; with more, all rows are shuffled
 
 
@@ -45,3 +46,18 @@ def smallest(df: DataFrame, order: str, ties: list[str], n: int) -> DataFrame:
     if share < 1 and is_small(near, n - 1):
         near = df
     return near.orderBy(order, *ties).limit(n)
+
+
+def join_spread(rows: DataFrame, owners: DataFrame, on: str, size: str, by: list[str]) -> DataFrame:
+    """Join rows with the one owner of their key; ``size`` is how many rows a key has.
+
+    Keys above a two-thousandth of all rows, fewer than 2,000 whatever the size of the table, are dealt to
+    several tasks by a hash of ``by``, as many as it takes to be no larger than the others.
+    """
+    limit = max(1_000, (owners.agg(F.sum(size)).first()[0] or 0) // HOT)
+    parts = owners.withColumn("_parts", F.ceil(F.col(size) / limit).cast("int")).drop(size)
+    hot = parts.where("_parts > 1").select(on, "_parts")
+    dealt = rows.join(F.broadcast(hot), on, "left")
+    dealt = dealt.withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*by), "_parts"), F.lit(0)).cast("int")).drop("_parts")
+    copied = parts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return dealt.join(copied, [on, "_part"]).drop("_part")

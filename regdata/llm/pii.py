@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regdata.llm.arrow import add_columns, column, share_code, text_of
+from regdata.llm.few import smallest
+from regdata.session import materialise
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns, written so that they never look at a run of digits twice.
@@ -263,7 +265,8 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> np.ndarr
 
     share_code(docs.sparkSession)
     found = short.mapInArrow(run, "part string, start int, end int, spans array<struct<kind string, a int, b int>>")
-    picked = found.orderBy(F.xxhash64("part"), "part", "start", "end", "spans").limit(sample).collect()
+    found = materialise(found.withColumn("_order", F.xxhash64("part")))  # short parts of few documents
+    picked = smallest(found, "_order", ["part", "start", "end", "spans"], sample).collect()
     return learn([(r.part, r.start, r.end, sorted((s.kind, s.a, s.b) for s in r.spans)) for r in picked])
 
 

@@ -5,7 +5,7 @@ fixed number of vectors; a word that repeats the one before it names one more. A
 into two probabilities. Vectors and layer are learned by stochastic gradient descent in
 numpy from a bounded sample of labelled documents: the ``sample`` smallest by a hash of
 their id, so that it does not depend on the order of rows. Features of the sample are
-computed by Spark; the driver sees at most ``sample`` arrays of bucket counts.
+computed by Spark and learned from in one task; the driver sees the learned weights only.
 
 As mean and layer are linear, a learned model boils down to one number per bucket, and
 scoring is a look-up and an average over whole texts.
@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regdata.llm.arrow import add_columns, column, list_array, unused
+from regdata.llm.arrow import add_columns, column, learned, list_array, lists, unused
+from regdata.llm.few import smallest
 from regdata.llm.words import Words, between, chunks
 
 GRAMS = (3, 4)
@@ -111,13 +112,19 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Learn ``label`` from labelled documents that are not held out."""
     order = F.xxhash64(key)
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col(key)) & F.col(key).isNotNull())
-    picked = known.select(key, F.col(label).cast("int").alias("_label")).orderBy(order, key, "_label").limit(sample)
-    rows = docs.select(key, text).join(F.broadcast(picked), key)  # at most ``sample`` rows are broadcast
-    found = counted(rows, text).select(order.alias("_order"), "_label", "_which", "_often").toPandas()
-    found = found.sort_values(["_order", "_label"], kind="stable")
-    if found.empty:
-        return np.zeros(BUCKETS, np.float32), 0.0
-    return descend([(int(r[1]), np.asarray(r[2]), np.asarray(r[3])) for r in found.itertuples(index=False)])
+    picked = smallest(known.select(order.alias("_order"), key, F.col(label).cast("int").alias("_label")), "_order", [key, "_label"], sample)
+    rows = docs.select(key, F.col(text).alias("_t")).join(F.broadcast(picked), key)  # at most ``sample`` rows are broadcast
+
+    def fit(batch: pa.RecordBatch) -> bytes:
+        which, at = lists(column(batch, "_which"))
+        often, _ = lists(column(batch, "_often"))
+        known = column(batch, "_label").to_pylist()
+        weights, bias = descend([(y, which[a:b], often[a:b]) for y, a, b in zip(known, at[:-1], at[1:])])
+        return weights.tobytes() + np.float32(bias).tobytes()
+
+    model = learned(counted(rows, "_t").select("_order", "_label", "_which", "_often"), ["_order", "_label"], fit)
+    numbers = np.frombuffer(model, dtype=np.float32) if model else np.zeros(BUCKETS + 1, np.float32)
+    return numbers[:-1], float(numbers[-1])
 
 
 def score(df: DataFrame, model: tuple[np.ndarray, float], text: str = "text", out: str = "score") -> DataFrame:

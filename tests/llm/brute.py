@@ -79,26 +79,56 @@ def pii(text):
     return [(k, m.start(), m.end()) for k, p, ok in kinds for m in re.finditer(p, text or "") if ok(m.group())]
 
 
-def recursive_patience(a, b):
-    """Matched places of two lists, written recursively."""
-    if not a or not b:
-        return []
-    if a[0] == b[0]:
-        return [(0, 0)] + [(i + 1, j + 1) for i, j in recursive_patience(a[1:], b[1:])]
-    if a[-1] == b[-1]:
-        return recursive_patience(a[:-1], b[:-1]) + [(len(a) - 1, len(b) - 1)]
-    one = [x for x in a if a.count(x) == 1 and b.count(x) == 1]
+def patience(a, b):
+    """Matched places of two lists: the longest chain of elements that are once in both, rising in both."""
+    pairs = sorted((a.index(x), b.index(x)) for x in a if a.count(x) == 1 and b.count(x) == 1)
     best = []
-    for x in one:  # longest chain that ends at x
-        before = [c for c in best if b.index(c[-1]) < b.index(x)]
-        best.append(max(before, key=len, default=[]) + [x])
-    chain = max(best, key=len, default=[])
-    out, i, j = [], 0, 0
-    for x in chain:
-        p, q = a.index(x), b.index(x)
-        out += [(i + s, j + t) for s, t in recursive_patience(a[i:p], b[j:q])] + [(p, q)]
-        i, j = p + 1, q + 1
-    return out + ([(i + s, j + t) for s, t in recursive_patience(a[i:], b[j:])] if chain else [])
+    for i, j in pairs:
+        before = max((c for c in best if c[-1][0] < i and c[-1][1] < j), key=len, default=[])
+        best.append(before + [(i, j)])
+    return max(best, key=len, default=[])
+
+
+def runs_of(text, least):
+    """(first line, line after the last, lines) of the runs of at least so many characters without shorter ones inside at one of their ends."""
+    lines, out = text.split("\n"), {}
+    size = lambda i, j: sum(map(len, lines[i:j]))
+    for i in range(len(lines)):
+        j = next((j for j in range(i + 1, len(lines) + 1) if size(i, j) >= least), None)
+        if j:
+            out[i, j] = tuple(lines[i:j])
+        k = next((k for k in range(i, -1, -1) if size(k, i + 1) >= least), None)
+        if k is not None:
+            out[k, i + 1] = tuple(lines[k : i + 1])
+    return out
+
+
+def aligned_lines(docs, least=40):
+    """Lines of each document that patience diff aligns with any earlier document, every pair on its own.
+
+    A pair is aligned in rounds; a run that the later document repeats waits for the next round, and runs that were
+    aligned leave it.
+    """
+    out, seen = {}, {}
+    for d in sorted(docs):
+        gone = set()
+        for earlier in seen.values():
+            left = runs_of(docs[d], least)
+            there = list(dict.fromkeys(earlier.values()))
+            while True:
+                places = {}
+                for place, run in sorted(left.items()):
+                    places.setdefault(run, place)
+                here = list(places)
+                matched = [places[here[j]] for _, j in patience(there, here)]
+                if not matched:
+                    break
+                for a, b in matched:
+                    gone.update(range(a, b))
+                    del left[a, b]
+        seen[d] = runs_of(docs[d], least)
+        out[d] = gone
+    return out
 
 
 def line_blocks(docs, least=40):

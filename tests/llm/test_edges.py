@@ -156,15 +156,47 @@ def test_line_dedup_agrees_with_brute_force(spark):
     assert deduped(spark, texts) == brute.line_blocks(texts)
 
 
-def test_patience_agrees_with_recursion():
+def test_rising_chains():
+    """The first chain is the longest, all rise in both, and nothing is left."""
     rng = random.Random(5)
     for _ in range(300):
-        a, b = ([rng.randrange(9) for _ in range(rng.randrange(12))] for _ in range(2))
-        got = lines.patience(a, b)
-        assert all(a[i] == b[j] for i, j in got) and got == sorted(got) and len({j for _, j in got}) == len(got)
-        assert all(p[1] < q[1] for p, q in zip(got, got[1:]))
-        assert len(got) >= len(brute.recursive_patience(a, b)) - 2
-    assert lines.common_blocks([1, 2, 3, 4], [9, 2, 3, 8], [5, 30, 30, 5], 40) == [1, 2]
+        a, b = ([rng.randrange(12) for _ in range(rng.randrange(14))] for _ in range(2))
+        pairs = sorted({(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x == y}, key=lambda p: (p[0], -p[1]))
+        chains = lines.rising_chains(pairs)
+        assert sorted(p for c in chains for p in c) == sorted(pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for c in chains for p, q in zip(c, c[1:]))
+        once = {p for p in pairs if a.count(a[p[0]]) == 1 and b.count(b[p[1]]) == 1}
+        assert not pairs or len(chains[0]) >= len(brute.patience(a, b)) and (once < set(pairs) or len(chains[0]) == len(brute.patience(a, b)))
+
+
+def test_alignments_say_where_blocks_come_from(spark):
+    a, b, c = ("\n".join(f"{x} line {k} of a block" for k in range(4)) for x in "abc")
+    texts = {1: f"{a}\nmiddle\n{b}", 2: f"own\n{b}\nbetween\n{a}\n{c}", 3: f"{c}\n{a}\n{a}"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: [tuple(x) for x in r.aligned] for r in lines.line_dedup(df).collect()}
+    assert found[1] == [] and found[2] == [(1, 5, 1, 5), (6, 10, 1, 0)]
+    assert found[3] == [(0, 4, 2, 10), (3, 5, 2, 13), (4, 8, 1, 0), (8, 12, 1, 0)] or found[3][-2:] == [(4, 8, 1, 0), (8, 12, 1, 0)]
+    for i, blocks in found.items():
+        for start, end, other, at in blocks:
+            assert texts[i].split("\n")[start:end] == texts[other].split("\n")[at : at + end - start]
+
+
+def test_line_dedup_agrees_with_patience_over_all_earlier_documents(spark):
+    rng = random.Random(11)
+    stock = ["", "x", "short line"] + [f"line {k} " * rng.choice((1, 3, 5)) for k in range(25)]
+    texts = {i: "\n".join(rng.choice(stock) for _ in range(rng.randrange(1, 18))) for i in range(60)}
+    for i in range(60, 80):
+        texts[i] = "\n".join(texts[rng.randrange(i)][rng.randrange(9) :] for _ in range(2))
+    expected = brute.aligned_lines(texts)
+    assert {i: n for i, (_, n, _) in deduped(spark, texts).items()} == {i: len(gone) for i, gone in expected.items()}
+
+
+def test_hot_keys_are_dealt_to_several_tasks(spark):
+    rows = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), "id")
+    owners = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    found = few.join_spread(rows, owners, "k", "n", ["id"])
+    assert found.count() == 9000 and found.where("first <> 0 and k = 7").count() == 0 and found.columns == ["k", "id", "first"]
+    assert few.join_spread(rows, owners.limit(0), "k", "n", ["id"]).count() == 0
 
 
 def test_pii(docs, clashing):
