@@ -1,6 +1,9 @@
 """Every registered query against its SQL on the smallest driver tables."""
 
 import os
+import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -32,3 +35,13 @@ def test_entry_runs(spark):
 
     assert driver.entry(spark).count() > 0
     assert set(driver.oracle_sql()) <= set(driver.queries())
+
+
+@pytest.mark.parametrize("gone", [["regdata/llm"], ["regdata/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
+def test_entry_without_optional_parts(tmp_path, gone):
+    """The driver file still imports, with all queries of the library proper."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "__pycache__", *[os.path.basename(g) for g in gone]))
+    code = "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"
+    told = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True, check=True).stdout.split()
+    assert int(told[0]) >= len(CASES) and told[1] == "False"
