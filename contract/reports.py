@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from contract.base import case, derived, load, sql_with_p, with_derived
-from contract.statistics import MASK, sql_boot_median, sql_boot_share, sql_combine, sql_mix
+from contract.statistics import sql_boot_median, sql_boot_share, sql_drawn
 from contract.texts import all_flags
 from regdata.functions.text import keyword_flags
 from regdata.operators import relate, series
@@ -156,10 +156,11 @@ def report_top_towns(spark, d):
     return rounded(enforcement.top_towns(_summary(spark, d), "penalties_m_per_100k").select("town", "penalties_m_per_100k"), 6, "penalties_m_per_100k")
 
 
-_BINNED_BOOT = """
-    i as (select *, row_number() over (partition by bin order by {mix} % 64, key) - 1 as i, count(*) over (partition by bin) as nn from b where bin >= 0 and y is not null and w is not null),
-    dr as (select bin, rep, {pick} % nn as j, count(*) as c from i, range({reps}) r(rep) group by 1, 2, 3),
-    st as (select dr.bin, rep, sum(dr.c * w * y) / nullif(sum(dr.c * w), 0) as stat from dr join i on i.bin = dr.bin and i.i = dr.j group by 1, 2)
+def _binned_boot(seed: int, centre: str, reps: int = 1000) -> str:
+    """Resampled means per bin of the table ``b`` (key, y, w, bin, centre)."""
+    return f"""
+    known as (select bin, key as k, y as x, w from b where bin >= 0),
+    {sql_drawn('known', 'bin', reps, seed)}
     select bin, round(any_value(centre), 6) as {centre}, round(avg(stat), 5) as mean, round(stddev_pop(stat), 5) as sd, round(avg(stat) - 1.65 * stddev_pop(stat), 5) as low, round(avg(stat) + 1.65 * stddev_pop(stat), 5) as high
     from st join (select distinct bin, centre from b) using (bin) group by 1
 """
@@ -168,10 +169,10 @@ _BINNED_BOOT = """
 @case("report_rate_by_income", with_derived("enforcement", "census", body=_TOWNS + """
     , e as (select quantile_cont(income_k, [0, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 1]) as e from t),
     b as (select n_nationkey as key, actions_per_100k as y, population as w, len(list_filter(e, lambda v: v < income_k)) - 1 as bin, (e[bin + 1] + e[bin + 2]) / 2 as centre from t join nation on n_name = town, e),
-""" + _BINNED_BOOT.format(mix=sql_mix(f"key % {MASK}"), pick=sql_combine(sql_combine(6, "rep"), f"i % {MASK}"), reps=200, centre="income_centre")))
+""" + _binned_boot(6, "income_centre")))
 def report_rate_by_income(spark, d):
     keys = load(spark, d, "nation").select(F.col("n_name").alias("town"), F.col("n_nationkey").cast("long").alias("key"))
-    out = enforcement.rate_by_income(_summary(spark, d).join(keys, "town"), reps=200, seed=6)
+    out = enforcement.rate_by_income(_summary(spark, d).join(keys, "town"), seed=6)
     return rounded(rounded(out, 6, "income_centre"), 5, "mean", "sd", "low", "high")
 
 
@@ -243,7 +244,7 @@ def report_mean_wages(spark, d):
 
 
 @case("report_seniority_gain", with_derived("staff", body=_CLASS + f"""
-    , s as (select *, row_number() over (partition by person order by calendar_year, ('0x' || substr(md5(cast(id as varchar)), 1, 2))::int % 64, id) - 1 as seniority from c),
+    , s as (select *, row_number() over (partition by person order by calendar_year, id) - 1 as seniority from c),
     k as (select * from (values {_classes(WAGE_CLASSES)}) v(job_class)), g as (select job_class, calendar_year as year, sum(seniority) * 1.0::double / count(earnings) as v from s group by 1, 2)
     select k.job_class, y.year, round(v - (y.year - (select min(year) from y)), 6) as gain from k cross join y left join g on g.job_class = k.job_class and g.year = y.year
 """))
@@ -494,11 +495,11 @@ def _town_table(spark, d):
 @case("report_discharge_vs_indicator", with_derived("areas", "discharge", body=_LEVEL + """
     , e as (select list_sort(list_distinct(quantile_cont(minority, [0, 0.25, 0.5, 0.75, 1]))) as e from l),
     b as (select n_nationkey as key, volume as y, pop as w, len(list_filter(e, lambda v: v < minority)) - 1 as bin, (e[bin + 1] + e[bin + 2]) / 2 as centre from l join nation on n_name = town, e),
-""" + _BINNED_BOOT.format(mix=sql_mix(f"key % {MASK}"), pick=sql_combine(sql_combine(8, "rep"), f"i % {MASK}"), reps=200, centre="centre")))
+""" + _binned_boot(8, "centre")))
 def report_discharge_vs_indicator(spark, d):
     keys = load(spark, d, "nation").select(F.col("n_name").alias("town"), F.col("n_nationkey").cast("long").alias("key"))
     table = _town_table(spark, d).join(keys, "town")
-    out = discharge.discharge_by_indicator_bin(table, "minority", "key", reps=200, seed=8)
+    out = discharge.discharge_by_indicator_bin(table, "minority", "key", seed=8)
     return rounded(rounded(out, 6, "centre"), 5, "mean", "sd", "low", "high")
 
 

@@ -10,35 +10,46 @@ from regdata.sources import sinks
 
 # --- SQL forms of the hash draws -------------------------------------------------------
 
-MASK = 2147483647
+def sql_keys(src: str, *parts) -> str:
+    """The rows of ``src`` with two keys ``k1``, ``k2`` from a digest of the parts."""
+    text = ", ".join(f"coalesce(cast({p} as varchar), '~')" for p in parts)
+    half = "('0x' || substr(_h, {}, 8))::bigint & 2147483647"
+    return f"select * exclude (_h), {half.format(1)} as k1, {half.format(9)} as k2 from (select *, md5(concat_ws('|', {text})) as _h from {src})"
 
 
-def sql_mix(x: str) -> str:
-    step = "list_transform({}, lambda h: (xor(h, h >> {}) * {}) & 2147483647)"
-    inner = step.format(f"[({x})::bigint]", 16, 73244475)
-    inner = step.format(inner, 15, 739982445)
-    return f"list_transform({inner}, lambda h: xor(h, h >> 14))[1]"
+def sql_uniform(src: str, counter: str, out: str = "u") -> str:
+    """The rows of ``src``, which have ``k1`` and ``k2``, with a number inside (0, 1)."""
+    steps = f"select *, xor(({counter})::bigint, k1) as _a, xor(({counter})::bigint, k2) as _b from ({src})"
+    for shift, factor in ((16, 73244475), (15, 739982445)):
+        mixed = "(xor({0}, {0} >> {1}) * {2}) & 2147483647"
+        steps = f"select * replace ({mixed.format('_a', shift, factor)} as _a, {mixed.format('_b', shift, factor)} as _b) from ({steps})"
+    wide = "xor(_a, _a >> 14) * 2147483648 + xor(_b, _b >> 14)"
+    return f"select * exclude (_a, _b), least((({wide})::double + 0.5::double) / 4611686018427387904::double, '0.99999999999999988898'::double) as {out} from ({steps})"
 
 
-def sql_combine(seed, key) -> str:
-    return sql_mix(f"(({seed})::bigint * 31 + ({key})::bigint) & 2147483647")
-
-
-def sql_text31(*cols: str) -> str:
-    return f"('0x' || substr(md5(concat_ws('|', {', '.join(cols)})), 1, 7))::bigint"
-
-
-def sql_poisson(h: str) -> str:
+def sql_poisson(u: str) -> str:
     import math
 
     out, cumulative, term = [], 0.0, math.exp(-1)
-    for k in range(1, 13):
+    for k in range(1, 21):
         cumulative += term
         term /= k
-        out.append(f"case when {h} >= {int(cumulative * 2147483648)} then 1 else 0 end")
+        out.append(f"case when {u} >= '{cumulative!r}'::double then 1 else 0 end")
     return "(" + " + ".join(out) + ")"
 
 
+def sql_drawn(src: str, g: str, reps: int, seed: int, piece: int = 4096) -> str:
+    """Table ``st`` (g, rep, stat): weighted means of rows (g, k, x, w) of the table ``src`` drawn with replacement, one level of pieces."""
+    return f"""
+    numbered as (select {g}, x, w, row_number() over (partition by {g} order by k) - 1 as i, count(*) over (partition by {g}) as n from {src} where {g} is not null and x is not null and w is not null),
+    starts as (select distinct {g}, n, rep from numbered, range({reps}) t(rep)),
+    dealt as ({sql_uniform(f"select * from ({sql_keys('starts', f"'{seed}'", g, 'rep', 1, 0, 0)}), lateral (select unnest(range(n)) as q)", 'q')}),
+    pieces as (select {g}, rep, n, case when n <= {piece} then 0 else least(floor(u * n), n - 1)::bigint // {piece} end as node, count(*) as m from dealt group by all),
+    picks as ({sql_uniform(f"select *, least({piece}, n - node * {piece}) as s from ({sql_keys('pieces', f"'{seed}'", g, 'rep', 0, 'node', 0)}), lateral (select unnest(range(m)) as q)", 'q')}),
+    drawn as (select {g}, rep, node * {piece} + least(floor(u * s), s - 1)::bigint as i, count(*) as c from picks group by all),
+    st as (select d.{g}, rep, sum(c * w * x) / nullif(sum(c * w), 0) as stat from drawn d join numbered b on b.{g} = d.{g} and b.i = d.i group by 1, 2)"""
+
+
 def sql_binomial(g: str, rows: str, u: str) -> str:
     """Tables ``law`` and ``hits`` (g, rep, hits): ``rows`` holds g, size, k, and one number ``u`` per rep."""
     return f"""
@@ -59,7 +70,7 @@ def sql_boot_share(src: str, g: str, reps: int, seed: int, probs: dict[str, floa
     return f"""
     src as ({src}),
     c as (select {g}, count(*) as size, count(case when hit then 1 end) as k from src where {g} is not null group by 1),
-    rr as (select *, ({sql_combine(sql_combine(seed, sql_text31(g)), 'rep')} + 0.5) / 2147483648.0 as u from c, range({reps}) t(rep)),
+    rr as ({sql_uniform(f"select * from ({sql_keys('c', f"'{seed}'", g)}), range({reps}) t(rep)", 'rep * 1024')}),
     {sql_binomial(g, 'rr', 'r.u')}
     select {g}, {', '.join(f"round(100 * quantile_cont(hits::double / size, {p}), {nd}) as {c}" for c, p in probs.items())} from hits join c using ({g}) group by {g}
     """
@@ -67,27 +78,26 @@ def sql_boot_share(src: str, g: str, reps: int, seed: int, probs: dict[str, floa
 
 def sql_boot_median(src: str, g: str, reps: int, seed: int, probs: dict[str, float], nd: int = 6, nulls: bool = False) -> str:
     """``src`` gives columns (g, v); groups have at least three values. With ``nulls`` missing rows are drawn too."""
-    base = sql_combine(sql_combine(seed, sql_text31(g)), "rep")
     sizes = f"""
-    rr as (select {g}, n as k, size, rep, {base} as base, ({sql_combine(base, 7)} + 0.5) / 2147483648.0 as u
-           from n join (select {g} as other, count(*) as size from src group by 1) on other = {g}, range({reps}) t(rep)),
+    rr as ({sql_uniform("select * from keyed, range(" + str(reps) + ") t(rep)", 'rep * 1024')}),
     {sql_binomial(g, 'rr', 'r.u')},
-    r as (select rr.{g}, k as n, hits as m, rr.rep, base from rr join hits on hits.{g} = rr.{g} and hits.rep = rr.rep where hits > 0),""" if nulls else f"""
-    r as (select {g}, n, n as m, rep, {base} as base from n, range({reps}) t(rep)),"""
+    r as (select rr.{g}, k as n, hits as m, rr.rep, k1, k2 from rr join hits on hits.{g} = rr.{g} and hits.rep = rr.rep where hits > 0),""" if nulls else f"""
+    r as (select {g}, k as n, k as m, rep, k1, k2 from keyed, range({reps}) t(rep)),"""
+    tries = "select *, m // 2 + 1 as a, m - m // 2 as b from r, range(64) q(tr)"
     return f"""
     with src as ({src}),
     s as (select {g}, v, row_number() over (partition by {g} order by v) - 1 as rk from src where v is not null),
-    n as (select {g}, count(*) as n from s group by {g}),{sizes}
-    t as (select *, m // 2 as half, m // 2 + 1 as a, m - m // 2 as b, {sql_combine('base', 'tr * 2')} as h1 from r, range(1, 25) q(tr)),
-    u as (select *, (h1 + 0.5) / 2147483648.0 as u1, ({sql_combine('h1', 1)} + 0.5) / 2147483648.0 as u2,
-                 least(a, b)::double as p, greatest(a, b)::double as q from t),
+    sized as (select {g}, count(v) as k, count(*) as size from src where {g} is not null group by 1),
+    keyed as ({sql_keys('sized', f"'{seed}'", g)}),{sizes}
+    u as (select *, least(a, b)::double as p, greatest(a, b)::double as q from ({sql_uniform(sql_uniform(tries, 'rep * 1024 + 2 + 2 * tr', 'u1'), 'rep * 1024 + 3 + 2 * tr', 'u2')})),
     w as (select *, sqrt((p + q - 2) / (p * q * 2 - (p + q))) as slope from u),
     x as (select *, slope * ln(u1::double / (1 - u1)) as vv from w),
     y as (select *, p * exp(vv) as ww from x),
     k as (select {g}, rep, arg_min(case when a <= b then ww / (q + ww) else q / (q + ww) end, tr) as place from y
           where (p + 1 / slope) * vv - ln(4.0::double) + (p + q) * ln((p + q) / (q + ww)) >= ln((u1 * u1 * u2)::double) group by 1, 2),
-    mm as (select r.{g}, r.rep, n, place as hi, case when m % 2 = 1 then place
-            else place * pow(({sql_combine('base', 5)} + 0.5) / 2147483648.0, 1.0 / (m // 2)) end as lo from r join k on r.{g} = k.{g} and r.rep = k.rep),
+    o as ({sql_uniform('select * from r', 'rep * 1024 + 1', 'other')}),
+    mm as (select o.{g}, o.rep, n, place as hi, case when m % 2 = 1 then place else place * pow(other, 1.0::double / (m // 2)) end as lo
+           from o join k on o.{g} = k.{g} and o.rep = k.rep),
     z as (select {g}, rep, least(floor(unnest([lo, hi]) * n), n - 1)::bigint as rk from mm),
     e as (select z.{g}, z.rep, avg(v) as stat from z join s on s.{g} = z.{g} and s.rk = z.rk group by 1, 2)
     select {g}, {', '.join(f"round(quantile_cont(stat, {p}), {nd}) as {c}" for c, p in probs.items())} from e group by {g}
@@ -147,11 +157,8 @@ def price_histogram(spark, d):
 
 # --- ranks and series --------------------------------------------------------------------
 
-_SALT = "('0x' || substr(md5(cast({k} as varchar)), 1, 2))::int % 64"
-
-
-@case("seniority", f"""
-    select o_orderkey, row_number() over (partition by o_custkey order by year(o_orderdate), {_SALT.format(k='o_orderkey')}, o_orderkey) - 1 as seniority from orders
+@case("seniority", """
+    select o_orderkey, row_number() over (partition by o_custkey order by year(o_orderdate), o_orderkey) - 1 as seniority from orders
 """)
 def seniority(spark, d):
     o = load(spark, d, "orders").withColumn("year", F.year("o_orderdate"))
@@ -291,9 +298,7 @@ _WBOOT = """
 
 @case("boot_wmean_draws", f"""
     with c as (select c_nationkey as g, c_custkey as k, c_acctbal as x, c_nationkey + c_custkey % 7 + 1.0 as w from customer),
-    i as (select *, row_number() over (partition by g order by {sql_mix(f'k % {MASK}')} % 64, k) - 1 as i, count(*) over (partition by g) as n from c),
-    dr as (select g, rep, {sql_combine(sql_combine(5, 'rep'), f'i % {MASK}')} % n as j, count(*) as c from i, range(100) t(rep) group by 1, 2, 3),
-    st as (select dr.g, rep, sum(dr.c * w * x) / sum(dr.c * w) as stat from dr join i on i.g = dr.g and i.i = dr.j group by 1, 2)
+    {sql_drawn('c', 'g', 1000, 5, 16)}
     {_WBOOT.format(g='g')}
 """)
 def boot_wmean_draws(spark, d):
@@ -301,22 +306,22 @@ def boot_wmean_draws(spark, d):
         F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("x"),
         (F.col("c_nationkey") + F.col("c_custkey") % 7 + 1.0).alias("w"),
     )
-    b = resample.wmean_bootstrap(c, ["g"], "x", "w", "k", reps=100, seed=5)
+    b = resample.wmean_bootstrap(c, ["g"], "x", "w", "k", reps=1000, seed=5, piece=16)
     return b.select("g", *[F.round(m, 6).alias(m) for m in ("mean", "sd", "low", "high")])
 
 
 @case("boot_wmean_poisson", f"""
-    with o as (select o_orderpriority as g, {sql_combine(9, f'o_orderkey % {MASK}')} as h, o_totalprice as x, 1.0 + o_custkey % 5 as w from orders),
-    dr as (select g, rep, x, w, {sql_poisson(sql_combine('h', 'rep'))} as c from o, range(100) t(rep)),
-    st as (select g, rep, sum(c * w * x) / sum(c * w) as stat from dr group by 1, 2)
-    {_WBOOT.format(g='g')}
+    with o as (select o_orderpriority as g, o_orderkey as k, o_totalprice as x, 1.0 + o_custkey % 5 as w from orders),
+    dr as ({sql_uniform(f"select * from ({sql_keys('o', "'9'", 'k')}), range(1000) t(rep)", 'rep')}),
+    st as (select g, rep, sum({sql_poisson('u')} * w * x) / sum({sql_poisson('u')} * w) as stat from dr group by 1, 2)
+    {_WBOOT.format(g='g').replace(', 6)', ', 4)')}
 """)
 def boot_wmean_poisson(spark, d):
     o = load(spark, d, "orders").select(
         F.col("o_orderpriority").alias("g"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("x"), (F.col("o_custkey") % 5 + 1.0).alias("w")
     )
-    b = resample.wmean_bootstrap(o, ["g"], "x", "w", "k", reps=100, seed=9, method="poisson")
-    return b.select("g", *[F.round(m, 6).alias(m) for m in ("mean", "sd", "low", "high")])
+    b = resample.wmean_bootstrap(o, ["g"], "x", "w", "k", reps=1000, seed=9, method="poisson")
+    return b.select("g", *[F.round(m, 4).alias(m) for m in ("mean", "sd", "low", "high")])
 
 
 # --- dose-response -----------------------------------------------------------------------

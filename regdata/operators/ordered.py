@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 64
+from regdata.session import materialise
 
 
 def _join_pieces(df: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,6 +58,24 @@ def fill_forward(df: DataFrame, by: list[str], pieces: list[str], order: list, c
     return out.withColumns({c: F.coalesce(F.col(c), F.col(f"_b_{c}")) for c in cols}).drop(*[f"_b_{c}" for c in cols])
 
 
+def positions(df: DataFrame, by: list[str], order: list, name: str = "rn") -> DataFrame:
+    """0-based position of each row in its group, by ``order``, whatever the size of a group.
+
+    Rows are dealt to tasks by ranges of (group, order) and sorted there, so a hot group is spread
+    in proportion to its rows. A row's position is its place in its range, less that of the group's
+    first row there, plus what the group has in earlier ranges: one count per group and
+    range. ``order`` should tell rows apart; equal ones share a task and come in any order.
+    """
+    cols = [F.col(o) if isinstance(o, str) else o for o in (*by, *order)]
+    ranged = df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_at", F.monotonically_increasing_id())
+    # later ranges must not be drawn anew with other bounds
+    ranged = materialise(ranged.withColumn("_part", F.shiftright("_at", 33)))
+    parts = ranged.groupBy(*by, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = parts.select(*by, "_part", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return _join_pieces(ranged, shifts, [*by, "_part"]).withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
+
+
 def piece_count(df: DataFrame) -> int:
     """Pieces to cut a column into: twice the shuffle partitions, within 64 and 4096."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from regdata.functions.nulls import known_keys
 from regdata.operators.ordered import value_pieces, with_value_piece
 
+STEPS, PARTS = 4096, 1 << 16  # buckets of the histograms that select a rank
+
 
 def value_ranks(df: DataFrame, by: list[str], col: str, pieces: int | None = None) -> DataFrame:
     """Distinct values of each group with the half-open range of ranks they take.
@@ -41,8 +43,70 @@ def value_ranks(df: DataFrame, by: list[str], col: str, pieces: int | None = Non
     )
 
 
-def _at_rank(rank: Column) -> Column:
-    return F.max(F.when((F.col("start") <= rank) & (rank < F.col("end")), F.col("value")))
+def _log_bucket(x: Column) -> Column:
+    """A whole number that does not fall as x grows: ``STEPS`` to a factor of e, and to 1 around zero."""
+    return F.floor(F.signum(x) * F.log1p(F.abs(x)) * STEPS)
+
+
+def _span_bucket(x: Column, low: Column, high: Column) -> Column:
+    """Part of [low, high] that x lies in, of ``PARTS``; halves keep the width of any two numbers finite."""
+    return F.floor(F.coalesce(F.try_divide(x / 2 - low / 2, high / 2 - low / 2), F.lit(0.0)) * PARTS)
+
+
+def _ranges(counts: DataFrame, within: list[str], order: str) -> DataFrame:
+    """Add the half-open range of ranks, ``start`` to ``end``, of each row of counts ``_c``."""
+    upto = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return counts.withColumn("end", F.sum("_c").over(upto)).withColumn("start", F.col("end") - F.col("_c"))
+
+
+def selected(df: DataFrame, by: list[str], col: str, probs: list[float]) -> DataFrame:
+    """Columns ``by``, ``n``, and ``low``, ``high``: for each probability the values at the ranks around its place.
+
+    A selection by histograms, not a sort. The first counts values on a logarithmic scale; the bucket that
+    holds a wanted rank is counted again in ``PARTS`` equal parts between its smallest and its
+    largest value; and only values of the parts so found, a few in a hundred million of
+    the range, are told apart. What is shuffled is a count per task and bucket. Each pass reads
+    the input again, so it should be a table or cheap.
+    """
+    x = F.col(col).cast("double")
+    rows = known_keys(df, *by).select(*by, x.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v")).withColumn("_b", _log_bucket(F.col("_v")))
+    bounds = [F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max")]
+    places = [(p, f) for p in probs for f in (F.floor, F.ceil)]
+
+    def wanted(ranges: DataFrame, found: Column, marks: list[Column]) -> DataFrame:
+        inside = [m & (F.col("start") <= F.get("_want", i)) & (F.get("_want", i) < F.col("end")) for i, m in enumerate(marks)]
+        return ranges.groupBy(*by).agg(
+            F.first("_n").alias("_n"),
+            F.array(*[F.max(F.when(m, F.get("_want", F.lit(i)) - F.col("start"))) for i, m in enumerate(inside)]).alias("_left"),
+            F.array(*[F.max(F.when(m, found)) for m in inside]).alias("_hit"),
+        )
+
+    def beside(left: DataFrame, right: DataFrame) -> DataFrame:
+        if by:
+            return left.join(right, by)
+        one = right.select(F.struct(*right.columns).alias("_one")).scalar()  # without groups the right side is one row
+        return left.withColumn("_one", one).select(*left.columns, "_one.*")
+
+    first = _ranges(rows.groupBy(*by, "_b").agg(*bounds), by, "_b").withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+    first = first.withColumn("_want", F.array(*[f((F.col("_n") - 1) * F.lit(float(p))).cast("long") for p, f in places]))
+    told = wanted(first, F.struct("_b", "_min", "_max"), [F.lit(True)] * len(places))
+    told = told.withColumn("_in", F.map_from_entries(F.array_distinct(F.transform("_hit", lambda h: F.struct(h["_b"], h)))))
+
+    near = beside(rows, told.select(*by, "_in")).withColumn("_span", F.try_element_at("_in", "_b")).where("_span is not null")
+    near = near.withColumn("_d", _span_bucket(F.col("_v"), F.col("_span._min"), F.col("_span._max"))).select(*by, "_b", "_d", "_v")
+    second = beside(
+        _ranges(near.groupBy(*by, "_b", "_d").agg(F.count(F.lit(1)).alias("_c")), [*by, "_b"], "_d"),
+        told.select(*by, "_n", F.col("_left").alias("_want"), F.col("_hit").alias("_of")),
+    )
+    told = wanted(second, F.struct("_b", "_d"), [F.col("_b") == F.get("_of", F.lit(i))["_b"] for i in range(len(places))])
+
+    last = beside(near, told.select(*by, F.array_distinct("_hit").alias("_in"))).where(F.array_contains("_in", F.struct("_b", "_d")))
+    third = beside(
+        _ranges(last.groupBy(*by, "_b", "_d", "_v").agg(F.count(F.lit(1)).alias("_c")), [*by, "_b", "_d"], "_v"),
+        told.select(*by, "_n", F.col("_left").alias("_want"), F.col("_hit").alias("_of")),
+    )
+    told = wanted(third, F.col("_v"), [F.struct("_b", "_d") == F.get("_of", F.lit(i)) for i in range(len(places))])
+    return told.select(*by, F.col("_n").alias("n"), *[F.array(*[F.get("_hit", F.lit(i)) for i in range(k, len(places), 2)]).alias(c) for k, c in enumerate(("low", "high"))])
 
 
 def quantiles(
@@ -51,7 +115,7 @@ def quantiles(
 ) -> DataFrame:
     """Linear-interpolation quantiles per group, nulls ignored.
 
-    ``ranked`` is exact and splits any group; ``builtin`` is exact and meant for groups
+    ``ranked`` is exact, whatever the size of a group; ``builtin`` is exact and meant for groups
     known to be small (it holds a group's distinct values in one buffer); ``approx`` is
     a bounded-memory estimate without interpolation.
     """
@@ -63,18 +127,14 @@ def quantiles(
         else:
             aggs = [F.percentile_approx(col, p, 10000).cast("double").alias(n) for p, n in zip(probs, names)]
         return src.groupBy(*by).agg(*aggs)
-    ranks = value_ranks(df, by, col)
-    aggs, outs = [], []
+    found = selected(df, by, col, probs)
+    outs = []
     for i, (p, name) in enumerate(zip(probs, names)):
         place = (F.col("n") - 1) * F.lit(float(p))
-        aggs += [
-            _at_rank(F.floor(place)).alias(f"_lo{i}"),
-            _at_rank(F.ceil(place)).alias(f"_hi{i}"),
-            F.max(place - F.floor(place)).alias(f"_f{i}"),
-        ]
-        lo, hi, f = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_f{i}")
-        outs.append((lo + (hi - lo) * f).alias(name))
-    return ranks.groupBy(*by).agg(*aggs).select(*by, *outs)
+        low, high = F.get("low", F.lit(i)), F.get("high", F.lit(i))
+        outs.append((low + (high - low) * (place - F.floor(place))).alias(name))
+    # without groups there is one row, of nulls where there are no values
+    return found.select(*by, *outs) if by else found.groupBy().agg(F.first(F.struct(*outs)).alias("_q")).select(*[F.col(f"_q.{n}").alias(n) for n in names])
 
 
 def quantile_edges(df: DataFrame, col: str, n: int, distinct: bool = False) -> Column:

@@ -1,4 +1,4 @@
-"""Bootstrap intervals whose cost does not grow with rows times replicates.
+"""Bootstrap intervals that move neither rows times replicates nor tables of laws.
 
 Resampling ``n`` rows with replacement is only ever used through a statistic, and for
 the statistics of the reports the law of that statistic is known:
@@ -6,133 +6,147 @@ the statistics of the reports the law of that statistic is known:
 * the j-th smallest of n draws is the value at a Beta-distributed place of the sorted
   group, so a median needs one or two ranks per replicate;
 * the share of hits among n draws is binomial, so it needs two counts per group;
-* a weighted mean has no such form. Small tables draw row numbers; large ones give every
-  row a Poisson(1) count per replicate, and the counts add up before they are shuffled.
-
-Random numbers are hashes of (seed, group, replicate), so runs agree with each other. Rows are
-drawn by 31-bit hashes as long as these tell all rows apart and favour none by more than
-0.05%; rows of larger groups and keys beyond 31 bits are drawn by 64-bit hashes.
+* a weighted mean has no such form. ``draws`` splits the n draws of a replicate over pieces of the
+  group, level by level, by the law of so many draws, until pieces are small; then each piece draws its
+  own rows where they are. ``poisson`` weights every row by a Poisson(1) count. Both hand on partial
+  sums only.
+
+Random numbers are hashes of (seed, group, replicate and so on), so runs agree with each other: a
+digest gives two keys of 31 bits, each scrambles a counter, and both together are 62 bits. They serve
+any number of rows. A task makes the numbers of all replicates of a group, piece or row at once.
 """
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from regdata.functions.clean import _c
 from regdata.functions.nulls import known_keys
-from regdata.operators.ordered import SALTS, row_numbers
+from regdata.operators.ordered import positions
 from regdata.operators.quantile import value_ranks
 from regdata.operators.skew import spread_out
-from regdata.session import materialise
+from regdata.session import materialise, share_code
 
 MASK = 2147483647  # 31 bits keep every product inside a long
 MIX = (73244475, 739982445)
-FEW = 1 << 20  # rows of a group that are drawn by 31-bit hashes
-ATTEMPTS = 24  # a proposal is accepted with probability > 0.68, so all fail once in 1e12
-
-
-def mix31(col) -> Column:
-    """Scramble a number below 2**31 into another one."""
-    h = _c(col)
-    for shift, factor in zip((16, 15), MIX):
-        h = (h.bitwiseXOR(F.shiftright(h, shift)) * F.lit(factor).cast("long")).bitwiseAND(F.lit(MASK).cast("long"))
-    return h.bitwiseXOR(F.shiftright(h, 14))
-
+TRIES = 1024  # numbers that one replicate of a group may use
+PIECE, FAN = 4096, 1024  # rows of a piece; pieces that one level of splitting tells apart
+CHUNK = 1 << 20  # draws that are made at once
+LAW_SD = 12  # a binomial law is tabled this many standard deviations around its mean, plus as many counts
 
-def combine31(seed, key) -> Column:
-    """Scramble a second number into a first one."""
-    return mix31((_c(seed) * 31 + _c(key)).bitwiseAND(F.lit(MASK).cast("long")))
 
+def draw_keys(seed: int, by: list[Column], *parts: Column) -> tuple[Column, Column]:
+    """Two numbers below 2**31 from a digest of the seed and of columns."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("~")) for c in (*by, *parts)])
+    half = lambda at: F.conv(F.substring(F.md5(text), at, 8), 16, 10).cast("long").bitwiseAND(F.lit(MASK).cast("long"))
+    return half(1), half(9)
 
-def text31(cols: list[str]) -> Column:
-    """A number below 2**28 from key columns."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in cols])
-    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long")
 
+def _told_by(df: DataFrame, by: list[str]) -> list[Column]:
+    """Columns that tell a group's draws from others'; fractions stay out, as engines write them differently."""
+    return [F.col(c) for c in by if not isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))]
 
-def uniform31(col) -> Column:
-    """Number below 2**31 to the open interval (0, 1)."""
-    return (_c(col) + 0.5) / F.lit(2147483648.0)
 
+def scrambled(h: np.ndarray) -> np.ndarray:
+    """Numbers below 2**31, scrambled one to one."""
+    for shift, factor in zip((16, 15), MIX):
+        h = ((h ^ (h >> shift)) * factor) & MASK
+    return h ^ (h >> 14)
 
-def uniform64(*cols) -> Column:
-    """Number in [0, 1) by 53 bits of a hash of the columns."""
-    return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
 
+def uniform(one, two, counter: np.ndarray) -> np.ndarray:
+    """Numbers inside (0, 1) of 62 bits, as far as a double holds them."""
+    wide = scrambled(counter ^ one) << 31 | scrambled(counter ^ two)
+    return np.minimum((wide.astype(np.float64) + 0.5) / 2.0**62, 1 - 2.0**-53)
 
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Add a column computed once per row. The optimizer copies a plain expression into
-    every later use, which for nested hashes multiplies the work; it does not look into
-    a generator."""
-    return df.withColumn(name, F.explode(F.array(value)))
 
+def binomial(n: int, k: int, u: np.ndarray) -> np.ndarray:
+    """Hits among ``n`` draws of which a share k / n hits, by the tabled law.
 
-def _replicates(groups: DataFrame, by: list[str], reps: int, seed: int) -> DataFrame:
-    base = combine31(F.lit(seed).cast("long"), text31(by) if by else F.lit(0).cast("long"))
-    seeded = groups.withColumn("_base", base).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    seeded = spread_out(seeded, *by, "rep")
-    return _once(seeded, "_base", combine31("_base", F.col("rep").cast("long")))
+    The tails left out weigh less than 1e-30, so the table has some 24 sqrt(n) / 2 numbers.
+    """
+    if k in (0, n):
+        return np.full(len(u), k, dtype=np.int64)
+    reach = math.sqrt(k * (1 - k / n)) * LAW_SD + LAW_SD
+    low, high = max(math.floor(k - reach), 0), min(math.ceil(k + reach), n)
+    j = np.arange(low + 1, high + 1, dtype=np.float64)
+    logs = np.concatenate([[0.0], np.cumsum(np.log((n - j + 1) / j) + math.log(k / (n - k)))])
+    mass = np.exp(logs - logs.max())
+    return np.minimum(low + np.searchsorted(np.cumsum(mass) / mass.sum(), u, side="left"), n)
 
 
-def _beta_draws(df: DataFrame, keys: list[str], a: str, b: str, out: str) -> DataFrame:
-    """One Beta(a, b) draw per row from its ``_base``: first accepted of ``ATTEMPTS`` proposals.
+def beta(a: np.ndarray, b: np.ndarray, one: int, two: int, first: np.ndarray) -> np.ndarray:
+    """Beta(a, b) draws by rejection; draw i uses the numbers after ``first[i]``.
 
-    Both parameters are at least 2 here, except that b = 1 is drawn directly.
+    Both parameters are at least 2 here, except that b = 1 is drawn directly. More than two
+    thirds of the proposals are accepted.
     """
-    tries = df.withColumn("_try", F.explode(F.sequence(F.lit(1), F.lit(ATTEMPTS))))
-    tries = _once(tries, "_h1", combine31("_base", (F.col("_try") * 2).cast("long")))
-    tries = _once(tries, "_h2", combine31("_h1", F.lit(1).cast("long")))
-    u1, u2 = uniform31("_h1"), uniform31("_h2")
-    p, q = F.least(a, b).cast("double"), F.greatest(a, b).cast("double")
-    total = p + q
-    slope = F.sqrt(F.try_divide(total - 2, p * q * 2 - total))
-    v = F.ln(u1 / (1 - u1)) * slope
-    w = p * F.exp(v)
-    r = (p + F.try_divide(F.lit(1.0), slope)) * v - F.lit(math.log(4))
-    fits = r + total * F.ln(total / (q + w)) >= F.ln(u1 * u1 * u2)
-    place = F.when(F.col(a) <= F.col(b), w / (q + w)).otherwise(q / (q + w))
-    direct = F.pow(u1, 1 / F.col(a))
-    tries = tries.withColumn("_ok", F.when((F.col(b) == 1), F.col("_try") == 1).otherwise(fits))
-    tries = tries.withColumn(out, F.when(F.col(b) == 1, direct).otherwise(place))
-    return tries.groupBy(*keys).agg(F.min_by(out, F.when(F.col("_ok"), F.col("_try"))).alias(out))
+    p, q = np.minimum(a, b).astype(np.float64), np.maximum(a, b).astype(np.float64)
+    total, out, todo, tried = p + q, np.zeros(len(a)), np.arange(len(a)), 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        slope = np.sqrt((total - 2) / (p * q * 2 - total))
+        while len(todo):
+            u1, u2 = uniform(one, two, first[todo] + 2 * tried), uniform(one, two, first[todo] + 2 * tried + 1)
+            s, t, x, y = slope[todo], total[todo], p[todo], q[todo]
+            v = np.log(u1 / (1 - u1)) * s
+            w = x * np.exp(v)
+            fits = (x + 1 / s) * v - math.log(4) + t * np.log(t / (y + w)) >= np.log(u1 * u1 * u2)
+            place = np.where(a[todo] <= b[todo], w / (y + w), y / (y + w))
+            plain = b[todo] == 1
+            out[todo] = np.where(plain, u1 ** (1 / a[todo]), place)
+            todo, tried = todo[~(fits | plain)], tried + 1
+    return out
+
+
+def _each_group(groups: DataFrame, by: list[str], schema: str, make) -> DataFrame:
+    """``make`` turns the row of a group into columns of results; ``by`` goes in front of them."""
+    share_code(groups.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, row in enumerate(batch.to_pylist()):
+                columns = [np.ascontiguousarray(c) for c in make(row)]
+                own = batch.select(by).take(pa.array(np.full(len(columns[0]), i)))
+                yield pa.RecordBatch.from_arrays([*own.columns, *[pa.array(c) for c in columns]], [*by, *[n.split()[0] for n in schema.split(", ")]])
+
+    fields = [groups.schema[c] for c in by]
+    return spread_out(groups, *by).mapInArrow(run, T.StructType([*fields, *T.StructType.fromDDL(schema).fields]))
 
 
 def median_replicates(df: DataFrame, by: list[str], col: str, reps: int, seed: int, drop_null_first: bool = True) -> DataFrame:
     """Medians of ``reps`` resamples of every group: columns ``by``, ``rep``, ``stat``.
 
     ``drop_null_first=False`` resamples missing rows too and ignores them in the median,
-    so the number of values in a resample is binomial. A resample without values has a
-    null median.
+    so the number of values in a resample is binomial. A resample without values has no row.
     """
     ranks = value_ranks(df, by, col)
-    sizes = ranks.groupBy(*by).agg(F.max("n").alias("n"))
-    if drop_null_first:
-        draws = _replicates(sizes, by, reps, seed).withColumn("m", F.col("n"))
-    else:
-        rows = known_keys(df, *by).groupBy(*by).agg(
-            F.count(F.lit(1)).alias("_all"),
-            F.count_if(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).alias("n"),
-        )
-        counts = binomial_law(materialise(rows.where("n > 0")), by, "_all", "n")
-        draws = _once(_replicates(counts, by, reps, seed), "_u", combine31("_base", F.lit(7).cast("long")))
-        draws = draws.withColumn("m", binomial_draw(uniform31("_u"), "_all", "n")).drop("_u", "_lo", "_law")
-        draws = materialise(draws.where("m > 0"))
-    half = F.floor(F.col("m") / 2)
-    odd = F.col("m") % 2 == 1
-    # upper middle value: the (half + 1)-th smallest of m draws
-    draws = draws.withColumn("_a", half + 1).withColumn("_b", F.col("m") - half)
-    keys = [*by, "rep"]
-    upper = _beta_draws(draws, keys, "_a", "_b", "_u")
-    draws = draws.join(upper, keys)
-    other = uniform31(combine31("_base", F.lit(5).cast("long")))
-    lower = F.when(odd, F.col("_u")).otherwise(F.col("_u") * F.pow(other, F.try_divide(F.lit(1.0), half)))
-    draws = draws.select(
-        *keys, "n",
-        F.explode(F.array(lower, F.col("_u"))).alias("_place"),
-    ).withColumn("_rank", F.least(F.floor(F.col("_place") * F.col("n")), F.col("n") - 1))
+    rows = known_keys(df, *by).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_all"), F.count_if(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).alias("n"),
+    )
+    one, two = draw_keys(seed, _told_by(df, by))
+    sizes = rows.where("n > 0").withColumn("_one", one).withColumn("_two", two)
+
+    def make(row: dict) -> list[np.ndarray]:
+        n, rep = row["n"], np.arange(reps, dtype=np.int64)
+        number = lambda at, r: uniform(row["_one"], row["_two"], r * TRIES + at)
+        m = np.full(reps, n) if drop_null_first else binomial(row["_all"], n, number(0, rep))
+        rep, m = rep[m > 0], m[m > 0]
+        half = m // 2
+        # upper middle value: the (half + 1)-th smallest of m draws
+        upper = beta(half + 1, m - half, row["_one"], row["_two"], rep * TRIES + 2)
+        with np.errstate(divide="ignore"):
+            lower = np.where(m % 2 == 1, upper, upper * number(1, rep) ** (1 / half))
+        rank = np.minimum(np.floor(np.concatenate([lower, upper]) * n), n - 1).astype(np.int64)
+        return [np.tile(rep, 2).astype(np.int32), np.full(len(rank), n), rank]
+
+    draws = _each_group(sizes, by, "rep int, n long, _rank long", make)
     values = _values_at(ranks, draws, by)
-    return values.groupBy(*keys).agg(F.avg("value").alias("stat"))
+    return values.groupBy(*by, "rep").agg(F.avg("value").alias("stat"))
 
 
 def _values_at(ranks: DataFrame, draws: DataFrame, by: list[str]) -> DataFrame:
@@ -157,47 +171,20 @@ def _values_at(ranks: DataFrame, draws: DataFrame, by: list[str]) -> DataFrame:
     return joined.where((F.col("start") <= F.col("_rank")) & (F.col("_rank") < F.col("end")))
 
 
-LAW_SD = 12  # a binomial law is tabled this many standard deviations around its mean, plus as many counts
-
-
-def binomial_law(counts: DataFrame, by: list[str], n: str, k: str) -> DataFrame:
-    """``by``, ``n``, ``k``, ``_lo`` and ``_law``: the cumulative law of hits among ``n`` draws of which a share k / n hits.
-
-    ``_law[i]`` is the probability of at most ``_lo + i`` hits. The tails left out weigh less
-    than 1e-30, so a group has some 24 sqrt(n) / 2 rows, whatever its size.
-    """
-    mean, share = F.col(k).cast("double"), F.col(k) / F.col(n)
-    reach = F.sqrt(mean * (1 - share)) * LAW_SD + LAW_SD
-    low = F.greatest(F.floor(mean - reach), F.lit(0)).cast("long")
-    high = F.least(F.ceil(mean + reach), F.col(n)).cast("long")
-    rows = counts.select(*by, n, k, low.alias("_lo"), F.explode(F.sequence(low, high)).alias("_j"))
-    ratio = F.ln((F.col(n) - F.col("_j") + 1) / F.col("_j")) + F.ln(F.col(k) / (F.col(n) - F.col(k)))
-    flat = (F.col("_j") == F.col("_lo")) | (F.col(k) == 0) | (F.col(k) == F.col(n))
-    whole, upto = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_j").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_log", F.sum(F.when(flat, 0.0).otherwise(ratio)).over(upto))
-    rows = rows.withColumn("_mass", F.exp(F.col("_log") - F.max("_log").over(whole)))
-    rows = rows.withColumn("_cum", F.sum("_mass").over(upto) / F.sum("_mass").over(whole))
-    table = F.sort_array(F.collect_list(F.struct("_j", "_cum")))
-    law = rows.groupBy(*by).agg(F.first(n).alias(n), F.first(k).alias(k), F.min("_lo").alias("_lo"), table.alias("_law"))
-    return law.withColumn("_law", F.col("_law").getField("_cum"))
-
-
-def binomial_draw(u: Column, n: str, k: str) -> Column:
-    """Hits drawn by a uniform number from the law of its row, by binary search."""
-    steps = F.array(*[F.lit(1 << b) for b in reversed(range(31))])
-    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get("_law", at + step - 1) < u, F.lit(False)), at + step).otherwise(at))
-    drawn = F.least(F.col("_lo") + below, F.col(n))
-    return F.when(F.col(k) == 0, 0).when(F.col(k) == F.col(n), F.col(n)).otherwise(drawn).cast("long")
-
-
 def share_replicates(df: DataFrame, by: list[str], hit: Column, reps: int, seed: int) -> DataFrame:
     """Share of hits in ``reps`` resamples of every group: columns ``by``, ``rep``, ``stat``."""
     counts = known_keys(df, *by).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(hit, F.lit(False))).alias("k")
     )
-    counts = binomial_law(materialise(counts), by, "n", "k")
-    draws = _replicates(counts, by, reps, seed)
-    return draws.select(*by, "rep", (binomial_draw(uniform31("_base"), "n", "k") / F.col("n")).alias("stat"))
+    one, two = draw_keys(seed, _told_by(df, by))
+
+    def make(row: dict) -> list[np.ndarray]:
+        rep = np.arange(reps, dtype=np.int64)
+        hits = binomial(row["n"], row["k"], uniform(row["_one"], row["_two"], rep * TRIES))
+        return [rep.astype(np.int32), hits / row["n"]]
+
+    groups = counts.where("n > 0").withColumn("_one", one).withColumn("_two", two)
+    return _each_group(groups, by, "rep int, stat double", make)
 
 
 def summarise(replicates: DataFrame, by: list[str], probs: list[float], names: list[str], scale: float = 1.0) -> DataFrame:
@@ -222,69 +209,150 @@ def bootstrap_ci(
     return summarise(replicates, by, probs, names, scale)
 
 
-def poisson_counts(h: Column, tail: Column | None = None) -> Column:
-    """Poisson(1) count from a number below 2**31, by its cumulative probabilities.
-
-    Counts above 12 are rarer than one in 2**31: they share its last number, and ``tail``, a number in [0, 1), tells them apart.
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])  # counts beyond 20 are rarer than one in 2**62
+
+
+def poisson_counts(u: np.ndarray) -> np.ndarray:
+    """Poisson(1) counts from numbers inside (0, 1), by the cumulative law."""
+    return np.searchsorted(POISSON, u, side="right")
+
+
+def _poisson_sums(rows: DataFrame, by: list[str], key: str, reps: int, seed: int) -> DataFrame:
+    """Partial sums per task, group and replicate of rows weighted by Poisson counts."""
+    one, two = draw_keys(seed, [], F.col(key))
+    even = spread_out(rows.select(*by, "_x", "_w", one.alias("_one"), two.alias("_two")))
+    share_code(rows.sparkSession)
+    fields = [rows.schema[c] for c in by]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rep, held = np.arange(reps, dtype=np.int64), {}
+
+        def handed() -> pa.RecordBatch:
+            names = pa.Table.from_pylist([dict(zip(by, g)) for g in held], schema=kinds) if by else None
+            at = pa.array(np.repeat(np.arange(len(held)), reps))
+            sums = [np.concatenate([s[i] for s in held.values()]) for i in (0, 1)]
+            own = [names.column(c).combine_chunks().take(at) for c in by]
+            return pa.RecordBatch.from_arrays([*own, pa.array(np.tile(rep, len(held)).astype(np.int32)), *map(pa.array, sums)], [*by, "rep", "_wx", "_ww"])
+
+        for batch in batches:
+            kinds = pa.schema([batch.schema.field(c) for c in by])
+            groups = list(zip(*[batch.column(c).to_pylist() for c in by])) if by else [()] * batch.num_rows
+            x, w, k1, k2 = [batch.column(c).to_numpy() for c in ("_x", "_w", "_one", "_two")]
+            order = sorted(range(len(groups)), key=lambda i: groups[i])
+            for start in range(0, len(order), 256):
+                part = np.array(order[start : start + 256])
+                counts = poisson_counts(uniform(k1[part, None], k2[part, None], rep[None, :]))
+                names = [groups[i] for i in part]
+                cuts = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
+                for a, b in zip(cuts, cuts[1:]):
+                    own = part[a:b]
+                    wx, ww = (w[own] * x[own]) @ counts[a:b], w[own] @ counts[a:b]
+                    before = held.get(names[a])
+                    held[names[a]] = (wx, ww) if before is None else (before[0] + wx, before[1] + ww)
+                if len(held) > 500:
+                    yield handed()
+                    held.clear()
+        if held:
+            yield handed()
+
+    return even.mapInArrow(run, T.StructType([*fields, *T.StructType.fromDDL("rep int, _wx double, _ww double").fields]))
+
+
+def split_draws(sizes: DataFrame, by: list[str], reps: int, seed: int, piece: int = PIECE, fan: int = FAN) -> DataFrame:
+    """How often each replicate draws from each piece of ``piece`` rows: ``by``, ``_n``, ``rep``, ``_piece``, ``_m``.
+
+    ``sizes`` has the rows ``_n`` of each group. The draws of a replicate start in one node that spans the
+    group and are dealt to its ``fan`` parts, by rows, and on to parts of parts. A level
+    costs one number per draw, made where it is counted; what moves is a count per replicate and
+    part, of which there are fewer than rows times replicates by the size of a piece.
     """
-    out, cumulative, term = F.lit(0), 0.0, math.exp(-1)
-    for k in range(1, 13):
-        cumulative += term
-        term /= k
-        out = out + (h >= F.lit(int(cumulative * 2147483648)).cast("long")).cast("int")
-    if tail is None:
-        return out
-    at_least = [sum(math.exp(-1) / math.factorial(j) for j in range(k, 40)) * 2147483648 for k in range(13, 24)]
-    more = F.aggregate(F.array(*[F.lit(p) for p in at_least]), F.lit(0), lambda n, p: n + (tail < p).cast("int"))
-    return out + F.when(h == MASK, more).otherwise(0)
-
+    longest, levels = sizes.agg(F.max("_n")).first()[0] or 0, 0
+    while piece * fan**levels < longest:
+        levels += 1
+    told = _told_by(sizes, by)
+    nodes = sizes.select(*by, "_n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"), F.lit(0).cast("long").alias("_piece"), F.col("_n").alias("_m"))
+    share_code(sizes.sparkSession)
+    for level in range(levels, 0, -1):
+        span, part = piece * fan**level, piece * fan ** (level - 1)
+        chunks = nodes.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_m - 1) div {CHUNK}"))))
+        one, two = draw_keys(seed, told, F.col("rep"), F.lit(level), F.col("_piece"), F.col("_chunk"))
+        chunks = chunks.select(
+            *by, "_n", "rep", "_piece", one.alias("_one"), two.alias("_two"),
+            F.least(F.lit(CHUNK), F.col("_m") - F.col("_chunk") * CHUNK).alias("_m"), F.least(F.lit(span), F.col("_n") - F.col("_piece") * span).alias("_s"),
+        )
 
-def pick_row(h: Column, i: Column, n: Column, wide: Column) -> Column:
-    """One of n rows: by a 31-bit hash of the replicate's ``h`` and ``i``, in groups above ``FEW`` rows by the number ``wide`` in [0, 1)."""
-    return F.when(n <= FEW, combine31(h, i.cast("long")) % n).otherwise(F.least(F.floor(wide * n), n - 1))
+        def run(batches: Iterator[pa.RecordBatch], part: int = part) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                node, one, two, m, s = [batch.column(c).to_numpy() for c in ("_piece", "_one", "_two", "_m", "_s")]
+                rows, children, counts, held = [], [], [], 0
+                for i in range(batch.num_rows):
+                    if s[i] <= part:
+                        found = np.array([m[i]])
+                    else:
+                        u = uniform(one[i], two[i], np.arange(m[i]))
+                        found = np.bincount(np.minimum(np.floor(u * s[i]), s[i] - 1).astype(np.int64) // part)
+                    own = np.flatnonzero(found)
+                    rows.append(np.full(len(own), i))
+                    children.append(node[i] * fan + own)
+                    counts.append(found[own])
+                    held += len(own)
+                    if held > 100_000 or i == batch.num_rows - 1:
+                        known = batch.select([*by, "_n", "rep"]).take(pa.array(np.concatenate(rows)))
+                        yield pa.RecordBatch.from_arrays(
+                            [*known.columns, pa.array(np.concatenate(children).astype(np.int64)), pa.array(np.concatenate(counts).astype(np.int64))],
+                            [*by, "_n", "rep", "_piece", "_m"],
+                        )
+                        rows, children, counts, held = [], [], [], 0
+
+        dealt = spread_out(chunks).mapInArrow(run, nodes.schema)
+        nodes = dealt.groupBy(*by, "_n", "rep", "_piece").agg(F.sum("_m").alias("_m"))
+    return nodes
+
+
+def _drawn_sums(rows: DataFrame, by: list[str], key: str, reps: int, seed: int, piece: int) -> DataFrame:
+    """Partial sums per piece and replicate of n rows drawn with replacement."""
+    numbered = materialise(positions(rows, by, [key], "_i").withColumn("_piece", F.expr(f"_i div {piece}")))
+    sizes = materialise(numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))).where("_n > 0")
+    counts = split_draws(sizes, by, reps, seed, piece)
+    one, two = draw_keys(seed, _told_by(sizes, by), F.col("rep"), F.lit(0), F.col("_piece"), F.lit(0))
+    counts = counts.select(*by, "_piece", "rep", "_m", one.alias("_one"), two.alias("_two"))
+    schema = T.StructType([*[rows.schema[c] for c in by], *T.StructType.fromDDL("rep int, _wx double, _ww double").fields])
+
+    def draw(left: pa.Table, right: pa.Table) -> pa.Table:
+        order = np.argsort(left.column("_i").to_numpy())
+        w = left.column("_w").to_numpy()[order]
+        wx = w * left.column("_x").to_numpy()[order]
+        sums = np.zeros((2, right.num_rows))
+        for r, (one, two, m) in enumerate(zip(*[right.column(c).to_pylist() for c in ("_one", "_two", "_m")])):
+            picked = np.minimum(np.floor(uniform(one, two, np.arange(m)) * len(w)), len(w) - 1).astype(np.int64)
+            sums[:, r] = wx[picked].sum(), w[picked].sum()
+        columns = [*[right.column(c) for c in by], right.column("rep"), pa.array(sums[0]), pa.array(sums[1])]
+        return pa.Table.from_arrays(columns, [*by, "rep", "_wx", "_ww"])
+
+    left = numbered.groupBy(*by, "_piece")
+    return left.cogroup(counts.groupBy(*by, "_piece")).applyInArrow(draw, schema)
 
 
 def wmean_replicates(
-    df: DataFrame, by: list[str], x: str, weight: str, key: str, reps: int, seed: int, method: str = "draws"
+    df: DataFrame, by: list[str], x: str, weight: str, key: str, reps: int, seed: int, method: str = "draws", piece: int = PIECE
 ) -> DataFrame:
     """Weighted means of ``reps`` resamples of every group: ``by``, ``rep``, ``stat``.
 
-    ``draws`` takes n rows with replacement: exact, one shuffled number per row and
-    replicate, meant for tables of places. ``poisson`` weights each row by a Poisson(1)
-    count instead: each row is hashed once per replicate, which is the bulk of the work,
-    so the narrow rows are first spread evenly by key; after that only one partial sum
-    per task, group and replicate is shuffled. ``key`` is a whole number that identifies
-    a row.
+    ``draws`` takes n rows with replacement, see :func:`split_draws`; ``poisson`` weights each row by a
+    Poisson(1) count instead, which needs no places of rows. Either makes one number per row and
+    replicate in the task that holds the row and hands on sums. ``key`` tells rows apart.
     """
-    rows = known_keys(df, *by, x, weight).select(*by, key, F.col(x).alias("_x"), F.col(weight).alias("_w"))
-    small = F.pmod(F.col(key), F.lit(MASK)).cast("long")
-    sums = [F.sum(F.col("_c") * F.col("_w") * F.col("_x")).alias("_wx"), F.sum(F.col("_c") * F.col("_w")).alias("_ww")]
-    rep = F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))
-    if method == "poisson":
-        even = spread_out(rows, key)
-        seeded = even.withColumn("_h", combine31(F.lit(seed).cast("long"), small)).withColumn("rep", rep)
-        wide = F.shiftrightunsigned(F.xxhash64(F.lit(seed), key, "rep"), 33)
-        seeded = _once(seeded, "_h", F.when(F.col(key) == small, combine31("_h", F.col("rep").cast("long"))).otherwise(wide))
-        tail = uniform64(F.lit("tail"), F.lit(seed), key, "rep")
-        counted = seeded.withColumn("_c", poisson_counts(F.col("_h"), tail)).where("_c > 0")
-    else:
-        salted = rows.withColumn("_salt", mix31(small) % SALTS)
-        numbered = row_numbers(salted, by, ["_salt"], [key], "_i").withColumn("_i", F.col("_i") - 1).drop("_salt")
-        numbered = materialise(numbered)
-        sizes = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-        drawn = numbered.join(sizes, by).select(*by, "_i", "_n").withColumn("rep", rep)
-        drawn = _once(drawn, "_h", combine31(F.lit(seed).cast("long"), F.col("rep").cast("long")))
-        pick = pick_row(F.col("_h"), F.col("_i"), F.col("_n"), uniform64(F.lit(seed), *by, "rep", "_i"))
-        hits = drawn.withColumn("_j", pick).groupBy(*by, "rep", "_j").agg(F.count(F.lit(1)).alias("_c"))
-        counted = hits.withColumnRenamed("_j", "_i").join(numbered, [*by, "_i"])
-    return counted.groupBy(*by, "rep").agg(*sums).select(*by, "rep", F.try_divide("_wx", "_ww").alias("stat"))
+    rows = known_keys(df, *by, x, weight).select(*by, key, F.col(x).cast("double").alias("_x"), F.col(weight).cast("double").alias("_w"))
+    sums = _poisson_sums(rows, by, key, reps, seed) if method == "poisson" else _drawn_sums(rows, by, key, reps, seed, piece)
+    totals = sums.groupBy(*by, "rep").agg(F.sum("_wx").alias("_wx"), F.sum("_ww").alias("_ww"))
+    return totals.select(*by, "rep", F.try_divide("_wx", "_ww").alias("stat"))
 
 
 def wmean_bootstrap(
     df: DataFrame, by: list[str], x: str, weight: str, key: str, reps: int = 1000, seed: int = 0,
-    method: str = "draws", band: float = 1.65,
+    method: str = "draws", band: float = 1.65, piece: int = PIECE,
 ) -> DataFrame:
     """Mean, sd and band (mean +/- ``band`` sd) of the resampled weighted mean per group."""
-    replicates = wmean_replicates(df, by, x, weight, key, reps, seed, method)
+    replicates = wmean_replicates(df, by, x, weight, key, reps, seed, method, piece)
     out = replicates.groupBy(*by).agg(F.avg("stat").alias("mean"), F.stddev_pop("stat").alias("sd"))
     return out.withColumn("low", F.col("mean") - F.col("sd") * band).withColumn("high", F.col("mean") + F.col("sd") * band)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regdata.functions.nulls import known_keys
-from regdata.operators.ordered import SALTS, row_numbers, value_pieces, with_value_piece
+from regdata.operators.ordered import positions
 from regdata.operators.relate import align_to_spine, spine_of
 
 
@@ -32,30 +32,17 @@ def without_last_period(df: DataFrame, period: str) -> DataFrame:
 def seniority(df: DataFrame, name: str, year: str, tie: str, out: str = "seniority") -> DataFrame:
     """0-based number of earlier records under the same name, by year then ``tie``.
 
-    Pieces are the years of a name, each cut further by a salt of the tie key: a name
-    (blank or default) on a third of all rows is numbered by many tasks. Within a year
-    the order is by that salt, then ``tie``.
+    A name (blank or default) on a third of all rows is numbered by a third of the tasks.
     """
-    salt = F.conv(F.substring(F.md5(F.col(tie).cast("string")), 1, 2), 16, 10).cast("int") % SALTS
-    salted = known_keys(df, name).withColumn("_salt", salt)
-    numbered = row_numbers(salted, [name], [year, "_salt"], [tie], out)
-    return numbered.withColumn(out, F.col(out) - 1).drop("_salt")
+    return positions(known_keys(df, name), [name], [year, tie], out)
 
 
 def rank_by_value(df: DataFrame, by: list[str], value: str, tie: str, out: str = "rank") -> DataFrame:
     """0-based rank of each row in its group, largest value first, ties by ``tie``.
 
-    Groups are cut at quantiles of the value; a value that repeats often is a piece of
-    its own and is cut again by ranges of the tie key, so no group and no single value
-    ends up in one task.
+    Neither a group nor a value that repeats often ends up in one task: see :func:`positions`.
     """
-    src = known_keys(df, *by, value)
-    piece = with_value_piece(src, value, value_pieces(src, value), "_vp")
-    piece = with_value_piece(piece, tie, value_pieces(src, tie, SALTS), "_tp")
-    single = F.col("_vp") % 2 == 1  # holds one value only, so the tie key alone orders it
-    piece = piece.withColumn("_tp", F.when(single, F.col("_tp")).otherwise(0)).withColumn("_vp", -F.col("_vp"))
-    ranked = row_numbers(piece, by, ["_vp", "_tp"], [F.desc(value), F.asc(tie)], out)
-    return ranked.withColumn(out, F.col(out) - 1).drop("_vp", "_tp")
+    return positions(known_keys(df, *by, value), by, [F.desc(value), F.asc(tie)], out)
 
 
 def ranked_values(df: DataFrame, by: str, value: str, tie: str) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +60,12 @@ def materialise(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def share_code(spark: SparkSession) -> None:
+    """Send this package to the Python workers; those of a local session read it where the driver does."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if re.match(r"local(\[|$)", context.master) or getattr(context, "_shared_regdata", False):
+        return
+    context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/regdata", "zip", root, "regdata"))
+    context._shared_regdata = True

@@ -67,31 +67,78 @@ def test_weighted_mean_resampling(spark, method):
     assert out.low == pytest.approx(out.mean - 1.65 * out.sd)
 
 
-def test_poisson_counts_have_mean_and_variance_one(spark):
-    h = spark.range(200_000).select(resample.poisson_counts(resample.combine31(F.lit(3).cast("long"), F.col("id"))).alias("c"))
-    row = h.agg(F.avg("c").alias("m"), F.var_pop("c").alias("v")).first()
-    assert abs(row.m - 1) < 0.01 and abs(row.v - 1) < 0.02
+def test_numbers_are_even_and_all_used():
+    u = resample.uniform(123, 456, np.arange(200_000))
+    assert abs(u.mean() - 0.5) < 0.003 and abs(u.var() - 1 / 12) < 0.002 and 0 < u.min() and u.max() < 1
+    assert abs(np.corrcoef(u[:-1], u[1:])[0, 1]) < 0.01 and len(np.unique(u)) == len(u)
+    assert abs(np.corrcoef(u, resample.uniform(124, 456, np.arange(200_000)))[0, 1]) < 0.01
+    h = np.arange(1 << 16)
+    assert len(np.unique(resample.scrambled(h))) == len(h)
+
+
+def test_poisson_counts_have_mean_and_variance_one():
+    counts = resample.poisson_counts(resample.uniform(3, 4, np.arange(400_000)))
+    assert abs(counts.mean() - 1) < 0.01 and abs(counts.var() - 1) < 0.02
+    assert resample.poisson_counts(np.array([0.3, 0.5, 1 - 1e-12, 1 - 2.0**-53])).tolist()[:2] == [0, 1]
+    assert resample.poisson_counts(np.array([1 - 1e-12]))[0] > 12
+
+
+def test_draws_reach_all_of_a_huge_group():
+    """Places among 2**34 rows fall evenly, past the 31 bits of either key."""
+    n = 1 << 34
+    u = resample.uniform(5, 6, np.arange(100_000))
+    rows = np.minimum(np.floor(u * n), n - 1)
+    assert rows.max() > 0.9999 * n and abs((rows > 2**31).mean() - 7 / 8) < 0.005
+
+
+@pytest.mark.parametrize("piece, fan", [(4096, 1024), (8, 1024), (4, 3)])
+def test_split_draws_are_multinomial(spark, piece, fan):
+    """Counts add up to n in every replicate, with the mean and variance of the law, whatever the levels."""
+    sizes = spark.createDataFrame([("a", 100), ("b", 37), ("c", 1)], "g string, _n long")
+    found = {}
+    for r in resample.split_draws(sizes, ["g"], 3000, 4, piece, fan).collect():
+        found.setdefault((r.g, r.rep), {})[r["_piece"]] = r["_m"]
+    for g, n in (("a", 100), ("b", 37), ("c", 1)):
+        pieces = -(-n // piece)
+        table = np.array([[found[g, k].get(p, 0) for p in range(pieces)] for k in range(3000)])
+        assert (table.sum(axis=1) == n).all() and all(max(found[g, k]) < pieces for k in range(3000))
+        share = np.minimum(piece, n - piece * np.arange(pieces)) / n
+        assert np.abs(table.mean(axis=0) - n * share).max() < 0.25
+        assert pieces == 1 or np.abs(table.var(axis=0) / (n * share * (1 - share)) - 1).max() < 0.15
 
 
-def test_rows_beyond_31_bits_are_drawn(spark):
-    n = 1 << 33
-    wide = resample.uniform64(F.lit(5), F.lit("g"), F.lit(3), "id")
-    drawn = spark.range(0, n, n // 50_000).select(resample.pick_row(F.lit(77).cast("long"), F.col("id"), F.lit(n).cast("long"), wide).alias("j"))
-    row = drawn.agg(F.min("j").alias("lo"), F.max("j").alias("hi"), F.avg("j").alias("m"), F.avg((F.col("j") >= 1 << 31).cast("int")).alias("past")).first()
-    assert 0 <= row.lo and row.hi < n and abs(row.m / n - 0.5) < 0.01 and abs(row.past - 0.75) < 0.01
-
-
-def test_keys_beyond_31_bits_get_counts_of_their_own(spark):
-    rows = spark.range(60).select("id", (F.col("id") * 1.5).alias("x"), F.lit(1.0).alias("w"))
+@pytest.mark.parametrize("method", ["draws", "poisson"])
+def test_groups_and_keys_have_draws_of_their_own(spark, method):
+    """Equal rows in two groups, and keys beyond 31 bits."""
+    rows = spark.range(60).select((F.col("id") + (1 << 40)).alias("id"), (F.col("id") * 1.5).alias("x"), F.lit(1.0).alias("w"))
     both = rows.withColumn("g", F.lit("a")).unionByName(rows.select((F.col("id") + resample.MASK).alias("id"), "x", "w", F.lit("b").alias("g")))
-    found = {(r.g, r.rep): r.stat for r in resample.wmean_replicates(both, ["g"], "x", "w", "id", 50, 3, "poisson").collect()}
-    assert sum(found["a", k] == found["b", k] for k in range(50)) < 5
+    found = {(r.g, r.rep): r.stat for r in resample.wmean_replicates(both, ["g"], "x", "w", "id", 50, 3, method, piece=16).collect()}
+    assert len(found) == 100 and sum(found["a", k] == found["b", k] for k in range(50)) < 5
+    again = {(r.g, r.rep): r.stat for r in resample.wmean_replicates(both.repartition(5), ["g"], "x", "w", "id", 50, 3, method, piece=16).collect()}
+    assert all(again[k] == pytest.approx(v, rel=1e-12) for k, v in found.items())
 
 
-def test_poisson_counts_go_beyond_twelve(spark):
-    tails = spark.createDataFrame([(0.5,), (0.1,), (1e-3,), (1e-12,)], "t double")
-    counts = [r.c for r in tails.select(resample.poisson_counts(F.lit(resample.MASK), F.col("t")).alias("c")).collect()]
-    assert counts == [12, 13, 14, 21]
+def test_pieces_do_not_change_the_law(spark):
+    rng = np.random.default_rng(4)
+    x, w = rng.normal(10, 3, 120), rng.uniform(1, 5, 120)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, w))], "k long, x double, w double")
+    picks = rng.integers(0, 120, (20000, 120))
+    want = (x[picks] * w[picks]).sum(1) / w[picks].sum(1)
+    for piece in (7, 50):
+        stats = np.array([r.stat for r in resample.wmean_replicates(df, [], "x", "w", "k", 2000, 1, piece=piece).collect()])
+        assert len(stats) == 2000 and abs(stats.mean() - want.mean()) < 0.03 and abs(stats.std() - want.std()) < 0.03
+
+
+def test_beta_and_binomial_draws_have_their_laws():
+    rng = np.random.default_rng(1)
+    a, b = np.full(40_000, 3), np.full(40_000, 7)
+    got = resample.beta(a, b, 11, 12, np.arange(40_000) * resample.TRIES)
+    assert np.abs(np.quantile(got, [0.05, 0.5, 0.95]) - np.quantile(rng.beta(3, 7, 200_000), [0.05, 0.5, 0.95])).max() < 0.01
+    u = resample.uniform(7, 8, np.arange(40_000))
+    for n, k in ((10, 3), (5000, 1), (10**9, 4 * 10**8)):
+        hits = resample.binomial(n, k, u)
+        assert abs(hits.mean() - k) < 0.03 * np.sqrt(k * (1 - k / n)) + 1e-9 and abs(hits.std() / np.sqrt(k * (1 - k / n)) - 1) < 0.02
+    assert resample.binomial(5, 0, u[:3]).tolist() == [0, 0, 0] and resample.binomial(5, 5, u[:3]).tolist() == [5, 5, 5]
 
 
 def test_one_hot_value_and_global_group(spark):

@@ -64,6 +64,36 @@ def test_quantile_interpolation(spark, hot):
         assert np.allclose(got.loc[k, list("abcde")].astype(float), np.nanpercentile(g.v, [100 * p for p in probs]))
 
 
+def test_selection_on_awkward_values(spark):
+    """Huge, tiny, tied, narrow, negative and single values; missing ones do not count."""
+    rng = np.random.default_rng(0)
+    values = {
+        "normal": rng.normal(size=1000), "ties": np.r_[np.zeros(500), rng.normal(size=3) * 1e300], "one": np.array([5.0]), "narrow": 1e9 + rng.random(2000) * 1e-3,
+        "tiny": rng.exponential(1e-9, 777), "few": np.array([-1.5, -1.5, 2.0]), "ends": np.array([-1.7e308, 1.7e308, 0.0]), "none": np.array([np.nan]),
+    }
+    df = spark.createDataFrame([(g, float(x)) for g, v in values.items() for x in v] + [("few", None)], "g string, v double")
+    probs = [0, 0.1, 0.25, 0.5, 0.9, 1]
+    found = {r.g: r for r in quantile.selected(df, ["g"], "v", probs).collect()}
+    assert set(found) == set(values) - {"none"}
+    for g, r in found.items():
+        v = np.sort(values[g])
+        places = np.array(probs) * (len(v) - 1)
+        assert (r.n, r.low, r.high) == (len(v), v[np.floor(places).astype(int)].tolist(), v[np.ceil(places).astype(int)].tolist())
+    assert quantile.quantiles(df.limit(0), [], "v", [0.5]).collect()[0].q50 is None
+    assert quantile.quantiles(df.where("g = 'few'"), [], "v", [0.5]).collect()[0].q50 == -1.5
+
+
+def test_positions_over_ranges(spark, hot):
+    """Groups spread over several ranges, with and without keys, nulls as a group of their own."""
+    df = frame(spark, hot).withColumn("k", F.when(F.col("k") != "a", F.col("k"))).repartition(5)
+    for by in (["k"], []):
+        got = ordered.positions(df, by, [F.desc("year"), "id"], "at").toPandas()
+        got["k"] = got.k.fillna("-")
+        want = got.sort_values([*by, "year", "id"], ascending=[True] * len(by) + [False, True])
+        assert want["at"].tolist() == (want.groupby("k").cumcount() if by else pd.Series(range(len(want)))).tolist()
+    assert ordered.positions(df.limit(0), ["k"], ["id"]).count() == 0
+
+
 def test_quantile_bins_leave_out_the_minimum(spark):
     df = spark.createDataFrame([(float(i),) for i in range(9)] + [(None,)], "x double")
     got = {r.x: r.bin for r in quantile.quantile_bin(df, "x", 4).collect()}
