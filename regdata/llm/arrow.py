@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def share_code(spark: SparkSession) -> None:
-    """Send this package to the Python workers, unless their path has it already."""
-    context, root = spark.sparkContext, Path(__file__).resolve().parents[2]
-    known = {os.path.realpath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]}
-    if str(root) in known or getattr(context, "_shared_regdata", False):
-        return
-    context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/regdata", "zip", root, "regdata"))
-    context._shared_regdata = True
+from regdata.session import share_code
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
