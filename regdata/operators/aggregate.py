@@ -141,48 +141,40 @@ def derive_budget_rows(df: DataFrame) -> DataFrame:
 
     Per state and year: the budget with and without the revolving fund, from whichever
     of the three report layouts is present, then an amount for every percentage and a
-    percentage for every amount. One aggregate over (state, year) gives the budget; the
-    derived rows come from a join on that key.
+    percentage for every amount. The input is read once: repeated rows are counted, the few different
+    ones of a state and year meet in one row, and that emits itself and what follows from it.
     """
-    detail, number = F.col("detail"), F.col("value").try_cast("double")
-    text_of = lambda name: F.min(F.when(detail == name, F.col("value")))
-    num_of = lambda name: F.min(F.when(detail == name, number))
-    has = lambda name: F.max(F.when(detail == name, True).otherwise(False))
-    layouts = df.groupBy("state", "year").agg(
-        has(BUDGET_WITH_FUND).alias("l12"), has(FUND_REPORTED).alias("l17"), has(FUND_QUESTION).alias("l10"),
-        num_of(BUDGET_WITH_FUND).alias("with_fund"), num_of(FUND_AMOUNT).alias("fund"),
-        num_of(BUDGET).alias("plain"), num_of(FUND_REPORTED).alias("reported"),
-        text_of(FUND_QUESTION).alias("answer"),
-    )
-    yes = F.coalesce(F.col("answer") == "Yes", F.lit(False))
-    budgets = layouts.select(
-        "state", "year",
-        (F.col("l12") | F.col("l17") | F.col("l10")).alias("derived"),
-        F.when(F.col("l12"), F.col("with_fund")).otherwise(F.col("plain")).alias("budget"),
-        F.when(F.col("l12"), F.col("with_fund") - F.col("fund"))
-        .when(F.col("l17"), F.col("plain") - F.col("reported"))
-        .when(F.col("l10") & ~yes, F.col("plain")).alias("no_fund"),
-        F.when(F.col("l12"), F.col("with_fund"))
-        .when(F.col("l17"), F.col("plain"))
-        .when(F.col("l10") & yes, F.col("plain")).alias("with_all"),
-    )
-    totals = budgets.where("derived").select(
-        "state", "year",
-        F.inline(F.array(
-            F.struct(F.lit(BUDGET_NO_FUND).alias("detail"), F.col("no_fund").cast("string").alias("value")),
-            F.struct(F.lit(BUDGET).alias("detail"), F.col("with_all").cast("string").alias("value")),
-        )),
-    )
-    named = df.where(detail.startswith(PERCENT_FROM) | detail.startswith(AMOUNT_FROM))
-    firsts = named.groupBy("state", "year", "detail").agg(F.min(number).alias("number"))
-    with_budget = firsts.join(budgets.select("state", "year", "budget"), ["state", "year"])
-    is_pct = detail.startswith(PERCENT_FROM)
-    amount = F.round(F.col("number") / 100.0 * F.col("budget"), 2)
-    percent = F.round(F.try_divide(F.col("number"), F.col("budget")) * 100.0, 2)
-    shares = with_budget.select(
-        "state", "year",
-        F.when(is_pct, F.replace("detail", F.lit(PERCENT_FROM), F.lit(AMOUNT_FROM)))
-        .otherwise(F.replace("detail", F.lit(AMOUNT_FROM), F.lit(PERCENT_FROM))).alias("detail"),
-        F.when(is_pct, amount).otherwise(percent).cast("string").alias("value"),
-    )
-    return df.select("state", "year", "detail", "value").unionByName(totals).unionByName(shares)
+    counted = df.groupBy("state", "year", "detail", "value").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    one = counted.groupBy("state", "year").agg(F.collect_list(F.struct("detail", "value", "times")).alias("_rows"))
+
+    def values(detail: Column | str, number: bool) -> Column:
+        own = F.filter("_rows", lambda r: r["detail"] == detail)
+        return F.array_min(F.transform(own, lambda r: r["value"].try_cast("double") if number else r["value"]))
+
+    has = lambda name: F.exists("_rows", lambda r: F.coalesce(r["detail"] == name, F.lit(False)))
+    one = one.select(
+        "*", has(BUDGET_WITH_FUND).alias("_l12"), has(FUND_REPORTED).alias("_l17"), has(FUND_QUESTION).alias("_l10"),
+        values(BUDGET_WITH_FUND, True).alias("_with"), values(FUND_AMOUNT, True).alias("_fund"),
+        values(BUDGET, True).alias("_plain"), values(FUND_REPORTED, True).alias("_reported"),
+        F.coalesce(values(FUND_QUESTION, False) == "Yes", F.lit(False)).alias("_yes"),
+    ).withColumn("_budget", F.when(F.col("_l12"), F.col("_with")).otherwise(F.col("_plain")))
+    l12, l17, l10, yes, with_fund, plain = (F.col(c) for c in ("_l12", "_l17", "_l10", "_yes", "_with", "_plain"))
+    no_fund = F.when(l12, with_fund - F.col("_fund")).when(l17, plain - F.col("_reported")).when(l10 & ~yes, plain)
+    with_all = F.when(l12, with_fund).when(l17, plain).when(l10 & yes, plain)
+    row = lambda detail, value: F.struct(detail.alias("detail"), value.cast("string").alias("value"))
+
+    def share(detail: Column) -> Column:
+        number, is_pct = values(detail, True), detail.startswith(PERCENT_FROM)
+        amount = F.round(number / 100.0 * F.col("_budget"), 2)
+        percent = F.round(F.try_divide(number, F.col("_budget")) * 100.0, 2)
+        other = F.when(is_pct, F.replace(detail, F.lit(PERCENT_FROM), F.lit(AMOUNT_FROM))).otherwise(F.replace(detail, F.lit(AMOUNT_FROM), F.lit(PERCENT_FROM)))
+        return row(other, F.when(is_pct, amount).otherwise(percent))
+
+    own = F.flatten(F.transform("_rows", lambda r: F.array_repeat(row(r["detail"], r["value"]), r["times"])))
+    none = F.filter(own, lambda r: F.lit(False))
+    totals = F.when(l12 | l17 | l10, F.array(row(F.lit(BUDGET_NO_FUND), no_fund), row(F.lit(BUDGET), with_all))).otherwise(none)
+    named = F.array_distinct(F.transform("_rows", lambda r: r["detail"]))
+    named = F.filter(named, lambda d: d.startswith(PERCENT_FROM) | d.startswith(AMOUNT_FROM))
+    keyed = F.col("state").isNotNull() & F.col("year").isNotNull()
+    shares = F.when(keyed, F.transform(named, share)).otherwise(none)
+    return one.select("state", "year", F.inline(F.concat(own, totals, shares)))

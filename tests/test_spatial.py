@@ -51,11 +51,13 @@ def world(spark):
 
 
 @pytest.fixture(params=["planned", "split"])
-def join_mode(spark, request):
+def join_mode(spark, request, monkeypatch):
     """With Spark free to broadcast, and with every join salted and shuffled."""
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     if request.param == "split":
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        monkeypatch.setattr(spatial, "FEW_CELLS", -1)
+        monkeypatch.setattr(spatial, "FEW_SEGMENTS", -1)
     yield
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
@@ -70,7 +72,7 @@ def test_contains(world, join_mode):
 
 def test_nearest(world, join_mode):
     rings, pts, points, polys = world
-    rows = spatial.nearest_join(points, polys, "x", "y", "name").collect()
+    rows = spatial.nearest_join(points, polys, "x", "y", "name", few=20 if spatial.FEW_SEGMENTS < 0 else spatial.FEW_SEGMENTS).collect()
     got = {r.id: (r.name, r.distance) for r in rows}
     assert len(rows) == len(got) == len(pts) + 1 and got[3000] == (None, None)
     for i, x, y in pts:
@@ -86,6 +88,54 @@ def test_within_distance(world, join_mode):
     assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
 
 
+def test_covering_is_bounded_and_whole(world):
+    """A polygon ten thousand times the size of others has as many cells; inner cells are inside, and no place near it is left out."""
+    rings, _, _, polys = world
+    spark = polys.sparkSession
+    square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    sizes = spark.createDataFrame([("small", [[square]]), ("large", [[[(x * 1e4 + 3, y * 1e4 + 7) for x, y in square]]])], f"name string, rings {geo.POLYGON}")
+    counts = {r[0]: r[1] for r in spatial.covering(spatial.prepare_polygons(sizes).withColumnRenamed("name", "_name")).groupBy("_name").count().collect()}
+    assert set(counts) == {"small", "large"} and max(counts.values()) <= 4 * 16**spatial.ROUNDS
+    rng = np.random.default_rng(3)
+    for reach in (0.0, 4.5):
+        cells = {}
+        for r in spatial.covering(polys.withColumnRenamed("name", "_name"), reach).collect():
+            cells.setdefault(r["_name"], {})[r["_lv"], r["_cx"], r["_cy"]] = r["_inner"]
+        assert all(len(c) <= 4 * 16**spatial.ROUNDS for c in cells.values()) and (reach or any(any(c.values()) for c in cells.values()))
+        for name in ("huge", "p03", "p17"):
+            ring = np.array(rings[name])
+            for x, y in rng.uniform(ring.min(axis=0) - 6, ring.max(axis=0) + 6, (200, 2)):
+                own = [v for (lv, cx, cy), v in cells[name].items() if (math.floor(x / 4.0**lv), math.floor(y / 4.0**lv)) == (cx, cy)]
+                d = distance(rings[name], x, y)
+                assert len(own) <= 1 and (own or d > reach or (reach == 0 and not in_ring(rings[name], x, y)))
+                assert own != [True] or in_ring(rings[name], x, y)
+
+
+def test_tree_of_boxes_matches_a_scan():
+    """Many polygons, ties of equal polygons, points inside, on and far from them."""
+    rng = np.random.default_rng(6)
+    rings = [[(float(cx), float(cy)), (float(cx + w), float(cy)), (float(cx), float(cy + w))] for cx, cy, w in zip(*rng.uniform(-9, 9, (2, 500)), rng.uniform(0.01, 2, 500))]
+    rings += rings[:20]
+    outlines = [np.array([(*a, *b) for a, b in zip(r, r[1:] + r[:1])]) for r in rings]
+    names = [f"n{i:03d}" for i in rng.permutation(len(rings))]
+    tree = spatial.Boxes(names, outlines)
+    x, y = rng.uniform(-20, 20, (2, 300))
+    best, far = tree.nearest(x, y)
+    for i in range(300):
+        d, n = min((distance(r, x[i], y[i]), n) for r, n in zip(rings, names))
+        assert far[i] == pytest.approx(d, abs=1e-12) and tree.names[best[i]] == n
+    none = spatial.Boxes([], []).nearest(x, y)
+    assert (none[0] == -1).all() and np.isinf(none[1]).all()
+
+
+def test_no_polygons(spark, world):
+    _, pts, points, polys = world
+    none = polys.limit(0)
+    assert {r.name for r in spatial.contains_join(points, none, "x", "y", "name").collect()} == {"[UNKNOWN]"}
+    assert {r.name for r in spatial.nearest_join(points, none, "x", "y", "name").collect()} == {None}
+    assert spatial.within_distance_join(points, none, "id", "x", "y", "name", 3).count() == 0
+
+
 def test_tiling_assigns_each_point_once(spark):
     squares = [(f"s{i}{j}", [[[(float(i), float(j)), (i + 1.0, float(j)), (i + 1.0, j + 1.0), (float(i), j + 1.0)]]]) for i in range(3) for j in range(3)]
     polys = spatial.prepare_polygons(spark.createDataFrame(squares, f"name string, rings {geo.POLYGON}"))
