@@ -39,30 +39,40 @@ def csv_title_rows(spark, d):
     return readers.read_table(spark, path, schema, numeric=["o_orderkey", "price"])
 
 
+def _filed(df, key: str, rows: int, line):
+    """Groups of about ``rows`` rows by a hash of the key, each with its lines in order of the key: ``file``, ``lines``."""
+    files = F.ceil(df.agg(F.count(F.lit(1))).scalar() / rows)
+    return df.groupBy(F.pmod(F.xxhash64(key), files).alias("file")).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), line.alias("v")))).alias("lines"))
+
+
 @case("sectioned_file", """
-    select 1 as section, n_nationkey as key, n_name as name from nation union all select 2, r_regionkey, r_name from region
+    select 1 as section, c_custkey as key, c_name as name from customer union all select 2, p_partkey, p_name from part
 """)
 def sectioned_file(spark, d):
-    """One file per five nations' worth of lines would be cut by size; here one file holds title, nations, regions."""
+    """Files of title, customers, parts; some hundred rows each, written by many tasks."""
     path = f"{sinks.scratch_dir(spark)}/sections"
-    n = load(spark, d, "nation").select(F.array_sort(F.collect_list(F.concat_ws(",", F.lpad("n_nationkey", 3, "0"), "n_name"))).alias("a"))
-    r = load(spark, d, "region").select(F.array_sort(F.collect_list(F.concat_ws(",", F.lpad("r_regionkey", 3, "0"), "r_name"))).alias("b"))
+    listed = lambda c: F.array_join(F.transform(c, lambda x: x["v"]), "\n")
+    customers = _filed(load(spark, d, "customer"), "c_custkey", 200, F.concat_ws(",", "c_custkey", "c_name")).withColumnRenamed("lines", "a")
+    parts = _filed(load(spark, d, "part"), "p_partkey", 200, F.concat_ws(",", "p_partkey", "p_name")).withColumnRenamed("lines", "b")
     text = F.concat(
-        F.lit("All tables\n\nNations\nkey,name\n"), F.array_join("a", "\n"), F.lit("\n\nRegions\nkey,name\n"), F.array_join("b", "\n")
+        F.lit("All tables\n\nCustomers\nkey,name\n"), F.coalesce(listed("a"), F.lit("")), F.lit("\n\nParts\nkey,name\n"), F.coalesce(listed("b"), F.lit(""))
     )
-    n.withColumn("j", F.lit(1)).join(r.withColumn("j", F.lit(1)), "j").select(text.alias("value")).coalesce(1).write.text(path)
+    customers.join(parts, "file", "full").select("file", text.alias("value")).repartition("file").write.partitionBy("file").text(path)
     sections = readers.read_sections(spark, path)
     tables = [
-        readers.section_rows(sections, s, "key int, name string", skip=2).select(F.lit(s).alias("section"), "key", "name") for s in (1, 2)
+        readers.section_rows(sections, s, "key long, name string", skip=2).select(F.lit(s).alias("section"), "key", "name") for s in (1, 2)
     ]
     return union_all(tables)
 
 
+_REPORT_YEARS = list(range(1995, 2002))  # all years of the orders
+
+
 @case("block_report", """
     select n_name as unit, 'Environmental Agency Budget' as detail, 'FY' || y as "column", '$' || format('{:,}', cast(round(sum(o_totalprice)) as bigint)) as value
-    from (select *, year(o_orderdate) as y from orders) o join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where y in (1996, 1997, 1998) group by 1, y
+    from (select *, year(o_orderdate) as y from orders) o join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, y
     union all select n_name, 'Amount from Federal Government', 'FY' || y, '$' || format('{:,}', count(*))
-    from (select *, year(o_orderdate) as y from orders) o join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where y in (1996, 1998) group by 1, y
+    from (select *, year(o_orderdate) as y from orders) o join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, y
 """)
 def block_report(spark, d):
     """A report file per region: state blocks separated by empty rows."""
@@ -70,54 +80,56 @@ def block_report(spark, d):
     o = load(spark, d, "orders").withColumn("y", F.year("o_orderdate"))
     o = o.join(load(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(load(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     money = lambda y: F.concat(F.lit("$"), F.format_number(F.round(F.sum(F.when(F.col("y") == y, F.col("o_totalprice")))).cast("long"), 0))
-    count = lambda y: F.concat(F.lit("$"), F.format_number(F.count(F.when(F.col("y") == y, 1)), 0))
-    s = o.groupBy("n_regionkey", "n_name").agg(*[money(y).alias(f"m{y}") for y in (1996, 1997, 1998)], *[count(y).alias(f"c{y}") for y in (1996, 1998)])
-    cells = lambda *c: F.struct(*[(x if not isinstance(x, str) else F.lit(x)).alias(n) for n, x in zip("abcd", c)])
+    # a year without orders has an empty cell
+    count = lambda y: F.concat(F.lit("$"), F.format_number(F.nullif(F.count(F.when(F.col("y") == y, 1)), F.lit(0)), 0))
+    s = o.groupBy("n_regionkey", "n_name").agg(*[money(y).alias(f"m{y}") for y in _REPORT_YEARS], *[count(y).alias(f"c{y}") for y in _REPORT_YEARS])
+    names = [f"k{i}" for i in range(len(_REPORT_YEARS) + 1)]
+    cells = lambda *c: F.struct(*[(x if not isinstance(x, str) else F.lit(x)).alias(n) for n, x in zip(names, [*c, *[""] * len(names)])])
     rows = F.array(
-        cells("", "", "", ""), cells(F.col("n_name"), "", "", ""), cells("", "FY1996", "FY1997", "FY1998"),
-        cells("Environmental Agency Budget", F.col("m1996"), F.col("m1997"), F.col("m1998")),
-        cells("Amount from Federal Government", F.col("c1996"), "", F.col("c1998")),
+        cells(""), cells(F.col("n_name")), cells("", *[f"FY{y}" for y in _REPORT_YEARS]),
+        cells("Environmental Agency Budget", *[F.coalesce(f"m{y}", F.lit("")) for y in _REPORT_YEARS]),
+        cells("Amount from Federal Government", *[F.coalesce(f"c{y}", F.lit("")) for y in _REPORT_YEARS]),
         cells("Footnote", "see", "page", "2"),
     )
     s.repartition("n_regionkey").sortWithinPartitions("n_regionkey", "n_name").select(F.inline(rows)).write.option("emptyValue", "").csv(path)
-    raw = spark.read.schema("a string, b string, c string, d string").option("multiLine", True).csv(path)
+    raw = spark.read.schema(", ".join(f"{n} string" for n in names)).option("multiLine", True).csv(path)
     raw = raw.withColumns({
         "file": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start"), "seq": F.monotonically_increasing_id(),
     })
-    return readers.parse_blocks(raw, ["a", "b", "c", "d"], "file", ["block"], ["seq"]).select("unit", "detail", "column", "value")
+    return readers.parse_blocks(raw, names, "file", ["block"], ["seq"]).select("unit", "detail", "column", "value")
 
 
 @case("geojson_features", """
-    select n_name as name, n_nationkey::double as x, case when n_regionkey = 0 then 2 else 1 end as parts, case when n_regionkey = 0 then 8 else 4 end as points from nation
+    select c_name as name, c_custkey::double as x, case when c_nationkey % 5 = 0 then 2 else 1 end as parts, case when c_nationkey % 5 = 0 then 8 else 4 end as points from customer
 """)
 def geojson_features(spark, d):
+    """One document per file, of some hundred features each."""
     path = f"{sinks.scratch_dir(spark)}/geo"
-    n = load(spark, d, "nation")
-    k = F.col("n_nationkey").cast("string")
+    k = F.col("c_custkey").cast("string")
     ring = F.concat(F.lit("[["), k, F.lit(", 0.0], [1.0, 2.5], [3.0, "), k, F.lit("], ["), k, F.lit(", 0.0]]"))
     many = F.concat(F.lit('{"type": "MultiPolygon", "coordinates": [['), ring, F.lit("], ["), ring, F.lit("]]}"))
     one = F.concat(F.lit('{"type": "Polygon", "coordinates": ['), ring, F.lit("]}"))
     feature = F.concat(
-        F.lit('{"type": "Feature", "properties": {"NAME": "'), F.col("n_name"), F.lit('", "AREA": 1.5}, "geometry": '),
-        F.when(F.col("n_regionkey") == 0, many).otherwise(one), F.lit("}"),
+        F.lit('{"type": "Feature", "properties": {"NAME": "'), F.col("c_name"), F.lit('", "AREA": 1.5}, "geometry": '),
+        F.when(F.col("c_nationkey") % 5 == 0, many).otherwise(one), F.lit("}"),
     )
-    doc = F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join(F.collect_list(feature), ",\n"), F.lit("]}"))
-    # one document per file: a folder per region
-    n.groupBy("n_regionkey").agg(doc.alias("value")).write.partitionBy("n_regionkey").text(path)
+    files = _filed(load(spark, d, "customer"), "c_custkey", 200, feature)
+    doc = F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join(F.transform("lines", lambda x: x["v"]), ",\n"), F.lit("]}"))
+    files.select("file", doc.alias("value")).write.partitionBy("file").text(path)
     g = readers.read_geojson(spark, path, "NAME")
     return g.select(
         "name", F.col("rings")[0][0][0]["x"].alias("x"), F.size("rings").alias("parts"), F.size(F.flatten(F.flatten("rings"))).alias("points")
     )
 
 
-@case("geojson_lines", "select n_name as name, n_nationkey::double as x from nation")
+@case("geojson_lines", "select c_name as name, c_custkey::double as x from customer")
 def geojson_lines(spark, d):
     path = f"{sinks.scratch_dir(spark)}/geolines"
-    k = F.col("n_nationkey").cast("string")
+    k = F.col("c_custkey").cast("string")
     line = F.concat(
-        F.lit('{"properties": {"TOWN": "'), F.col("n_name"), F.lit('"}, "geometry": {"type": "Polygon", "coordinates": [[['), k, F.lit(", 0], [1, 1], [2, 0]]]}}"),
+        F.lit('{"properties": {"TOWN": "'), F.col("c_name"), F.lit('"}, "geometry": {"type": "Polygon", "coordinates": [[['), k, F.lit(", 0], [1, 1], [2, 0]]]}}"),
     )
-    load(spark, d, "nation").select(line.alias("value")).write.text(path)
+    load(spark, d, "customer").select(line.alias("value")).write.text(path)
     return readers.read_geojson(spark, path, "TOWN", by_line=True).select("name", F.col("rings")[0][0][0]["x"].alias("x"))
 
 
@@ -140,19 +152,20 @@ def paged_json(spark, d):
     })
 
 
-@case("two_layouts", "select n_nationkey as key, n_name as name from nation")
+@case("two_layouts", "select c_custkey as key, c_name as name from customer")
 def two_layouts(spark, d):
+    """Documents of some hundred rows, one per line, in either layout."""
     path = f"{sinks.scratch_dir(spark)}/layouts"
-    n = load(spark, d, "nation")
-    record = F.to_json(F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")))
-    row = F.concat(F.lit("["), F.col("n_nationkey").cast("string"), F.lit(', "'), F.col("n_name"), F.lit('"]'))
-    by_region = n.groupBy("n_regionkey").agg(F.array_join(F.collect_list(record), ",").alias("records"), F.array_join(F.collect_list(row), ",").alias("rows"))
-    doc = F.when(F.col("n_regionkey") < 2, F.concat(F.lit('{"data": ['), "records", F.lit("]}"))).otherwise(
-        F.concat(F.lit('{"columns": ["key", "name"], "index": [0], "data": ['), "rows", F.lit("]}"))
+    record = F.to_json(F.struct(F.col("c_custkey").alias("key"), F.col("c_name").alias("name")))
+    row = F.concat(F.lit("["), F.col("c_custkey").cast("string"), F.lit(', "'), F.col("c_name"), F.lit('"]'))
+    groups = _filed(load(spark, d, "customer"), "c_custkey", 200, F.struct(record.alias("record"), row.alias("row")))
+    listed = lambda kind: F.array_join(F.transform("lines", lambda x: x["v"][kind]), ",")
+    doc = F.when(F.col("file") % 2 == 0, F.concat(F.lit('{"data": ['), listed("record"), F.lit("]}"))).otherwise(
+        F.concat(F.lit('{"columns": ["key", "name"], "index": [0], "data": ['), listed("row"), F.lit("]}"))
     )
-    for r in ("0, 1", "2, 3, 4"):  # the two layouts, as separate landings of one document per line
-        by_region.where(f"n_regionkey in ({r})").select(doc.alias("value")).write.mode("append").text(path)
-    schema = StructType.fromDDL("key int, name string")
+    for kind in (0, 1):  # the two layouts, as separate landings of one document per line
+        groups.where(F.col("file") % 2 == kind).select(doc.alias("value")).write.mode("append").text(path)
+    schema = StructType.fromDDL("key long, name string")
     return readers.conform(readers.read_two_layouts(spark, path, ["key", "name"], by_line=True), schema)
 
 
