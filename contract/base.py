@@ -130,7 +130,7 @@ DERIVED = {
         select c_custkey as area, n_name as town, r_name as watershed,
                case when c_acctbal < 0 then 0 else round(c_acctbal) end as pop,
                case when c_mktsegment = 'BUILDING' then null else (c_acctbal + 1000) / 11000 end as minority,
-               (c_acctbal + 1500) / (c_acctbal + 9000) as lowincome
+               (c_acctbal + 1500) / (c_acctbal + 9000) as lowincome, (c_acctbal + 1100) / (c_acctbal + 20000) as isolation
         from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
     """,
     # discharge per outfall, assigned to an area; some areas are unknown

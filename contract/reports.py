@@ -63,14 +63,20 @@ def _flagged(spark, d):
     return keyword_flags(actions(spark, d), "text", all_flags())
 
 
-_TOPICS = {"order_wetlands": "wetlands", "order_consent order": "consent order", "law_npdes": "npdes", "law_chapter 91": "chapter 91", "order_water": "water"}
+_TOPICS = all_flags()
+
+
+def _told(terms: list[str]) -> str:
+    return " or ".join(f"contains(lower(text), '{t.lower()}')" for t in terms)
+
+
 _TOPIC_ROWS = " union all ".join(
-    f"select year, '{flag}' as flag, sum(case when contains(lower(text), '{term}') then 1 else 0 end) as hits, count(*) as n from enforcement group by 1" for flag, term in _TOPICS.items()
+    f"select year, '{flag}' as flag, sum(case when {_told(terms)} then 1 else 0 end) as hits, count(*) as n from enforcement group by 1" for flag, terms in _TOPICS.items()
 )
 
 
 @case("report_topic_shares", with_derived("enforcement", body=f"""
-    select year, flag, upper(substr(split_part(flag, '_', 2), 1, 1)) || substr(split_part(flag, '_', 2), 2) as t, hits::bigint as hits, round(100.0 * hits / n, 6) as pct from ({_TOPIC_ROWS})
+    select year, flag, upper(substr(trim(split_part(flag, '_', 2)), 1, 1)) || substr(trim(split_part(flag, '_', 2)), 2) as t, hits::bigint as hits, round(100.0 * hits / n, 6) as pct from ({_TOPIC_ROWS})
 """))
 def report_topic_shares(spark, d):
     shares = enforcement.topic_shares(_flagged(spark, d), list(_TOPICS))
@@ -452,7 +458,8 @@ def report_tests_per_year(spark, d):
 
 # --- discharge ---------------------------------------------------------------------------
 
-INDICATORS = ["minority", "lowincome"]
+INDICATORS = ["minority", "lowincome", "isolation"]
+LEVELS = ["area", "town", "watershed"]
 
 
 @case("report_discharge_by_town", with_derived("areas", "discharge", body="""
@@ -476,46 +483,59 @@ def report_discharge_per_water_body(spark, d):
 
 
 @case("report_demographics", with_derived("areas", body="""
-    select watershed, round(sum(pop * minority) / sum(pop), 8) as minority, round(sum(pop * lowincome) / sum(pop), 8) as lowincome from areas group by 1
+    select watershed, round(sum(pop * minority) / sum(pop), 8) as minority, round(sum(pop * lowincome) / sum(pop), 8) as lowincome, round(sum(pop * isolation) / sum(pop), 8) as isolation from areas group by 1
 """))
 def report_demographics(spark, d):
     return rounded(discharge.demographics_by(derived(spark, d, "areas"), "watershed", INDICATORS), 8, *INDICATORS)
 
 
-_LEVEL = """
-    , v as (select town, sum(volume) as volume from discharge s join areas a on a.area = s.area group by 1),
-    l as (select a.town, sum(pop * minority) / sum(pop) as minority, sum(pop * lowincome) / sum(pop) as lowincome, sum(pop) as pop, coalesce(any_value(v.volume), 0) as volume from areas a left join v on v.town = a.town group by 1)
-"""
+def _units(level: str, fill: str) -> str:
+    """Units of a level, once per indicator; a unit without known weights has no indicator."""
+    mean = lambda c: f"sum(pop * {c}) / nullif(sum(pop), 0)"
+    one = f"(select a.{level} as unit, {', '.join(f'{mean(c)} as {c}' for c in INDICATORS)}, sum(pop) as pop from areas a group by 1)"
+    volume = f"(select a.{level} as unit, sum(volume) as volume from discharge s join areas a on a.area = s.area group by 1)"
+    return " union all ".join(
+        f"select '{level}' as level, '{c}' as indicator, cast(unit as varchar) as key, {c} as x, pop as w, {fill.format('v.volume')} as y from {one} u left join {volume} v using (unit)" for c in INDICATORS
+    )
+
+
+_PANELS = " union all ".join(_units(level, "{}" if level == "area" else "coalesce({}, 0)") for level in LEVELS)
+_FITTED = " union all ".join(_units(level, "coalesce({}, 0)") for level in LEVELS)
 
 
-def _town_table(spark, d):
-    return discharge.level_table(derived(spark, d, "discharge"), derived(spark, d, "areas"), "town", INDICATORS)
+def _level_tables(spark, d, fill_areas: float | None):
+    found, areas = derived(spark, d, "discharge"), derived(spark, d, "areas")
+    return {v: discharge.level_table(found, areas, v, INDICATORS, fill_areas if v == "area" else 0.0) for v in LEVELS}
 
 
-@case("report_discharge_vs_indicator", with_derived("areas", "discharge", body=_LEVEL + """
-    , e as (select list_sort(list_distinct(quantile_cont(minority, [0, 0.25, 0.5, 0.75, 1]))) as e from l),
-    b as (select n_nationkey as key, volume as y, pop as w, len(list_filter(e, lambda v: v < minority)) - 1 as bin, (e[bin + 1] + e[bin + 2]) / 2 as centre from l join nation on n_name = town, e),
-""" + _binned_boot(8, "centre")))
+@case("report_discharge_vs_indicator", with_derived("areas", "discharge", body=f"""
+    , l as ({_PANELS}),
+    e as (select level, indicator, list_sort(list_distinct(quantile_cont(x, [0, 0.25, 0.5, 0.75, 1]))) as e from l group by 1, 2),
+    b as (select level, indicator, key as k, y as x, w, len(list_filter(e, lambda v: v < l.x)) - 1 as bin, (e[bin + 1] + e[bin + 2]) / 2 as centre from l join e using (level, indicator)),
+    known as (select * from b where bin >= 0),
+    {sql_drawn('known', 'level, indicator, bin', 1000, 8)}
+    select level, indicator, bin, round(any_value(centre), 6) as centre, round(avg(stat), 5) as mean, round(stddev_pop(stat), 5) as sd, round(avg(stat) - 1.65 * stddev_pop(stat), 5) as low, round(avg(stat) + 1.65 * stddev_pop(stat), 5) as high
+    from st join (select distinct level, indicator, bin, centre from b) using (level, indicator, bin) group by 1, 2, 3
+"""))
 def report_discharge_vs_indicator(spark, d):
-    keys = load(spark, d, "nation").select(F.col("n_name").alias("town"), F.col("n_nationkey").cast("long").alias("key"))
-    table = _town_table(spark, d).join(keys, "town")
-    out = discharge.discharge_by_indicator_bin(table, "minority", "key", seed=8)
+    out = discharge.discharge_panels(_level_tables(spark, d, None), INDICATORS, seed=8)
     return rounded(rounded(out, 6, "centre"), 5, "mean", "sd", "low", "high")
 
 
-@case("report_dependence", with_derived("areas", "discharge", body=_LEVEL + """
-    , u0 as (select 'minority' as indicator, minority as x, volume as y, pop from l where pop >= 50 union all select 'lowincome', lowincome, volume, pop from l where pop >= 50),
-    u as (select *, pop / avg(pop) over (partition by indicator) as p from u0), s as (select indicator, count(*) as j, stddev_samp(y) as s from u group by 1),
-    q as (select u.indicator, i, -4.0::double + i * 0.05::double as beta, j, s, p, y, pow(x, -4.0::double + i * 0.05::double) as q from u join s using (indicator), range(0, 241) b(i)),
-    w as (select indicator, i, beta, j, s, sum(p * y * y) as syy, sum(p * y * q) as sxy, sum(p * q * q) as sxx from q group by all),
+@case("report_dependence", with_derived("areas", "discharge", body=f"""
+    , u0 as (select level, indicator, x, y, w as pop from ({_FITTED}) where w >= 50 and x is not null),
+    """ + """
+    u as (select *, pop / avg(pop) over (partition by level, indicator) as p from u0), s as (select level, indicator, count(*) as j, stddev_samp(y) as s from u group by 1, 2),
+    q as (select u.level, u.indicator, i, -4.0::double + i * 0.05::double as beta, j, s, p, y, pow(x, -4.0::double + i * 0.05::double) as q from u join s using (level, indicator), range(0, 241) b(i)),
+    w as (select level, indicator, i, beta, j, s, sum(p * y * y) as syy, sum(p * y * q) as sxy, sum(p * q * q) as sxx from q group by all),
     a as (select 0.001::double * exp(unnest(range(0, 200)) * (ln(60000.0::double) / 199)) as a), g as (select 0.02::double * exp(unnest(range(0, 40)) * (ln(600.0::double) / 39)) as g),
-    c as (select indicator, i, beta, -j * ln(g * s) - (syy - 2 * a * s * sxy + a * a * s * s * sxx) / (2 * g * g * s * s) - a * a / 200 - g * g / 32 - beta * beta / 32 + ln(a * s) + ln(g) as lp from w, a, g),
-    t as (select indicator, max(lp) as top from c group by 1),
-    ma as (select indicator, i, beta, sum(exp(lp - top)) as w from c join t using (indicator) group by 1, 2, 3),
-    cd as (select indicator, i, beta, sum(w) over (partition by indicator order by i) / sum(w) over (partition by indicator) as c from ma),
-    la as (select *, coalesce(lag(c) over (partition by indicator order by i), 0) as c0, coalesce(lag(beta) over (partition by indicator order by i), beta) as b0 from cd)
-    select 'town' as level, indicator, """ + ", ".join(
+    c as (select level, indicator, i, beta, -j * ln(g * s) - (syy - 2 * a * s * sxy + a * a * s * s * sxx) / (2 * g * g * s * s) - a * a / 200 - g * g / 32 - beta * beta / 32 + ln(a * s) + ln(g) as lp from w, a, g),
+    t as (select level, indicator, max(lp) as top from c group by 1, 2),
+    ma as (select level, indicator, i, beta, sum(exp(lp - top)) as w from c join t using (level, indicator) group by 1, 2, 3, 4),
+    cd as (select level, indicator, i, beta, sum(w) over (partition by level, indicator order by i) / sum(w) over (partition by level, indicator) as c from ma),
+    la as (select *, coalesce(lag(c) over (partition by level, indicator order by i), 0) as c0, coalesce(lag(beta) over (partition by level, indicator order by i), beta) as b0 from cd)
+    select level, indicator, """ + ", ".join(
     f"round(pow(2, min(case when c0 < {p} and c >= {p} then b0 + (beta - b0) * ({p} - c0) / (c - c0) end)), 3) as {n}" for n, p in (("median", 0.5), ("low", 0.05), ("high", 0.95))
-) + " from la group by 2"))
+) + " from la group by 1, 2"))
 def report_dependence(spark, d):
-    return rounded(discharge.dependence_facts({"town": _town_table(spark, d)}, INDICATORS), 3, "median", "low", "high")
+    return rounded(discharge.dependence_facts(_level_tables(spark, d, 0.0), INDICATORS, skip_unknown=True), 3, "median", "low", "high")

@@ -39,15 +39,21 @@ def sql_poisson(u: str) -> str:
 
 
 def sql_drawn(src: str, g: str, reps: int, seed: int, piece: int = 4096) -> str:
-    """Table ``st`` (g, rep, stat): weighted means of rows (g, k, x, w) of the table ``src`` drawn with replacement, one level of pieces."""
+    """Table ``st`` (g, rep, stat): weighted means of rows (g, k, x, w) of the table ``src`` drawn with replacement, one level of pieces.
+
+    ``g`` is one column or several, separated by commas.
+    """
+    by = g.split(", ")
+    same = " and ".join(f"b.{c} = d.{c}" for c in by)
+    known = " and ".join(f"{c} is not null" for c in [*by, "x", "w"])
     return f"""
-    numbered as (select {g}, x, w, row_number() over (partition by {g} order by k) - 1 as i, count(*) over (partition by {g}) as n from {src} where {g} is not null and x is not null and w is not null),
+    numbered as (select {g}, x, w, row_number() over (partition by {g} order by k) - 1 as i, count(*) over (partition by {g}) as n from {src} where {known}),
     starts as (select distinct {g}, n, rep from numbered, range({reps}) t(rep)),
-    dealt as ({sql_uniform(f"select * from ({sql_keys('starts', f"'{seed}'", g, 'rep', 1, 0, 0)}), lateral (select unnest(range(n)) as q)", 'q')}),
+    dealt as ({sql_uniform(f"select * from ({sql_keys('starts', f"'{seed}'", *by, 'rep', 1, 0, 0)}), lateral (select unnest(range(n)) as q)", 'q')}),
     pieces as (select {g}, rep, n, case when n <= {piece} then 0 else least(floor(u * n), n - 1)::bigint // {piece} end as node, count(*) as m from dealt group by all),
-    picks as ({sql_uniform(f"select *, least({piece}, n - node * {piece}) as s from ({sql_keys('pieces', f"'{seed}'", g, 'rep', 0, 'node', 0)}), lateral (select unnest(range(m)) as q)", 'q')}),
+    picks as ({sql_uniform(f"select *, least({piece}, n - node * {piece}) as s from ({sql_keys('pieces', f"'{seed}'", *by, 'rep', 0, 'node', 0)}), lateral (select unnest(range(m)) as q)", 'q')}),
     drawn as (select {g}, rep, node * {piece} + least(floor(u * s), s - 1)::bigint as i, count(*) as c from picks group by all),
-    st as (select d.{g}, rep, sum(c * w * x) / nullif(sum(c * w), 0) as stat from drawn d join numbered b on b.{g} = d.{g} and b.i = d.i group by 1, 2)"""
+    st as (select {', '.join(f'd.{c}' for c in by)}, rep, sum(c * w * x) / nullif(sum(c * w), 0) as stat from drawn d join numbered b on {same} and b.i = d.i group by all)"""
 
 
 def sql_binomial(g: str, rows: str, u: str) -> str:

@@ -105,17 +105,23 @@ def proper_noun_runs(spark, d):
     return docs.select("doc_id", F.size(runs).alias("n"), F.array_join(runs, "|").alias("runs"))
 
 
-_TERMS = "(values ('The'), ('And'), ('Of'), ('That'), ('It')) v(term)"
+# a gazetteer from tables: first words of the pages' titles, and names of nations and regions
+_GAZETTEER = """
+    select upper(substr(w, 1, 1)) || lower(substr(w, 2)) as name from (select regexp_extract(html, '<title>([A-Za-z]+)', 1) as w from pages) where w <> ''
+    union select upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) from nation union select upper(substr(r_name, 1, 1)) || lower(substr(r_name, 2)) from region
+"""
 
 
 @case("gazetteer_tags", f"""
-    with g as (select term as name from {_TERMS}),
+    with g as ({_GAZETTEER}),
     r as (select distinct doc_id, ltrim(unnest(regexp_extract_all(regexp_replace(replace(strip_accents(text), 'ß', 'ss'), '[^\\x00-\\x7F]', '', 'g'), '(?:\\s*\\b[A-Z][a-z\\-]+\\b)+')), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') as run from documents),
     f as (select doc_id, string_agg(run, '|' order by run) as places, count(*) as n from r join g on run = name group by 1)
     select doc_id, coalesce(places, '') as places, coalesce(n, 0) as n from (select doc_id from documents) left join f using (doc_id)
 """)
 def gazetteer_tags(spark, d):
-    names = spark.sql(f"select term as name from {_TERMS}")
+    for name in ("pages", "nation", "region"):
+        load(spark, d, name).createOrReplaceTempView(name)
+    names = spark.sql(_GAZETTEER)
     docs = load(spark, d, "documents").select("doc_id", text.to_ascii("text").alias("text"))
     tagged = relate.gazetteer_tags(docs, "doc_id", "text", names, "name")
     return tagged.select("doc_id", F.array_join("places", "|").alias("places"), F.size("places").alias("n"))
@@ -165,28 +171,26 @@ def pdf_links(spark, d):
 
 
 @case("html_table_rows", """
-    select 'A & ' || n_name as "Facility Name", 'Permit ' || n_nationkey as "Permit Number", case when n_regionkey = 0 then null else r_name end as "Watershed"
-    from nation join region on n_regionkey = r_regionkey
+    select page_id, 'P & ' || page_id || ' \u2013 x' as "Page", url as "Address", case when page_id % 3 = 0 then null else length(html) || ' <kB>' end as "Size" from pages
+    union all select page_id, 'second', 'b' || chr(233), null from pages
 """)
 def html_table_rows(spark, d):
-    """One page per nation; its table repeats the header, and one name holds a character reference."""
+    """A table before every page: cells and rows without end tags, a table within a cell, a repeated header, references, a short row."""
     from regdata.operators.markup import extract_table_rows
 
-    n, r = load(spark, d, "nation"), load(spark, d, "region")
-    n = n.join(r, n.n_regionkey == r.r_regionkey)
-    row = F.concat(
-        F.lit("<tr class='x'>\n <td>A &amp; "), F.col("n_name"), F.lit("</td><td><b>Permit "), F.col("n_nationkey").cast("string"), F.lit("</b></td><td>"),
-        F.when(F.col("n_regionkey") == 0, "N/A").otherwise(F.col("r_name")), F.lit("</td>\n</tr>"),
+    p = load(spark, d, "pages")
+    size = F.when(F.col("page_id") % 3 == 0, "N/A").otherwise(F.concat(F.length("html").cast("string"), F.lit(" &lt;kB&gt;")))
+    head = "<tr><th>Page<th>Address<TH class=n>Size"
+    page = F.concat(
+        F.lit(f"<p>x</td></table><table border=1>{head}<tr><td>P &#38; "), F.col("page_id").cast("string"), F.lit(" &#x2013; x<td><a href='"), "url", F.lit("'>"), "url",
+        F.lit("</a><table><tr><th>Size</th></tr><tr><td>inner<td>more</table><!-- <td>no --><td>"), size, F.lit(f"</td></tr>{head}</tr><tr><td>second</td><td>b&#233;</table>"), "html",
     )
-    head = "<tr><th>Facility Name</th><th>Permit Number</th><th>Watershed</th></tr>"
-    page = F.concat(F.lit(f"<html><table>{head}"), row, F.lit(f"{head}</table></html>"))
-    pages = n.select("n_nationkey", page.alias("html"))
-    return extract_table_rows(pages, ["n_nationkey"], "html", ["Facility Name", "Permit Number", "Watershed"]).drop("n_nationkey")
+    return extract_table_rows(p.select("page_id", page.alias("html")), ["page_id"], "html", ["Page", "Address", "Size"])
 
 
 def sql_references(x: str) -> str:
     for reference, sign in HTML_REFERENCES.items():
-        x = f"replace({x}, '{reference}', chr({ord(sign)}))"
+        x = f"replace({x}, '&{reference};', chr({ord(sign)}))"
     return x
 
 

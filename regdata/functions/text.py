@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from regdata.vocab import ASCII_SPELLINGS, DATED_LINE, HTML_REFERENCES, JOB_LEVEL, MONEY, MONEY_MILLIONS, PROPER_NOUNS
-
 from regdata.functions.clean import _c
+from regdata.vocab import (
+    ASCII_SPELLINGS, CYRILLIC_SPELLINGS, DATED_LINE, GREEK_SPELLINGS, HTML_REFERENCES, JOB_LEVEL, MONEY, MONEY_MILLIONS, PROPER_NOUNS,
+)
 
 
 def dated_line(col) -> Column:
@@ -107,18 +109,43 @@ def fold_ascii(col) -> Column:
     return F.translate(_c(col), *_latin_folding())
 
 
-def _replaced(col, pairs: dict[str, str]) -> Column:
-    out = _c(col)
-    for old, new in pairs.items():
-        out = F.replace(out, F.lit(old), F.lit(new))
+LAST_SPELLED = 0x2600  # code points from here on have no spelling
+NO_SPELLING = "\x01"
+
+
+@functools.cache
+def _spellings() -> dict[str, str]:
+    """Spelling in ASCII of each character beyond it that has one: a given one, or that of what it decomposes to."""
+    known = {**ASCII_SPELLINGS, **GREEK_SPELLINGS, **CYRILLIC_SPELLINGS}
+    known |= {c.upper(): s.capitalize() for c, s in [*GREEK_SPELLINGS.items(), *CYRILLIC_SPELLINGS.items()] if len(c.upper()) == 1}
+    out = {}
+    for c in map(chr, range(0x80, LAST_SPELLED)):
+        parts = [p for p in unicodedata.normalize("NFKD", c) if not unicodedata.combining(p)]
+        if c in known:
+            out[c] = known[c]
+        elif parts and all(p.isascii() or p in known for p in parts):
+            out[c] = "".join(known.get(p, p) for p in parts)
     return out
 
 
 def transliterate(col) -> Column:
-    """Accents folded, quotes, dashes, spaces, fractions and ligatures spelled in ASCII; the rest stays."""
-    single = {k: v for k, v in ASCII_SPELLINGS.items() if len(v) == 1}
-    several = {k: v for k, v in ASCII_SPELLINGS.items() if len(v) != 1}
-    return _replaced(F.translate(fold_ascii(col), "".join(single), "".join(single.values())), several)
+    """Letters of Latin, Greek and Cyrillic, quotes, dashes, spaces, fractions and ligatures spelled in ASCII; the rest stays.
+
+    Characters spelled by one character are exchanged first. Only texts with others are cut at these, and each looks its
+    spelling up by its number in one array.
+    """
+    known = _spellings()
+    single = {k: v for k, v in known.items() if len(v) == 1}
+    out = F.translate(_c(col), "".join(single), "".join(single.values()))
+    table = "\x02".join(known.get(chr(i), NO_SPELLING) for i in range(0x80, LAST_SPELLED))
+    spelled = F.split(F.lit(table), "\x02")
+
+    def spell(part: Column) -> Column:
+        found = F.get(spelled, F.ascii(part) - 0x80)
+        return F.when(found.isNull() | (found == NO_SPELLING), part).otherwise(found)
+
+    parts = F.regexp_extract_all(out, F.lit(r"[\x00-\x7F]+|[^\x00-\x7F]"), F.lit(0))
+    return F.when(out.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(parts, spell), "")).otherwise(out)
 
 
 def unspelled(col) -> Column:
@@ -132,8 +159,20 @@ def to_ascii(col) -> Column:
 
 
 def decode_references(col) -> Column:
-    """Character references of HTML as characters."""
-    return _replaced(col, HTML_REFERENCES)
+    """Character references of HTML as characters: named ones of the list, and all numbered ones by their code point.
+
+    Texts without an ampersand are left alone, others are cut once; what a reference stands for is not read again.
+    """
+    names = F.create_map(*[F.lit(x) for pair in HTML_REFERENCES.items() for x in pair])
+
+    def decode(part: Column) -> Column:
+        number = F.coalesce(F.conv(F.regexp_extract(part, r"^&#[xX]([0-9a-fA-F]{1,6});?$", 1), 16, 10).try_cast("int"), F.regexp_extract(part, r"^&#([0-9]{1,7});?$", 1).try_cast("int"))
+        sound = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        sign = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        return F.when(~part.startswith("&"), part).when(sound, sign).otherwise(F.coalesce(F.try_element_at(names, F.regexp_extract(part, "^&([A-Za-z0-9]+);$", 1)), part))
+
+    parts = F.regexp_extract_all(_c(col), F.lit(r"&#?[A-Za-z0-9]+;?|[^&]+|&"), F.lit(0))
+    return F.when(F.contains(_c(col), F.lit("&")), F.array_join(F.transform(parts, decode), "")).otherwise(_c(col))
 
 
 def links(col) -> Column:

@@ -9,25 +9,51 @@ from pyspark.sql import functions as F
 
 from regdata.functions.nulls import known_keys, sum0
 from regdata.functions.text import proper_nouns
-from regdata.operators.skew import skew_join
+from regdata.operators.skew import HOT_SHARE, skew_join
+
+
+HOT_ROWS = 20_000  # a key needs more rows than this, and more than its share, to be split
+
+
+def _same(a: str, b: str, left: list[str], right: list[str]) -> Column:
+    """Whether the keys of two aliased tables are equal, missing ones included."""
+    return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{r}")) for k, r in zip(left, right)])
+
+
+def _with_parts(df: DataFrame, keys: list[str], out: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with the part of their key that they are in, by their content; and the parts in use of each hot key, at most ``1 / HOT_SHARE`` rows."""
+    limit = F.greatest(df.agg(F.count(F.lit(1))).scalar() * F.lit(HOT_SHARE), F.lit(HOT_ROWS))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_limit", limit)
+    hot = counts.where("_rows > _limit").select(*keys, F.ceil(F.col("_rows") / F.col("_limit")).alias("_parts"))
+    content = F.xxhash64(*[F.col(f"l.`{c}`") for c in df.columns])
+    dealt = df.alias("l").join(F.broadcast(hot).alias("h"), _same("l", "h", keys, keys), "left")
+    dealt = dealt.select("l.*", "_parts", F.coalesce(F.pmod(content, F.col("_parts")), F.lit(0)).alias(out))
+    used = dealt.where("_parts is not null").groupBy(*keys).agg(F.collect_set(out).alias("_used"))
+    return dealt.drop("_parts"), used
 
 
 def full_outer_coalesced(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Full outer join on differently named keys; missing keys match each other.
 
-    Each key pair becomes one column under its left name.
-
-    The join is put together from a left join and the right rows without a partner.
-    Adaptive execution can split a hot key in both of these, but not in a full join.
+    Each key pair becomes one column under its left name. It is one full join, so each side moves once. Adaptive
+    execution can't split a hot key in it, so rows of one are dealt to parts by their content, and
+    rows of the other side repeated once for each part in use. As every such part has rows, a
+    repeated row always finds a partner, and none comes out alone more than once.
     """
-    keys = [f"_r_{b}" for _, b in pairs]
+    keys, theirs = [a for a, _ in pairs], [f"_r_{b}" for _, b in pairs]
     renamed = right.withColumnsRenamed({b: f"_r_{b}" for _, b in pairs})
-    cond = reduce(lambda a, b: a & b, [left[a].eqNullSafe(renamed[f"_r_{b}"]) for a, b in pairs])
-    matched = left.join(renamed, cond, "left").drop(*keys)
-    seen = left.select(*[F.col(a).alias(f"_l_{a}") for a, _ in pairs]).distinct()
-    absent = reduce(lambda a, b: a & b, [renamed[f"_r_{b}"].eqNullSafe(seen[f"_l_{a}"]) for a, b in pairs])
-    alone = renamed.join(seen, absent, "left_anti").withColumnsRenamed({f"_r_{b}": a for a, b in pairs})
-    return matched.unionByName(alone, allowMissingColumns=True)
+    mine, used_mine = _with_parts(left, keys, "_sl")
+    other, used_other = _with_parts(renamed, theirs, "_sr")
+    every = lambda c: F.explode(F.coalesce(F.col("_used"), F.array(F.lit(0).cast("long")))).alias(c)
+    mine = mine.alias("l").join(F.broadcast(used_other).alias("u"), _same("l", "u", keys, theirs), "left").select("l.*", every("_sr"))
+    other = other.alias("l").join(F.broadcast(used_mine).alias("u"), _same("l", "u", theirs, keys), "left").select("l.*", every("_sl"))
+    cond = _same("a", "b", keys, theirs) & (F.col("a._sl") == F.col("b._sl")) & (F.col("a._sr") == F.col("b._sr"))
+    joined = mine.alias("a").join(other.alias("b"), cond, "full")
+    found = F.col("a._sl").isNotNull()
+    merged = [F.when(found, F.col(f"a.{k}")).otherwise(F.col(f"b.{r}")).alias(k) for k, r in zip(keys, theirs)]
+    rest = [F.col(f"b.`{c}`") for c in renamed.columns if c not in theirs]
+    kept = dict(zip(keys, merged))
+    return joined.select(*[kept.get(c, F.col(f"a.`{c}`")) for c in left.columns], *rest)
 
 
 def facts_on_dimension(facts: DataFrame, dims: DataFrame, fact_key: str, dim_key: str, by: str, sums: list[str]) -> DataFrame:

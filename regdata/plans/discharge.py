@@ -79,7 +79,8 @@ def level_table(sources: DataFrame, areas: DataFrame, level: str, indicators: li
     ``fill`` is the discharge of a unit without sources: 0 for towns and watersheds and in
     the fit, null for single areas in the binned report.
     """
-    demo = demographics_by(areas, level, indicators)
+    # a gap keeps its weight among other areas; an area alone has no value then
+    demo = demographics_by(areas, level, indicators, "strict" if level == "area" else "match")
     pop = known_keys(areas, level).groupBy(level).agg(sum0("pop").alias("pop"))
     found = known_keys(sources.join(areas.select("area", *({level} - {"area"})), "area", "inner"), level)
     volume = found.groupBy(level).agg(sum0("volume").alias("volume"))
@@ -96,15 +97,35 @@ def discharge_by_indicator_bin(
     return resample.wmean_bootstrap(binned, ["bin", "centre"], "volume", "pop", key, reps, seed, method, BAND_SD)
 
 
-def dependence_facts(tables: dict[str, DataFrame], indicators: list[str], min_population: float = MIN_POPULATION) -> DataFrame:
+def discharge_panels(
+    tables: dict[str, DataFrame], indicators: list[str], bins: int = 4, reps: int = 1000, seed: int = 0, method: str = "draws",
+) -> DataFrame:
+    """:func:`discharge_by_indicator_bin` for every level and indicator, in one pass: a unit has a row per
+    indicator, edges are quantiles per (level, indicator), and one bootstrap serves all bins."""
+    rows = []
+    for level, table in tables.items():
+        pairs = F.array(*[F.struct(F.lit(i).alias("indicator"), F.col(i).cast("double").alias("x")) for i in indicators])
+        rows.append(table.select(F.lit(level).alias("level"), F.col(level).cast("string").alias("key"), "volume", "pop", F.inline(pairs)))
+    data, by = materialise(relate.union_all(rows)), ["level", "indicator"]
+    edges = quantile.quantiles(data, by, "x", [i / bins for i in range(bins + 1)], [f"e{i}" for i in range(bins + 1)])
+    edges = edges.select(*by, F.array_distinct(F.array(*[f"e{i}" for i in range(bins + 1)])).alias("edges"))
+    binned = quantile.with_bin(data.join(F.broadcast(edges), by), "x", F.col("edges"), centre="centre").drop("edges")  # one row per panel
+    return resample.wmean_bootstrap(binned, [*by, "bin", "centre"], "volume", "pop", "key", reps, seed, method, BAND_SD)
+
+
+def dependence_facts(
+    tables: dict[str, DataFrame], indicators: list[str], min_population: float = MIN_POPULATION, skip_unknown: bool = False,
+) -> DataFrame:
     """Doubling ratio of discharge for every level and indicator: median, 5% and 95%.
 
-    All fits share one pass: the level tables become rows (level, indicator, x, y, pop).
+    All fits share one pass: the level tables become rows (level, indicator, x, y, pop). A unit without
+    an indicator is an error, or no part of that fit with ``skip_unknown``.
     """
     rows = []
     for level, table in tables.items():
         pairs = F.array(*[F.struct(F.lit(i).alias("indicator"), F.col(i).cast("double").alias("x")) for i in indicators])
         rows.append(table.select(F.lit(level).alias("level"), "volume", "pop", F.inline(pairs)))
     data = doseresponse.populated(relate.union_all(rows), "pop", min_population)
-    data = materialise(doseresponse.require_known(data, ["x"]))  # one row per unit and indicator
+    known = data.where("x is not null") if skip_unknown else doseresponse.require_known(data, ["x"])
+    data = materialise(known)  # one row per unit and indicator
     return doseresponse.powerlaw_posterior(data, ["level", "indicator"], "x", "volume", "pop", [0.5, 0.05, 0.95], ["median", "low", "high"])

@@ -91,11 +91,16 @@ ASCII_SPELLINGS = {
     "\u0142": "l", "\u0141": "L", "\u0111": "d", "\u0110": "D", "\u00f0": "d", "\u00d0": "D", "\u00fe": "th", "\u00de": "Th", "\u0131": "i",
 }
 
-# Character references of HTML that occur in agency pages; the ampersand is read last.
+# Latin spellings of small Greek and Cyrillic letters; capitals follow by rule.
+GREEK_SPELLINGS = dict(zip("αβγδεζηθικλμνξοπρςστυφχψω", "a b g d e z e th i k l m n x o p r s s t u ph kh ps o".split()))
+CYRILLIC_SPELLINGS = dict(zip(
+    "абвгдежзийклмнопрстуфхцчшщъыьэюяєіїґўђјљњћџ",
+    "a b v g d e zh z i i k l m n o p r s t u f kh ts ch sh shch ' y ' e iu ia ie i i g u d j lj nj c dz".split(),
+))
+
+# Named character references of HTML that occur in agency pages. Numbered ones follow by rule.
 HTML_REFERENCES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#34;": '"', "&apos;": "'", "&#39;": "'", "&#x27;": "'", "&nbsp;": "\u00a0", "&#160;": "\u00a0",
-    "&ndash;": "\u2013", "&#8211;": "\u2013", "&mdash;": "\u2014", "&#8212;": "\u2014", "&lsquo;": "\u2018", "&#8216;": "\u2018",
-    "&rsquo;": "\u2019", "&#8217;": "\u2019", "&ldquo;": "\u201c", "&#8220;": "\u201c", "&rdquo;": "\u201d", "&#8221;": "\u201d",
-    "&hellip;": "\u2026", "&bull;": "\u2022", "&middot;": "\u00b7", "&deg;": "\u00b0", "&frac12;": "\u00bd", "&copy;": "\u00a9", "&reg;": "\u00ae",
-    "&amp;": "&",
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "ndash": "\u2013", "mdash": "\u2014", "lsquo": "\u2018",
+    "rsquo": "\u2019", "ldquo": "\u201c", "rdquo": "\u201d", "hellip": "\u2026", "bull": "\u2022", "middot": "\u00b7",
+    "deg": "\u00b0", "frac12": "\u00bd", "copy": "\u00a9", "reg": "\u00ae", "amp": "&",
 }

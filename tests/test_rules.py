@@ -35,6 +35,38 @@ def test_outer_join_matches_missing_keys(spark, rows):
     assert rows(out, "k", "a", "b") == sorted([("x", 1, 10), (None, 2, 20), ("y", 3, None), ("z", None, 30)], key=repr)
 
 
+def test_outer_join_splits_hot_keys(spark, monkeypatch):
+    """Hot on one side, on both, alone on a side, and missing keys: the same rows as a plain full join."""
+    def table(name, sizes):
+        rows = [(k, f"{name}{i}") for k, n in sizes.items() for i in range(n)]
+        return spark.createDataFrame(rows, f"{'k' if name == 'a' else 'k2'} string, {name} string")
+
+    a = table("a", {"x": 60, None: 40, "left": 50, "few": 2, "one": 1})
+    b = table("b", {"x": 30, None: 2, "right": 45, "few": 40, "two": 1})
+    want = sorted((tuple(r) for r in a.join(b, a.k.eqNullSafe(b.k2), "full").selectExpr("coalesce(k, k2)", "a", "b").collect()), key=repr)
+    monkeypatch.setattr(relate, "HOT_ROWS", 7)
+    out = relate.full_outer_coalesced(a, b, [("k", "k2")])
+    assert out.columns == ["k", "a", "b"] and sorted((tuple(r) for r in out.collect()), key=repr) == want
+
+
+def test_references_of_all_kinds(spark):
+    assert one(spark, text.decode_references("t"), t="a&amp;lt; &#8212;&#x1F600; &#0; &bogus; &lt;b&gt; & &#xD800; &#169") == "a&lt; \u2014\U0001f600 &#0; &bogus; <b> & &#xD800; \u00a9"
+    assert one(spark, text.decode_references("t"), t="plain") == "plain"
+
+
+def test_cells_as_a_parser_reads_them(spark):
+    from regdata.operators import markup
+
+    html = (
+        "</table></tr><table><tr><th>A<th>B<tr><td>1<td>N1 <table><tr><th>X</th></tr><tr><td>deep</td></table> after<tr><td>2</td>junk<td>N2</td></tr>"
+        "<td>3<td>N3</table><p>between</p><script>var t = '<table><tr><td>no';</script><table><TR><TH>C</TH></TR><TR><TD>z</table>"
+    )
+    df = spark.createDataFrame([(1, html), (2, None), (3, "no table <td>x</td>")], "id int, html string")
+    rows = sorted((r.table_no, r.row_no, r.cells) for r in markup.table_rows(df, ["id"], "html").collect())
+    assert rows == [(0, 1, {"A": "1", "B": "N1  after"}), (0, 2, {"A": "2", "B": "N2"}), (0, 3, {"A": "3", "B": "N3"}), (1, 1, {"X": "deep"}), (2, 1, {"C": "z"})]
+    assert markup.malformed_rows(df, ["id"], "html").first().rows == 5
+
+
 def test_division_by_zero_is_null(spark):
     assert one(spark, clean.rate("a", "b", 100), a=1.0, b=0.0) is None
     df = spark.createDataFrame([("g", 1.0, 0.0)], "k string, x double, w double")
@@ -171,4 +203,5 @@ def test_links_references_and_headers(spark):
     html = """<a href='x.pdf?a=1&amp;b'>x</a><A HREF=y.pdf>y</A> nohref="no" <a class="k" href = "z">"""
     assert one(spark, text.links("t"), t=html) == ["x.pdf?a=1&b", "y.pdf", "z"]
     assert one(spark, text.facility_label("t"), t="<a>opens in new window.'>Mill &amp; Co (PDF 1)</a>\nrest") == "Mill & Co"
+    assert one(spark, text.to_ascii("t"), t="Москва Щука Ёлка Αθήνα Ψυχή ﬁx ½ Ǆ Ệ") == "Moskva Shchuka Elka Athena Psukhe x  1/2 DZ E"
     assert one(spark, text.unspelled("t"), t="\u4e2d\u6587 \u2013 \u00e9") == 2
