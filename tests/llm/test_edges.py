@@ -358,3 +358,28 @@ def test_marks_beyond_the_broadcast_bound(spark, monkeypatch):
     monkeypatch.setattr(few, "is_small", lambda *a: False)
     large = [few.with_marks(wide, marks, ["id"]).collect(), few.only_marked(wide, marks, ["id"]).collect()]
     assert [sorted(s) for s in small] == [sorted(x) for x in large]
+
+
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
+    """Chains, stars, rings, repeated edges and loops, with both ways of finding them."""
+    from regdata.llm import components
+
+    rng = random.Random(4)
+    order = rng.sample(range(10_000), 400)
+    edges = list(zip(order[:200], order[1:200])) + [(order[200], x) for x in order[201:260]] + [(order[300], order[300])]
+    edges += [(order[310 + i], order[310 + (i + 1) % 20]) for i in range(20)] * 2 + [(rng.choice(order[340:]), rng.choice(order[340:])) for _ in range(30)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(edges, "a long, b long")
+    for few_ in (components.FEW, 3):
+        monkeypatch.setattr(components, "FEW", few_)
+        assert {r.id: r.c for r in components.components(df).collect()} == {x: find(x) for x in parent}
+        assert components.components(df.limit(0)).count() == 0
