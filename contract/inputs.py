@@ -6,10 +6,12 @@ the library's reader and must return the table it came from.
 
 from __future__ import annotations
 
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from contract.base import case, load
+from regdata.operators import quality
 from regdata.operators.relate import union_all
 from regdata.sources import catalog, readers, sinks
 
@@ -189,3 +191,65 @@ def assembled_tables(spark, d):
         ("nation", count("nation_t")), ("region", count("region_t")),
         ("max_price", load(spark, d, "orders").agg(F.round(F.max("o_totalprice"), 2).alias("v"))), ("metadata_rows", count("meta_t")),
     )
+
+
+@case("published_tables", """
+    select 'orders' as name, o_orderpriority as key, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by 2
+    union all select 'customer', c_mktsegment, count(*), round(sum(c_acctbal), 2) from customer group by 2
+""")
+def published_tables(spark, d):
+    """Two published runs and one that fails in its second table: readers see the second."""
+    root = f"{sinks.scratch_dir(spark)}/published"
+    o, c = load(spark, d, "orders"), load(spark, d, "customer")
+    sinks.publish(spark, {"orders": o.limit(1)}, root)
+    good = {"orders": o.select("o_orderpriority", "o_totalprice"), "customer": c.select("c_mktsegment", "c_acctbal")}
+    sinks.publish(spark, good, root)
+    lost = c.select(F.raise_error(F.lit("lost on the way")).alias("c_mktsegment"))
+    try:
+        sinks.publish(spark, {"orders": o.limit(2), "customer": lost}, root)
+    except SparkRuntimeException:
+        pass
+    found = sinks.published(spark, root)
+    rows = [t.groupBy(F.lit(n).alias("name"), F.col(k).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(v), 2).alias("total"))
+            for (n, t), k, v in zip(sorted(found.items()), ("c_mktsegment", "o_orderpriority"), ("c_acctbal", "o_totalprice"))]
+    return union_all(rows)
+
+
+@case("catalog_tables", "select o_orderkey, round(o_totalprice, 2) as price, c_name from orders join customer on c_custkey = o_custkey")
+def catalog_tables(spark, d):
+    """Tables of a catalog database, read back by name."""
+    place = sinks.scratch_dir(spark)
+    name = f"regdata_{place[-12:]}"
+    spark.sql(f"create database {name} location '{place}/warehouse'")
+    sinks.assemble(spark, {t: load(spark, d, t) for t in ("orders", "customer")}, name)
+    return spark.sql(f"select o_orderkey, round(o_totalprice, 2) as price, c_name from {name}.orders join {name}.customer on c_custkey = o_custkey")
+
+
+@case("metadata_entries", """
+    select 'orders' as key, cast(count(*) as varchar) as value, true as stamped from orders union all
+    select 'first order', cast(min(o_orderdate)::date as varchar), true from orders union all select 'db_generated', null, true
+""")
+def metadata_entries(spark, d):
+    """Keys and values of the metadata table, and whether its datasets carry the time of this run."""
+    found = load(spark, d, "orders").agg(F.count(F.lit(1)).cast("string").alias("orders"), F.min("o_orderdate").cast("date").cast("string").alias("first order")).first()
+    meta, stamps = sinks.metadata(spark, found.asDict()), sinks.last_updated(spark, sorted(found.asDict()))
+    fresh = stamps.agg(F.min(F.col("updated").between(F.current_timestamp() - F.expr("interval 1 hour"), F.current_timestamp()))).scalar()
+    generated = F.col("key") == "db_generated"
+    own = F.when(generated, F.col("value").try_cast("timestamp") > F.current_timestamp() - F.expr("interval 1 hour")).otherwise(True)
+    return meta.select("key", F.when(~generated, F.col("value")).alias("value"), (own & fresh).alias("stamped"))
+
+
+@case("accepted_counts", """
+    select 'customer' as dataset, count(*) as rows, true as accepted, false as again from customer union all select 'orders', count(*), true, false from orders
+""")
+def accepted_counts(spark, d):
+    """Counts are accepted if all checks pass; fewer rows in a later run leave the accepted ones."""
+    path = f"{sinks.scratch_dir(spark)}/counts"
+    tables = {"customer": load(spark, d, "customer"), "orders": load(spark, d, "orders")}
+    required, floors = {"customer": ["c_custkey"], "orders": ["o_orderkey", "o_totalprice"]}, {"customer": 1, "orders": 1}
+    none = spark.createDataFrame([], "dataset string, rows long")
+    first = quality.accept(quality.check_datasets(tables, required, floors, none), path)
+    before = spark.read.parquet(path)
+    fewer = {**tables, "orders": tables["orders"].where("o_orderstatus <> 'F'")}
+    again = quality.accept(quality.check_datasets(fewer, required, floors, before), path)
+    return spark.read.parquet(path).select("dataset", "rows", F.lit(first).alias("accepted"), F.lit(again).alias("again"))

@@ -57,12 +57,17 @@ def check_datasets(
     }).withColumn("ok", F.col("readable") & F.col("columns_ok") & F.col("floor_ok") & F.col("growth_ok"))
 
 
+def accepted(checks: DataFrame) -> DataFrame:
+    """The new counts, with the time they were accepted."""
+    return checks.select("dataset", "rows", F.current_timestamp().alias("run_ts"))
+
+
 def accept(checks: DataFrame, path: str) -> bool:
     """Write the new counts if, and only if, every check passed."""
-    failed = checks.where(~F.col("ok")).limit(1).count()
+    failed = checks.where(~F.coalesce("ok", F.lit(False))).limit(1).count()
     if failed:
         return False
-    checks.select("dataset", "rows", F.current_timestamp().alias("run_ts")).write.mode("overwrite").parquet(path)
+    accepted(checks).write.mode("overwrite").parquet(path)
     return True
 
 

@@ -11,6 +11,8 @@ from regdata.schemas import FLOORS, REQUIRED, schema_of
 from regdata.session import materialise
 from regdata.sources import readers, sinks
 
+COUNTS = "accepted_counts"  # the table of rows per dataset that the next run is held against
+
 
 def landed(spark: SparkSession, paths: dict[str, str], fmt: str = "csv", multiline: bool = False) -> dict[str, DataFrame | None]:
     """Landed datasets under their schema, with the columns they really have; None where unreadable.
@@ -49,16 +51,17 @@ def extended_wages(wages: DataFrame, payroll: DataFrame) -> DataFrame:
 
 
 def refresh(
-    spark: SparkSession, paths: dict[str, str], stats_path: str, previous: DataFrame | None = None,
-    database: str | None = None, fmt: str = "csv",
+    spark: SparkSession, paths: dict[str, str], root: str, database: str | None = None, fmt: str = "csv",
 ) -> DataFrame:
-    """Check all landed datasets; if every check passes, write tables, metadata and the new counts.
+    """Check all landed datasets; if every check passes, publish tables, metadata and the new counts below ``root``.
 
-    Returns the checks, one row per dataset. A failed check writes nothing, so the tables
-    of the last good run stay.
+    Returns the checks, one row per dataset, against the counts of the last published run. All tables and the
+    counts become visible by one write (see :func:`regdata.sources.sinks.publish`): a failed check, and
+    a failure between two tables, leave the last good set as it is. With ``database`` the published tables get
+    views of that catalog.
     """
     tables = landed(spark, paths, fmt)
-    previous = previous if previous is not None else spark.createDataFrame([], "dataset string, rows long")
+    previous = sinks.published(spark, root).get(COUNTS, spark.createDataFrame([], "dataset string, rows long"))
     checks = materialise(quality.check_datasets(tables, REQUIRED, FLOORS, previous))
     if checks.where(~F.col("ok")).count() == 0:
         good = {n: df for n, df in tables.items() if df is not None}
@@ -67,6 +70,10 @@ def refresh(
         good = {n: readers.snake_columns(df) for n, df in good.items()}
         good["metadata"] = sinks.metadata(spark, {"datasets": str(len(paths))})
         good["last_updated"] = sinks.last_updated(spark, sorted(paths))
-        sinks.assemble(spark, good, database)
-        quality.accept(checks, stats_path)
+        good[COUNTS] = quality.accepted(checks)
+        run = sinks.publish(spark, good, root)
+        if database:
+            spark.sql(f"create database if not exists {database}")
+            for name in good:
+                spark.sql(f"create or replace view {database}.{name} as select * from parquet.`{root}/runs/{run}/{name}`")
     return checks

@@ -139,15 +139,17 @@ def read_paged_json(
 ) -> DataFrame:
     """Items of landed page files as one table.
 
-    With ``strict`` the number of items is compared to the largest reported total
-    before the table is handed out. ``lines`` reads one page per line, which splits;
-    otherwise each file is one page.
+    With ``strict`` the plan itself compares the number of items to the largest reported total: nothing
+    is read before the table is, and an incomplete landing raises then. ``lines`` reads one page per line, which
+    splits; otherwise each file is one page.
     """
-    if strict and total_field:
-        row = paged_completeness(spark, path, item_schema, items_field, total_field, lines).first()
-        if not row.complete:
-            raise ValueError(f"{path}: {row.got} items landed, {row.expected} reported")
-    return _pages(spark, path, item_schema, items_field, total_field, lines).select(F.inline(items_field))
+    items = _pages(spark, path, item_schema, items_field, total_field, lines).select(F.inline(items_field))
+    if not (strict and total_field):
+        return items
+    found = paged_completeness(spark, path, item_schema, items_field, total_field, lines)
+    text = F.concat(F.lit(f"{path}: "), F.col("got").cast("string"), F.lit(" items landed, "), F.col("expected").cast("string"), F.lit(" reported"))
+    whole = found.select(F.when(F.coalesce("complete", F.lit(False)), True).otherwise(F.raise_error(F.coalesce(text, F.lit(f"{path}: no pages"))).cast("boolean")))
+    return items.where(whole.scalar())
 
 
 def paged_completeness(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,39 @@ def assemble(spark: SparkSession, tables: dict[str, DataFrame], database: str |
         df.write.mode(mode).format("parquet").saveAsTable(f"{database}.{name}" if database else name)
 
 
+def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> str:
+    """Write a set of tables so that readers see all of it or none; returns the id of the run.
+
+    Tables go to a folder of the run, which nobody reads yet. The last step adds one row to the manifest, one
+    file that Spark's commit puts in place at once: before it :func:`published` resolves to the
+    set before, from it on to the new one. A run that fails leaves that folder behind and nothing else.
+    """
+    number = (_manifest(spark, root).agg(F.max("number")).first()[0] or 0) + 1
+    run = f"{number:08d}-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.parquet(f"{root}/runs/{run}/{name}")
+    row = spark.range(1).select(F.lit(number).cast("long").alias("number"), F.lit(run).alias("run"), F.array(*map(F.lit, sorted(tables))).alias("tables"))
+    row.withColumn("published", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+    return run
+
+
+def _manifest(spark: SparkSession, root: str) -> DataFrame:
+    schema = "number long, run string, tables array<string>, published timestamp"
+    try:
+        return spark.read.schema(schema).parquet(f"{root}/manifest")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def published(spark: SparkSession, root: str, run: str | None = None) -> dict[str, DataFrame]:
+    """The tables of the newest published run, or of a named one; empty before the first."""
+    rows = _manifest(spark, root)
+    row = (rows.where(F.col("run") == run) if run else rows).orderBy(F.desc("number"), F.desc("run")).first()
+    return {name: spark.read.parquet(f"{root}/runs/{row.run}/{name}") for name in row.tables} if row else {}
+
+
 def metadata(spark: SparkSession, entries: dict[str, str]) -> DataFrame:
     """Key/value table with the time it was generated."""
     rows = spark.createDataFrame(list(entries.items()), "key string, value string")
