@@ -70,16 +70,15 @@ def extract_money(col, compat: bool = False) -> Column:
     ``compat=True`` reproduces the published figures, where the amount is scaled only
     if the text up to its first decimal point equals the plain amount.
     """
-    plain = F.regexp_extract(_c(col), MONEY, 0)
-    big = F.regexp_extract(_c(col), MONEY_MILLIONS, 0)
-    plain_value = F.nullif(F.regexp_replace(plain, "[$,]", ""), F.lit("")).try_cast("double")
-    big_value = F.split_part(F.regexp_replace(big, "[$,]", ""), F.lit(" "), F.lit(1)).try_cast("double") * 1e6
+    digits = lambda x: F.nullif(F.regexp_replace(x, "[$,]", ""), F.lit("")).try_cast("double")
     if compat:
-        scaled = F.split_part(F.split_part(big, F.lit("."), F.lit(1)), F.lit(" "), F.lit(1)) == plain
-    else:
-        # same amount: both patterns start at the first dollar sign that either can read
-        scaled = F.instr(_c(col), big) == F.regexp_instr(_c(col), F.lit(MONEY))
-    return F.when(plain == "", None).when((big != "") & scaled, big_value).otherwise(plain_value)
+        plain, big = F.regexp_extract(_c(col), MONEY, 0), F.regexp_extract(_c(col), MONEY_MILLIONS, 0)
+        scaled = (big != "") & (F.split_part(F.split_part(big, F.lit("."), F.lit(1)), F.lit(" "), F.lit(1)) == plain)
+        return F.when(plain == "", None).when(scaled, digits(F.split_part(big, F.lit(" "), F.lit(1))) * 1e6).otherwise(digits(plain))
+    # the first amount, with "million" where it follows; texts without a dollar sign are not searched
+    found = F.when(F.contains(_c(col), F.lit("$")), F.regexp_extract(_c(col), f"(?:{MONEY_MILLIONS})|(?:{MONEY})", 0))
+    millions = found.endswith(" million")
+    return digits(F.split_part(found, F.lit(" "), F.lit(1))) * F.when(millions, 1e6).otherwise(1.0)
 
 
 def proper_nouns(col) -> Column:
