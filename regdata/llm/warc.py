@@ -190,14 +190,30 @@ def frame_table(index: DataFrame) -> DataFrame:
 RECORD = "record_id string, page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
 
 
-def read_frames(frames: DataFrame) -> DataFrame:
-    """All records of the given frames; a revisit has no payload of its own, and the size and digest its header names."""
-    share_code(frames.sparkSession)
+def parsed(data: bytes) -> pa.RecordBatch:
+    """The records of a piece of an unpacked frame."""
 
     def page_of(name: str | None) -> int | None:
         number = name.strip("<>").split(":")[2] if name else ""
         return int(number) if number else None
 
+    rows = []
+    for _, _, h, block in records_in(data):
+        kind = h["WARC-Type"]
+        body = block[block.index(b"\r\n\r\n") + 4 :] if kind == "response" else None
+        digest = hashlib.sha1(body).hexdigest() if body is not None else h["WARC-Payload-Digest"].removeprefix("sha1:")
+        length = len(body) if body is not None else int(h["Payload-Length"])
+        name = h["WARC-Record-ID"].strip("<>")
+        rows.append((name, page_of(name), h.get("WARC-Target-URI"), kind, body, length, digest, page_of(h.get("WARC-Refers-To"))))
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
+    names = [c.split()[0] for c in RECORD.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+
+def read_frames(frames: DataFrame) -> DataFrame:
+    """All records of the given frames; a revisit has no payload of its own, and the size and digest its header names."""
+    share_code(frames.sparkSession)
+
     def run(batches):
         for batch in batches:
             for uri, start, packed in zip(*[column(batch, c).to_pylist() for c in ("file", "start", "packed")]):
@@ -205,24 +221,33 @@ def read_frames(frames: DataFrame) -> DataFrame:
                 with system.open_input_file(path) as f:
                     f.seek(start)
                     data = zstandard.ZstdDecompressor().decompress(f.read(packed))
-                rows = []
-                for _, _, h, block in records_in(data):
-                    kind = h["WARC-Type"]
-                    body = block[block.index(b"\r\n\r\n") + 4 :] if kind == "response" else None
-                    digest = hashlib.sha1(body).hexdigest() if body is not None else h["WARC-Payload-Digest"].removeprefix("sha1:")
-                    length = len(body) if body is not None else int(h["Payload-Length"])
-                    name = h["WARC-Record-ID"].strip("<>")
-                    rows.append((name, page_of(name), h.get("WARC-Target-URI"), kind, body, length, digest, page_of(h.get("WARC-Refers-To"))))
-                kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
-                names = [c.split()[0] for c in RECORD.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                yield parsed(data)
 
     # a frame's row is tiny, what it names is not: without this adaptive execution puts all into one task
     return spread_out(frames, "file", "frame").mapInArrow(run, RECORD)
 
 
 def find_records(index: DataFrame, ids: DataFrame) -> DataFrame:
-    """Records by id: only the frames that hold them are read."""
+    """Records by id: only the frames that hold them are read and unpacked, up to the last of them, and only they are parsed.
+
+    Unknown and null ids find nothing; an id that is asked for twice is found once.
+    """
+    share_code(index.sparkSession)
     wanted = index.join(ids.select("record_id").distinct(), "record_id")
-    frames = frame_table(wanted).join(wanted.select("file", "frame").distinct(), ["file", "frame"])
-    return read_frames(frames).join(wanted.select("record_id").distinct(), "record_id", "left_semi")
+    spots = wanted.groupBy("file", "frame").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("spots"))
+    frames = frame_table(wanted).join(spots, ["file", "frame"])
+
+    def run(batches):
+        for batch in batches:
+            for uri, start, packed, at in zip(*[column(batch, c).to_pylist() for c in ("file", "start", "packed", "spots")]):
+                system, path = fs.FileSystem.from_uri(uri)
+                with system.open_input_file(path) as f:
+                    f.seek(start)
+                    data = f.read(packed)
+                done, reader = 0, zstandard.ZstdDecompressor().stream_reader(data)
+                for spot in at:
+                    reader.read(spot["offset"] - done)
+                    yield parsed(reader.read(spot["length"]))
+                    done = spot["offset"] + spot["length"]
+
+    return spread_out(frames, "file", "frame").mapInArrow(run, RECORD)

@@ -302,6 +302,11 @@ def test_warc(spark):
     assert {r.page_id for r in rows if r.record_type == "response"} == {2, 3, 4, 5, 6, 7}
     one = index.where("record_id like 'urn:page:7:%'")
     assert bytes(warc.find_records(index, one).first().payload).decode() == "é" * 70_000
+    some = index.where("record_id like 'urn:page:3:%' or record_id like 'urn:page:5:%'").select("record_id")
+    odd = some.union(some).union(spark.createDataFrame([("urn:page:99:0",), (None,)], "record_id string"))
+    assert sorted(r.page_id for r in warc.find_records(index, odd).collect()) == [3, 5]
+    assert sorted(map(repr, warc.find_records(index, index).collect())) == sorted(map(repr, rows))
+    assert warc.find_records(index, odd.where("record_id = 'urn:page:99:0'")).count() == 0
     empty = warc.write_archive(pages.limit(0))
     assert empty.count() == 0 and warc.read_frames(warc.frame_table(empty)).count() == 0
 
