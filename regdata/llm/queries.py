@@ -120,6 +120,48 @@ QUERIES = {
     "op13_spelling_variants": op13_spelling_variants,
 }
 SQL: dict[str, str] = {
+    # all pairs that share a shingle, then everything reachable
+    "op2_minhash_near_dedup": r"""
+        with recursive d as (
+            select doc_id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+            from documents
+        ),
+        placed as (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from d where len(w) > 0),
+        s as (select distinct doc_id, array_to_string(w[i : i + 4], ' ') as g from placed),
+        n as (select doc_id, count(*) as n from s group by 1),
+        common as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+        links as (select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 75 * (x.n + y.n - shared)),
+        ways as (select a, b from links union all select b, a from links),
+        reach(id, there) as (
+            select doc_id, doc_id from documents union select reach.id, ways.b from reach join ways on ways.a = reach.there
+        ),
+        found as (select id as doc_id, min(there) as component_id from reach group by 1)
+        select f.doc_id, coalesce(n, 0) as n_shingles, component_id, f.doc_id = component_id as kept from found f left join n using (doc_id)
+    """,
+    # the shortest runs of 40 characters from and to each line; a run goes where an earlier document holds it
+    "op5_line_dedup": """
+        with d as (select doc_id, text, string_split(text, chr(10)) as lines from documents),
+        l as (select doc_id, unnest(range(1, len(lines) + 1)) as spot, unnest(lines) as line from d where text is not null),
+        c as (
+            select doc_id, spot, sum(length(line)) over (partition by doc_id order by spot) as upto, length(line) as own from l
+        ),
+        runs as (
+            select a.doc_id, a.spot as s, b.spot as e from c a join c b
+            on a.doc_id = b.doc_id and b.spot >= a.spot and b.upto - (a.upto - a.own) >= 40 and b.upto - b.own - (a.upto - a.own) < 40
+            union
+            select b.doc_id, a.spot, b.spot from c a join c b
+            on a.doc_id = b.doc_id and b.spot >= a.spot and b.upto - (a.upto - a.own) >= 40 and b.upto - a.upto < 40
+        ),
+        named as (select r.doc_id, s, e, array_to_string(lines[s : e], chr(10)) as run from runs r join d using (doc_id)),
+        first as (select run, min(doc_id) as holder from named group by 1),
+        gone as (select distinct doc_id, unnest(range(s, e + 1)) as spot from named join first using (run) where holder < doc_id),
+        lost as (select doc_id, list(spot) as ats from gone group by 1)
+        select doc_id, coalesce(len(lines), 0) as n_lines, coalesce(len(ats), 0) as n_removed,
+               sha256(case when ats is null then coalesce(text, '')
+                      else array_to_string([lines[k] for k in range(1, len(lines) + 1) if not list_contains(ats, k)], chr(10)) end) as kept_sha256
+        from d left join lost using (doc_id)
+    """,
     "op6_warc": """
         with p as (select page_id, coalesce(html, '') as body from pages),
         q as (select page_id, octet_length(encode(body)) as payload_bytes, sha1(body) as payload_digest from p),
