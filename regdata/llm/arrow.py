@@ -36,8 +36,8 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def add_columns(df: DataFrame, make: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[tuple[str, T.DataType]]) -> DataFrame:
-    """Append columns that ``make`` computes from a batch of rows."""
+def add_columns(df: DataFrame, make: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[tuple[str, T.DataType]], part: int | None = None) -> DataFrame:
+    """Append columns that ``make`` computes from a batch of rows, or from parts of it of about ``part`` bytes."""
     share_code(df.sparkSession)
     df = without(df, *[n for n, _ in fields])
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in fields]])
@@ -45,11 +45,18 @@ def add_columns(df: DataFrame, make: Callable[[pa.RecordBatch], list[pa.Array]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch)], [*batch.schema.names, *names])
+            for rows in parts(batch, part) if part else [batch]:
+                yield pa.RecordBatch.from_arrays([*rows.columns, *make(rows)], [*rows.schema.names, *names])
 
     return df.mapInArrow(run, schema)
 
 
+def parts(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about ``size`` bytes on average, at least one row each."""
+    rows = max(1, batch.num_rows * size // max(1, batch.nbytes))
+    yield from (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
 def learned(rows: DataFrame, order: list[str], fit: Callable[[pa.RecordBatch], bytes]) -> bytes | None:
     """What ``fit`` makes of a bounded table, sorted, in one task; None of an empty one.
 

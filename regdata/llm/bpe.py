@@ -32,7 +32,8 @@ from pyspark.sql import types as T
 
 from regdata.llm.arrow import add_columns, column, list_array, lists, text_of
 
-MEMO = 350_000  # answers kept per worker and table, up to twice
+MEMO = 100_000  # answers kept per worker and table, up to twice: some 80 MB for both tables
+PART = 4 << 20  # bytes of rows that are coded at once
 # Fixed value: the published pattern in which a space joins the letters, digits or signs after it.
 SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 JOINED = regex.compile(r" (?=\s|$)").search  # a space that does not stand alone before other text
@@ -210,7 +211,7 @@ def encode(df: DataFrame, codec: Codec, text: str = "text", ids: str = "ids") ->
         coded = [shared.value.encode(text_of(t)) for t in column(batch, text)]
         return [list_array(np.frombuffer(b"".join(coded), dtype="<i4"), [len(c) // 4 for c in coded])]
 
-    return add_columns(df, make, [(ids, T.ArrayType(T.IntegerType()))])
+    return add_columns(df, make, [(ids, T.ArrayType(T.IntegerType()))], PART)
 
 
 def decode(df: DataFrame, codec: Codec, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -221,7 +222,7 @@ def decode(df: DataFrame, codec: Codec, ids: str = "ids", out: str = "decoded")
         values, at = lists(column(batch, ids))
         return [pa.array([shared.value.decode(values[a:b].tolist()) for a, b in zip(at, at[1:])], pa.binary())]
 
-    return add_columns(df, make, [(out, T.BinaryType())])
+    return add_columns(df, make, [(out, T.BinaryType())], PART)
 
 
 def digest_ids(df: DataFrame, ids: str = "ids", out: str = "ids_sha256") -> DataFrame:
@@ -247,4 +248,4 @@ def encode_and_back(df: DataFrame, codec: Codec, text: str = "text", ids: str =
             pa.array(back, pa.binary()), pa.array([hashlib.sha256(c).hexdigest() for c in coded], pa.string()),
         ]
 
-    return add_columns(df, make, [(ids, T.ArrayType(T.IntegerType())), (out, T.BinaryType()), (digest, T.StringType())])
+    return add_columns(df, make, [(ids, T.ArrayType(T.IntegerType())), (out, T.BinaryType()), (digest, T.StringType())], PART)
