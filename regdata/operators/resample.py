@@ -8,7 +8,7 @@ the statistics of the reports the law of that statistic is known:
 * the share of hits among n draws is binomial, so it needs two counts per group;
 * a weighted mean has no such form. ``draws`` splits the n draws of a replicate over pieces of the
   group, level by level, by the law of so many draws, until pieces are small; then each piece draws its
-  own rows where they are. ``poisson`` weights every row by a Poisson(1) count. Both hand on partial
+  own rows where they are. A block of small pieces makes the last split beside its rows too. ``poisson`` weights every row by a Poisson(1) count. Both hand on partial
   sums only.
 
 Random numbers are hashes of (seed, group, replicate and so on), so runs agree with each other: a
@@ -16,6 +16,7 @@ digest gives two keys of 31 bits, each scrambles a counter, and both together ar
 any number of rows. A task makes the numbers of all replicates of a group, piece or row at once.
 """
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -36,17 +37,30 @@ MASK = 2147483647  # 31 bits keep every product inside a long
 MIX = (73244475, 739982445)
 TRIES = 1024  # numbers that one replicate of a group may use
 PIECE, FAN = 4096, 1024  # rows of a piece; pieces that one level of splitting tells apart
+BLOCK = 1 << 16  # rows up to which all pieces of a last split are drawn in one place
 CHUNK = 1 << 20  # draws that are made at once
 LAW_SD = 12  # a binomial law is tabled this many standard deviations around its mean, plus as many counts
 
 
+def _told(seed: int, *parts: Column) -> Column:
+    """The seed and columns as one text."""
+    return F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("~")) for c in parts])
+
+
 def draw_keys(seed: int, by: list[Column], *parts: Column) -> tuple[Column, Column]:
     """Two numbers below 2**31 from a digest of the seed and of columns."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("~")) for c in (*by, *parts)])
+    text = _told(seed, *by, *parts)
     half = lambda at: F.conv(F.substring(F.md5(text), at, 8), 16, 10).cast("long").bitwiseAND(F.lit(MASK).cast("long"))
     return half(1), half(9)
 
 
+def digest_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`draw_keys` of texts that are at hand, as unsigned 32-bit numbers."""
+    found = b"".join([hashlib.md5(t.encode(), usedforsecurity=False).digest()[:8] for t in texts])
+    both = np.frombuffer(found, dtype=">u4").astype(np.uint32).reshape(-1, 2) & np.uint32(MASK)
+    return both[:, 0], both[:, 1]
+
+
 def _told_by(df: DataFrame, by: list[str]) -> list[Column]:
     """Columns that tell a group's draws from others'; fractions stay out, as engines write them differently."""
     return [F.col(c) for c in by if not isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))]
@@ -60,8 +74,11 @@ def scrambled(h: np.ndarray) -> np.ndarray:
 
 
 def uniform(one, two, counter: np.ndarray) -> np.ndarray:
-    """Numbers inside (0, 1) of 62 bits, as far as a double holds them."""
-    wide = scrambled(counter ^ one) << 31 | scrambled(counter ^ two)
+    """Numbers inside (0, 1) of 62 bits, as far as a double holds them.
+
+    Keys and counters of 32 unsigned bits give the same numbers in half the time.
+    """
+    wide = scrambled(counter ^ one).astype(np.int64, copy=False) << 31 | scrambled(counter ^ two)
     return np.minimum((wide.astype(np.float64) + 0.5) / 2.0**62, 1 - 2.0**-53)
 
 
@@ -258,13 +275,19 @@ def _poisson_sums(rows: DataFrame, by: list[str], key: str, reps: int, seed: int
     return even.mapInArrow(run, T.StructType([*fields, *T.StructType.fromDDL("rep int, _wx double, _ww double").fields]))
 
 
-def split_draws(sizes: DataFrame, by: list[str], reps: int, seed: int, piece: int = PIECE, fan: int = FAN) -> DataFrame:
+def _places(one: np.ndarray, two: np.ndarray, counter: np.ndarray, n) -> np.ndarray:
+    """Places among ``n`` that the numbers fall on."""
+    return np.minimum((uniform(one, two, counter) * n).astype(np.int64), n - 1)
+
+
+def split_draws(sizes: DataFrame, by: list[str], reps: int, seed: int, piece: int = PIECE, fan: int = FAN, until: int = 0) -> DataFrame:
     """How often each replicate draws from each piece of ``piece`` rows: ``by``, ``_n``, ``rep``, ``_piece``, ``_m``.
 
     ``sizes`` has the rows ``_n`` of each group. The draws of a replicate start in one node that spans the
     group and are dealt to its ``fan`` parts, by rows, and on to parts of parts. A level
     costs one number per draw, made where it is counted; what moves is a count per replicate and
-    part, of which there are fewer than rows times replicates by the size of a piece.
+    part, of which there are fewer than rows times replicates by the size of a piece. Splitting stops ``until``
+    levels above pieces.
     """
     longest, levels = sizes.agg(F.max("_n")).first()[0] or 0, 0
     while piece * fan**levels < longest:
@@ -272,7 +295,7 @@ def split_draws(sizes: DataFrame, by: list[str], reps: int, seed: int, piece: in
     told = _told_by(sizes, by)
     nodes = sizes.select(*by, "_n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"), F.lit(0).cast("long").alias("_piece"), F.col("_n").alias("_m"))
     share_code(sizes.sparkSession)
-    for level in range(levels, 0, -1):
+    for level in range(levels, until, -1):
         span, part = piece * fan**level, piece * fan ** (level - 1)
         chunks = nodes.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_m - 1) div {CHUNK}"))))
         one, two = draw_keys(seed, told, F.col("rep"), F.lit(level), F.col("_piece"), F.col("_chunk"))
@@ -289,8 +312,7 @@ def split_draws(sizes: DataFrame, by: list[str], reps: int, seed: int, piece: in
                     if s[i] <= part:
                         found = np.array([m[i]])
                     else:
-                        u = uniform(one[i], two[i], np.arange(m[i]))
-                        found = np.bincount(np.minimum(np.floor(u * s[i]), s[i] - 1).astype(np.int64) // part)
+                        found = np.bincount(_places(one[i : i + 1].astype(np.uint32), two[i : i + 1].astype(np.uint32), np.arange(m[i], dtype=np.uint32), s[i]) // part)
                     own = np.flatnonzero(found)
                     rows.append(np.full(len(own), i))
                     children.append(node[i] * fan + own)
@@ -309,28 +331,51 @@ def split_draws(sizes: DataFrame, by: list[str], reps: int, seed: int, piece: in
     return nodes
 
 
-def _drawn_sums(rows: DataFrame, by: list[str], key: str, reps: int, seed: int, piece: int) -> DataFrame:
-    """Partial sums per piece and replicate of n rows drawn with replacement."""
-    numbered = materialise(positions(rows, by, [key], "_i").withColumn("_piece", F.expr(f"_i div {piece}")))
+def _drawn_sums(rows: DataFrame, by: list[str], key: str, reps: int, seed: int, piece: int, fan: int = FAN) -> DataFrame:
+    """Partial sums per block and replicate of n rows drawn with replacement.
+
+    A block is a piece, or all pieces of a last split if these have few rows. Then a replicate hands a block one
+    count instead of one for each of its pieces, and the block splits the draws by the same numbers.
+    """
+    until, most = 1 if piece * fan <= BLOCK else 0, CHUNK
+    block = piece * fan**until
+    numbered = materialise(positions(rows, by, [key], "_i").withColumn("_piece", F.expr(f"_i div {block}")))
     sizes = materialise(numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))).where("_n > 0")
-    counts = split_draws(sizes, by, reps, seed, piece)
-    one, two = draw_keys(seed, _told_by(sizes, by), F.col("rep"), F.lit(0), F.col("_piece"), F.lit(0))
-    counts = counts.select(*by, "_piece", "rep", "_m", one.alias("_one"), two.alias("_two"))
+    counts = split_draws(sizes, by, reps, seed, piece, fan, until)
+    counts = counts.select(*by, "_piece", "rep", "_m", _told(seed, *_told_by(sizes, by), F.col("rep")).alias("_told"))
     schema = T.StructType([*[rows.schema[c] for c in by], *T.StructType.fromDDL("rep int, _wx double, _ww double").fields])
 
+    def dealt(told: str, node: int, m: int, n: int) -> np.ndarray:
+        """How many of a block's draws each of its pieces gets."""
+        if not until or n <= piece:
+            return np.array([m])
+        found = np.zeros(-(-n // piece), dtype=np.int64)
+        for chunk, start in enumerate(range(0, m, most)):
+            one, two = digest_keys([f"{told}|1|{node}|{chunk}"])
+            found += np.bincount(_places(one, two, np.arange(min(most, m - start), dtype=np.uint32), n) // piece, minlength=len(found))
+        return found
+
     def draw(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(left.column("_i").to_numpy())
         w = left.column("_w").to_numpy()[order]
         wx = w * left.column("_x").to_numpy()[order]
         sums = np.zeros((2, right.num_rows))
-        for r, (one, two, m) in enumerate(zip(*[right.column(c).to_pylist() for c in ("_one", "_two", "_m")])):
-            picked = np.minimum(np.floor(uniform(one, two, np.arange(m)) * len(w)), len(w) - 1).astype(np.int64)
+        for r, (told, node, m) in enumerate(zip(*[right.column(c).to_pylist() for c in ("_told", "_piece", "_m")])):
+            found = dealt(told, node, m, len(w))
+            own = np.flatnonzero(found)
+            often = found[own]
+            one, two = digest_keys([f"{told}|0|{p}|0" for p in (node * fan**until + own).tolist()])
+            counter = np.arange(m) - np.repeat(np.cumsum(often) - often, often)
+            first = own * piece
+            picked = np.repeat(first, often) + _places(
+                np.repeat(one, often), np.repeat(two, often), counter.astype(np.uint32), np.repeat(np.minimum(piece, len(w) - first), often)
+            )
             sums[:, r] = wx[picked].sum(), w[picked].sum()
         columns = [*[right.column(c) for c in by], right.column("rep"), pa.array(sums[0]), pa.array(sums[1])]
         return pa.Table.from_arrays(columns, [*by, "rep", "_wx", "_ww"])
 
-    left = numbered.groupBy(*by, "_piece")
-    return left.cogroup(counts.groupBy(*by, "_piece")).applyInArrow(draw, schema)
+    left, right = [spread_out(t, *by, "_piece").groupBy(*by, "_piece") for t in (numbered, counts)]
+    return left.cogroup(right).applyInArrow(draw, schema)
 
 
 def wmean_replicates(
