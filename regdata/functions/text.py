@@ -130,8 +130,8 @@ def _spellings() -> dict[str, str]:
 def transliterate(col) -> Column:
     """Letters of Latin, Greek and Cyrillic, quotes, dashes, spaces, fractions and ligatures spelled in ASCII; the rest stays.
 
-    Characters spelled by one character are exchanged first. Only texts with others are cut at these, and each looks its
-    spelling up by its number in one array.
+    Texts in ASCII stay as they are. Characters spelled by one character are exchanged first. Only texts with others are
+    cut at these, and each looks its spelling up by its number in one array.
     """
     known = _spellings()
     single = {k: v for k, v in known.items() if len(v) == 1}
@@ -144,7 +144,12 @@ def transliterate(col) -> Column:
         return F.when(found.isNull() | (found == NO_SPELLING), part).otherwise(found)
 
     parts = F.regexp_extract_all(out, F.lit(r"[\x00-\x7F]+|[^\x00-\x7F]"), F.lit(0))
-    return F.when(out.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(parts, spell), "")).otherwise(out)
+    return F.when(_is_ascii(col), _c(col)).when(out.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(parts, spell), "")).otherwise(out)
+
+
+def _is_ascii(col) -> Column:
+    """Whether each character is one byte."""
+    return F.octet_length(_c(col)) == F.char_length(_c(col))
 
 
 def unspelled(col) -> Column:
@@ -154,7 +159,7 @@ def unspelled(col) -> Column:
 
 def to_ascii(col) -> Column:
     """:func:`transliterate`, without the characters that have no spelling (:func:`unspelled` counts them)."""
-    return F.regexp_replace(transliterate(col), r"[^\x00-\x7F]", "")
+    return F.when(_is_ascii(col), _c(col)).otherwise(F.regexp_replace(transliterate(col), r"[^\x00-\x7F]", ""))
 
 
 def decode_references(col) -> Column:

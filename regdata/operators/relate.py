@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from regdata.functions.nulls import known_keys, sum0
 from regdata.functions.text import proper_nouns
 from regdata.operators.skew import HOT_SHARE, skew_join
+from regdata.session import materialise
 
 
+NAMES = 200_000  # names of a gazetteer that are broadcast
 HOT_ROWS = 20_000  # a key needs more rows than this, and more than its share, to be split
 
 
@@ -162,10 +164,17 @@ def member_totals(df: DataFrame, members: str, gazetteer: DataFrame, name: str,
 
 
 def gazetteer_tags(df: DataFrame, key: str, text: str, gazetteer: DataFrame, name: str, out: str = "places") -> DataFrame:
-    """Sorted names that equal a whole run of capitalised words of the text; rows without any get an empty array."""
+    """Sorted names that equal a whole run of capitalised words of the text; rows without any get an empty array.
+
+    Texts are searched once: up to ``NAMES`` names, by count, go to the runs; with more, the runs are kept for the join,
+    which reads them several times.
+    """
     runs = df.select(key, F.explode(F.array_distinct(proper_nouns(text))).alias("_run"))
-    names = gazetteer.select(F.col(name).alias("_run")).distinct()
-    found = skew_join(runs, names, ["_run"])
+    names = materialise(gazetteer.select(F.col(name).alias("_run")).distinct())
+    if names.limit(NAMES + 1).count() <= NAMES:
+        found = runs.join(F.broadcast(names), "_run")
+    else:
+        found = skew_join(materialise(runs), names, ["_run"])
     per_row = found.groupBy(key).agg(F.array_sort(F.collect_set("_run")).alias(out))
     return df.join(per_row, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
 
