@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from regdata.session import share_code
 
+PART = 4 << 20  # bytes of rows that a worker computes with at once
+
 
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns by name in any letter case: a new column of that name takes their place."""
@@ -36,8 +38,8 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def add_columns(df: DataFrame, make: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[tuple[str, T.DataType]], part: int | None = None) -> DataFrame:
-    """Append columns that ``make`` computes from a batch of rows, or from parts of it of about ``part`` bytes."""
+def add_columns(df: DataFrame, make: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[tuple[str, T.DataType]]) -> DataFrame:
+    """Append columns that ``make`` computes, row by row, from batches cut into parts of about ``PART`` bytes."""
     share_code(df.sparkSession)
     df = without(df, *[n for n, _ in fields])
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in fields]])
@@ -45,8 +47,9 @@ def add_columns(df: DataFrame, make: Callable[[pa.RecordBatch], list[pa.Array]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in parts(batch, part) if part else [batch]:
+            for rows in parts(batch, PART):
                 yield pa.RecordBatch.from_arrays([*rows.columns, *make(rows)], [*rows.schema.names, *names])
+            pa.default_memory_pool().release_unused()  # a waiting worker would keep it
 
     return df.mapInArrow(run, schema)
 

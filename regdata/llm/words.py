@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 20  # of text handled at once; a longer text is a chunk of its own
+CHUNK_BYTES = 1 << 17  # of text handled at once, which takes some 100 times as much memory; a longer text is a chunk of its own
 
 _rng = np.random.Generator(np.random.Philox(key=20))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=U64) * U64(2) + U64(1)
