@@ -3,10 +3,11 @@
 Every source has a target number of words. Among all document rates w between 0 and ``CAP``
 whose words add up to the targets, entropy balancing takes those closest to 1 in relative
 entropy: w = min(CAP, exp(m * size)), one multiplier m per source, scaled by the source's mean
-size. The multipliers solve the convex dual, one equation per source, and Newton's method
-finds them on log(words) for all sources at once: each round is one distributed aggregate over
-(source, size, count) rows, which hold all there is to know about the documents. A step that
-leaves the bracket known so far is replaced by its middle.
+size. The multipliers solve the convex dual, one equation per source. Documents are first
+aggregated to (source, size, count) rows, which hold all there is to know about them; then
+Newton's method finds each source's multiplier on log(words), where its rows are. These are its
+distinct sizes: d of them need d * d / 2 words, so they grow at most with the square root of the
+source. A step that leaves the bracket known so far is replaced by its middle.
 
 Rates are rounded into copies in two parts. Per source, sizes are walked from large to small,
 and each takes the whole number of copies that brings the words taken so far closest to the
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,58 +52,63 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     """``_source``, ``_words`` and ``_target`` from rows of ``_source``, ``_size``, ``_n``.
 
     One row per source is ranked and shared out; capped sources leave in rounds, each of
-    which caps all sources above their limit at once.
+    which caps all sources above their limit at once and is one row of sums.
     """
     sums = sizes.groupBy("_source").agg(F.sum(F.col("_size") * F.col("_n")).alias("_words"), F.sum("_n").alias("_docs"))
     rank = F.row_number().over(Window.orderBy(F.col("_source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
-    state = materialise(sums.withColumn("_weight", weight).withColumn("_full", F.lit(False)))
+    state = materialise(sums.withColumn("_weight", weight))
+    limit = F.col("_words") * F.lit(float(cap))
+    full, known = F.lit(False), -1
     while True:
-        total = state.agg(F.sum("_words")).scalar()
-        capped = state.agg(F.coalesce(F.sum(F.when(F.col("_full"), F.col("_words"))), F.lit(0)) * cap).scalar()
-        open_ = state.agg(F.sum(F.when(~F.col("_full"), F.col("_weight")))).scalar()
-        share = (total - capped) * F.col("_weight") / open_
-        limit = F.col("_words") * F.lit(float(cap))
-        shared = state.withColumn("_target", F.when(F.col("_full"), limit).otherwise(share).cast("double"))
-        shared = materialise(shared.withColumn("_now", F.col("_full") | (F.col("_target") > limit)))
-        if not shared.where("_now and not _full").limit(1).count():
-            return shared.select("_source", "_words", "_docs", "_weight", "_target")
-        state = shared.withColumn("_full", F.col("_now")).drop("_target", "_now")
+        told = state.agg(
+            F.sum("_words").alias("words"), F.sum(F.when(full, F.col("_words"))).alias("capped"), F.sum(F.when(~full, F.col("_weight"))).alias("open"),
+            F.count_if(full).alias("full"),
+        ).first()
+        if told["full"] <= known:
+            return state.select("_source", "_words", "_docs", "_weight", target.alias("_target"))
+        left = (told["words"] or 0) - (told["capped"] or 0) * cap
+        share = F.lit(left).cast("long") * F.col("_weight") / F.lit(told["open"]).cast("double")
+        target = F.when(full, limit).otherwise(share).cast("double")
+        full, known = full | F.coalesce(share > limit, F.lit(True)), told["full"]
+
+
+def _solve(cap: int):
+    """Newton's method for one source: ``_m`` from its sizes, counts, target and mean size."""
+    top = math.log(cap)
+
+    def solve(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("_size")  # sums do not depend on the order of arrival
+        size, n = own["_size"].to_numpy(float), own["_n"].to_numpy(float)
+        goal, z = math.log(own["_target"].iloc[0]), size / own["_mean"].iloc[0]
+        m, low, high = 0.0, None, None
+        for _ in range(ROUNDS):
+            mass = n * size * np.exp(np.minimum(m * z, top))
+            got, slope = mass.sum(), (mass * z)[m * z < top].sum()
+            gap = math.log(got) - goal if got else -math.inf
+            if abs(gap) < CLOSE:
+                break
+            low, high = (m, high) if gap < 0 else (low, m)
+            step = m - gap * got / slope if slope else math.nan
+            if (low is None or step > low) and (high is None or step < high) and abs(step - m) < 50:
+                m = step
+            elif low is None:
+                m = high - 2 * (1 + abs(high))
+            else:
+                m = low + 2 * (1 + abs(low)) if high is None else (low + high) / 2
+        return own[["_source"]].head(1).assign(_m=m)
+
+    return solve
 
 
 def rates(sizes: DataFrame, goals: DataFrame, cap: int = CAP) -> DataFrame:
     """``_source`` and ``_m``, the multiplier of its sizes; null where every rate is the cap."""
-    top = math.log(cap)
     goals = goals.where("_words > 0").withColumn("_mean", F.col("_words") / F.col("_docs"))
     # at the cap the dual has no finite solution: all rates are the cap itself
-    free = goals.where(F.col("_target") < F.col("_words") * (cap - 1e-12)).where("_target > 0")
-    state = materialise(free.select(
-        "_source", "_target", "_mean", F.lit(0.0).alias("_m"), F.lit(None).cast("double").alias("_low"), F.lit(None).cast("double").alias("_high"),
-        F.lit(1.0).alias("_off"),
-    ))
-    for _ in range(ROUNDS):
-        on = sizes.where("_size > 0").join(state, sizes["_source"].eqNullSafe(state["_source"])).drop(sizes["_source"])
-        z = F.col("_size") / F.col("_mean")
-        power = F.least(F.col("_m") * z, F.lit(top))
-        mass = F.col("_n") * F.col("_size") * F.exp(power)
-        slope = F.when(F.col("_m") * z < top, mass * z).otherwise(0.0)
-        keys = ["_source", "_target", "_mean", "_m", "_low", "_high"]
-        sums = on.groupBy(*keys).agg(F.sum(mass).alias("_got"), F.sum(slope).alias("_slope"))
-        gap = F.log("_got") - F.log("_target")
-        low, high = F.when(gap < 0, F.col("_m")).otherwise(F.col("_low")), F.when(gap >= 0, F.col("_m")).otherwise(F.col("_high"))
-        step = F.col("_m") - gap * F.try_divide(F.col("_got"), F.col("_slope"))
-        middle = F.when(low.isNotNull() & high.isNotNull(), (low + high) / 2).when(low.isNull(), high - 2 * (1 + F.abs(high))).otherwise(low + 2 * (1 + F.abs(low)))
-        inside = F.coalesce((step > F.coalesce(low, F.lit(-1e300))) & (step < F.coalesce(high, F.lit(1e300))), F.lit(False)) & (F.abs(step - F.col("_m")) < 50)
-        moved = sums.select(
-            "_source", "_target", "_mean", low.alias("_low"), high.alias("_high"), F.abs(gap).alias("_off"),
-            F.when(F.abs(gap) < CLOSE, F.col("_m")).when(inside, step).otherwise(middle).alias("_m"),
-        )
-        state = materialise(moved)
-        if not state.where(F.col("_off") >= CLOSE).limit(1).count():
-            break
-    return goals.select("_source", "_words", "_target", "_mean").join(
-        state.select(F.col("_source").alias("_s"), "_m"), F.col("_source").eqNullSafe(F.col("_s")), "left"
-    ).drop("_s")
+    free = goals.where(F.col("_target") < F.col("_words") * (cap - 1e-12)).where("_target > 0").select(F.col("_source").alias("_s"), "_target", "_mean")
+    own = sizes.where("_size > 0").join(free, F.col("_source").eqNullSafe(F.col("_s"))).select("_source", "_size", "_n", "_target", "_mean")
+    found = own.groupBy("_source").applyInPandas(_solve(cap), "_source string, _m double").withColumnRenamed("_source", "_s")
+    return goals.select("_source", "_words", "_target", "_mean").join(found, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s")
 
 
 def _walk(cap: int):

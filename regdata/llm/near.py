@@ -244,13 +244,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     labels = components(links)
 
     left = materialise(unresolved(labelled(members.select("_key", "_rep"), labels)))
-    shared = sets.join(left.select("_rep").distinct(), "_rep", "left_semi").select("_rep", F.explode("_set").alias("_h"))
+    ids = left.select("_rep").distinct()
+    shared = sets.join(ids, "_rep", "left_semi").select("_rep", F.explode("_set").alias("_h"))
     only = shared.groupBy("_h").agg(F.count(F.lit(1)).alias("_times"), F.min("_rep").alias("_rep")).where("_times = 1")
     only = only.groupBy("_rep").agg(F.count(F.lit(1)).alias("_only"))
-    able = info.join(only, "_rep", "left").withColumn("_only", F.coalesce("_only", F.lit(0))).where("4 * (_n - _only) >= 3 * _n")
+    able = info.join(ids, "_rep", "left_semi").join(only, "_rep", "left").withColumn("_only", F.coalesce("_only", F.lit(0))).where("4 * (_n - _only) >= 3 * _n")
     bands = nodes.select("_rep", "_bands").join(small, "_rep", "left_semi").dropDuplicates(["_rep", "_bands"])
-    rest = left.select("_key", "_rep", "_c").join(able.join(bands, "_rep"), "_rep")
-    pairs = block_pairs(unresolved(rest))
+    # the next plan names both several times; without this it would hold all of the above each time
+    able = materialise(able.join(bands, "_rep"))
+    rest = materialise(unresolved(left.select("_key", "_rep", "_c").join(able.select("_rep").distinct(), "_rep", "left_semi")))
+    pairs = block_pairs(rest.join(able, "_rep"))
     more = materialise(confirmed(pairs, sets))
     merged = labelled(labelled(more.select(F.col("a").alias("_rep"), "b"), labels).select("_c", F.col("b").alias("_rep")).withColumnRenamed("_c", "x"), labels)
     joins = components(merged.select(F.col("x").alias("a"), F.col("_c").alias("b")))

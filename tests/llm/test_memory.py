@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import public_tokenizers
-from regdata.llm import arrow, bpe, near, quality, words
+from regdata.llm import arrow, bpe, mixing, near, quality, words
 from regdata.llm.queries import VOCABULARY
 
 
@@ -51,3 +51,21 @@ def test_chunks_take_little(step):
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 20e6
+
+
+def test_mix_runs_few_jobs(spark):
+    """Each plan takes memory of the driver: Newton's rounds are no jobs of their own (with them these were 59 jobs)."""
+    docs = spark.range(4000).select(
+        F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, "abcdef")), (F.col("id") % 6 + 1).cast("int")).alias("source"),
+        F.repeat(F.lit("w "), (F.col("id") * F.col("id") % 997).cast("int")).alias("text"),
+    )
+    context = spark.sparkContext
+    context.setJobGroup("mix", "")
+    try:
+        rows = mixing.mix(docs).select("source", "taken", "target").collect()
+        jobs = context.statusTracker().getJobIdsForGroup("mix")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    taken = {s: [sum(r.taken for r in rows if r.source == s), next(r.target for r in rows if r.source == s)] for s in "abcdef"}
+    assert all(abs(got - due) < 1000 for got, due in taken.values())
+    assert len(jobs) <= 40
