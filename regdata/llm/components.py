@@ -35,11 +35,12 @@ def within(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def components(edges: DataFrame) -> DataFrame:
     """``id`` and ``c``, the smallest id reachable, for every end of the edges ``a``, ``b``.
 
-    At most ``FEW`` edges meet in one task. Beyond that, in each round a component takes the smallest label among
+    The edges are read twice or more: hand over a materialised table. At most ``FEW`` of them meet in one task, and the
+    answer is marked for broadcast. Beyond that, in each round a component takes the smallest label among
     its neighbours' (every member learns what any member found), then labels jump to the labels of
     their labels, so the number of rounds grows with the logarithm of the longest path.
     """
-    edges = materialise(edges.select("a", "b").distinct())
+    edges = edges.select("a", "b")
     if is_small(edges, FEW):
         share_code(edges.sparkSession)
 
@@ -49,7 +50,7 @@ def components(edges: DataFrame) -> DataFrame:
                 a, b = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in within(a, b)], ["id", "c"])
 
-        return materialise(edges.repartition(1).mapInArrow(run, "id long, c long"))
+        return F.broadcast(materialise(edges.repartition(1).mapInArrow(run, "id long, c long")))
     both = materialise(edges.union(edges.select("b", "a")).distinct())
     state = materialise(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("c")))
     while True:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 import public_tokenizers
 from regdata.llm import arrow, bpe, mixing, near, quality, words
 from regdata.llm.queries import VOCABULARY
+from tests.llm import brute
 
 
 def test_codec_forgets():
@@ -69,3 +70,60 @@ def test_mix_runs_few_jobs(spark):
     taken = {s: [sum(r.taken for r in rows if r.source == s), next(r.target for r in rows if r.source == s)] for s in "abcdef"}
     assert all(abs(got - due) < 1000 for got, due in taken.values())
     assert len(jobs) <= 40
+
+
+def near_copies(groups, of):
+    """Texts of 60 words, in each group one text with few words exchanged."""
+    rng = np.random.default_rng(5)
+    docs = {}
+    for g in range(groups):
+        base = [f"g{g}w{x}" for x in rng.integers(0, 5000, 60)]
+        for _ in range(of):
+            own = list(base)
+            for at in rng.choice(60, rng.integers(0, 4), replace=False):
+                own[at] = f"e{rng.integers(1 << 40)}"
+            docs[len(docs)] = " ".join(own)
+    return docs
+
+
+def test_near_dedup_runs_few_stages(spark):
+    """Every shuffle leaves three files per task: in 211 partitions they were more than the rows (this took 102 stages)."""
+    docs = near_copies(12, 25)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    context = spark.sparkContext
+    context.setJobGroup("near", "")
+    try:
+        rows = near.near_duplicates(df).collect()
+        status = context.statusTracker()
+        stages = {s for j in status.getJobIdsForGroup("near") for s in status.getJobInfo(j).stageIds}
+        ran = [s for s in stages if (told := status.getStageInfo(s)) and told.numCompletedTasks]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute.near_components(docs)
+    assert len(ran) <= 80
+
+
+@pytest.mark.parametrize("small", [near.SMALL, 0])
+def test_near_dedup_of_repeated_ids(spark, monkeypatch, small):
+    """Ids with several texts join what these are near to, with marks that are broadcast and with shuffled ones."""
+    monkeypatch.setattr(near, "SMALL", small)
+    docs = near_copies(4, 8)
+    rows = [*docs.items(), (0, docs[12]), (0, docs[12]), (16, None), (16, "one"), (40, "one"), (None, docs[0]), (None, docs[0]), (41, docs[30])]
+    single = dict(enumerate(t for _, t in rows))
+    label = {k: c for k, (_, c) in brute.near_components(single).items()}
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            a, b = sorted([find(("id", i)), find(("set", label[k]))])
+            parent[b] = a
+    found = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        near_ids = [i for i in {i for i, _ in rows if i is not None} if r.doc_id is not None and find(("id", i)) == find(("id", r.doc_id))]
+        assert r.component_id == min(near_ids, default=None) and r.kept == (r.component_id == r.doc_id)
