@@ -8,6 +8,7 @@ are tested exactly. The size of cells follows each polygon, so a huge one has as
 
 *The nearest polygon* is searched in packed trees of boxes, from the root down, for many places at once: a
 box bounds the distance from below and from above, and what is farther than the least upper bound goes.
+Distances are compared rounded, as those to a corner that polygons share differ in their last bits.
 
 All of this is done once per distinct place and the answer is joined back to the points:
 a default coordinate on a third of the rows is a single place. Cells and outlines are broadcast
@@ -34,6 +35,7 @@ ROUNDS = 2  # times that cells along an outline are cut
 FEW_CELLS, FEW_SEGMENTS = 200_000, 200_000  # of about 60 and 32 bytes, that may be broadcast
 FAN = 16  # boxes under a box of the tree
 PAIRS = 1 << 20  # of places and boxes or segments that a task works on at once
+TIE_DIGITS = 9  # decimals to which distances must agree to be a tie
 
 
 def prepare_polygons(polys: DataFrame, rings: str = "rings") -> DataFrame:
@@ -181,18 +183,21 @@ class Boxes:
             cuts = np.arange(0, len(low), FAN)
             self.levels.insert(0, np.column_stack([np.minimum.reduceat(low[:, :2], cuts), np.maximum.reduceat(low[:, 2:], cuts)]))
 
-    def nearest(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place in ``names`` of the nearest polygon of each point, -1 without any, and its distance."""
+    def nearest(self, x: np.ndarray, y: np.ndarray, digits: int = TIE_DIGITS) -> tuple[np.ndarray, np.ndarray]:
+        """Place in ``names`` of the nearest polygon of each point, -1 without any, and the least distance.
+
+        Of the polygons whose distances round alike it is the one with the first name.
+        """
         best, far = np.full(len(x), -1), np.full(len(x), np.inf)
         step = max(1, PAIRS // (FAN * FAN * 4))
         for start in range(0, len(x), step):
             part = slice(start, start + step)
-            best[part], far[part] = self._nearest(x[part], y[part])
+            best[part], far[part] = self._nearest(x[part], y[part], digits)
         return best, far
 
-    def _nearest(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _nearest(self, x: np.ndarray, y: np.ndarray, digits: int) -> tuple[np.ndarray, np.ndarray]:
         n = len(x)
-        best, far = np.full(n, -1), np.full(n, np.inf)
+        best, far, least = np.full(n, -1), np.full(n, np.inf), np.full(n, np.inf)  # least: far, rounded
         if not len(self.names):
             return best, far
         upper = np.full(n, np.inf)
@@ -203,22 +208,23 @@ class Boxes:
                 q, v = q[v < len(boxes)], v[v < len(boxes)]
             low, high = bounds(x[q], y[q], boxes[v])
             np.minimum.at(upper, q, high)
-            keep = low <= upper[q] * (1 + 1e-9)
+            keep = low <= tie_bound(upper[q], digits)
             q, v, low = q[keep], v[keep], low[keep]
         # nearest boxes first, so that few outlines are measured: whole polygons at a time
         order = np.lexsort((low, q))
         q, v, low = q[order], v[order], low[order]
         turn = np.arange(len(q)) - np.searchsorted(q, q)
         for k in range(int(turn.max(initial=-1)) + 1):
-            mine = np.flatnonzero((turn == k) & (low <= far[q] * (1 + 1e-9)))
+            mine = np.flatnonzero((turn == k) & (low <= tie_bound(far[q], digits)))
             if not len(mine):
                 break
             sizes = self.first[v[mine] + 1] - self.first[v[mine]]
             for cut in np.split(mine, np.flatnonzero(np.diff(np.cumsum(sizes) // PAIRS)) + 1):
                 d = self.distance(x[q[cut]], y[q[cut]], v[cut])
-                p = q[cut]
-                better = (d < far[p]) | ((d == far[p]) & (self.rank[v[cut]] < self.rank[best[p]]))
-                far[p[better]], best[p[better]] = d[better], v[cut][better]
+                p, r = q[cut], rounded(d, digits)
+                better = (r < least[p]) | ((r == least[p]) & (self.rank[v[cut]] < self.rank[best[p]]))
+                least[p[better]], best[p[better]] = r[better], v[cut][better]
+                far[p] = np.minimum(far[p], d)
         return best, far
 
     def distance(self, x: np.ndarray, y: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -247,6 +253,20 @@ def bounds(x: np.ndarray, y: np.ndarray, box: np.ndarray) -> tuple[np.ndarray, n
     return low, np.minimum(np.hypot(near_x, far_y), np.hypot(far_x, near_y))
 
 
+def rounded(d: np.ndarray, digits: int) -> np.ndarray:
+    """Distances to ``digits`` decimals, halves away from zero, as SQL rounds doubles."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        scaled = d * 10.0**digits
+        whole = np.floor(scaled)
+        out = (whole + (scaled - whole >= 0.5)) / 10.0**digits
+    return np.where(np.isfinite(out), out, d)
+
+
+def tie_bound(d: np.ndarray, digits: int) -> np.ndarray:
+    """Up to where something may be as near as ``d`` once both are rounded."""
+    return d * (1 + 1e-9) + 10.0**-digits
+
+
 def _packed(polys: pa.Table | pa.RecordBatch) -> Boxes:
     names, outlines = polys.column("_name").to_pylist(), polys.column("segs").to_pylist()
     found = [(n, np.array([[g["x1"], g["y1"], g["x2"], g["y2"]] for g in s])) for n, s in zip(names, outlines) if s]
@@ -268,8 +288,10 @@ def _tiles(polys: DataFrame, n: int) -> DataFrame:
     return placed.withColumn("_piece", F.col("_slab") * slabs + below(F.col("_edges"), "_my")).drop("_mx", "_my", "_slab", "_edges")
 
 
-def nearest_join(points: DataFrame, polys: DataFrame, x: str, y: str, name: str, few: int = FEW_SEGMENTS) -> DataFrame:
-    """Points with the nearest polygon's name and distance (0 inside), ties by name.
+def nearest_join(
+    points: DataFrame, polys: DataFrame, x: str, y: str, name: str, few: int = FEW_SEGMENTS, digits: int = TIE_DIGITS,
+) -> DataFrame:
+    """Points with the nearest polygon's name and the least distance (0 inside); distances that agree to ``digits`` decimals tie, by name.
 
     Up to ``few`` segments all polygons are one broadcast tree. More are cut into pieces of about that many; each
     place goes to the pieces whose box is no farther than the least upper bound of all, and
@@ -281,7 +303,7 @@ def nearest_join(points: DataFrame, polys: DataFrame, x: str, y: str, name: str,
     schema = T.StructType([T.StructField("_x", T.DoubleType()), T.StructField("_y", T.DoubleType()), polys.schema["_name"], T.StructField("distance", T.DoubleType())])
 
     def told(tree: Boxes, px: np.ndarray, py: np.ndarray, kind: pa.DataType) -> list[pa.Array]:
-        best, far = tree.nearest(px, py)
+        best, far = tree.nearest(px, py, digits)
         found = best >= 0
         return [pa.array(px[found]), pa.array(py[found]), pa.array([tree.names[i] for i in best[found]], kind), pa.array(far[found])]
 
@@ -309,7 +331,7 @@ def nearest_join(points: DataFrame, polys: DataFrame, x: str, y: str, name: str,
                     px, py = part.column("_x").to_numpy(), part.column("_y").to_numpy()
                     q, v = np.repeat(np.arange(len(px)), len(number)), np.tile(np.arange(len(number)), len(px))
                     low, high = (b.reshape(len(px), -1) for b in bounds(px[q], py[q], box[v]))
-                    q, v = np.nonzero(low <= high.min(axis=1)[:, None] * (1 + 1e-9))
+                    q, v = np.nonzero(low <= tie_bound(high.min(axis=1), digits)[:, None])
                     yield pa.RecordBatch.from_arrays([pa.array(px[q]), pa.array(py[q]), pa.array(number[v].astype(np.int32))], ["_x", "_y", "_piece"])
 
         asked = materialise(spread_out(places).mapInArrow(meet, "_x double, _y double, _piece int"))
@@ -319,9 +341,11 @@ def nearest_join(points: DataFrame, polys: DataFrame, x: str, y: str, name: str,
 
         def search_piece(left: pa.Table, right: pa.Table) -> pa.Table:
             kind = right.schema.field("_name").type
-            return pa.Table.from_arrays(told(_packed(right), left.column("_x").to_numpy(), left.column("_y").to_numpy(), kind), schema.names)
+            found = told(_packed(right), left.column("_x").to_numpy(), left.column("_y").to_numpy(), kind)
+            return pa.Table.from_arrays([*found, pa.array(rounded(found[-1].to_numpy(), digits))], [*schema.names, "_near"])
 
         both = asked.groupBy("_piece", "_block").cogroup(copies.select("_piece", "_block", "_name", "segs").groupBy("_piece", "_block"))
-        best = both.applyInArrow(search_piece, schema)
-        best = best.groupBy("_x", "_y").agg(F.min(F.struct("distance", "_name")).alias("_b")).select("_x", "_y", "_b._name", "_b.distance")
+        best = both.applyInArrow(search_piece, T.StructType([*schema.fields, T.StructField("_near", T.DoubleType())]))
+        best = best.groupBy("_x", "_y").agg(F.min(F.struct("_near", "_name")).alias("_b"), F.min("distance").alias("distance"))
+        best = best.select("_x", "_y", "_b._name", "distance")
     return _back_to_points(points, x, y, best.withColumnRenamed("_name", name), "left")

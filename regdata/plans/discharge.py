@@ -18,21 +18,21 @@ from regdata.vocab import BAND_SD, MIN_POPULATION
 
 def projected(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """Add metric ``x`` and ``y``."""
-    return df.withColumn("_p", geo.project_albers(lon, lat)).withColumns({"x": F.col("_p.x"), "y": F.col("_p.y")}).drop("_p")
+    return df.withColumn("_p", geo.project_albers(lon, lat, squared=True)).withColumns({"x": F.col("_p.x"), "y": F.col("_p.y")}).drop("_p")
 
 
 def projected_polygons(polys: DataFrame, rings: str = "rings") -> DataFrame:
     """Polygons in degrees to prepared metric polygons."""
     to_metres = F.transform(
-        rings, lambda part: F.transform(part, lambda ring: F.transform(ring, lambda p: geo.project_albers(p["x"], p["y"])))
+        rings, lambda part: F.transform(part, lambda ring: F.transform(ring, lambda p: geo.project_albers(p["x"], p["y"], squared=True)))
     )
     return spatial.prepare_polygons(polys.withColumn(rings, to_metres), rings)
 
 
 def assign_sources(sources: DataFrame, area_polys: DataFrame, areas: DataFrame) -> DataFrame:
-    """Sources with the nearest area that has demographic rows."""
+    """Sources with the nearest area that has demographic rows; areas equally near to a micrometre go by name."""
     polys = relate.known_members(area_polys, areas.select("area").distinct(), ["area"])
-    return spatial.nearest_join(sources, polys, "x", "y", "area")
+    return spatial.nearest_join(sources, polys, "x", "y", "area", digits=6)
 
 
 def sources_near_areas(sources: DataFrame, area_polys: DataFrame, areas: DataFrame, miles: float) -> DataFrame:
